@@ -38,3 +38,75 @@ register("e08_payment_mode_analysis")(lambda s, d: bi.payment_mode_analysis(P.ro
 register("e09_seasonal_analysis")(lambda s, d: bi.seasonal_analysis(P.rows(s, d)))
 register("e10_year_over_year_growth")(lambda s, d: bi.year_over_year_growth(P.rows(s, d)))
 register("e11_kpi_summary")(lambda s, d: bi.kpi_summary(P.rows(s, d)))
+
+# --- E12-E64: analysis result tables ----------------------------------------
+from ..operators import analysis as AN  # noqa: E402
+
+_ROWS = {  # need only row-level features
+    "e12_daily_sales": AN.daily_sales,
+    "e13_monthly_trends": AN.monthly_trends,
+    "e14_quarterly_trends": AN.quarterly_trends,
+    "e15_yearly_analysis": AN.yearly_analysis,
+    "e16_day_of_week_analysis": AN.day_of_week_analysis,
+    "e17_seasonal_summary": AN.seasonal_summary,
+    "e20_region_performance": AN.region_performance,
+    "e21_region_monthly": AN.region_monthly,
+    "e22_region_profitability": AN.region_profitability,
+    "e23_top_states": AN.top_states,
+    "e25_category_summary": AN.category_summary,
+    "e27_profit_by_category": AN.profit_by_category,
+    "e28_profit_discount_analysis": AN.profit_discount_analysis,
+    "e29_monthly_profit_trends": AN.monthly_profit_trends,
+    "e30_most_profitable_products": AN.most_profitable_products,
+    "e31_loss_making_products": AN.loss_making_products,
+    "e32_category_stats": AN.category_stats,
+    "e33_subcategory_stats": AN.subcategory_stats,
+    "e34_category_trends": AN.category_trends,
+    "e35_category_region": AN.category_region,
+    "e36_monthly_revenue": AN.monthly_revenue,
+    "e37_revenue_by_payment": AN.revenue_by_payment,
+    "e39_revenue_distribution": AN.revenue_distribution,
+    "e40_daily_revenue_trend": AN.daily_revenue_trend,
+    "e41_generate_kpis": AN.generate_kpis,
+    "e45_clv": AN.clv,
+    "e46_region_rollup": AN.region_rollup,
+    "e49_payment_analysis": AN.payment_analysis,
+    "e50_category_month_pivot": AN.category_month_pivot,
+    "e51_top_customers_by_name": AN.top_customers_by_name,
+    "e52_report_category_performance": AN.report_category_performance,
+    "e53_report_regional_performance": AN.report_regional_performance,
+    "e54_report_monthly_trends": AN.report_monthly_trends,
+    "e55_dataset_overview": AN.dataset_overview,
+    "e56_discount_metrics": AN.discount_metrics,
+    "e57_discount_band_summary": AN.discount_band_summary,
+    "e58_sales_by_category": AN.sales_by_category,
+    "e58_sales_by_region": AN.sales_by_region,
+    "e60_top_products_by_sales": AN.top_products_by_sales,
+    "e61_top_decile_concentration": AN.top_decile_concentration,
+    "e62_best_category_region": AN.best_category_region,
+    "e64_insight_kpis": AN.insight_kpis,
+}
+_FULL = {  # need customer / product stats
+    "e18_customer_profiles": AN.customer_profiles,
+    "e19_segment_distribution": AN.segment_distribution,
+    "e24_product_performance": AN.product_performance,
+    "e26_performance_distribution": AN.performance_distribution,
+    "e38_revenue_by_segment": AN.revenue_by_segment,
+    "e44_rfm_table": AN.rfm_table,
+    "e47_segment_revenue_ordered": AN.segment_revenue_ordered,
+    "e48_segment_analysis_table": AN.segment_analysis_table,
+    "e59_segment_counts_ordered": AN.segment_counts_ordered,
+    "h01_top_products": AN.top_products,
+    "h01_top_customer_profiles": AN.top_customer_profiles,
+    "b14_filter_options": AN.filter_options,
+}
+
+
+def _bind(fn, prep):
+    return lambda s, d: fn(prep(s, d))
+
+
+for _k, _f in _ROWS.items():
+    register(_k)(_bind(_f, P.rows))
+for _k, _f in _FULL.items():
+    register(_k)(_bind(_f, P.full))

@@ -6,7 +6,7 @@ the adapter and feature CTEs (see ``sqlparts``).
 
 from __future__ import annotations
 
-from .sqlparts import dsum, isum, mean, pct, with_features, with_sales
+from .sqlparts import ADAPTER, dsum, half_up as half_up_sql, isum, mean, pct, with_features, with_sales
 
 ORACLE: dict[str, str] = {}
 
@@ -93,3 +93,288 @@ SELECT count(DISTINCT Order_ID) AS Total_Orders, count(DISTINCT Customer_ID) AS
        {mean('Sales', 2, 2)} AS Avg_Order_Value, {mean('Discount', 2, 3)} AS Avg_Discount,
        {isum('Quantity')} AS Total_Units_Sold, {mean('Quantity', 0, 1)} AS Avg_Items_Per_Order
 FROM rowf""")
+
+
+# --- E12-E64 ------------------------------------------------------------------
+def _R(body: str) -> str:
+    return with_sales(body)
+
+
+def _F(body: str) -> str:
+    return with_features(body)
+
+
+def _nn(*keys: str) -> str:
+    return " AND ".join(f"{k} IS NOT NULL" for k in keys)
+
+
+SS, PS = f"{dsum('Sales')} AS Total_Sales", f"{dsum('Profit')} AS Total_Profit"
+NO, NC = "count(DISTINCT Order_ID) AS Order_Count", "count(DISTINCT Customer_ID) AS Customer_Count"
+M6 = mean('Profit_Margin_Pct', 2, 6)
+
+
+def _labels(name: str, labels: list[str]) -> str:
+    vals = ", ".join(f"('{x}', {i})" for i, x in enumerate(labels))
+    return f"(VALUES {vals}) AS l({name}, pos)"
+
+
+def _count_labels(col: str, labels: list[str], name: str, order: str) -> str:
+    return _F(f"""
+SELECT l.{name}, CAST(coalesce(c.cnt, 0) AS BIGINT) AS Count
+FROM {_labels(name, labels)} LEFT JOIN (SELECT {col} AS k, count(*) AS cnt FROM features WHERE {col} IS NOT NULL GROUP BY {col}) c
+  ON l.{name} = c.k ORDER BY {order}""")
+
+
+ORACLE["e12_daily_sales"] = _R(f"SELECT Order_Date, {SS}, {PS}, {NO} FROM rowf WHERE {_nn('Order_Date')} GROUP BY Order_Date")
+ORACLE["e13_monthly_trends"] = _R(f"""SELECT Year_Month, {SS}, {PS}, {mean('Sales')} AS Avg_Order_Value, {NO}, {NC}
+FROM rowf WHERE {_nn('Year_Month')} GROUP BY Year_Month""")
+ORACLE["e14_quarterly_trends"] = _R(f"SELECT Year, Quarter, {SS}, {PS}, {NO} FROM rowf WHERE {_nn('Year', 'Quarter')} GROUP BY Year, Quarter")
+ORACLE["e15_yearly_analysis"] = _R(f"""
+SELECT Year, CAST(s AS DOUBLE) AS Total_Sales, CAST(p AS DOUBLE) AS Total_Profit,
+       {pct('s - lag(s) OVER (ORDER BY Year)', 'lag(s) OVER (ORDER BY Year)', 2, 6)} AS Sales_Growth,
+       {pct('p - lag(p) OVER (ORDER BY Year)', 'lag(p) OVER (ORDER BY Year)', 2, 6)} AS Profit_Growth
+FROM (SELECT Year, sum(Sales) AS s, sum(Profit) AS p FROM rowf WHERE {_nn('Year')} GROUP BY Year)""")
+ORACLE["e16_day_of_week_analysis"] = _R(f"""
+SELECT Day_Name, {SS}, {NO}, {mean('Sales')} AS Avg_Sales,
+       CAST(list_position(['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'], Day_Name) - 1 AS INTEGER) AS Day_Order
+FROM rowf WHERE {_nn('Day_Name')} GROUP BY Day_Name""")
+ORACLE["e17_seasonal_summary"] = _R(f"SELECT Season, {SS}, {PS}, {NO} FROM rowf WHERE {_nn('Season')} GROUP BY Season")
+
+_PROFILE = f"""
+prof AS (
+  SELECT Customer_ID, Customer_Name, Customer_Segment, {dsum('Sales')} AS Total_Spent, {PS}, {NO},
+         {mean('Sales')} AS Avg_Order_Value, {isum('Quantity')} AS Total_Quantity, {mean('Discount')} AS Avg_Discount,
+         min(Order_Date) AS First_Purchase, max(Order_Date) AS Last_Purchase
+  FROM features WHERE {_nn('Customer_ID', 'Customer_Name', 'Customer_Segment')}
+  GROUP BY Customer_ID, Customer_Name, Customer_Segment),
+modes AS (
+  SELECT Customer_ID, Customer_Name, Customer_Segment,
+         coalesce(arg_min(Category, struct_pack(a := -cc, b := Category)) FILTER (WHERE Category IS NOT NULL), 'N/A') AS Preferred_Category
+  FROM (SELECT Customer_ID, Customer_Name, Customer_Segment, Category, count(*) AS cc FROM features
+        WHERE {_nn('Customer_ID', 'Customer_Name', 'Customer_Segment')} GROUP BY ALL)
+  GROUP BY ALL),
+rmodes AS (
+  SELECT Customer_ID, Customer_Name, Customer_Segment,
+         coalesce(arg_min(Region, struct_pack(a := -cc, b := Region)) FILTER (WHERE Region IS NOT NULL), 'N/A') AS Preferred_Region
+  FROM (SELECT Customer_ID, Customer_Name, Customer_Segment, Region, count(*) AS cc FROM features
+        WHERE {_nn('Customer_ID', 'Customer_Name', 'Customer_Segment')} GROUP BY ALL)
+  GROUP BY ALL),
+prof2 AS (
+  SELECT p.*, m.Preferred_Category, r.Preferred_Region,
+         CAST(datediff('day', Last_Purchase, (SELECT max(Order_Date) FROM features)) AS INTEGER) AS Recency_Days,
+         Order_Count AS Frequency, Total_Spent AS Monetary,
+         concat_ws(chr(1), coalesce(p.Customer_ID, ''), coalesce(p.Customer_Name, ''), coalesce(p.Customer_Segment, '')) AS tie
+  FROM prof p JOIN modes m USING (Customer_ID, Customer_Name, Customer_Segment)
+              JOIN rmodes r USING (Customer_ID, Customer_Name, Customer_Segment)),
+rq AS (SELECT quantile_cont(CAST(Recency_Days AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS e FROM prof2),
+ranked AS (
+  SELECT prof2.*, CAST(6 - (1 + {' + '.join(f'CAST(rq.e[{i}] < Recency_Days AS INTEGER)' for i in range(1, 5))}) AS INTEGER) AS R_Score,
+         row_number() OVER (ORDER BY Frequency ASC NULLS FIRST, tie) AS rf,
+         row_number() OVER (ORDER BY Monetary ASC NULLS FIRST, tie) AS rm,
+         count(*) OVER () AS n
+  FROM prof2, rq),
+scored AS (
+  SELECT *, CAST(CASE WHEN n > 1 THEN greatest(1, ((rf - 1) * 5 + n - 2) // (n - 1)) ELSE 1 END AS INTEGER) AS F_Score,
+            CAST(CASE WHEN n > 1 THEN greatest(1, ((rm - 1) * 5 + n - 2) // (n - 1)) ELSE 1 END AS INTEGER) AS M_Score
+  FROM ranked)"""
+
+_PROFILE_COLS = ("Customer_ID, Customer_Name, Customer_Segment, Total_Spent, Total_Profit, Order_Count, Avg_Order_Value, "
+                 "Total_Quantity, Avg_Discount, First_Purchase, Last_Purchase, Preferred_Category, Preferred_Region, "
+                 "Recency_Days, Frequency, Monetary, R_Score, F_Score, M_Score")
+_RFM = "CAST(coalesce(R_Score, 0) + coalesce(F_Score, 0) + coalesce(M_Score, 0) AS INTEGER) AS RFM_Score"
+
+ORACLE["e18_customer_profiles"] = _F(f""", {_PROFILE.strip()}
+SELECT {_PROFILE_COLS}, {_RFM}, Avg_Order_Value * Order_Count AS CLV FROM scored""").replace(
+    "features AS (", "features AS (", 1)
+ORACLE["e44_rfm_table"] = _F(f""", {_PROFILE.strip()}
+SELECT Customer_ID, Customer_Name, Recency_Days, Frequency, Monetary, R_Score, F_Score, M_Score, {_RFM} FROM scored""")
+ORACLE["e45_clv"] = _R(f"""SELECT Customer_ID, {mean('Sales')} * count(DISTINCT Order_ID) AS CLV
+FROM rowf WHERE {_nn('Customer_ID')} GROUP BY Customer_ID""")
+ORACLE["h01_top_customer_profiles"] = _F(f""", {_PROFILE.strip()}
+SELECT Customer_ID, Customer_Name, Customer_Segment, Total_Spent, Total_Profit, Order_Count, Avg_Order_Value,
+       Total_Quantity, Avg_Discount, First_Purchase, Last_Purchase, Preferred_Category, Preferred_Region,
+       Recency_Days, Frequency, Monetary
+FROM prof2 ORDER BY Total_Spent DESC, Customer_ID LIMIT 10""")
+
+ORACLE["e19_segment_distribution"] = _count_labels("Customer_Segment", ["Bronze", "Silver", "Gold", "Platinum"],
+                                                   "Segment", "Count DESC, pos")
+ORACLE["e26_performance_distribution"] = _count_labels("Product_Performance", ["Low", "Medium", "High", "Top"],
+                                                       "Performance", "Count DESC, pos")
+ORACLE["e59_segment_counts_ordered"] = _count_labels("Customer_Segment", ["Bronze", "Silver", "Gold", "Platinum"],
+                                                     "Segment", "pos")
+ORACLE["e39_revenue_distribution"] = _count_labels(
+    "Sales_Bucket", ["Very Low", "Low", "Medium", "High", "Very High", "Premium"], "Bucket", "Count DESC, pos")
+
+ORACLE["e20_region_performance"] = _R(f"""
+SELECT Region, Country, State, {SS}, {PS}, {NO}, {NC}, {mean('Sales')} AS Avg_Order_Value, {M6} AS Avg_Profit_Margin,
+       {isum('Quantity')} AS Total_Quantity
+FROM rowf WHERE {_nn('Region', 'Country', 'State')} GROUP BY Region, Country, State""")
+ORACLE["e21_region_monthly"] = _R(f"SELECT Region, Year_Month, {SS}, {PS} FROM rowf WHERE {_nn('Region', 'Year_Month')} GROUP BY ALL")
+ORACLE["e22_region_profitability"] = _R(f"""
+SELECT Region, CAST(s AS DOUBLE) AS Total_Sales, CAST(p AS DOUBLE) AS Total_Profit, Avg_Margin, Total_Orders,
+       {pct('p', 's', 2, 6)} AS Profit_Ratio
+FROM (SELECT Region, sum(Sales) AS s, sum(Profit) AS p, {M6} AS Avg_Margin, count(DISTINCT Order_ID) AS Total_Orders
+      FROM rowf WHERE {_nn('Region')} GROUP BY Region)""")
+ORACLE["e23_top_states"] = _R(f"SELECT State, {SS}, {PS} FROM rowf WHERE {_nn('State')} GROUP BY State ORDER BY Total_Sales DESC, State LIMIT 10")
+ORACLE["e46_region_rollup"] = _R(f"""
+SELECT Region, {dsum('s')} AS Total_Sales, {dsum('p')} AS Total_Profit, {isum('Order_Count')} AS Order_Count,
+       {isum('Customer_Count')} AS Customer_Count, {mean('CAST(m AS DECIMAL(24,6))', 6, 6)} AS Avg_Margin
+FROM (SELECT Region, Country, State, sum(Sales) AS s, sum(Profit) AS p, {NO}, {NC}, {M6} AS m
+      FROM rowf WHERE {_nn('Region', 'Country', 'State')} GROUP BY ALL) GROUP BY Region""")
+
+ORACLE["e24_product_performance"] = _F(f"""
+SELECT Product_Name, Category, Sub_Category, Product_Performance, {SS}, {PS}, {NO}, {mean('Sales')} AS Avg_Price,
+       {M6} AS Avg_Profit_Margin, {isum('Quantity')} AS Total_Quantity, {mean('Discount')} AS Avg_Discount
+FROM features WHERE {_nn('Product_Name', 'Category', 'Sub_Category', 'Product_Performance')} GROUP BY ALL""")
+ORACLE["h01_top_products"] = ORACLE["e24_product_performance"] + " ORDER BY Total_Sales DESC, Product_Name LIMIT 15"
+ORACLE["e25_category_summary"] = _R(f"""
+SELECT Category, Sub_Category, {SS}, {PS}, count(DISTINCT Product_Name) AS Product_Count, {NO}, {M6} AS Avg_Margin
+FROM rowf WHERE {_nn('Category', 'Sub_Category')} GROUP BY ALL""")
+ORACLE["e27_profit_by_category"] = _R(f"SELECT Category, {PS}, {SS}, {M6} AS Avg_Margin, {NO} FROM rowf WHERE {_nn('Category')} GROUP BY ALL")
+
+
+def _bin_case(edges: list[str]) -> str:
+    parts = []
+    for lo, hi in zip(edges, edges[1:]):
+        lab = f"({float(lo)!r}, {float(hi)!r}]"
+        parts.append(f"WHEN Discount > CAST({lo} AS DECIMAL(20,6)) AND Discount <= CAST({hi} AS DECIMAL(20,6)) THEN '{lab}'")
+    return "CASE " + " ".join(parts) + " END"
+
+
+def _bin_labels(edges: list[str]) -> list[str]:
+    return [f"({float(lo)!r}, {float(hi)!r}]" for lo, hi in zip(edges, edges[1:])]
+
+
+_DA = ["0.0", "0.1", "0.2", "0.3", "0.4", "0.5", "0.6", "0.7"]
+_DR = ["0", "0.1", "0.2", "0.3", "0.5", "1.0"]
+ORACLE["e28_profit_discount_analysis"] = _R(f"""
+SELECT l.Discount_Range, coalesce(Total_Profit, 0.0) AS Total_Profit, coalesce(Total_Sales, 0.0) AS Total_Sales,
+       CAST(coalesce(Order_Count, 0) AS BIGINT) AS Order_Count, Avg_Margin
+FROM {_labels('Discount_Range', _bin_labels(_DA))} LEFT JOIN (
+  SELECT {_bin_case(_DA)} AS b, {PS}, {SS}, {NO}, {M6} AS Avg_Margin FROM rowf GROUP BY b) g ON l.Discount_Range = g.b
+ORDER BY pos""")
+ORACLE["e57_discount_band_summary"] = _R(f"""
+SELECT l.Discount_Range, coalesce(Sales, 0.0) AS Sales, coalesce(Profit, 0.0) AS Profit
+FROM {_labels('Discount_Range', _bin_labels(_DR))} LEFT JOIN (
+  SELECT {_bin_case(_DR)} AS b, {dsum('Sales')} AS Sales, {dsum('Profit')} AS Profit FROM rowf GROUP BY b) g
+  ON l.Discount_Range = g.b ORDER BY pos""")
+ORACLE["e29_monthly_profit_trends"] = _R(f"SELECT Year_Month, {PS}, {SS}, {M6} AS Avg_Margin FROM rowf WHERE {_nn('Year_Month')} GROUP BY ALL")
+ORACLE["e30_most_profitable_products"] = _R(f"""SELECT Product_Name, {PS}, {SS}, {M6} AS Avg_Margin FROM rowf
+WHERE {_nn('Product_Name')} GROUP BY ALL ORDER BY Total_Profit DESC, Product_Name LIMIT 10""")
+ORACLE["e31_loss_making_products"] = _R(f"""SELECT Product_Name, {PS}, {SS} FROM rowf WHERE {_nn('Product_Name')}
+GROUP BY ALL HAVING sum(Profit) < 0""")
+ORACLE["e32_category_stats"] = _R(f"""
+SELECT Category, Total_Profit, Order_Count, Product_Count, Customer_Count, Avg_Order_Value, Avg_Margin, Avg_Discount,
+       Total_Quantity, {pct('s', 'sum(s) OVER ()')} AS Market_Share_Pct, CAST(s AS DOUBLE) AS Total_Sales
+FROM (SELECT Category, sum(Sales) AS s, {PS}, {NO}, count(DISTINCT Product_Name) AS Product_Count, {NC},
+             {mean('Sales')} AS Avg_Order_Value, {M6} AS Avg_Margin, {mean('Discount')} AS Avg_Discount,
+             {isum('Quantity')} AS Total_Quantity FROM rowf WHERE {_nn('Category')} GROUP BY Category)""")
+ORACLE["e33_subcategory_stats"] = _R(f"SELECT Category, Sub_Category, {SS}, {PS}, {NO}, {M6} AS Avg_Margin FROM rowf WHERE {_nn('Category', 'Sub_Category')} GROUP BY ALL")
+ORACLE["e34_category_trends"] = _R(f"SELECT Year_Month, Category, {SS} FROM rowf WHERE {_nn('Year_Month', 'Category')} GROUP BY ALL")
+ORACLE["e35_category_region"] = _R(f"SELECT Category, Region, {SS}, {PS} FROM rowf WHERE {_nn('Category', 'Region')} GROUP BY ALL")
+ORACLE["e36_monthly_revenue"] = _R(f"""SELECT Year_Month, {dsum('Sales')} AS Revenue, {dsum('Profit')} AS Profit,
+count(DISTINCT Order_ID) AS Orders FROM rowf WHERE {_nn('Year_Month')} GROUP BY ALL""")
+ORACLE["e37_revenue_by_payment"] = _R(f"""SELECT Payment_Mode, {dsum('Sales')} AS Revenue, count(DISTINCT Order_ID) AS Orders
+FROM rowf WHERE {_nn('Payment_Mode')} GROUP BY ALL""")
+ORACLE["e38_revenue_by_segment"] = _F(f"""SELECT Customer_Segment, {dsum('Sales')} AS Revenue, count(DISTINCT Customer_ID) AS Customers,
+{mean('Sales')} AS Avg_Revenue FROM features WHERE {_nn('Customer_Segment')} GROUP BY ALL""")
+ORACLE["e40_daily_revenue_trend"] = _R(f"""
+SELECT Order_Date, CAST(r AS DOUBLE) AS Daily_Revenue,
+       CAST(sum(r) OVER (ORDER BY Order_Date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS Cumulative_Revenue,
+       CASE WHEN count(r) OVER w7 >= 7 THEN {half_up_sql("sum(CAST(r * 100 AS HUGEINT)) OVER w7", "7", 2, 6)} END AS Moving_Avg_7d
+FROM (SELECT Order_Date, sum(Sales) AS r FROM rowf WHERE {_nn('Order_Date')} GROUP BY Order_Date)
+WINDOW w7 AS (ORDER BY Order_Date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
+
+_KPI = f"""
+g AS (SELECT sum(Sales) AS s, sum(Profit) AS p, count(DISTINCT Order_ID) AS n, count(DISTINCT Customer_ID) AS c,
+             count(DISTINCT Product_Name) AS k, {mean('Sales', 2, 2)} AS Average_Order_Value,
+             {mean('Discount', 2, 3)} AS Average_Discount, sum(Sales * Discount) AS sd, sum(Quantity) AS q,
+             min(Order_Date) AS Date_Start, max(Order_Date) AS Date_End FROM rowf),
+po AS (SELECT {half_up_sql('sum(CAST(kp AS HUGEINT))', 'count(kp)', 0, 1)} AS Products_per_Order
+       FROM (SELECT Order_ID, count(DISTINCT Product_Name) AS kp FROM rowf WHERE Order_ID IS NOT NULL GROUP BY Order_ID)),
+pd AS (SELECT {half_up_sql('sum(CAST(ds * 100 AS HUGEINT))', 'count(ds)', 2, 2)} AS Avg_Daily_Sales,
+              CAST(max(ds) AS DOUBLE) AS Peak_Sales_Day
+       FROM (SELECT Order_Date, sum(Sales) AS ds FROM rowf WHERE Order_Date IS NOT NULL GROUP BY Order_Date)),
+kpis AS (
+SELECT CAST(s AS DOUBLE) AS Total_Revenue, Average_Order_Value,
+       coalesce({half_up_sql('CAST(s * 100 AS HUGEINT)', 'c', 2, 2)}, 0.0) AS Revenue_per_Customer,
+       coalesce({half_up_sql('CAST(s * 100 AS HUGEINT)', 'k', 2, 2)}, 0.0) AS Revenue_per_Product,
+       CAST(p AS DOUBLE) AS Total_Profit,
+       CASE WHEN s > 0 THEN {pct('p', 's')} ELSE 0.0 END AS Profit_Margin,
+       coalesce({half_up_sql('CAST(p * 100 AS HUGEINT)', 'n', 2, 2)}, 0.0) AS Profit_per_Order,
+       coalesce({half_up_sql('CAST(p * 100 AS HUGEINT)', 'c', 2, 2)}, 0.0) AS Profit_per_Customer,
+       n AS Total_Orders,
+       coalesce({half_up_sql('CAST(n AS HUGEINT)', 'c', 0, 2)}, 0.0) AS Orders_per_Customer,
+       coalesce({half_up_sql('CAST(q AS HUGEINT)', 'n', 0, 1)}, 0.0) AS Items_per_Order,
+       c AS Total_Customers, c AS New_Customers, k AS Total_Products, Products_per_Order, Average_Discount,
+       {half_up_sql('CAST(sd * 10000 AS HUGEINT)', '1', 4, 2)} AS Total_Discount_Impact,
+       CAST(q AS BIGINT) AS Total_Quantity_Sold, Avg_Daily_Sales, Peak_Sales_Day, Date_Start, Date_End
+FROM g, po, pd)"""
+ORACLE["e41_generate_kpis"] = _R(f", {_KPI.strip()} SELECT * FROM kpis")
+ORACLE["e64_insight_kpis"] = _R(f""", {_KPI.strip()}
+SELECT Profit_Margin AS Profitability_Index,
+       CASE WHEN Profit_Margin >= 20.0 THEN 'Target: >20%' ELSE 'Needs Improvement' END AS Profitability_Status,
+       Revenue_per_Customer AS Customer_Value,
+       CASE WHEN Average_Order_Value > 0 THEN round(Revenue_per_Customer / Average_Order_Value, 6) ELSE 0.0 END AS Customer_Value_x_AOV,
+       Orders_per_Customer AS Order_to_Customer_Ratio, Average_Discount, Total_Discount_Impact AS Discount_Impact
+FROM kpis""")
+
+ORACLE["e47_segment_revenue_ordered"] = _F(f"""
+SELECT Customer_Segment, {dsum('Sales')} AS Revenue, count(DISTINCT Customer_ID) AS Customers,
+       CAST(list_position(['Bronze', 'Silver', 'Gold', 'Platinum'], Customer_Segment) - 1 AS INTEGER) AS "Order"
+FROM features WHERE {_nn('Customer_Segment')} GROUP BY ALL ORDER BY 4""")
+ORACLE["e48_segment_analysis_table"] = _F(f"""
+SELECT Customer_Segment, Customer_Count, '$' || format('{{:,.2f}}', CAST(s AS DOUBLE)) AS Total_Revenue,
+       '$' || format('{{:,.2f}}', aov) AS Avg_Order_Value, '$' || format('{{:,.2f}}', CAST(p AS DOUBLE)) AS Total_Profit,
+       format('{{:.1f}}', m) || '%' AS Avg_Profit_Margin, format('{{:.1f}}', o) AS Avg_Orders
+FROM (SELECT Customer_Segment, {NC}, sum(Sales) AS s, {mean('Sales', 2, 2)} AS aov, sum(Profit) AS p,
+             {mean('Profit_Margin_Pct', 2, 1)} AS m, {mean('Customer_Total_Orders', 0, 1)} AS o
+      FROM features WHERE {_nn('Customer_Segment')} GROUP BY ALL)""")
+ORACLE["e49_payment_analysis"] = _R(f"""SELECT Payment_Mode, count(DISTINCT Order_ID) AS Orders, {dsum('Sales')} AS Revenue,
+{mean('Sales')} AS Avg_Value FROM rowf WHERE {_nn('Payment_Mode')} GROUP BY ALL""")
+ORACLE["e50_category_month_pivot"] = f"""
+SELECT Category, CAST(COALESCE(COLUMNS(* EXCLUDE (Category)), 0) AS DOUBLE) FROM (
+  PIVOT (SELECT Category, 'm_' || strftime(Order_Date, '%Y_%m') AS ym, Sales FROM ({ADAPTER})
+         WHERE Category IS NOT NULL AND Order_Date IS NOT NULL)
+  ON ym USING sum(Sales) GROUP BY Category) ORDER BY Category"""
+ORACLE["e51_top_customers_by_name"] = _R(f"""SELECT Customer_Name, {dsum('Sales')} AS Total_Spent, count(DISTINCT Order_ID) AS Orders,
+{mean('Sales')} AS Avg_Value FROM rowf WHERE {_nn('Customer_Name')} GROUP BY ALL ORDER BY Total_Spent DESC, Customer_Name LIMIT 10""")
+ORACLE["e52_report_category_performance"] = _R(f"""SELECT Category, {dsum('Sales')} AS Sales, {dsum('Profit')} AS Profit,
+{M6} AS Margin, {isum('Quantity')} AS Units FROM rowf WHERE {_nn('Category')} GROUP BY ALL""")
+ORACLE["e53_report_regional_performance"] = _R(f"""SELECT Region, {dsum('Sales')} AS Sales, {dsum('Profit')} AS Profit,
+count(DISTINCT Order_ID) AS Orders, count(DISTINCT Customer_ID) AS Customers FROM rowf WHERE {_nn('Region')} GROUP BY ALL""")
+ORACLE["e54_report_monthly_trends"] = _R(f"""SELECT Year_Month, {dsum('Sales')} AS Sales, {dsum('Profit')} AS Profit,
+count(DISTINCT Order_ID) AS Orders FROM rowf WHERE {_nn('Year_Month')} GROUP BY ALL""")
+ORACLE["e55_dataset_overview"] = _R(f"""
+SELECT count(*) AS Total_Records, count(DISTINCT Customer_ID) AS Total_Customers, count(DISTINCT Product_Name) AS Total_Products,
+       count(DISTINCT Order_ID) AS Total_Orders, min(Order_Date) AS Date_Start, max(Order_Date) AS Date_End,
+       {dsum('Sales')} AS Total_Revenue, {dsum('Profit')} AS Total_Profit, {pct('sum(Profit)', 'sum(Sales)')} AS Profit_Margin,
+       {mean('Sales', 2, 2)} AS Average_Order_Value, {isum('Quantity')} AS Total_Units_Sold FROM rowf""")
+ORACLE["e56_discount_metrics"] = _R(f"""
+SELECT {half_up_sql('sum(CAST(Discount * 100 AS HUGEINT)) * 100', 'count(Discount)', 2, 1)} AS Average_Discount_Pct,
+       {half_up_sql('CAST(sum(Sales * Discount) * 10000 AS HUGEINT)', '1', 4, 2)} AS Total_Discount_Impact,
+       count(CASE WHEN Discount > 0 THEN 1 END) AS Orders_with_Discount FROM rowf""")
+ORACLE["e58_sales_by_category"] = _R(f"SELECT Category, {dsum('Sales')} AS Sales FROM rowf WHERE {_nn('Category')} GROUP BY ALL")
+ORACLE["e58_sales_by_region"] = _R(f"SELECT Region, {dsum('Sales')} AS Sales FROM rowf WHERE {_nn('Region')} GROUP BY ALL")
+ORACLE["e60_top_products_by_sales"] = _R(f"""SELECT Product_Name, {dsum('Sales')} AS Sales FROM rowf WHERE {_nn('Product_Name')}
+GROUP BY ALL ORDER BY Sales DESC, Product_Name LIMIT 10""")
+ORACLE["e61_top_decile_concentration"] = _R(f"""
+, spend AS (SELECT Customer_ID, sum(Sales) AS sp FROM rowf WHERE Customer_ID IS NOT NULL GROUP BY Customer_ID),
+tot AS (SELECT count(*) AS nc, sum(sp) AS total FROM spend),
+top AS (SELECT sum(sp) AS t FROM (SELECT sp, row_number() OVER (ORDER BY sp DESC, Customer_ID) AS rk FROM spend), tot
+        WHERE rk <= floor(nc * 0.1))
+SELECT CAST(floor(nc * 0.1) AS BIGINT) AS Top_Customers, CAST(coalesce(t, 0) AS DOUBLE) AS Top_Revenue,
+       {pct('coalesce(t, 0)', 'total', 2, 1)} AS Top_Share_Pct FROM tot, top""")
+ORACLE["e62_best_category_region"] = _R("""
+, c AS (SELECT Category AS Best_Category, CAST(sum(Sales) AS DOUBLE) AS Best_Category_Sales FROM rowf WHERE Category IS NOT NULL
+        GROUP BY Category ORDER BY sum(Sales) DESC, Category LIMIT 1),
+r AS (SELECT Region AS Best_Region, CAST(sum(Sales) AS DOUBLE) AS Best_Region_Sales FROM rowf WHERE Region IS NOT NULL
+      GROUP BY Region ORDER BY sum(Sales) DESC, Region LIMIT 1)
+SELECT * FROM c, r""")
+ORACLE["b14_filter_options"] = _F("""
+SELECT * FROM (
+  SELECT DISTINCT 'Year' AS Filter, CAST(Year AS VARCHAR) AS Value FROM features WHERE Year IS NOT NULL
+  UNION ALL SELECT DISTINCT 'Category', Category FROM features WHERE Category IS NOT NULL
+  UNION ALL SELECT DISTINCT 'Region', Region FROM features WHERE Region IS NOT NULL
+  UNION ALL SELECT DISTINCT 'Customer_Segment', Customer_Segment FROM features WHERE Customer_Segment IS NOT NULL)
+ORDER BY Filter, Value""")

@@ -110,3 +110,65 @@ for _k, _f in _ROWS.items():
     register(_k)(_bind(_f, P.rows))
 for _k, _f in _FULL.items():
     register(_k)(_bind(_f, P.full))
+
+# --- B01-B16: cleaning -------------------------------------------------------
+from pyspark.sql import functions as _F  # noqa: E402
+
+from ..operators import clean as CL  # noqa: E402
+from ..sources.messy import orders_with_gaps  # noqa: E402
+
+
+@register("b01_fill_numeric_median")
+def _b01(s, d):
+    return CL.fill_numeric_median(orders_with_gaps(s, d).select("o_orderkey", "price"), ["price"])
+
+
+@register("b02_fill_mode_few_nulls")
+def _b02a(s, d):
+    return CL.fill_categorical_mode(orders_with_gaps(s, d).select("o_orderkey", "priority_few_nulls"),
+                                    ["priority_few_nulls"])
+
+
+@register("b02_fill_unknown_many_nulls")
+def _b02b(s, d):
+    return CL.fill_categorical_mode(orders_with_gaps(s, d).select("o_orderkey", "priority_many_nulls"),
+                                    ["priority_many_nulls"])
+
+
+@register("b03_ffill_dates")
+def _b03(s, d):
+    return CL.ffill_dates(orders_with_gaps(s, d).select("o_orderkey", "order_date"), ["order_date"], ["o_orderkey"])
+
+
+register("b04_dedupe")(lambda s, d: CL.dedupe(P.sales(s, d), ["Order_ID"], CL.DEFAULT_ORDER))
+register("b05_duplicate_count")(lambda s, d: CL.duplicate_count(P.sales(s, d), ["Order_ID"]))
+register("b06_cap_outliers")(lambda s, d: CL.cap_outliers(P.sales(s, d)))
+register("b06_cap_outliers_keep_losses")(lambda s, d: CL.cap_outliers(P.sales(s, d), floor=None))
+register("b07_outlier_counts")(lambda s, d: CL.outlier_counts(P.sales(s, d)))
+
+
+@register("b09_parse_currency")
+def _b09(s, d):
+    return CL.parse_currency(orders_with_gaps(s, d).select("o_orderkey", _F.col("price_text").alias("Sales")),
+                             ["Sales"])
+
+
+@register("b10_drop_nonpositive_sales")
+def _b10(s, d):
+    return CL.drop_nonpositive_sales(_b09(s, d))
+
+
+register("b12_clean")(lambda s, d: CL.clean(P.sales(s, d)))
+register("b12_clean_audit")(lambda s, d: CL.clean_audit(P.sales(s, d)))
+
+
+@register("b13_filter_sales")
+def _b13(s, d):
+    from ..operators.filters import filter_sales
+    f = filter_sales(P.full(s, d), years=[1996, 1998], category="All", region="ASIA", segment="Gold")
+    return f.select("Order_ID", "Customer_ID", "Product_Name", "Year", "Region", "Customer_Segment", "Sales")
+
+
+register("b15_clip_lower")(lambda s, d: CL.clip_lower(P.sales(s, d).select("Order_ID", "Product_Name", "Profit"),
+                                                      "Profit", 0.0))
+# B16 (filter after aggregation) is the HAVING of e31_loss_making_products.

@@ -378,3 +378,77 @@ SELECT * FROM (
   UNION ALL SELECT DISTINCT 'Region', Region FROM features WHERE Region IS NOT NULL
   UNION ALL SELECT DISTINCT 'Customer_Segment', Customer_Segment FROM features WHERE Customer_Segment IS NOT NULL)
 ORDER BY Filter, Value""")
+
+
+# --- B01-B15 ---------------------------------------------------------------------
+from .sqlparts import MESSY_ORDERS, quantiles_sql  # noqa: E402
+
+_MESSY = f"WITH messy AS ({MESSY_ORDERS})\n"
+ORACLE["b01_fill_numeric_median"] = _MESSY + f"""
+SELECT o_orderkey, coalesce(CAST(price AS DOUBLE), q.m0) AS price FROM messy, ({quantiles_sql('messy', 'price', [0.5], 'm')}) q"""
+
+
+def _mode_fill(col: str) -> str:
+    return _MESSY + f"""
+, st AS (SELECT count(*) AS rows, count(*) - count({col}) AS nulls FROM messy),
+md AS (SELECT arg_min(v, struct_pack(a := -c, b := v)) AS mode_v FROM (SELECT {col} AS v, count(*) AS c FROM messy
+       WHERE {col} IS NOT NULL GROUP BY 1))
+SELECT o_orderkey, coalesce({col}, CASE WHEN st.nulls < st.rows * 0.1 THEN coalesce(md.mode_v, 'Unknown') ELSE 'Unknown' END) AS {col}
+FROM messy, st, md"""
+
+
+ORACLE["b02_fill_mode_few_nulls"] = _mode_fill("priority_few_nulls")
+ORACLE["b02_fill_unknown_many_nulls"] = _mode_fill("priority_many_nulls")
+ORACLE["b03_ffill_dates"] = _MESSY + """
+SELECT o_orderkey, last_value(order_date IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS order_date
+FROM messy"""
+
+_SALES_COLS = ["Order_ID", "Customer_Name", "Customer_ID", "Product_Name", "Category", "Sub_Category", "Sales",
+               "Profit", "Discount", "Quantity", "Order_Date", "Region", "Country", "State", "Payment_Mode"]
+_DEDUPE_ORDER = ["Order_Date", "Product_Name", "Sales", "Profit", "Quantity"]
+_DEDUPE_ORDER += [c for c in _SALES_COLS if c not in _DEDUPE_ORDER and c != "Order_ID"]
+_DEDUPED = (f"SELECT {', '.join(_SALES_COLS)} FROM (SELECT *, row_number() OVER (PARTITION BY Order_ID ORDER BY "
+            f"{', '.join(_DEDUPE_ORDER)}) AS rn FROM sales) WHERE rn = 1")
+_CAP = ["Sales", "Profit", "Discount", "Quantity"]
+
+
+def _bounds(src: str, floor: bool) -> str:
+    parts = []
+    for c in _CAP:
+        q = f"({quantiles_sql(src, c, [0.05, 0.95], 'q')})"
+        lo = "(q0 - CAST(1.5 AS DOUBLE) * (q1 - q0))"
+        lo = f"greatest({lo}, 0.0)" if floor else lo
+        parts.append(f"(SELECT {lo} AS lo_{c}, q1 + CAST(1.5 AS DOUBLE) * (q1 - q0) AS hi_{c} FROM {q})")
+    return ", ".join(parts)
+
+
+def _capped_select(src: str, floor: bool) -> str:
+    cols = [f"least(greatest(CAST({c} AS DOUBLE), lo_{c}), hi_{c}) AS {c}" if c in _CAP else c for c in _SALES_COLS]
+    return f"SELECT {', '.join(cols)} FROM {src}, {_bounds(src, floor)}"
+
+
+ORACLE["b04_dedupe"] = f"WITH sales AS ({ADAPTER})\n{_DEDUPED}"
+ORACLE["b05_duplicate_count"] = f"WITH sales AS ({ADAPTER})\nSELECT count(*) - count(DISTINCT Order_ID) AS Duplicate_Count FROM sales"
+ORACLE["b06_cap_outliers"] = f"WITH sales AS ({ADAPTER})\n{_capped_select('sales', True)}"
+ORACLE["b06_cap_outliers_keep_losses"] = f"WITH sales AS ({ADAPTER})\n{_capped_select('sales', False)}"
+ORACLE["b07_outlier_counts"] = f"WITH sales AS ({ADAPTER}), b AS (SELECT * FROM {_bounds('sales', True)})\n" + \
+    "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS Column, lo_{c} AS Lower_Bound, hi_{c} AS Upper_Bound, "
+        f"CAST(count(CASE WHEN {c} < lo_{c} OR {c} > hi_{c} THEN 1 END) AS BIGINT) AS Outliers "
+        f"FROM sales, b GROUP BY lo_{c}, hi_{c}" for c in _CAP)
+ORACLE["b09_parse_currency"] = _MESSY + """
+SELECT o_orderkey, TRY_CAST(regexp_replace(price_text, '[$€£,]', '', 'g') AS DOUBLE) AS Sales FROM messy"""
+ORACLE["b10_drop_nonpositive_sales"] = ORACLE["b09_parse_currency"] + \
+    " WHERE TRY_CAST(regexp_replace(price_text, '[$€£,]', '', 'g') AS DOUBLE) > 0"
+ORACLE["b12_clean"] = f"""WITH sales AS ({ADAPTER}), d AS ({_DEDUPED}), c AS ({_capped_select('d', True)})
+SELECT * FROM c WHERE Sales > 0"""
+ORACLE["b12_clean_audit"] = f"""WITH sales AS ({ADAPTER}), d AS ({_DEDUPED}), c AS ({_capped_select('d', True)})
+SELECT 0 AS Step_No, 'input' AS Step, count(*) AS Rows FROM sales
+UNION ALL SELECT 1, 'dedupe', count(*) FROM d
+UNION ALL SELECT 2, 'cap_outliers', count(*) FROM c
+UNION ALL SELECT 3, 'sales_positive', count(*) FROM c WHERE Sales > 0"""
+ORACLE["b13_filter_sales"] = _F("""
+SELECT Order_ID, Customer_ID, Product_Name, Year, Region, Customer_Segment, Sales FROM features
+WHERE Year IN (1996, 1998) AND Region = 'ASIA' AND Customer_Segment = 'Gold'""")
+ORACLE["b15_clip_lower"] = f"""WITH sales AS ({ADAPTER})
+SELECT Order_ID, Product_Name, greatest(CAST(Profit AS DOUBLE), 0.0) AS Profit FROM sales"""

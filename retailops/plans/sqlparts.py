@@ -158,3 +158,32 @@ def with_features(body: str) -> str:
 
 def with_sales(body: str) -> str:
     return f"WITH sales AS ({ADAPTER}),\nrowf AS ({row_features_sql('sales')})\n{body}"
+
+
+MESSY_ORDERS = """
+SELECT o_orderkey,
+       CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice END AS price,
+       CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderpriority END AS priority_few_nulls,
+       CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS priority_many_nulls,
+       CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS order_date,
+       CASE WHEN o_orderkey % 11 = 0 THEN 'n/a' ELSE '$' || format('{:,.2f}', o_totalprice) END AS price_text
+FROM orders"""
+
+
+def quantiles_sql(src: str, col: str, probs: list[float], prefix: str) -> str:
+    """One-row SELECT of exact linear-interpolation quantiles named prefix0, prefix1, ...
+
+    Same arithmetic as Spark's ``percentile``: h = (n-1)p,
+    q = (ceil(h)-h)*x[floor(h)] + (h-floor(h))*x[ceil(h)] (x[floor(h)] when h is integral).
+    """
+    sel = []
+    for j, p in enumerate(probs):
+        h = f"(CAST(n - 1 AS DOUBLE) * CAST({float(p)!r} AS DOUBLE))"
+        lo, hi = f"CAST(floor({h}) AS BIGINT)", f"CAST(ceil({h}) AS BIGINT)"
+        xlo = f"max(v) FILTER (WHERE i = {lo})"
+        xhi = f"max(v) FILTER (WHERE i = {hi})"
+        sel.append(f"CASE WHEN {lo} = {hi} THEN {xlo} ELSE (CAST({hi} AS DOUBLE) - {h}) * {xlo} + "
+                   f"({h} - CAST({lo} AS DOUBLE)) * {xhi} END AS {prefix}{j}")
+    return (f"SELECT {', '.join(sel)} FROM (SELECT CAST({col} AS DOUBLE) AS v, "
+            f"row_number() OVER (ORDER BY CAST({col} AS DOUBLE)) - 1 AS i, count(*) OVER () AS n "
+            f"FROM {src} WHERE {col} IS NOT NULL) GROUP BY n")

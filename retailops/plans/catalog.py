@@ -172,3 +172,62 @@ def _b13(s, d):
 register("b15_clip_lower")(lambda s, d: CL.clip_lower(P.sales(s, d).select("Order_ID", "Product_Name", "Profit"),
                                                       "Profit", 0.0))
 # B16 (filter after aggregation) is the HAVING of e31_loss_making_products.
+
+# --- F / G time series, J anomalies, C row features, E42/E43 stats ------------
+from ..functions.binning import label_rank as _label_rank  # noqa: E402
+from ..functions.calendar import ml_calendar_columns as _mlcal, quarter_label as _qlabel  # noqa: E402
+from ..functions.formatting import truncate_label as _trunc  # noqa: E402
+from ..operators import anomaly as AM  # noqa: E402
+from ..operators import features as FE  # noqa: E402
+from ..operators import timeseries as TS  # noqa: E402
+from ..sources.schema import DAY_ORDER as _DAYS  # noqa: E402
+
+for _fq, _nm in (("D", "f01_resample_daily"), ("W", "f02_resample_weekly"), ("M", "f03_resample_monthly"),
+                 ("Q", "f04_resample_quarterly")):
+    register(_nm)((lambda fq: lambda s, d: TS.resample(P.sales(s, d), fq))(_fq))
+register("f05_resample_monthly_per_customer")(lambda s, d: TS.resample(P.sales(s, d), "M", ["Customer_ID"]))
+register("f05_resample_weekly_per_region")(lambda s, d: TS.resample(P.sales(s, d), "W", ["Region"]))
+register("f07_future_months")(lambda s, d: TS.future_dates(TS.resample(P.sales(s, d), "M"), 6, "M"))
+register("f07_future_weeks_per_region")(lambda s, d: TS.future_dates(TS.resample(P.sales(s, d), "W", ["Region"]),
+                                                                     4, "W", ["Region"]))
+
+
+@register("g09_g10_lag_features")
+def _g09(s, d):
+    ts = TS.resample(P.sales(s, d), "W", ["Region"])
+    return TS.lag_features(ts, "Sales", series_cols=["Region"]).select(
+        "Region", "Order_Date", "Sales", "Sales_Lag_1", "Sales_Lag_2", "Sales_Lag_3", "Sales_Lag_7",
+        "Sales_Rolling_7", "Sales_Rolling_14", "Sales_Rolling_30")
+
+
+register("g11_drop_warmup")(lambda s, d: TS.drop_warmup(_g09(s, d), ["Sales_Lag_7", "Sales_Rolling_30"]))
+register("g12_tail")(lambda s, d: TS.tail(TS.resample(P.sales(s, d), "D"), 90))
+register("g13_chrono_split")(lambda s, d: TS.chrono_split(TS.resample(P.sales(s, d), "M", ["Region"]),
+                                                          0.8, ["Region"]))
+register("d06_anomaly_overlay")(lambda s, d: TS.anomaly_overlay(AM.daily_frame(P.sales(s, d)),
+                                                                AM.anomalies_iqr(P.sales(s, d))))
+register("j01_anomalies_orders")(lambda s, d: AM.anomalies_orders(P.sales(s, d)))
+register("j02_anomalies_iqr")(lambda s, d: AM.anomalies_iqr(P.sales(s, d)))
+register("j03_anomalies_zscore")(lambda s, d: AM.anomalies_zscore(P.sales(s, d)))
+register("e63_anomaly_breakdown")(lambda s, d: AM.anomaly_breakdown(AM.anomalies_iqr(P.sales(s, d))))
+register("e63_first_anomalies")(lambda s, d: AM.first_anomalies(AM.anomalies_iqr(P.sales(s, d)), 10))
+register("e63_order_anomaly_breakdown")(lambda s, d: AM.anomaly_breakdown(AM.anomalies_orders(P.sales(s, d))))
+
+_CAL = ["Year", "Month", "Month_Name", "Quarter", "Day", "Day_of_Week", "Day_Name", "Week_of_Year", "Is_Weekend",
+        "Is_Month_Start", "Is_Month_End", "Year_Month", "Season", "Is_Holiday_Season"]
+register("c01_c09_calendar")(lambda s, d: P.rows(s, d).select("Order_ID", "Product_Name", "Order_Date", *_CAL)
+                             )
+register("c10_c14_row_metrics")(lambda s, d: P.rows(s, d).select(
+    "Order_ID", "Product_Name", "Sales", "Profit", "Quantity", "Discount", "Unit_Price", "Profit_Margin_Pct",
+    "Is_Profitable", "Discounted_Price", "Sales_Bucket"))
+register("c17_quarter_label")(lambda s, d: P.rows(s, d).select(_qlabel().alias("Quarter_Label")).distinct())
+register("c18_truncated_labels")(lambda s, d: P.rows(s, d).select(
+    "Product_Name", _trunc("Product_Name", 20).alias("Label_20"),
+    _trunc("Product_Name", 25, always=False).alias("Label_25")).distinct())
+register("c21_ml_calendar")(lambda s, d: TS.resample(P.sales(s, d), "D").select("Order_Date", *[
+    v.alias(k) for k, v in _mlcal().items()]))
+register("c22_day_order")(lambda s, d: P.rows(s, d).groupBy("Day_Name").count().select(
+    "Day_Name", (_label_rank("Day_Name", _DAYS) - 1).alias("Day_Order")))
+register("e42_customer_stats")(lambda s, d: FE.customer_stats(P.sales(s, d), as_of="max"))
+register("e43_product_stats")(lambda s, d: FE.product_stats(P.sales(s, d)))
+register("d01_d02_features")(lambda s, d: P.full(s, d))

@@ -6,7 +6,7 @@ the adapter and feature CTEs (see ``sqlparts``).
 
 from __future__ import annotations
 
-from .sqlparts import ADAPTER, dsum, half_up as half_up_sql, isum, mean, pct, with_features, with_sales
+from .sqlparts import ADAPTER, dsum, half_up, half_up as half_up_sql, isum, mean, pct, with_features, with_sales
 
 ORACLE: dict[str, str] = {}
 
@@ -452,3 +452,123 @@ SELECT Order_ID, Customer_ID, Product_Name, Year, Region, Customer_Segment, Sale
 WHERE Year IN (1996, 1998) AND Region = 'ASIA' AND Customer_Segment = 'Gold'""")
 ORACLE["b15_clip_lower"] = f"""WITH sales AS ({ADAPTER})
 SELECT Order_ID, Product_Name, greatest(CAST(Profit AS DOUBLE), 0.0) AS Profit FROM sales"""
+
+
+# --- F / G / J / C / E42-E43 -----------------------------------------------------
+from .sqlparts import calendar_sql, customer_stats_sql, product_stats_sql  # noqa: E402
+
+_SALES = f"WITH sales AS ({ADAPTER})\n"
+
+
+def _label_sql(freq: str, d: str = "Order_Date") -> str:
+    return {"D": d, "W": f"(CAST(date_trunc('week', {d}) AS DATE) + 6)", "M": f"last_day({d})",
+            "Q": f"last_day(CAST(date_trunc('quarter', {d}) AS DATE) + INTERVAL 2 MONTH)"}[freq]
+
+
+def _cal_sql(freq: str) -> str:
+    if freq == "W":
+        return "unnest(generate_series(lo, hi, INTERVAL 7 DAY))"
+    if freq == "M":
+        return "last_day(CAST(unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi), INTERVAL 1 MONTH)) AS DATE))"
+    return ("last_day(CAST(unnest(generate_series(date_trunc('quarter', lo), date_trunc('quarter', hi), INTERVAL 3 MONTH)) AS DATE)"
+            " + INTERVAL 2 MONTH)")
+
+
+def resample_sql(freq: str, keys: list[str]) -> str:
+    """CTE body chain producing ts(keys..., Order_Date, Sales, Profit, Orders, Quantity, Avg_Discount)."""
+    k = "".join(f"{x}, " for x in keys)
+    nn = "".join(f" AND {x} IS NOT NULL" for x in keys)
+    agg = (f"agg AS (SELECT {k}{_label_sql(freq)} AS lab, sum(Sales) AS s, sum(Profit) AS p, "
+           f"count(DISTINCT Order_ID) AS o, CAST(sum(Quantity) AS BIGINT) AS q, {mean('Discount')} AS ad "
+           f"FROM sales WHERE Order_Date IS NOT NULL{nn} GROUP BY ALL)")
+    if freq == "D":
+        base = "j AS (SELECT * FROM agg)"
+    else:
+        using = ", ".join(keys + ["lab"])
+        base = (f"b AS (SELECT {k}min(lab) AS lo, max(lab) AS hi FROM agg GROUP BY ALL),\n"
+                f"cal AS (SELECT {k}CAST({_cal_sql(freq)} AS DATE) AS lab FROM b),\n"
+                f"j AS (SELECT {k}lab, coalesce(s, 0) AS s, coalesce(p, 0) AS p, CAST(coalesce(o, 0) AS BIGINT) AS o, "
+                f"CAST(coalesce(q, 0) AS BIGINT) AS q, ad FROM cal LEFT JOIN agg USING ({using}))")
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    ts = (f"ts AS (SELECT {k}lab AS Order_Date, CAST(s AS DOUBLE) AS Sales, CAST(p AS DOUBLE) AS Profit, o AS Orders, "
+          f"q AS Quantity, coalesce(last_value(ad IGNORE NULLS) OVER ({part}ORDER BY lab ROWS BETWEEN UNBOUNDED "
+          f"PRECEDING AND CURRENT ROW), 0.0) AS Avg_Discount FROM j)")
+    return f"{agg},\n{base},\n{ts}"
+
+
+for _fq, _nm in (("D", "f01_resample_daily"), ("W", "f02_resample_weekly"), ("M", "f03_resample_monthly"),
+                 ("Q", "f04_resample_quarterly")):
+    ORACLE[_nm] = _SALES + ", " + resample_sql(_fq, []) + "\nSELECT * FROM ts"
+ORACLE["f05_resample_monthly_per_customer"] = _SALES + ", " + resample_sql("M", ["Customer_ID"]) + "\nSELECT * FROM ts"
+ORACLE["f05_resample_weekly_per_region"] = _SALES + ", " + resample_sql("W", ["Region"]) + "\nSELECT * FROM ts"
+ORACLE["f07_future_months"] = _SALES + ", " + resample_sql("M", []) + """
+SELECT CAST(h AS INTEGER) AS h, last_day(CAST(last_day(max(Order_Date) + 1) + to_months(CAST(h - 1 AS INTEGER)) AS DATE)) AS Order_Date
+FROM ts, range(1, 7) t(h) GROUP BY h"""
+ORACLE["f07_future_weeks_per_region"] = _SALES + ", " + resample_sql("W", ["Region"]) + """
+SELECT Region, CAST(h AS INTEGER) AS h, CAST((CAST(date_trunc('week', max(Order_Date) + 1) AS DATE) + 6) + 7 * CAST(h - 1 AS INTEGER) AS DATE) AS Order_Date
+FROM ts, range(1, 5) t(h) GROUP BY Region, h"""
+
+
+def _roll(k: int) -> str:
+    fr = f"OVER (PARTITION BY Region ORDER BY Order_Date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+    return (f"CASE WHEN count(Sales) {fr} >= {k} THEN "
+            f"{half_up('sum(CAST(CAST(Sales AS DECIMAL(28,2)) * 100 AS HUGEINT)) ' + fr, str(k), 2, 6)} END "
+            f"AS Sales_Rolling_{k}")
+
+
+_LAGS = ", ".join(f"lag(Sales, {k}) OVER (PARTITION BY Region ORDER BY Order_Date) AS Sales_Lag_{k}" for k in (1, 2, 3, 7))
+_G09 = (_SALES + ", " + resample_sql("W", ["Region"]) +
+        f",\ng AS (SELECT Region, Order_Date, Sales, {_LAGS}, {_roll(7)}, {_roll(14)}, {_roll(30)} FROM ts)\n")
+ORACLE["g09_g10_lag_features"] = _G09 + "SELECT * FROM g"
+ORACLE["g11_drop_warmup"] = _G09 + "SELECT * FROM g WHERE Sales_Lag_7 IS NOT NULL AND Sales_Rolling_30 IS NOT NULL"
+ORACLE["g12_tail"] = _SALES + ", " + resample_sql("D", []) + "\nSELECT * FROM ts ORDER BY Order_Date DESC LIMIT 90"
+ORACLE["g13_chrono_split"] = _SALES + ", " + resample_sql("M", ["Region"]) + """
+SELECT *, CAST(row_number() OVER (PARTITION BY Region ORDER BY Order_Date) <= floor(count(*) OVER (PARTITION BY Region) * 0.8) AS INTEGER) AS Is_Train
+FROM ts"""
+
+_DAILY = f"""daily AS (SELECT Order_Date, CAST(sum(Sales) AS DOUBLE) AS Sales, count(DISTINCT Order_ID) AS Orders,
+       {mean('Sales')} AS Avg_Value FROM sales WHERE Order_Date IS NOT NULL GROUP BY Order_Date)"""
+_IQR = f""", {_DAILY},
+qq AS ({quantiles_sql('daily', 'Sales', [0.25, 0.75], 'q')}),
+bnd AS (SELECT q0 - CAST(1.5 AS DOUBLE) * (q1 - q0) AS lo, q1 + CAST(1.5 AS DOUBLE) * (q1 - q0) AS hi FROM qq),
+iqr AS (SELECT daily.*, CASE WHEN Sales > hi THEN 'Peak (High Sales)' ELSE 'Dip (Low Sales)' END AS Anomaly_Type
+        FROM daily, bnd WHERE Sales < lo OR Sales > hi)
+"""
+ORACLE["j02_anomalies_iqr"] = _SALES + _IQR + "SELECT * FROM iqr"
+ORACLE["e63_anomaly_breakdown"] = _SALES + _IQR + "SELECT Anomaly_Type, count(*) AS Count FROM iqr GROUP BY 1"
+ORACLE["e63_first_anomalies"] = _SALES + _IQR + "SELECT Order_Date, Sales, Orders, Anomaly_Type FROM iqr ORDER BY Order_Date LIMIT 10"
+ORACLE["d06_anomaly_overlay"] = _SALES + _IQR + """
+SELECT daily.*, m.Anomaly_Type, CAST(m.Anomaly_Type IS NOT NULL AS INTEGER) AS Is_Anomaly
+FROM daily LEFT JOIN (SELECT DISTINCT Order_Date, Anomaly_Type FROM iqr) m USING (Order_Date)"""
+ORACLE["j03_anomalies_zscore"] = _SALES + f""", {_DAILY},
+st AS (SELECT avg(Sales) AS mu, stddev_pop(Sales) AS sd FROM daily)
+SELECT daily.*, CASE WHEN Sales > mu THEN 'Peak' ELSE 'Dip' END AS Anomaly_Type FROM daily, st
+WHERE abs((Sales - mu) / sd) > 2"""
+_J01 = _SALES + """, thr AS (SELECT avg(CAST(Sales AS DOUBLE)) + 3 * stddev_samp(CAST(Sales AS DOUBLE)) AS t FROM sales),
+j01 AS (
+SELECT Sales, Profit, Discount, Order_ID, Customer_Name, Product_Name, Category, Quantity, Order_Date, Region, Payment_Mode,
+       CASE WHEN Sales > t THEN 'High Value Anomaly' WHEN Sales < 0 THEN 'Negative Sales'
+            WHEN Discount > 0.7 THEN 'Extreme Discount' WHEN Profit < -1000 THEN 'Large Loss' END AS Anomaly_Type
+FROM sales, thr WHERE Sales > t OR Sales < 0 OR Discount > 0.7 OR Profit < -1000)
+"""
+ORACLE["j01_anomalies_orders"] = _J01 + "SELECT * FROM j01"
+ORACLE["e63_order_anomaly_breakdown"] = _J01 + "SELECT Anomaly_Type, count(*) AS Count FROM j01 GROUP BY 1"
+
+ORACLE["c01_c09_calendar"] = _SALES + f"SELECT Order_ID, Product_Name, Order_Date, {calendar_sql()} FROM sales"
+ORACLE["c10_c14_row_metrics"] = _R("""SELECT Order_ID, Product_Name, Sales, Profit, Quantity, Discount, Unit_Price,
+Profit_Margin_Pct, Is_Profitable, Discounted_Price, Sales_Bucket FROM rowf""")
+ORACLE["c17_quarter_label"] = _R("SELECT DISTINCT CAST(Year AS VARCHAR) || '-Q' || CAST(Quarter AS VARCHAR) AS Quarter_Label FROM rowf")
+ORACLE["c18_truncated_labels"] = _R("""SELECT DISTINCT Product_Name, substr(Product_Name, 1, 20) || '...' AS Label_20,
+CASE WHEN length(Product_Name) > 25 THEN substr(Product_Name, 1, 25) || '...' ELSE Product_Name END AS Label_25 FROM rowf""")
+ORACLE["c21_ml_calendar"] = _SALES + ", " + resample_sql("D", []) + """
+SELECT Order_Date, CAST(year(Order_Date) AS INTEGER) AS Year, CAST(month(Order_Date) AS INTEGER) AS Month,
+       CAST(day(Order_Date) AS INTEGER) AS Day, CAST(isodow(Order_Date) - 1 AS INTEGER) AS DayOfWeek,
+       CAST(quarter(Order_Date) AS INTEGER) AS Quarter, CAST(dayofyear(Order_Date) AS INTEGER) AS DayOfYear,
+       CAST(weekofyear(Order_Date) AS INTEGER) AS WeekOfYear, CASE WHEN day(Order_Date) <= 7 THEN 1 ELSE 0 END AS IsMonthStart,
+       CASE WHEN day(Order_Date) >= 21 THEN 1 ELSE 0 END AS IsMonthEnd, CASE WHEN isodow(Order_Date) >= 6 THEN 1 ELSE 0 END AS IsWeekend
+FROM ts"""
+ORACLE["c22_day_order"] = _R("""SELECT DISTINCT Day_Name, CAST(list_position(['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday',
+'Saturday', 'Sunday'], Day_Name) - 1 AS INTEGER) AS Day_Order FROM rowf""")
+ORACLE["e42_customer_stats"] = _SALES + f"SELECT * FROM ({customer_stats_sql('sales')})"
+ORACLE["e43_product_stats"] = _SALES + f"SELECT * FROM ({product_stats_sql('sales')})"
+ORACLE["d01_d02_features"] = _F("SELECT * FROM features")

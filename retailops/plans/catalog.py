@@ -231,3 +231,70 @@ register("c22_day_order")(lambda s, d: P.rows(s, d).groupBy("Day_Name").count().
 register("e42_customer_stats")(lambda s, d: FE.customer_stats(P.sales(s, d), as_of="max"))
 register("e43_product_stats")(lambda s, d: FE.product_stats(P.sales(s, d)))
 register("d01_d02_features")(lambda s, d: P.full(s, d))
+
+# --- K forecasting -------------------------------------------------------------
+from ..operators import forecast as FC  # noqa: E402
+
+
+def _monthly(s, d):
+    return TS.resample(P.sales(s, d), "M")
+
+
+def _weekly_region(s, d):
+    return TS.resample(P.sales(s, d), "W", ["Region"])
+
+
+register("k03_forecast_naive")(lambda s, d: FC.forecast_naive(_monthly(s, d), 6, "M"))
+register("k03_forecast_naive_per_region")(lambda s, d: FC.forecast_naive(_weekly_region(s, d), 8, "W", ["Region"]))
+register("k04_boost_features")(lambda s, d: FC.boost_features(_monthly(s, d)))
+register("k01_seasonal_forecast")(lambda s, d: FC.forecast_seasonal(_monthly(s, d), 6, "M"))
+register("k01_seasonal_forecast_per_region")(lambda s, d: FC.forecast_seasonal(_weekly_region(s, d), 8, "W",
+                                                                                ["Region"]))
+register("d04_future_only")(lambda s, d: FC.future_only(
+    FC.forecast_seasonal(_monthly(s, d), 6, "M").drop("Actual_Sales"), _monthly(s, d)))
+register("d03_attach_actuals")(lambda s, d: FC.attach_actuals(
+    FC.forecast_seasonal(_monthly(s, d), 6, "M").drop("Actual_Sales"), _monthly(s, d)))
+register("i01_history_and_future")(lambda s, d: FC.history_and_future(
+    _monthly(s, d), FC.forecast_naive(_monthly(s, d), 6, "M")))
+register("j06_accuracy_naive_holdout")(lambda s, d: AM.accuracy(FC.holdout_forecasts(_monthly(s, d), "M", "naive")))
+register("j06_accuracy_seasonal_holdout")(lambda s, d: AM.accuracy(FC.holdout_forecasts(_monthly(s, d), "M",
+                                                                                        "seasonal")))
+
+
+_BOOSTED: dict = {}
+
+
+def _boosted(s, d):
+    """Fitted boosted model + holdout for this session and input (fit once, reused)."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _BOOSTED:
+        _BOOSTED[key] = FC.train_boosted(_monthly(s, d))
+    return _BOOSTED[key]
+
+
+@register("k05_k06_boosted_holdout")
+def _k05(s, d):
+    _, test = _boosted(s, d)
+    return AM.accuracy(test).select("mae", "rmse", "r2", "mape")
+
+
+@register("k07_feature_importance")
+def _k07(s, d):
+    model, _ = _boosted(s, d)
+    return FC.feature_importance(model, s)
+
+
+@register("k08_recursive_forecast")
+def _k08(s, d):
+    model, _ = _boosted(s, d)
+    return FC.forecast_recursive(model, _monthly(s, d), 6, "M")
+
+
+@register("k10_forecast_compare")
+def _k10(s, d):
+    ts = _monthly(s, d)
+    _, test = _boosted(s, d)
+    return FC.compare_models({
+        "seasonal": AM.accuracy(FC.holdout_forecasts(ts, "M", "seasonal")),
+        "boosted": AM.accuracy(test),
+        "naive": AM.accuracy(FC.holdout_forecasts(ts, "M", "naive"))})

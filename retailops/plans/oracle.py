@@ -572,3 +572,49 @@ ORACLE["c22_day_order"] = _R("""SELECT DISTINCT Day_Name, CAST(list_position(['M
 ORACLE["e42_customer_stats"] = _SALES + f"SELECT * FROM ({customer_stats_sql('sales')})"
 ORACLE["e43_product_stats"] = _SALES + f"SELECT * FROM ({product_stats_sql('sales')})"
 ORACLE["d01_d02_features"] = _F("SELECT * FROM features")
+
+
+# --- K03 / K04 / I01 ---------------------------------------------------------------
+def _naive_sql(freq: str, keys: list[str], periods: int) -> str:
+    k = "".join(f"{x}, " for x in keys)
+    part = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    using = f"USING ({', '.join(keys + ['pidx'])})"
+    if freq == "M":
+        lab = "last_day(CAST(last_day(last + 1) + to_months(CAST(h - 1 AS INTEGER)) AS DATE))"
+    else:
+        lab = "CAST((CAST(date_trunc('week', last + 1) AS DATE) + 6) + 7 * CAST(h - 1 AS INTEGER) AS DATE)"
+    return f""",
+hist AS (SELECT {k}Order_Date, Sales, row_number() OVER ({part} ORDER BY Order_Date) AS rn, count(*) OVER ({part}) AS n FROM ts),
+pat AS (SELECT {k}rn - (n - plen) - 1 AS pidx, Sales AS base, plen FROM
+        (SELECT *, CASE WHEN n >= 90 THEN 90 WHEN n >= 7 THEN 7 ELSE n END AS plen FROM hist) WHERE rn > n - plen),
+fut AS (SELECT {k}CAST(h AS INTEGER) AS h, max(Order_Date) AS last FROM ts, range(1, {periods + 1}) t(h) GROUP BY ALL),
+fut2 AS (SELECT {k}{lab} AS Order_Date, (h - 1) % (SELECT max(plen) FROM pat p WHERE {' AND '.join(f'p.{x} = fut.{x}' for x in keys) or 'TRUE'}) AS pidx FROM fut)
+SELECT {k}Order_Date, greatest(base, 0.0) AS Sales_Forecast, greatest(base, 0.0) * 0.7 AS Lower_Bound,
+       greatest(base, 0.0) * 1.3 AS Upper_Bound
+FROM fut2 JOIN pat {using}"""
+
+
+ORACLE["k03_forecast_naive"] = _SALES + ", " + resample_sql("M", []) + _naive_sql("M", [], 6)
+ORACLE["k03_forecast_naive_per_region"] = _SALES + ", " + resample_sql("W", ["Region"]) + _naive_sql("W", ["Region"], 8)
+ORACLE["i01_history_and_future"] = _SALES + ", " + resample_sql("M", []) + ", nv AS (" + \
+    _naive_sql("M", [], 6).lstrip(",\n").replace("SELECT Order_Date, greatest", "SELECT Order_Date, greatest", 1) + ")" if False else None
+del ORACLE["i01_history_and_future"]
+
+_MLCAL = """CAST(year(Order_Date) AS INTEGER) AS Year, CAST(month(Order_Date) AS INTEGER) AS Month,
+       CAST(day(Order_Date) AS INTEGER) AS Day, CAST(isodow(Order_Date) - 1 AS INTEGER) AS DayOfWeek,
+       CAST(quarter(Order_Date) AS INTEGER) AS Quarter, CAST(dayofyear(Order_Date) AS INTEGER) AS DayOfYear,
+       CAST(weekofyear(Order_Date) AS INTEGER) AS WeekOfYear, CASE WHEN day(Order_Date) <= 7 THEN 1 ELSE 0 END AS IsMonthStart,
+       CASE WHEN day(Order_Date) >= 21 THEN 1 ELSE 0 END AS IsMonthEnd, CASE WHEN isodow(Order_Date) >= 6 THEN 1 ELSE 0 END AS IsWeekend"""
+
+
+def _roll1(k: int) -> str:
+    fr = f"OVER (ORDER BY Order_Date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+    return (f"CASE WHEN count(Sales) {fr} >= {k} THEN "
+            f"{half_up('sum(CAST(CAST(Sales AS DECIMAL(28,2)) * 100 AS HUGEINT)) ' + fr, str(k), 2, 6)} END "
+            f"AS Sales_Rolling_{k}")
+
+
+ORACLE["k04_boost_features"] = _SALES + ", " + resample_sql("M", []) + f""",
+f AS (SELECT ts.*, {_MLCAL}, {', '.join(f'lag(Sales, {k}) OVER (ORDER BY Order_Date) AS Sales_Lag_{k}' for k in (1, 2, 3, 7))},
+             {_roll1(7)}, {_roll1(14)}, {_roll1(30)} FROM ts)
+SELECT * FROM f WHERE Sales_Lag_7 IS NOT NULL AND Sales_Rolling_30 IS NOT NULL"""

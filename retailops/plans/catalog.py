@@ -298,3 +298,11 @@ def _k10(s, d):
         "seasonal": AM.accuracy(FC.holdout_forecasts(ts, "M", "seasonal")),
         "boosted": AM.accuracy(test),
         "naive": AM.accuracy(FC.holdout_forecasts(ts, "M", "naive"))})
+
+# --- L insights and reports -------------------------------------------------------
+from ..operators import insights as IN  # noqa: E402
+
+register("l01_l06_business_insights")(lambda s, d: IN.business_insights(P.full(s, d)))
+register("l07_executive_summary")(lambda s, d: IN.executive_summary(P.rows(s, d)))
+register("l08_i02_summary_report")(lambda s, d: IN.summary_report(P.rows(s, d)))
+register("l09_anomaly_report")(lambda s, d: IN.anomaly_report(AM.anomalies_iqr(P.sales(s, d))))

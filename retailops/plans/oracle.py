@@ -618,3 +618,150 @@ ORACLE["k04_boost_features"] = _SALES + ", " + resample_sql("M", []) + f""",
 f AS (SELECT ts.*, {_MLCAL}, {', '.join(f'lag(Sales, {k}) OVER (ORDER BY Order_Date) AS Sales_Lag_{k}' for k in (1, 2, 3, 7))},
              {_roll1(7)}, {_roll1(14)}, {_roll1(30)} FROM ts)
 SELECT * FROM f WHERE Sales_Lag_7 IS NOT NULL AND Sales_Rolling_30 IS NOT NULL"""
+
+
+# --- L insights and reports ------------------------------------------------------------
+def _q(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def _tmpl(template: str, *args: str) -> str:
+    parts = template.split("{}")
+    out = [f"'{_q(parts[0])}'"]
+    for a, p in zip(args, parts[1:]):
+        out += [f"CAST({a} AS VARCHAR)", f"'{_q(p)}'"]
+    return "concat(" + ", ".join(out) + ")"
+
+
+def _f1(x: str) -> str:
+    return f"format('{{:.1f}}', {x})"
+
+
+def _money(x: str) -> str:
+    return f"format('{{:,.2f}}', CAST({x} AS DOUBLE))"
+
+
+def _argmax_sql(key: str, src: str = "features") -> str:
+    return (f"(SELECT {key}, sum(Sales) AS s FROM {src} WHERE {key} IS NOT NULL GROUP BY {key} "
+            f"ORDER BY s DESC, {key} LIMIT 1)")
+
+
+def _insights_sql() -> str:
+    from ..operators import insights as I
+    g6 = pct("last - prev", "prev", 2, 6)
+    g1 = pct("last - prev", "prev", 2, 1)
+    l01 = (f"SELECT 1 AS Insight_No, CASE WHEN {g6} > 10 THEN {_tmpl(I.MSG_GROWTH_STRONG, _f1(g1))} "
+           f"WHEN {g6} < -10 THEN {_tmpl(I.MSG_GROWTH_DECLINE, _f1('abs(' + g1 + ')'))} "
+           f"ELSE {_tmpl(I.MSG_GROWTH_STABLE, _f1(g1))} END AS Insight FROM (SELECT count(*) AS n, arg_max(s, ym) AS last, "
+           f"arg_min(s, ym) AS prev FROM (SELECT Year_Month AS ym, sum(Sales) AS s FROM features WHERE Year_Month IS NOT NULL "
+           f"GROUP BY 1 ORDER BY 1 DESC LIMIT 2)) WHERE n >= 2")
+    m6, m1 = mean("Profit_Margin_Pct", 2, 6), mean("Profit_Margin_Pct", 2, 1)
+    l02 = (f"SELECT 2, CASE WHEN m6 > 30 THEN {_tmpl(I.MSG_MARGIN_STRONG, _f1('m1'))} WHEN m6 < 10 THEN "
+           f"{_tmpl(I.MSG_MARGIN_LOW, _f1('m1'))} ELSE {_tmpl(I.MSG_MARGIN_HEALTHY, _f1('m1'))} END "
+           f"FROM (SELECT {m6} AS m6, {m1} AS m1 FROM features)")
+    l03 = (f"SELECT 3, {_tmpl(I.MSG_CUSTOMER, _f1('o'), _money('sp'))} FROM (SELECT {mean('Customer_Total_Orders', 0, 1)} AS o, "
+           f"{mean('CAST(Customer_Total_Spent AS DECIMAL(28,2))', 2, 2)} AS sp FROM features)")
+    l04 = (f"SELECT 4, {_tmpl(I.MSG_TOP_CATEGORY, 'c.Category', _f1(pct('c.s', 't.t', 2, 1)))} "
+           f"FROM {_argmax_sql('Category')} c, (SELECT sum(Sales) AS t FROM features) t")
+    l05s = f"SELECT 5, {_tmpl(I.MSG_PEAK_SEASON, 'Season')} FROM {_argmax_sql('Season')}"
+    l06r = f"SELECT 6, {_tmpl(I.MSG_TOP_REGION, 'Region')} FROM {_argmax_sql('Region')}"
+    l07p = f"SELECT 7, {_tmpl(I.MSG_TOP_PAYMENT, 'Payment_Mode')} FROM {_argmax_sql('Payment_Mode')}"
+    hi = "CASE WHEN CAST(Discount AS DOUBLE) > q1 THEN Profit_Margin_Pct END"
+    lo = "CASE WHEN CAST(Discount AS DOUBLE) <= q0 THEN Profit_Margin_Pct END"
+    l08 = (f"SELECT 8, {_tmpl(I.MSG_DISCOUNT, _f1('round(abs(CAST(h AS DECIMAL(24,6)) - CAST(l AS DECIMAL(24,6))), 1)'))} "
+           f"FROM (SELECT {mean(hi, 2, 6)} AS h, {mean(lo, 2, 6)} AS l FROM features, "
+           f"({quantiles_sql('features', 'Discount', [0.25, 0.75], 'q')}) qq) WHERE h < l")
+    recs = [I.RECOMMENDATIONS_HEADER] + [f"  • {r}" for r in I.RECOMMENDATIONS]
+    l09 = " UNION ALL ".join(f"SELECT {9 + i}, '{_q(r)}'" for i, r in enumerate(recs))
+    return " UNION ALL ".join(f"({x})" for x in (l01, l02, l03, l04, l05s, l06r, l07p, l08)) + " UNION ALL " + l09
+
+
+ORACLE["l01_l06_business_insights"] = _F(f"SELECT CAST(Insight_No AS INTEGER) AS Insight_No, Insight FROM ({_insights_sql()})")
+
+
+def _summary_sql() -> str:
+    from ..operators import insights as I
+    margin = f"CASE WHEN s > 0 THEN {pct('p', 's', 2, 1)} ELSE 0.0 END"
+    l1 = ("SELECT 1 AS Line_No, 'EXECUTIVE SUMMARY' AS Section, " +
+          _tmpl("Total revenue of ${} with ${} in profit ({}% margin) from {} orders across {} customers.",
+                _money('s'), _money('p'), _f1(margin), "format('{:,}', n)", "format('{:,}', c)") +
+          " AS Text FROM (SELECT sum(Sales) AS s, sum(Profit) AS p, count(DISTINCT Order_ID) AS n, "
+          "count(DISTINCT Customer_ID) AS c FROM rowf)")
+    l2 = (f"SELECT 2, 'KEY FINDINGS', {_tmpl(chr(8226) + ' Top Category: ' + chr(39) + '{}' + chr(39) + ' with ${} in sales', 'Category', _money('s'))} "
+          f"FROM {_argmax_sql('Category', 'rowf')}")
+    l3 = (f"SELECT 3, 'KEY FINDINGS', {_tmpl(chr(8226) + ' Top Region: ' + chr(39) + '{}' + chr(39) + ' with ${} in sales', 'Region', _money('s'))} "
+          f"FROM {_argmax_sql('Region', 'rowf')}")
+    l4 = (f"SELECT 4, 'KEY FINDINGS', {_tmpl(chr(8226) + ' Top 10% of customers contribute {}% of revenue', _f1(pct('coalesce(t, 0)', 'total', 2, 1)))} "
+          "FROM (SELECT count(*) AS nc, sum(sp) AS total FROM spend) tot, "
+          "(SELECT sum(sp) AS t FROM (SELECT sp, row_number() OVER (ORDER BY sp DESC, Customer_ID) AS rk FROM spend), "
+          "(SELECT count(*) AS nc FROM spend) x WHERE rk <= floor(nc * 0.1)) top")
+    l5 = (f"SELECT 5, 'KEY FINDINGS', {_tmpl(chr(8226) + ' Average order value: ${} ({} items per order)', _money('a'), _f1('q'))} "
+          f"FROM (SELECT {mean('Sales', 2, 2)} AS a, {mean('Quantity', 0, 1)} AS q FROM rowf)")
+    recs = " UNION ALL ".join(f"SELECT {6 + i}, 'ACTIONABLE RECOMMENDATIONS', '{_q(r)}'"
+                              for i, r in enumerate(I.SUMMARY_RECOMMENDATIONS))
+    return " UNION ALL ".join(f"({x})" for x in (l1, l2, l3, l4, l5)) + " UNION ALL " + recs
+
+
+ORACLE["l07_executive_summary"] = _R(
+    ", spend AS (SELECT Customer_ID, sum(Sales) AS sp FROM rowf WHERE Customer_ID IS NOT NULL GROUP BY Customer_ID)\n"
+    f"SELECT CAST(Line_No AS INTEGER) AS Line_No, Section, Text FROM ({_summary_sql()})")
+
+
+def _report_sql() -> str:
+    ts = "strftime(CAST({} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')"
+    d = lambda x: f"'$' || {_money(x)}"
+    nul = "CAST(NULL AS VARCHAR)"
+
+    def sec(no, name, header, cells, src, order):
+        hdr = [f"'{h}'" for h in header] + [nul] * (5 - len(header))
+        body = [f"CAST({c} AS VARCHAR)" for c in cells] + [nul] * (5 - len(cells))
+        return (f"SELECT {no} AS Section_No, '{name}' AS Section, 0 AS Row_No, {', '.join(f'{h} AS C{i + 1}' for i, h in enumerate(hdr))} "
+                f"UNION ALL SELECT {no}, '{name}', row_number() OVER (ORDER BY {order}), {', '.join(body)} FROM {src}")
+    ov = ("(SELECT count(*) AS rows_, count(DISTINCT Customer_ID) AS c, count(DISTINCT Product_Name) AS k, "
+          f"count(DISTINCT Order_ID) AS n, min(Order_Date) AS d0, max(Order_Date) AS d1, sum(Sales) AS s, sum(Profit) AS p, "
+          f"{mean('Sales', 2, 2)} AS aov, sum(Quantity) AS q FROM rowf)")
+    overview = (f"(SELECT 0 AS pos, 'Total Records' AS k, CAST(rows_ AS VARCHAR) AS v FROM {ov} UNION ALL "
+                f"SELECT 1, 'Total Customers', CAST(c AS VARCHAR) FROM {ov} UNION ALL SELECT 2, 'Total Products', CAST(k AS VARCHAR) FROM {ov} "
+                f"UNION ALL SELECT 3, 'Total Orders', CAST(n AS VARCHAR) FROM {ov} UNION ALL "
+                f"SELECT 4, 'Date Range', {ts.format('d0')} || ' to ' || {ts.format('d1')} FROM {ov})")
+    kpi = (f"(SELECT 0 AS pos, 'Total Revenue' AS k, {d('s')} AS v FROM {ov} UNION ALL SELECT 1, 'Total Profit', {d('p')} FROM {ov} "
+           f"UNION ALL SELECT 2, 'Profit Margin', format('{{:.2f}}', {pct('p', 's')}) || '%' FROM {ov} UNION ALL "
+           f"SELECT 3, 'Average Order Value', {d('aov')} FROM {ov} UNION ALL SELECT 4, 'Total Units Sold', CAST(CAST(q AS BIGINT) AS VARCHAR) FROM {ov})")
+    cust = (f"(SELECT Customer_Name, sum(Sales) AS ts_, count(DISTINCT Order_ID) AS o, {mean('Sales')} AS av FROM rowf "
+            f"WHERE Customer_Name IS NOT NULL GROUP BY 1 ORDER BY ts_ DESC, Customer_Name LIMIT 10)")
+    cats = (f"(SELECT Category, sum(Sales) AS s, sum(Profit) AS p, {mean('Profit_Margin_Pct', 2, 2)} AS m, sum(Quantity) AS u "
+            f"FROM rowf WHERE Category IS NOT NULL GROUP BY 1)")
+    regs = ("(SELECT Region, sum(Sales) AS s, sum(Profit) AS p, count(DISTINCT Order_ID) AS n, count(DISTINCT Customer_ID) AS c "
+            "FROM rowf WHERE Region IS NOT NULL GROUP BY 1)")
+    mons = ("(SELECT Year_Month, sum(Sales) AS s, sum(Profit) AS p, count(DISTINCT Order_ID) AS n FROM rowf "
+            "WHERE Year_Month IS NOT NULL GROUP BY 1)")
+    parts = [
+        sec(1, "DATASET OVERVIEW", ["Metric", "Value"], ["k", "v"], overview, "pos"),
+        sec(2, "REVENUE KPIs", ["KPI", "Value"], ["k", "v"], kpi, "pos"),
+        sec(3, "TOP 10 CUSTOMERS BY REVENUE", ["Customer Name", "Total Spent", "Orders", "Avg Order Value"],
+            ["Customer_Name", d("ts_"), "o", d("round(CAST(av AS DECIMAL(24,6)), 2)")], cust, "ts_ DESC, Customer_Name"),
+        sec(4, "CATEGORY PERFORMANCE", ["Category", "Sales", "Profit", "Margin", "Units Sold"],
+            ["Category", d("s"), d("p"), "format('{:.2f}', m) || '%'", "CAST(u AS BIGINT)"], cats, "Category"),
+        sec(5, "REGIONAL PERFORMANCE", ["Region", "Sales", "Profit", "Orders", "Customers"],
+            ["Region", d("s"), d("p"), "n", "c"], regs, "Region"),
+        sec(6, "MONTHLY SALES TRENDS", ["Month", "Sales", "Profit", "Orders"],
+            ["Year_Month", d("s"), d("p"), "n"], mons, "Year_Month"),
+    ]
+    return " UNION ALL ".join(f"({p})" for p in parts)
+
+
+ORACLE["l08_i02_summary_report"] = _R(
+    f"SELECT Section_No, Section, CAST(Row_No AS INTEGER) AS Row_No, C1, C2, C3, C4, C5 FROM ({_report_sql()})")
+ORACLE["l09_anomaly_report"] = _SALES + _IQR + """
+SELECT CAST(Line_No AS INTEGER) AS Line_No, Text FROM (
+  SELECT 1 AS Line_No, CASE WHEN count(*) = 0 THEN 'No anomalies detected in the dataset.'
+                            ELSE 'Total anomalies detected: ' || CAST(count(*) AS VARCHAR) END AS Text FROM iqr
+  UNION ALL SELECT 99, 'ANOMALY BREAKDOWN:' WHERE (SELECT count(*) FROM iqr) > 0
+  UNION ALL SELECT 100 + row_number() OVER (ORDER BY c DESC, Anomaly_Type), '  ' || Anomaly_Type || ': ' || CAST(c AS VARCHAR)
+            FROM (SELECT Anomaly_Type, count(*) AS c FROM iqr GROUP BY 1)
+  UNION ALL SELECT 999, 'TOP ANOMALIES:' WHERE (SELECT count(*) FROM iqr) > 0
+  UNION ALL SELECT 1000 + row_number() OVER (ORDER BY Order_Date),
+            '  {''Order_Date'': Timestamp(''' || strftime(CAST(Order_Date AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') || '''), ''Sales'': '
+            || CAST(CAST(Sales AS DECIMAL(28,2)) AS VARCHAR) || ', ''Orders'': ' || CAST(Orders AS VARCHAR)
+            || ', ''Anomaly_Type'': ''' || Anomaly_Type || '''}'
+            FROM (SELECT * FROM iqr ORDER BY Order_Date LIMIT 10))"""

@@ -306,3 +306,23 @@ register("l01_l06_business_insights")(lambda s, d: IN.business_insights(P.full(s
 register("l07_executive_summary")(lambda s, d: IN.executive_summary(P.rows(s, d)))
 register("l08_i02_summary_report")(lambda s, d: IN.summary_report(P.rows(s, d)))
 register("l09_anomaly_report")(lambda s, d: IN.anomaly_report(AM.anomalies_iqr(P.sales(s, d))))
+
+# --- A sources / sinks ----------------------------------------------------------------
+from ..sources import io as IO  # noqa: E402
+
+register("a06_profile")(lambda s, d: IO.profile(P.full(s, d)))
+register("a06_column_profile")(lambda s, d: IO.column_profile(P.full(s, d)))
+register("a09_orders_table")(lambda s, d: IO.orders_table(P.full(s, d)))
+
+
+@register("a10_run_sql")
+def _a10(s, d):
+    IO.save_orders_table(P.full(s, d), view="orders_sql")
+    return IO.run_sql(s, """SELECT Region, Year, CAST(SUM(Sales) AS DOUBLE) AS Total_Sales,
+                                   COUNT(DISTINCT Order_ID) AS Order_Count
+                            FROM orders_sql WHERE Year >= ? AND Customer_Segment = ?
+                            GROUP BY Region, Year""", [1997, "Platinum"])
+
+
+register("a12_preview")(lambda s, d: IO.preview(P.sales(s, d), 100))
+register("j04_anomalies_isolation_forest")(lambda s, d: AM.detect_anomalies(P.sales(s, d), "isolation_forest"))

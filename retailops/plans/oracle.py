@@ -765,3 +765,34 @@ SELECT CAST(Line_No AS INTEGER) AS Line_No, Text FROM (
             || CAST(CAST(Sales AS DECIMAL(28,2)) AS VARCHAR) || ', ''Orders'': ' || CAST(Orders AS VARCHAR)
             || ', ''Anomaly_Type'': ''' || Anomaly_Type || '''}'
             FROM (SELECT * FROM iqr ORDER BY Order_Date LIMIT 10))"""
+
+
+# --- A --------------------------------------------------------------------------------
+_ALLCOLS = None
+
+
+def _feature_cols() -> list[str]:
+    from .sqlparts import CUSTOMER_COLS, PRODUCT_COLS
+    cal = ["Year", "Month", "Month_Name", "Quarter", "Day", "Day_of_Week", "Day_Name", "Week_of_Year", "Is_Weekend",
+           "Is_Month_Start", "Is_Month_End", "Year_Month", "Season", "Is_Holiday_Season"]
+    return (["Customer_ID", "Product_Name"] + [c for c in _SALES_COLS if c not in ("Customer_ID", "Product_Name")]
+            + cal + ["Unit_Price", "Profit_Margin_Pct", "Is_Profitable", "Discounted_Price", "Sales_Bucket"]
+            + CUSTOMER_COLS + PRODUCT_COLS)
+
+
+ORACLE["a06_profile"] = _F(f"""
+SELECT count(*) AS Rows, {len(_feature_cols())} AS Columns,
+       CAST({' + '.join(f'count(*) - count({c})' for c in _feature_cols())} AS BIGINT) AS Total_Nulls,
+       min(Order_Date) AS Date_Start, max(Order_Date) AS Date_End, {dsum('Sales')} AS Total_Sales,
+       {dsum('Profit')} AS Total_Profit, count(DISTINCT Customer_ID) AS Unique_Customers,
+       count(DISTINCT Product_Name) AS Unique_Products FROM features""")
+ORACLE["a12_preview"] = f"WITH sales AS ({ADAPTER})\nSELECT * FROM sales ORDER BY {', '.join(_SALES_COLS)} LIMIT 100"
+ORACLE["a10_run_sql"] = _F("""
+SELECT Region, Year, CAST(SUM(Sales) AS DOUBLE) AS Total_Sales, COUNT(DISTINCT Order_ID) AS Order_Count
+FROM features WHERE Year >= 1997 AND Customer_Segment = 'Platinum' GROUP BY Region, Year""")
+ORACLE["a09_orders_table"] = _F("SELECT " + ", ".join(
+    ["Order_ID", "Customer_Name", "Customer_ID", "Product_Name", "Category", "Sub_Category", "Sales", "Profit",
+     "Discount", "Quantity", "Order_Date", "Region", "Country", "State", "Payment_Mode", "Year", "Month", "Quarter",
+     "Day_of_Week", "Month_Name", "Season", "Is_Holiday_Season", "Year_Month", "Unit_Price", "Profit_Margin_Pct",
+     "Is_Profitable", "Customer_Total_Spent", "Customer_Total_Orders", "Customer_Segment", "Product_Performance"])
+    + " FROM features")

@@ -45,8 +45,8 @@ def apply_raw_types(df: DataFrame) -> DataFrame:
             continue
         c = F.col(f.name)
         if isinstance(f.dataType, T.DateType):
-            casts[f.name] = F.coalesce(F.try_to_date(c.cast("string"), F.lit("yyyy-MM-dd")),
-                                       F.try_to_date(c.cast("string"), F.lit("MM/dd/yyyy")),
+            casts[f.name] = F.coalesce(F.try_to_date(c.cast("string"), "yyyy-MM-dd"),
+                                       F.try_to_date(c.cast("string"), "MM/dd/yyyy"),
                                        F.try_to_timestamp(c.cast("string")).cast("date"))
         elif isinstance(f.dataType, (T.DecimalType, T.IntegerType)):
             num = F.regexp_replace(c.cast("string"), "[$€£,]", "")

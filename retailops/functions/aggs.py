@@ -33,27 +33,17 @@ def isum(col: str | Column) -> Column:
     return F.sum(_c(col)).cast("bigint")
 
 
-def idiv(a: Column, b: Column) -> Column:
-    """Exact integral division of a non-negative integral decimal by a positive one."""
-    return ((a - F.pmod(a, b)) / b).cast(_D0)
-
-
 def half_up_ratio(num_units: Column, den: Column, in_scale: int, out_scale: int) -> Column:
-    """round_half_up((num_units / 10**in_scale) / den, out_scale) as DOUBLE.
+    """round_half_up((num_units / 10**in_scale) / den, out_scale) as DOUBLE; den = 0 -> null.
 
-    ``num_units`` is integral (value * 10**in_scale); ``den`` is a positive
-    integer. A zero or null denominator gives null.
+    Decimal division keeps at least 7 fractional digits before the final
+    HALF_UP rounding, so the result equals exact rounding except for values
+    within ~1e-7 of a rounding tie.
     """
-    shift = out_scale - in_scale
-    a = F.abs(num_units.cast(_D0))
-    d = den.cast(_D0)
-    if shift >= 0:
-        a = a * _lit(10 ** shift)
-    else:
-        d = d * _lit(10 ** (-shift))
-    q = idiv(a * _lit(2) + d, d * _lit(2))
-    signed = F.when(num_units < 0, -q).otherwise(q)
-    return F.when(d > 0, (signed / _lit(10 ** out_scale)).cast("double"))
+    num = num_units.cast(_D0)
+    if in_scale:
+        num = num / _lit(10 ** in_scale)
+    return F.round(F.try_divide(num, den.cast(_D0)), out_scale).cast("double")
 
 
 def units(col: str | Column, scale: int) -> Column:
@@ -62,18 +52,65 @@ def units(col: str | Column, scale: int) -> Column:
 
 
 def mean(col: str | Column, in_scale: int = 2, out_scale: int = 6) -> Column:
-    """Exact mean of a decimal column, rounded half-up to ``out_scale``."""
+    """Mean of a decimal column from its exact sum and count, rounded half-up to ``out_scale``."""
     c = _c(col)
-    return half_up_ratio(F.sum(units(c, in_scale)), F.count(c), in_scale, out_scale)
+    return F.round(F.try_divide(F.sum(c), F.count(c)), out_scale).cast("double")
 
 
 def ratio(num_sum: Column, den: Column, in_scale: int = 2, out_scale: int = 2) -> Column:
     """round_half_up(num_sum / den) for an aggregated decimal numerator."""
-    return half_up_ratio(units(num_sum, in_scale), den, in_scale, out_scale)
+    return F.round(F.try_divide(num_sum, den.cast(_D0)), out_scale).cast("double")
 
 
 def pct(part: Column, whole: Column, in_scale: int = 2, out_scale: int = 2) -> Column:
     """round_half_up(100 * part / whole, out_scale) from exact decimal inputs; whole = 0 -> null."""
-    w = units(whole, in_scale)
-    r = half_up_ratio(units(part, in_scale) * _lit(100), F.abs(w), 0, out_scale)
-    return F.when(w < 0, -r).otherwise(r)
+    return F.round(F.try_divide(part * F.lit(100), whole), out_scale).cast("double")
+
+
+class Distinct:
+    """Marker for COUNT(DISTINCT col) inside ``group_agg``."""
+
+    def __init__(self, col: str, name: str):
+        self.col, self.name = col, name
+
+
+def group_agg(df, keys: list[str], *aggs):
+    """GROUP BY ``keys`` with plain aggregates and any number of distinct counts.
+
+    One distinct count stays in the main aggregate. Two or more would make
+    Spark expand every input row once per distinct column and carry all
+    other aggregates through that expansion; instead each distinct count
+    becomes its own single-distinct aggregate (partial aggregation on
+    (keys, column), so hot keys collapse map-side) and the per-group
+    results - one row per group - are joined null-safely on the keys.
+    """
+    from pyspark.sql import functions as F  # noqa: F811
+
+    keys = list(keys)
+    plain = [a for a in aggs if not isinstance(a, Distinct)]
+    ds = [a for a in aggs if isinstance(a, Distinct)]
+    names = [a.name if isinstance(a, Distinct) else None for a in aggs]
+    if len(ds) <= 1:
+        cols = [F.countDistinct(a.col).alias(a.name) if isinstance(a, Distinct) else a for a in aggs]
+        return df.groupBy(*keys).agg(*cols) if keys else df.agg(*cols)
+    # the first distinct count rides along with the plain aggregates (no expansion for one)
+    main = plain + [F.countDistinct(ds[0].col).alias(ds[0].name)]
+    parts = [df.groupBy(*keys).agg(*main) if keys else df.agg(*main)]
+    for d in ds[1:]:
+        g = df.groupBy(*keys).agg(F.countDistinct(d.col).alias(d.name)) if keys else \
+            df.agg(F.countDistinct(d.col).alias(d.name))
+        parts.append(g)
+    out = parts[0]
+    for p in parts[1:]:
+        if keys:
+            cond = [out[k].eqNullSafe(p[k]) for k in keys]
+            out = out.join(p, cond, "inner").select(*[out[k] for k in keys],
+                                                    *[out[c] for c in out.columns if c not in keys],
+                                                    *[p[c] for c in p.columns if c not in keys])
+        else:
+            out = out.crossJoin(F.broadcast(p))
+    plain_names = [c for c in out.columns if c not in keys and c not in [d.name for d in ds]]
+    plain_names = plain_names[:len(plain)]
+    it = iter(plain_names)
+    order = [n if n is not None else next(it) for n in names]
+    return out.select(*keys, *order)

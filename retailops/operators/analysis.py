@@ -31,8 +31,8 @@ def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.filter(cond)
 
 
-def _g(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
-    return _keyed(df, keys).groupBy(*keys).agg(*aggs)
+def _g(df: DataFrame, keys: list[str], *aggs) -> DataFrame:
+    return A.group_agg(_keyed(df, keys), keys, *aggs)
 
 
 def ssum(name: str = "Total_Sales") -> Column:
@@ -43,12 +43,12 @@ def psum(name: str = "Total_Profit") -> Column:
     return A.dsum(P).alias(name)
 
 
-def orders(name: str = "Order_Count") -> Column:
-    return F.countDistinct(N).alias(name)
+def orders(name: str = "Order_Count") -> A.Distinct:
+    return A.Distinct(N, name)
 
 
-def customers(name: str = "Customer_Count") -> Column:
-    return F.countDistinct(C).alias(name)
+def customers(name: str = "Customer_Count") -> A.Distinct:
+    return A.Distinct(C, name)
 
 
 def avg(col: str, name: str, out_scale: int = 6) -> Column:
@@ -236,7 +236,7 @@ def top_products(df: DataFrame, k: int = 15) -> DataFrame:
 def category_summary(df: DataFrame) -> DataFrame:
     """E25."""
     return _g(df, ["Category", "Sub_Category"], ssum(), psum(),
-              F.countDistinct("Product_Name").alias("Product_Count"), orders(), margin()
+              A.Distinct("Product_Name", "Product_Count"), orders(), margin()
               ).orderBy(F.col("Total_Sales").desc())
 
 
@@ -255,7 +255,7 @@ def profit_by_category(df: DataFrame) -> DataFrame:
 def _binned(df: DataFrame, bin_expr: Column, labels: list[str], aggs: list[Column],
             fills: dict[str, Column]) -> DataFrame:
     binned = df.withColumn("Discount_Range", bin_expr).filter(F.col("Discount_Range").isNotNull())
-    g = binned.groupBy("Discount_Range").agg(*aggs)
+    g = A.group_agg(binned, ["Discount_Range"], *aggs)
     lab = _labels_frame(df, labels, "Discount_Range")
     out = lab.join(F.broadcast(g), "Discount_Range", "left")
     return out.withColumns(fills).orderBy("_pos").drop("_pos")
@@ -292,7 +292,7 @@ def loss_making_products(df: DataFrame) -> DataFrame:
 def category_stats(df: DataFrame) -> DataFrame:
     """E32 with market share over the category rows."""
     g = _g(df, ["Category"], F.sum(S).alias("_s"), psum(), orders(),
-           F.countDistinct("Product_Name").alias("Product_Count"), customers(),
+           A.Distinct("Product_Name", "Product_Count"), customers(),
            avg(S, "Avg_Order_Value"), margin(), avg("Discount", "Avg_Discount"),
            A.isum("Quantity").alias("Total_Quantity"))
     share = A.pct(F.col("_s"), F.sum("_s").over(Window.partitionBy()), 2, 2)
@@ -379,8 +379,8 @@ def _zero_if_null(c: Column) -> Column:
 
 def generate_kpis(df: DataFrame) -> DataFrame:
     """22 KPIs in one row from three small aggregates (global, per order, per day)."""
-    g = df.agg(F.sum(S).alias("_s"), F.sum(P).alias("_p"), F.countDistinct(N).alias("_n"),
-               F.countDistinct(C).alias("_c"), F.countDistinct("Product_Name").alias("_k"),
+    g = A.group_agg(df, [], F.sum(S).alias("_s"), F.sum(P).alias("_p"), A.Distinct(N, "_n"),
+               A.Distinct(C, "_c"), A.Distinct("Product_Name", "_k"),
                A.mean(S, 2, 2).alias("Average_Order_Value"), A.mean("Discount", 2, 3).alias("Average_Discount"),
                F.sum(F.col(S) * F.col("Discount")).alias("_sd"), F.sum("Quantity").alias("_q"),
                F.min("Order_Date").alias("Date_Start"), F.max("Order_Date").alias("Date_End"))
@@ -479,9 +479,9 @@ def report_monthly_trends(df: DataFrame) -> DataFrame:
 
 def dataset_overview(df: DataFrame) -> DataFrame:
     """Overview and revenue KPIs in one row."""
-    return df.agg(
-        F.count(F.lit(1)).alias("Total_Records"), customers("Total_Customers"),
-        F.countDistinct("Product_Name").alias("Total_Products"), orders("Total_Orders"),
+    return A.group_agg(
+        df, [], F.count(F.lit(1)).alias("Total_Records"), customers("Total_Customers"),
+        A.Distinct("Product_Name", "Total_Products"), orders("Total_Orders"),
         F.min("Order_Date").alias("Date_Start"), F.max("Order_Date").alias("Date_End"),
         A.dsum(S).alias("Total_Revenue"), A.dsum(P).alias("Total_Profit"),
         A.pct(F.sum(P), F.sum(S)).alias("Profit_Margin"), A.mean(S, 2, 2).alias("Average_Order_Value"),

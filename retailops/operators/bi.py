@@ -33,12 +33,12 @@ def _share(total_col: str, partition: list[str] | None = None):
 
 def top_customers(df: DataFrame, limit: int = 10) -> DataFrame:
     """Customers by revenue."""
-    g = df.groupBy(C).agg(
+    g = A.group_agg(df, [C], 
         F.max("Customer_Name").alias("Customer_Name"),
         F.max("Customer_Segment").alias("Customer_Segment"),
         _r2sum(S).alias("Total_Revenue"),
         _r2sum(P).alias("Total_Profit"),
-        F.countDistinct(N).alias("Order_Count"),
+        A.Distinct(N, "Order_Count"),
         A.mean(S, 2, 2).alias("Avg_Order_Value"),
         A.mean("Profit_Margin_Pct", 2, 2).alias("Avg_Profit_Margin"),
         A.isum("Quantity").alias("Total_Items"),
@@ -48,12 +48,12 @@ def top_customers(df: DataFrame, limit: int = 10) -> DataFrame:
 
 def best_products(df: DataFrame, limit: int = 10) -> DataFrame:
     """Products by revenue."""
-    g = df.groupBy("Product_Name").agg(
+    g = A.group_agg(df, ["Product_Name"], 
         F.max("Category").alias("Category"),
         F.max("Sub_Category").alias("Sub_Category"),
         _r2sum(S).alias("Total_Revenue"),
         _r2sum(P).alias("Total_Profit"),
-        F.countDistinct(N).alias("Order_Count"),
+        A.Distinct(N, "Order_Count"),
         A.mean("Profit_Margin_Pct", 2, 2).alias("Avg_Profit_Margin"),
         A.mean("Discount", 2, 3).alias("Avg_Discount"),
         A.isum("Quantity").alias("Total_Units_Sold"),
@@ -63,21 +63,21 @@ def best_products(df: DataFrame, limit: int = 10) -> DataFrame:
 
 def profit_trends(df: DataFrame) -> DataFrame:
     """Monthly sales/profit/margin."""
-    return (df.groupBy("Year_Month").agg(
+    return (A.group_agg(df, ["Year_Month"], 
         F.max("Year").alias("Year"), F.max("Month").alias("Month"), F.max("Month_Name").alias("Month_Name"),
         _r2sum(S).alias("Total_Sales"), _r2sum(P).alias("Total_Profit"),
         A.mean("Profit_Margin_Pct", 2, 2).alias("Avg_Profit_Margin"),
-        F.countDistinct(N).alias("Order_Count"),
+        A.Distinct(N, "Order_Count"),
         A.mean("Discount", 2, 3).alias("Avg_Discount"))
         .orderBy("Year", "Month"))
 
 
 def regional_analysis(df: DataFrame) -> DataFrame:
     """Region x country with share of total sales."""
-    g = df.groupBy("Region", "Country").agg(
+    g = A.group_agg(df, ["Region", "Country"], 
         F.sum(S).alias("_s"), _r2sum(P).alias("Total_Profit"),
         A.mean("Profit_Margin_Pct", 2, 2).alias("Avg_Profit_Margin"),
-        F.countDistinct(N).alias("Order_Count"), F.countDistinct(C).alias("Unique_Customers"),
+        A.Distinct(N, "Order_Count"), A.Distinct(C, "Unique_Customers"),
         A.mean(S, 2, 2).alias("Avg_Order_Value"))
     g = g.withColumn("Sales_Share_Pct", _share("_s")).withColumn("Total_Sales", F.col("_s").cast("double"))
     return g.select("Region", "Country", "Total_Sales", "Total_Profit", "Avg_Profit_Margin", "Order_Count",
@@ -86,11 +86,11 @@ def regional_analysis(df: DataFrame) -> DataFrame:
 
 def monthly_analysis(df: DataFrame) -> DataFrame:
     """Year x month KPIs."""
-    return (df.groupBy("Year", "Month").agg(
+    return (A.group_agg(df, ["Year", "Month"], 
         F.max("Month_Name").alias("Month_Name"), F.max("Quarter").alias("Quarter"),
         _r2sum(S).alias("Monthly_Revenue"), _r2sum(P).alias("Monthly_Profit"),
         A.mean("Profit_Margin_Pct", 2, 2).alias("Avg_Profit_Margin"),
-        F.countDistinct(N).alias("Order_Count"), F.countDistinct(C).alias("Unique_Customers"),
+        A.Distinct(N, "Order_Count"), A.Distinct(C, "Unique_Customers"),
         A.mean(S, 2, 2).alias("Avg_Order_Value"), A.mean("Discount", 2, 3).alias("Avg_Discount"),
         A.isum("Quantity").alias("Total_Units_Sold"))
         .orderBy("Year", "Month"))
@@ -98,9 +98,9 @@ def monthly_analysis(df: DataFrame) -> DataFrame:
 
 def category_performance(df: DataFrame) -> DataFrame:
     """Category x sub-category with share within the category."""
-    g = df.groupBy("Category", "Sub_Category").agg(
+    g = A.group_agg(df, ["Category", "Sub_Category"], 
         F.sum(S).alias("_s"), _r2sum(P).alias("Total_Profit"),
-        F.countDistinct(N).alias("Order_Count"),
+        A.Distinct(N, "Order_Count"),
         A.mean("Profit_Margin_Pct", 2, 2).alias("Avg_Profit_Margin"),
         A.mean("Discount", 2, 3).alias("Avg_Discount"), A.isum("Quantity").alias("Total_Units_Sold"))
     g = g.withColumn("Category_Share_Pct", _share("_s", ["Category"])).withColumn(
@@ -112,8 +112,8 @@ def category_performance(df: DataFrame) -> DataFrame:
 
 def customer_segment_analysis(df: DataFrame) -> DataFrame:
     """Segments; orders-per-customer is a row-weighted mean (as defined)."""
-    g = df.groupBy("Customer_Segment").agg(
-        F.countDistinct(C).alias("Customer_Count"), F.sum(S).alias("_s"), _r2sum(P).alias("Total_Profit"),
+    g = A.group_agg(df, ["Customer_Segment"], 
+        A.Distinct(C, "Customer_Count"), F.sum(S).alias("_s"), _r2sum(P).alias("Total_Profit"),
         A.mean(S, 2, 2).alias("Avg_Order_Value"), A.mean("Profit_Margin_Pct", 2, 2).alias("Avg_Profit_Margin"),
         A.half_up_ratio(F.sum(F.col("Customer_Total_Orders").cast("decimal(38,0)")),
                         F.count("Customer_Total_Orders"), 0, 1).alias("Avg_Orders_Per_Customer"))
@@ -125,8 +125,8 @@ def customer_segment_analysis(df: DataFrame) -> DataFrame:
 
 def payment_mode_analysis(df: DataFrame) -> DataFrame:
     """Payment modes."""
-    g = df.groupBy("Payment_Mode").agg(
-        F.countDistinct(N).alias("Order_Count"), F.sum(S).alias("_s"),
+    g = A.group_agg(df, ["Payment_Mode"], 
+        A.Distinct(N, "Order_Count"), F.sum(S).alias("_s"),
         A.mean(S, 2, 2).alias("Avg_Order_Value"), _r2sum(P).alias("Total_Profit"))
     g = g.withColumn("Revenue_Share_Pct", _share("_s")).withColumn("Total_Revenue", F.col("_s").cast("double"))
     return g.select("Payment_Mode", "Order_Count", "Total_Revenue", "Avg_Order_Value", "Total_Profit",
@@ -135,17 +135,17 @@ def payment_mode_analysis(df: DataFrame) -> DataFrame:
 
 def seasonal_analysis(df: DataFrame) -> DataFrame:
     """Season x year."""
-    return (df.groupBy("Season", "Year").agg(
+    return (A.group_agg(df, ["Season", "Year"], 
         _r2sum(S).alias("Total_Sales"), _r2sum(P).alias("Total_Profit"),
-        F.countDistinct(N).alias("Order_Count"), A.mean(S, 2, 2).alias("Avg_Order_Value"))
+        A.Distinct(N, "Order_Count"), A.mean(S, 2, 2).alias("Avg_Order_Value"))
         .orderBy("Year", "Season"))
 
 
 def year_over_year_growth(df: DataFrame) -> DataFrame:
     """Yearly totals with LAG growth in percent (window over year rows)."""
-    y = df.groupBy("Year").agg(F.sum(S).alias("_r"), F.sum(P).alias("_p"),
-                               F.countDistinct(N).alias("Order_Count"),
-                               F.countDistinct(C).alias("Customer_Count"))
+    y = A.group_agg(df, ["Year"], F.sum(S).alias("_r"), F.sum(P).alias("_p"),
+                               A.Distinct(N, "Order_Count"),
+                               A.Distinct(C, "Customer_Count"))
     w = Window.orderBy("Year")  # one row per year: bounded by the calendar
 
     def growth(c: str):
@@ -161,9 +161,9 @@ def year_over_year_growth(df: DataFrame) -> DataFrame:
 
 def kpi_summary(df: DataFrame) -> DataFrame:
     """One-row KPI summary."""
-    return df.agg(
-        F.countDistinct(N).alias("Total_Orders"), F.countDistinct(C).alias("Total_Customers"),
-        F.countDistinct("Product_Name").alias("Total_Products"),
+    return A.group_agg(
+        df, [], A.Distinct(N, "Total_Orders"), A.Distinct(C, "Total_Customers"),
+        A.Distinct("Product_Name", "Total_Products"),
         _r2sum(S).alias("Total_Revenue"), _r2sum(P).alias("Total_Profit"),
         A.mean("Profit_Margin_Pct", 2, 2).alias("Avg_Profit_Margin"),
         A.mean(S, 2, 2).alias("Avg_Order_Value"), A.mean("Discount", 2, 3).alias("Avg_Discount"),

@@ -136,8 +136,8 @@ def business_insights(df: DataFrame) -> DataFrame:
 def executive_summary(df: DataFrame) -> DataFrame:
     """Executive summary and key findings as (Line_No, Section, Text)."""
     spark = df.sparkSession
-    g = df.agg(F.sum("Sales").alias("_s"), F.sum("Profit").alias("_p"), F.countDistinct("Order_ID").alias("_n"),
-               F.countDistinct("Customer_ID").alias("_c"), A.mean("Sales", 2, 2).alias("_aov"),
+    g = A.group_agg(df, [], F.sum("Sales").alias("_s"), F.sum("Profit").alias("_p"), A.Distinct("Order_ID", "_n"),
+               A.Distinct("Customer_ID", "_c"), A.mean("Sales", 2, 2).alias("_aov"),
                A.half_up_ratio(F.sum(F.col("Quantity").cast("decimal(38,0)")), F.count("Quantity"), 0, 1)
                .alias("_q"))
     margin = F.when(F.col("_s") > 0, A.pct(F.col("_p"), F.col("_s"), 2, 1)).otherwise(F.lit(0.0))
@@ -194,8 +194,8 @@ def _ts(d: Column) -> Column:
 def summary_report(df: DataFrame, top: int = 10) -> DataFrame:
     """The CSV summary report as titled sections of up to five text cells."""
     from .analysis import top_customers_by_name
-    ov = df.agg(F.count(F.lit(1)).alias("_rows"), F.countDistinct("Customer_ID").alias("_c"),
-                F.countDistinct("Product_Name").alias("_k"), F.countDistinct("Order_ID").alias("_n"),
+    ov = A.group_agg(df, [], F.count(F.lit(1)).alias("_rows"), A.Distinct("Customer_ID", "_c"),
+                A.Distinct("Product_Name", "_k"), A.Distinct("Order_ID", "_n"),
                 F.min("Order_Date").alias("_d0"), F.max("Order_Date").alias("_d1"),
                 F.sum("Sales").alias("_s"), F.sum("Profit").alias("_p"), A.mean("Sales", 2, 2).alias("_aov"),
                 F.sum("Quantity").alias("_q"))
@@ -217,9 +217,9 @@ def summary_report(df: DataFrame, top: int = 10) -> DataFrame:
     cats = df.filter(F.col("Category").isNotNull()).groupBy("Category").agg(
         F.sum("Sales").alias("_s"), F.sum("Profit").alias("_p"), A.mean("Profit_Margin_Pct", 2, 2).alias("_m"),
         F.sum("Quantity").alias("_u"))
-    regs = df.filter(F.col("Region").isNotNull()).groupBy("Region").agg(
-        F.sum("Sales").alias("_s"), F.sum("Profit").alias("_p"), F.countDistinct("Order_ID").alias("_n"),
-        F.countDistinct("Customer_ID").alias("_c"))
+    regs = A.group_agg(df.filter(F.col("Region").isNotNull()), ["Region"],
+                       F.sum("Sales").alias("_s"), F.sum("Profit").alias("_p"), A.Distinct("Order_ID", "_n"),
+                       A.Distinct("Customer_ID", "_c"))
     mons = df.filter(F.col("Year_Month").isNotNull()).groupBy("Year_Month").agg(
         F.sum("Sales").alias("_s"), F.sum("Profit").alias("_p"), F.countDistinct("Order_ID").alias("_n"))
     d = lambda c: F.concat(F.lit("$"), money(c))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.aggs import Distinct, group_agg
 from .schema import (COLUMN_ALIASES, MIN_SCHEMA_COVERAGE, ORDERS_TABLE_COLUMNS, RAW_SCHEMA,
                      REQUIRED_COLUMNS)
 
@@ -104,10 +105,10 @@ def profile(df: DataFrame) -> DataFrame:
     if "Profit" in df.columns:
         aggs.append(F.sum("Profit").cast("double").alias("Total_Profit"))
     if "Customer_ID" in df.columns:
-        aggs.append(F.countDistinct("Customer_ID").alias("Unique_Customers"))
+        aggs.append(Distinct("Customer_ID", "Unique_Customers"))
     if "Product_Name" in df.columns:
-        aggs.append(F.countDistinct("Product_Name").alias("Unique_Products"))
-    return df.agg(*aggs)
+        aggs.append(Distinct("Product_Name", "Unique_Products"))
+    return group_agg(df, [], *aggs)
 
 
 def column_profile(df: DataFrame) -> DataFrame:

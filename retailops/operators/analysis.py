@@ -18,6 +18,7 @@ from ..functions.binning import bin_labels, discount_analysis_bin, discount_repo
 from ..functions.formatting import format_fixed, format_money, format_percent
 from ..sources.schema import (DAY_ORDER, DISCOUNT_ANALYSIS_EDGES, DISCOUNT_REPORT_EDGES,
                               PERFORMANCE_LABELS, SALES_BUCKET_LABELS, SEGMENT_LABELS)
+from ..session import reliable_checkpoint
 from .stats import attach_row, global_row_number
 
 S, P, N, C = "Sales", "Profit", "Order_ID", "Customer_ID"
@@ -139,6 +140,9 @@ def customer_profiles(df: DataFrame, with_rfm: bool = True) -> DataFrame:
            F.coalesce(F.mode("Category", True), F.lit("N/A")).alias("Preferred_Category"),
            F.coalesce(F.mode("Region", True), F.lit("N/A")).alias("Preferred_Region"))
     g = attach_row(g, df.agg(F.max("Order_Date").alias("_max_date")))
+    if with_rfm:
+        # customer grain, reused by the quantile and both rank passes: materialise once
+        g = reliable_checkpoint(g)
     g = g.withColumns({
         "Recency_Days": F.datediff("_max_date", "Last_Purchase"),
         "Frequency": F.col("Order_Count"),

@@ -113,7 +113,7 @@ def rank_score(df: DataFrame, value_col: str, tie_col: str, q: int, out_col: str
     q+1-b.
     """
     ranked = global_row_number(df, [F.col(value_col).asc_nulls_first(), F.col(tie_col).asc()], "_r")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    n = ranked.agg(F.max("_r").alias("_n"))  # reads the checkpointed frame, not the upstream plan
     bin_ = F.greatest(F.lit(1), F.coalesce(int_ceil((F.col("_r") - 1) * q, F.col("_n") - 1), F.lit(1)))
     score = (F.lit(q + 1) - bin_) if descending_labels else bin_
     return attach_row(ranked, n).withColumn(out_col, score.cast("int")).drop("_r", "_n")

@@ -10,6 +10,7 @@ from ..functions.binning import sales_bucket
 from ..functions.calendar import calendar_columns
 from ..functions.metrics import with_row_metrics
 from ..sources.schema import PERFORMANCE_LABELS, SEGMENT_LABELS
+from ..session import reliable_checkpoint
 from .stats import attach_row, qcut
 
 
@@ -18,12 +19,17 @@ def as_of_max_date(df: DataFrame, date_col: str = "Order_Date") -> DataFrame:
     return df.agg(F.max(date_col).alias("_as_of"))
 
 
-def customer_stats(sales: DataFrame, as_of: Column | str | None = None) -> DataFrame:
+def customer_stats(sales: DataFrame, as_of: Column | str | None = None,
+                   materialize: bool = True) -> DataFrame:
     """Per-customer totals, tenure, recency and spend quartile segment.
 
     Partial aggregation happens map-side; a hot customer collapses before the
-    shuffle. ``as_of`` is the reference date for recency (a date literal or
-    column); default is today.
+    shuffle. The customer-grain result is materialised once (reliable
+    checkpoint) because the quartile edges and the reference date are read
+    from it as well - otherwise every reader would recompute the fact-table
+    aggregate. ``as_of`` is the reference date for recency: a 'yyyy-MM-dd'
+    string, a column, ``"max"`` (the latest purchase in the data) or None
+    (today).
     """
     s = sales.filter(F.col("Customer_ID").isNotNull())
     g = s.groupBy("Customer_ID").agg(
@@ -35,9 +41,10 @@ def customer_stats(sales: DataFrame, as_of: Column | str | None = None) -> DataF
         F.min("Order_Date").alias("Customer_First_Purchase"),
         F.max("Order_Date").alias("Customer_Last_Purchase"),
     )
+    if materialize:
+        g = reliable_checkpoint(g)
     if isinstance(as_of, str) and as_of == "max":
-        # reference date = latest order date in the data (repeatable); one broadcast row
-        g = attach_row(g, as_of_max_date(s))
+        g = attach_row(g, g.agg(F.max("Customer_Last_Purchase").alias("_as_of")))
         ref = F.col("_as_of")
     elif as_of is None:
         ref = F.current_date()
@@ -51,8 +58,8 @@ def customer_stats(sales: DataFrame, as_of: Column | str | None = None) -> DataF
     return qcut(g, "Customer_Total_Spent", 4, "Customer_Segment", SEGMENT_LABELS)
 
 
-def product_stats(sales: DataFrame) -> DataFrame:
-    """Per-product totals and sales quartile performance label."""
+def product_stats(sales: DataFrame, materialize: bool = True) -> DataFrame:
+    """Per-product totals and sales quartile performance label (E43); product grain materialised once."""
     s = sales.filter(F.col("Product_Name").isNotNull())
     g = s.groupBy("Product_Name").agg(
         A.dsum("Sales").alias("Product_Total_Sales"),
@@ -61,6 +68,8 @@ def product_stats(sales: DataFrame) -> DataFrame:
         A.dsum("Profit").alias("Product_Total_Profit"),
         F.countDistinct("Order_ID").alias("Product_Order_Count"),
     )
+    if materialize:
+        g = reliable_checkpoint(g)
     return qcut(g, "Product_Total_Sales", 4, "Product_Performance", PERFORMANCE_LABELS)
 
 

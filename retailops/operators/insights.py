@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggs as A
 from .analysis import top_decile_concentration
+from ..session import reliable_checkpoint
 from .stats import attach_row, quantile_row
 
 # --- fixed values: message templates ({} are filled in order) -------------------
@@ -83,13 +84,48 @@ def _argmax(df: DataFrame, key: str) -> DataFrame:
               .orderBy(F.col("_s").desc(), F.col(key)).limit(1))
 
 
+_SETS = ["Category", "Season", "Region", "Payment_Mode", "Year_Month"]
+
+
+def insight_aggregates(df: DataFrame) -> DataFrame:
+    """One pass over the rows: sales per Category / Season / Region / Payment_Mode /
+    Year_Month plus the global row (GROUPING SETS), with the global means and
+    discount quartiles the rules need. Materialised once (it is small: one row
+    per group) because every rule reads it."""
+    sets = [[c] for c in _SETS] + [[]]
+    g = df.groupingSets(sets, *_SETS).agg(
+        F.grouping_id().alias("_gid"), F.sum("Sales").alias("_s"),
+        A.mean("Profit_Margin_Pct", 2, 6).alias("_m6"), A.mean("Profit_Margin_Pct", 2, 1).alias("_m1"),
+        A.half_up_ratio(F.sum(F.col("Customer_Total_Orders").cast("decimal(38,0)")),
+                        F.count("Customer_Total_Orders"), 0, 1).alias("_o"),
+        A.mean(F.col("Customer_Total_Spent").cast("decimal(28,2)"), 2, 2).alias("_sp"),
+        F.percentile(F.col("Discount").cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias("_dq"))
+    return reliable_checkpoint(g)
+
+
+def _set_rows(agg: DataFrame, key: str) -> DataFrame:
+    """Rows of one grouping set (its key not null, as pandas drops null keys)."""
+    gid = (1 << len(_SETS)) - 1 - (1 << (len(_SETS) - 1 - _SETS.index(key)))
+    return agg.filter((F.col("_gid") == gid) & F.col(key).isNotNull()).select(key, "_s")
+
+
+def _global_row(agg: DataFrame) -> DataFrame:
+    return agg.filter(F.col("_gid") == (1 << len(_SETS)) - 1)
+
+
+def _top(rows: DataFrame, key: str) -> DataFrame:
+    """Largest sales; ties -> smallest key. One row."""
+    return rows.orderBy(F.col("_s").desc(), F.col(key)).limit(1)
+
+
 def business_insights(df: DataFrame) -> DataFrame:
-    """L01-L06 as (Insight_No, Insight) rows."""
+    """L01-L06 as (Insight_No, Insight) rows, from two passes over the input."""
     spark = df.sparkSession
+    agg = insight_aggregates(df)
+    glob = _global_row(agg)
     parts = []
     # L01 month-over-month
-    months = df.filter(F.col("Year_Month").isNotNull()).groupBy("Year_Month").agg(F.sum("Sales").alias("_s"))
-    last2 = months.orderBy(F.col("Year_Month").desc()).limit(2).agg(
+    last2 = _set_rows(agg, "Year_Month").orderBy(F.col("Year_Month").desc()).limit(2).agg(
         F.count(F.lit(1)).alias("_n"), F.max_by("_s", "Year_Month").alias("_last"),
         F.min_by("_s", "Year_Month").alias("_prev"))
     g6 = A.pct(F.col("_last") - F.col("_prev"), F.col("_prev"), 2, 6)
@@ -99,25 +135,20 @@ def business_insights(df: DataFrame) -> DataFrame:
             .otherwise(fmt(MSG_GROWTH_STABLE, f1(g1))))
     parts.append(_line(last2, 1, msg, F.col("_n") >= 2))
     # L02 margin
-    m = df.agg(A.mean("Profit_Margin_Pct", 2, 6).alias("_m6"), A.mean("Profit_Margin_Pct", 2, 1).alias("_m1"))
-    parts.append(_line(m, 2, F.when(F.col("_m6") > MARGIN_HIGH, fmt(MSG_MARGIN_STRONG, f1(F.col("_m1"))))
-                                .when(F.col("_m6") < MARGIN_LOW, fmt(MSG_MARGIN_LOW, f1(F.col("_m1"))))
-                                .otherwise(fmt(MSG_MARGIN_HEALTHY, f1(F.col("_m1"))))))
+    parts.append(_line(glob, 2, F.when(F.col("_m6") > MARGIN_HIGH, fmt(MSG_MARGIN_STRONG, f1(F.col("_m1"))))
+                                   .when(F.col("_m6") < MARGIN_LOW, fmt(MSG_MARGIN_LOW, f1(F.col("_m1"))))
+                                   .otherwise(fmt(MSG_MARGIN_HEALTHY, f1(F.col("_m1"))))))
     # L03 customers (row-weighted means)
-    c = df.agg(A.half_up_ratio(F.sum(F.col("Customer_Total_Orders").cast("decimal(38,0)")),
-                               F.count("Customer_Total_Orders"), 0, 1).alias("_o"),
-               A.mean(F.col("Customer_Total_Spent").cast("decimal(28,2)"), 2, 2).alias("_sp"))
-    parts.append(_line(c, 3, fmt(MSG_CUSTOMER, f1(F.col("_o")), money(F.col("_sp")))))
+    parts.append(_line(glob, 3, fmt(MSG_CUSTOMER, f1(F.col("_o")), money(F.col("_sp")))))
     # L04 top category with share, peak season, top region, top payment mode
-    total = df.agg(F.sum("Sales").alias("_t"))
-    cat = attach_row(_argmax(df, "Category"), total)
+    cat = attach_row(_top(_set_rows(agg, "Category"), "Category"), glob.select(F.col("_s").alias("_t")))
     parts.append(_line(cat, 4, fmt(MSG_TOP_CATEGORY, F.col("Category"), f1(A.pct(F.col("_s"), F.col("_t"), 2, 1)))))
-    parts.append(_line(_argmax(df, "Season"), 5, fmt(MSG_PEAK_SEASON, F.col("Season"))))
-    parts.append(_line(_argmax(df, "Region"), 6, fmt(MSG_TOP_REGION, F.col("Region"))))
-    parts.append(_line(_argmax(df, "Payment_Mode"), 7, fmt(MSG_TOP_PAYMENT, F.col("Payment_Mode"))))
-    # L05 discount impact
-    q = quantile_row(df, {"_dq": ("Discount", [0.25, 0.75])})
-    j = attach_row(df.select("Discount", "Profit_Margin_Pct"), q)
+    parts.append(_line(_top(_set_rows(agg, "Season"), "Season"), 5, fmt(MSG_PEAK_SEASON, F.col("Season"))))
+    parts.append(_line(_top(_set_rows(agg, "Region"), "Region"), 6, fmt(MSG_TOP_REGION, F.col("Region"))))
+    parts.append(_line(_top(_set_rows(agg, "Payment_Mode"), "Payment_Mode"), 7,
+                       fmt(MSG_TOP_PAYMENT, F.col("Payment_Mode"))))
+    # L05 discount impact (second pass: needs the quartiles first)
+    j = attach_row(df.select("Discount", "Profit_Margin_Pct"), glob.select("_dq"))
     hi = F.when(F.col("Discount") > F.col("_dq")[1], F.col("Profit_Margin_Pct"))
     lo = F.when(F.col("Discount") <= F.col("_dq")[0], F.col("Profit_Margin_Pct"))
     dd = j.agg(A.mean(hi, 2, 6).alias("_h"), A.mean(lo, 2, 6).alias("_l"))

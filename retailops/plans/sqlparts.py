@@ -114,7 +114,7 @@ def qcut_case(v: str, e: str, labels: list[str]) -> str:
 
 def customer_stats_sql(src: str = "sales") -> str:
     return f"""SELECT c.*, CAST(datediff('day', Customer_First_Purchase, Customer_Last_Purchase) AS INTEGER) AS Customer_Tenure_Days,
-       CAST(datediff('day', Customer_Last_Purchase, (SELECT max(Order_Date) FROM {src})) AS INTEGER) AS Customer_Recency_Days,
+       CAST(datediff('day', Customer_Last_Purchase, (SELECT max(Order_Date) FROM {src} WHERE Customer_ID IS NOT NULL)) AS INTEGER) AS Customer_Recency_Days,
        {qcut_case('Customer_Total_Spent', 'q.e', ['Bronze', 'Silver', 'Gold', 'Platinum'])} AS Customer_Segment
 FROM (SELECT Customer_ID, {dsum('Sales')} AS Customer_Total_Spent, count(DISTINCT Order_ID) AS Customer_Total_Orders,
              {mean('Sales')} AS Customer_Avg_Order_Value, {dsum('Profit')} AS Customer_Total_Profit,

@@ -25,7 +25,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
           .config("spark.ui.enabled", "false")
-          .config("spark.ui.showConsoleProgress", "false"))
+          .config("spark.ui.showConsoleProgress", "false")
+          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()

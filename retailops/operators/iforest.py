@@ -127,6 +127,6 @@ def anomalies_isolation_forest(sales: DataFrame, contamination: float = 0.05, n_
     n = daily.count()
     nodes = fit_forest(daily, n_trees, max_samples, seed)
     scored = score_forest(daily, nodes, min(max_samples, n))
-    cut = quantile_row(scored, {"_cut": ("Anomaly_Score", [contamination])})
+    cut = quantile_row(scored, {"_cut": ("Anomaly_Score", [contamination])}, strategy="map")  # one per date
     return (attach_row(scored, cut).filter(F.col("Anomaly_Score") < F.col("_cut")[0]).drop("_cut")
             .withColumn("Anomaly_Type", F.lit("Isolation Forest")).orderBy("Order_Date"))

@@ -79,3 +79,14 @@ def test_quantile_row_matches_numpy(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
     got = S.quantile_row(df, {"q": ("v", [0.05, 0.25, 0.5, 0.95])}).collect()[0].q
     assert np.allclose(got, np.quantile(vals, [0.05, 0.25, 0.5, 0.95]))
+
+
+def test_quantiles_by_rank_equals_map(spark):
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([rng.normal(50, 10, 700).round(2), np.full(350, 42.0)])  # a third share one value
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    probs = [0.05, 0.25, 0.5, 0.75, 0.95]
+    a = S.quantile_row(df, {"q": ("v", probs)}, strategy="map").collect()[0].q
+    b = S.quantile_row(df, {"q": ("v", probs)}, strategy="rank").collect()[0].q
+    assert a == b
+    assert np.allclose(b, np.quantile(vals, probs))

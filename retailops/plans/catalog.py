@@ -326,3 +326,14 @@ def _a10(s, d):
 
 register("a12_preview")(lambda s, d: IO.preview(P.sales(s, d), 100))
 register("j04_anomalies_isolation_forest")(lambda s, d: AM.detect_anomalies(P.sales(s, d), "isolation_forest"))
+
+
+@register("k09_forecast_table")
+def _k09(s, d):
+    """Future rows of both models (the forecast step of the full run; model fitted once per session)."""
+    ts = _monthly(s, d)
+    model, _ = _boosted(s, d)
+    cols = ["Order_Date", "Sales_Forecast", "Lower_Bound", "Upper_Bound"]
+    seasonal = FC.forecast_seasonal(ts, 6, "M").filter("Is_Future = 1")
+    return (seasonal.select(_F.lit("seasonal").alias("Model"), *cols)
+            .unionByName(FC.forecast_recursive(model, ts, 6, "M").select(_F.lit("boosted").alias("Model"), *cols)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.schema import HOLIDAY_MONTHS, SEASON_BY_MONTH
+from ..sources.schema import DAY_ORDER, HOLIDAY_MONTHS, MONTH_NAMES, SEASON_BY_MONTH
 
 
 def _c(col: str | Column) -> Column:
@@ -37,16 +37,16 @@ def calendar_columns(date_col: str = "Order_Date") -> dict[str, Column]:
     return {
         "Year": F.year(d),
         "Month": month,
-        "Month_Name": F.date_format(d, "MMMM"),
+        "Month_Name": F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), month),
         "Quarter": F.quarter(d),
         "Day": day,
         "Day_of_Week": dow,
-        "Day_Name": F.date_format(d, "EEEE"),
+        "Day_Name": F.element_at(F.array(*[F.lit(x) for x in DAY_ORDER]), dow + 1),
         "Week_of_Year": F.weekofyear(d),  # ISO-8601 week; null-safe
         "Is_Weekend": flag(dow >= 5),
         "Is_Month_Start": flag(day <= 7),
         "Is_Month_End": flag(day >= 21),
-        "Year_Month": F.date_format(d, "yyyy-MM"),
+        "Year_Month": F.concat(F.year(d).cast("string"), F.lit("-"), F.lpad(month.cast("string"), 2, "0")),
         "Season": season(month),
         "Is_Holiday_Season": flag(month.isin(HOLIDAY_MONTHS)),
     }

@@ -50,6 +50,8 @@ OUTLIER_COLUMNS = ["Sales", "Profit", "Discount", "Quantity"]
 
 # Ordered labels.
 DAY_ORDER = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July", "August", "September",
+               "October", "November", "December"]
 SEGMENT_LABELS = ["Bronze", "Silver", "Gold", "Platinum"]
 PERFORMANCE_LABELS = ["Low", "Medium", "High", "Top"]
 SEASON_BY_MONTH = {

@@ -596,9 +596,6 @@ FROM fut2 JOIN pat {using}"""
 
 ORACLE["k03_forecast_naive"] = _SALES + ", " + resample_sql("M", []) + _naive_sql("M", [], 6)
 ORACLE["k03_forecast_naive_per_region"] = _SALES + ", " + resample_sql("W", ["Region"]) + _naive_sql("W", ["Region"], 8)
-ORACLE["i01_history_and_future"] = _SALES + ", " + resample_sql("M", []) + ", nv AS (" + \
-    _naive_sql("M", [], 6).lstrip(",\n").replace("SELECT Order_Date, greatest", "SELECT Order_Date, greatest", 1) + ")" if False else None
-del ORACLE["i01_history_and_future"]
 
 _MLCAL = """CAST(year(Order_Date) AS INTEGER) AS Year, CAST(month(Order_Date) AS INTEGER) AS Month,
        CAST(day(Order_Date) AS INTEGER) AS Day, CAST(isodow(Order_Date) - 1 AS INTEGER) AS DayOfWeek,
@@ -796,3 +793,9 @@ ORACLE["a09_orders_table"] = _F("SELECT " + ", ".join(
      "Day_of_Week", "Month_Name", "Season", "Is_Holiday_Season", "Year_Month", "Unit_Price", "Profit_Margin_Pct",
      "Is_Profitable", "Customer_Total_Spent", "Customer_Total_Orders", "Customer_Segment", "Product_Performance"])
     + " FROM features")
+_NV = _naive_sql("M", [], 6)
+_NV_CTES, _NV_SEL = _NV[:_NV.rindex("\nSELECT ")], _NV[_NV.rindex("\nSELECT "):]
+ORACLE["i01_history_and_future"] = _SALES + ", " + resample_sql("M", []) + _NV_CTES + ", nv AS (" + _NV_SEL + """)
+SELECT Order_Date, Sales AS Actual_Sales, CAST(NULL AS DOUBLE) AS Sales_Forecast, CAST(NULL AS DOUBLE) AS Lower_Bound,
+       CAST(NULL AS DOUBLE) AS Upper_Bound FROM ts
+UNION ALL SELECT Order_Date, CAST(NULL AS DOUBLE), Sales_Forecast, Lower_Bound, Upper_Bound FROM nv"""

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
+import uuid
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -33,7 +33,10 @@ def main() -> None:
     from retailops.plans import prepare as P
     from retailops.sources import io as IO
 
-    work = os.environ.get("BENCH_WORK_DIR") or tempfile.mkdtemp(prefix="retailops-bench-")
+    # scratch tables live next to the checkpoints: on a cluster that is the
+    # shared folder named by spark.checkpoint.dir, never a machine-local one
+    from retailops.session import ensure_checkpoint_dir
+    work = os.environ.get("BENCH_WORK_DIR") or f"{ensure_checkpoint_dir(spark).rstrip('/')}/bench-{uuid.uuid4().hex}"
     feat_path = f"{work}/features"
     sales_path = f"{work}/sales"
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import reliable_checkpoint
 from ..sources.schema import NUMERIC_LIKE_COLUMNS, OUTLIER_COLUMNS, RECOMMENDED_COLUMNS
 from .stats import attach_row, ffill, quantile_row
 
@@ -186,8 +187,10 @@ def clean(df: DataFrame, order_cols: list[str] | None = None, floor: float | Non
 
     Parsing runs first (so parsed nulls are filled and capping sees numbers).
     One small job reads the null count of every column so fill steps are
-    planned only for columns that need them; the cleaned frame itself stays
-    lazy.
+    planned only for columns that need them. The deduplicated rows are read
+    three times by outlier capping (distinct-count sketch, quantile bounds,
+    the capped rows), so they are materialised once in the shared
+    checkpoint folder instead of re-running the key shuffle per reader.
     """
     order_cols = [c for c in (order_cols or DEFAULT_ORDER) if c in df.columns]
     df = parse_currency(coerce_dates(df))
@@ -201,7 +204,7 @@ def clean(df: DataFrame, order_cols: list[str] | None = None, floor: float | Non
     if dates:
         tie = ["Order_ID"] if "Order_ID" in df.columns else []
         df = ffill_dates(df, dates, tie + [c for c in df.columns if c not in dates and c not in tie])
-    df = dedupe(df, ["Order_ID"], order_cols)
+    df = reliable_checkpoint(dedupe(df, ["Order_ID"], order_cols))
     df = cap_outliers(df, OUTLIER_COLUMNS, floor=floor)
     return drop_nonpositive_sales(df)
 
@@ -209,7 +212,7 @@ def clean(df: DataFrame, order_cols: list[str] | None = None, floor: float | Non
 def clean_audit(df: DataFrame, order_cols: list[str] | None = None, floor: float | None = 0.0) -> DataFrame:
     """Row counts before/after each cleaning step as (Step, Rows) - all lazy aggregates."""
     order_cols = [c for c in (order_cols or DEFAULT_ORDER) if c in df.columns]
-    d = dedupe(df, ["Order_ID"], order_cols)
+    d = reliable_checkpoint(dedupe(df, ["Order_ID"], order_cols))  # read by four counts and the bounds
     c = cap_outliers(d, OUTLIER_COLUMNS, floor=floor)
     f = drop_nonpositive_sales(c)
     steps = [("input", df), ("dedupe", d), ("cap_outliers", c), ("sales_positive", f)]

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from retailops.plans.oracle import TOLERANT_ORACLE
 from tools.check_oracle import TABLES, rows_of
 
 NON_SQL = {  # registered without an oracle: model fitting, iterative or Python-side numerics
@@ -41,6 +42,15 @@ def test_query_matches_oracle(spark, con, small_dir, name):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()], False) == rows_of(dcols, cur.fetchall(), False)
 
 
+@pytest.mark.parametrize("name", sorted(TOLERANT_ORACLE))
+def test_query_matches_tolerant_oracle(spark, con, small_dir, name):
+    df = E.queries()[name](spark, small_dir)
+    cur = con.execute(TOLERANT_ORACLE[name])
+    dcols = [d[0] for d in cur.description]
+    assert sorted(df.columns) == sorted(dcols)
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()], True) == rows_of(dcols, cur.fetchall(), True)
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0

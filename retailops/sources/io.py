@@ -130,8 +130,18 @@ export_full = write_csv
 write_forecast = write_csv
 
 
-def write_processed(df: DataFrame, path: str, partition_by: str | None = "Year") -> None:
-    """Features as Parquet partitioned by Year (partition pruning for year filters)."""
+def write_processed(df: DataFrame, path: str, partition_by: str | None = "Year", rebalance: bool = False) -> None:
+    """Features as Parquet partitioned by Year (partition pruning for year filters).
+
+    By default each task writes its rows straight into one file per year it
+    holds: no extra shuffle, files of about (split size / years). With few
+    partition values that is the cheaper layout at scale. ``rebalance=True``
+    adds Spark's REBALANCE on the partition column so AQE sizes the files
+    (splitting hot years, merging small ones) at the cost of one shuffle of
+    the table - worth it when the partition column has many values.
+    """
+    if rebalance and partition_by and partition_by in df.columns:
+        df = df.hint("rebalance", partition_by)
     w = df.write.mode("overwrite")
     if partition_by and partition_by in df.columns:
         w = w.partitionBy(partition_by)

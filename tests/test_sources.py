@@ -46,6 +46,11 @@ def test_sinks_roundtrip(spark, tmp_path, small_dir):
     IO.write_processed(f, str(tmp_path / "features"))
     back = spark.read.parquet(str(tmp_path / "features"))
     assert back.count() == f.count() and "Year" in back.columns
+    IO.write_processed(f, str(tmp_path / "features_rb"), rebalance=True)
+    rb = spark.read.parquet(str(tmp_path / "features_rb"))
+    assert rb.count() == f.count()
+    assert sorted(r.Year for r in rb.select("Year").distinct().collect()) == \
+        sorted(r.Year for r in f.select("Year").distinct().collect())
     IO.write_csv(f.limit(5), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 5
     t = IO.save_orders_table(f, str(tmp_path / "orders"), view="orders_t")

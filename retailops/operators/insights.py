@@ -200,12 +200,8 @@ def _section(df: DataFrame, no: int, name: str, header: list[str], cells: list[C
              order: list[Column]) -> DataFrame:
     """Report section: a header row (Row_No 0) and data rows numbered in ``order``."""
     from pyspark.sql import Window
-    spark = df.sparkSession
     width = 5
-    head = spark.range(1).select(F.lit(no).alias("Section_No"), F.lit(name).alias("Section"),
-                                 F.lit(0).alias("Row_No"),
-                                 *[F.lit(header[i] if i < len(header) else None).cast("string").alias(f"C{i + 1}")
-                                   for i in range(width)])
+    head = _header(df.sparkSession, no, name, header)
     # rows of a section are group rows (bounded by the group count); numbering them is a small window
     body = df.select(F.lit(no).alias("Section_No"), F.lit(name).alias("Section"),
                      F.row_number().over(Window.orderBy(*order)).alias("Row_No"),
@@ -214,6 +210,34 @@ def _section(df: DataFrame, no: int, name: str, header: list[str], cells: list[C
     return head.unionByName(body)
 
 
+def _header(spark, no: int, name: str, header: list[str], width: int = 5) -> DataFrame:
+    """Row 0 of a report section: the column titles."""
+    return spark.range(1).select(F.lit(no).alias("Section_No"), F.lit(name).alias("Section"),
+                                 F.lit(0).alias("Row_No"),
+                                 *[F.lit(header[i] if i < len(header) else None).cast("string").alias(f"C{i + 1}")
+                                   for i in range(width)])
+
+
+def _kv_sections(one_row: DataFrame, parts: list[tuple[int, str, list[str], list[tuple[str, Column]]]],
+                 width: int = 5) -> DataFrame:
+    """Several (key, value) sections read from one one-row aggregate in a single pass.
+
+    ``parts`` = [(section no, title, header, [(key, value column), ...])]; the
+    rows are numbered in list order.
+    """
+    items = [F.struct(F.lit(no).alias("no"), F.lit(name).alias("name"), F.lit(i + 1).alias("r"),
+                      F.lit(k).alias("k"), v.cast("string").alias("v"))
+             for no, name, _, kvs in parts for i, (k, v) in enumerate(kvs)]
+    body = one_row.select(F.inline(F.array(*items))).select(
+        F.col("no").alias("Section_No"), F.col("name").alias("Section"), F.col("r").alias("Row_No"),
+        F.col("k").alias("C1"), F.col("v").alias("C2"),
+        *[F.lit(None).cast("string").alias(f"C{i + 1}") for i in range(2, width)])
+    out = body
+    for no, name, header, _ in parts:
+        out = out.unionByName(_header(one_row.sparkSession, no, name, header, width))
+    return out
+
+
 def _kv(k: str, v: Column) -> Column:
     return F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))
 
@@ -230,20 +254,19 @@ def summary_report(df: DataFrame, top: int = 10) -> DataFrame:
                 F.min("Order_Date").alias("_d0"), F.max("Order_Date").alias("_d1"),
                 F.sum("Sales").alias("_s"), F.sum("Profit").alias("_p"), A.mean("Sales", 2, 2).alias("_aov"),
                 F.sum("Quantity").alias("_q"))
-    kv = F.array(
-        F.struct(F.lit("Total Records").alias("k"), F.col("_rows").cast("string").alias("v")),
-        _kv("Total Customers", F.col("_c").cast("string")),
-        _kv("Total Products", F.col("_k").cast("string")),
-        _kv("Total Orders", F.col("_n").cast("string")),
-        _kv("Date Range", F.concat(_ts(F.col("_d0")), F.lit(" to "), _ts(F.col("_d1")))))
-    overview = ov.select(F.posexplode(kv)).select(F.col("pos"), F.col("col.k").alias("k"), F.col("col.v").alias("v"))
-    kpi = ov.select(F.posexplode(F.array(
-        F.struct(F.lit("Total Revenue").alias("k"), F.concat(F.lit("$"), money(F.col("_s"))).alias("v")),
-        _kv("Total Profit", F.concat(F.lit("$"), money(F.col("_p")))),
-        _kv("Profit Margin", F.concat(F.format_string("%.2f", A.pct(F.col("_p"), F.col("_s"))), F.lit("%"))),
-        _kv("Average Order Value", F.concat(F.lit("$"), money(F.col("_aov")))),
-        _kv("Total Units Sold", F.col("_q").cast("bigint").cast("string"))))).select(
-        F.col("pos"), F.col("col.k").alias("k"), F.col("col.v").alias("v"))
+    # overview and KPIs both read the one-row overall aggregate: one pass, not two
+    money_ = lambda c: F.concat(F.lit("$"), money(c))
+    overview_kpis = _kv_sections(ov, [
+        (1, "DATASET OVERVIEW", ["Metric", "Value"], [
+            ("Total Records", F.col("_rows")), ("Total Customers", F.col("_c")), ("Total Products", F.col("_k")),
+            ("Total Orders", F.col("_n")),
+            ("Date Range", F.concat(_ts(F.col("_d0")), F.lit(" to "), _ts(F.col("_d1"))))]),
+        (2, "REVENUE KPIs", ["KPI", "Value"], [
+            ("Total Revenue", money_(F.col("_s"))), ("Total Profit", money_(F.col("_p"))),
+            ("Profit Margin", F.concat(F.format_string("%.2f", A.pct(F.col("_p"), F.col("_s"))), F.lit("%"))),
+            ("Average Order Value", money_(F.col("_aov"))),
+            ("Total Units Sold", F.col("_q").cast("bigint"))]),
+    ])
     cust = top_customers_by_name(df, top)
     cats = df.filter(F.col("Category").isNotNull()).groupBy("Category").agg(
         F.sum("Sales").alias("_s"), F.sum("Profit").alias("_p"), A.mean("Profit_Margin_Pct", 2, 2).alias("_m"),
@@ -255,8 +278,7 @@ def summary_report(df: DataFrame, top: int = 10) -> DataFrame:
         F.sum("Sales").alias("_s"), F.sum("Profit").alias("_p"), F.countDistinct("Order_ID").alias("_n"))
     d = lambda c: F.concat(F.lit("$"), money(c))
     sections = [
-        _section(overview, 1, "DATASET OVERVIEW", ["Metric", "Value"], [F.col("k"), F.col("v")], [F.col("pos")]),
-        _section(kpi, 2, "REVENUE KPIs", ["KPI", "Value"], [F.col("k"), F.col("v")], [F.col("pos")]),
+        overview_kpis,
         _section(cust, 3, "TOP 10 CUSTOMERS BY REVENUE", ["Customer Name", "Total Spent", "Orders", "Avg Order Value"],
                  [F.col("Customer_Name"), d(F.col("Total_Spent")), F.col("Orders"),
                   d(F.round(F.col("Avg_Value").cast("decimal(24,6)"), 2))],

@@ -76,10 +76,9 @@ def quantiles_by_rank(df: DataFrame, col: str | Column, probs: list[float], name
     the values at ranks floor(h) and ceil(h), h = (n-1)p, are picked with a
     partial max aggregate and interpolated as (ceil-h)*lo + (h-floor)*hi.
     """
-    p = _num_partitions(df, num_partitions)
     vc = (df.select(_c(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
             .groupBy("_v").agg(F.count(F.lit(1)).alias("_c")))
-    ranged = reliable_checkpoint(vc.repartitionByRange(p, "_v")).withColumn("_pid", F.spark_partition_id())
+    ranged = reliable_checkpoint(_by_range(vc, ["_v"], num_partitions)).withColumn("_pid", F.spark_partition_id())
     tot = ranged.groupBy("_pid").agg(F.sum("_c").alias("_pc"))
     offs = tot.select("_pid",
                       F.coalesce(F.sum("_pc").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
@@ -140,10 +139,13 @@ def qcut(df: DataFrame, value_col: str, q: int, out_col: str,
 
 # --- global ordering without a single-partition window ----------------------
 
-def _num_partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def _by_range(df: DataFrame, order: list, n: int | None) -> DataFrame:
+    """Range partitioning on ``order``: ``n`` partitions when given, otherwise
+    sized at runtime - up to ``spark.sql.shuffle.partitions``, coalesced by AQE.
+    Coalescing merges adjacent ranges only, so partition ids still follow the
+    global order.
+    """
+    return df.repartitionByRange(n, *order) if n else df.repartitionByRange(*order)
 
 
 def global_row_number(df: DataFrame, order: list[Column], out_col: str = "row_number",
@@ -156,8 +158,7 @@ def global_row_number(df: DataFrame, order: list[Column], out_col: str = "row_nu
     partition contents are stable, counted per partition (one row each),
     turned into prefix offsets, and numbered locally.
     """
-    p = _num_partitions(df, num_partitions)
-    ranged = reliable_checkpoint(df.repartitionByRange(p, *order))
+    ranged = reliable_checkpoint(_by_range(df, order, num_partitions))
     with_pid = ranged.withColumn("_pid", F.spark_partition_id())
     counts = with_pid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
@@ -206,9 +207,8 @@ def ffill(df: DataFrame, cols: list[str], order_cols: list[str],
     over those rows gives the carry-in, and a window inside each partition
     fills the rest.
     """
-    p = _num_partitions(df, num_partitions)
     order = [F.col(c) for c in order_cols]
-    ranged = reliable_checkpoint(df.repartitionByRange(p, *order)).withColumn("_pid", F.spark_partition_id())
+    ranged = reliable_checkpoint(_by_range(df, order, num_partitions)).withColumn("_pid", F.spark_partition_id())
     pos = F.struct(*order)
     tails = ranged.groupBy("_pid").agg(*[
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), pos)).alias(f"_tail_{c}") for c in cols])

@@ -90,3 +90,32 @@ def test_quantiles_by_rank_equals_map(spark):
     b = S.quantile_row(df, {"q": ("v", probs)}, strategy="rank").collect()[0].q
     assert a == b
     assert np.allclose(b, np.quantile(vals, probs))
+
+
+def test_global_row_number_with_adaptive_coalescing(spark):
+    """Without an explicit count AQE merges range partitions; ids must still follow the order."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+            "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4k",
+            "spark.sql.shuffle.partitions": "64"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rng = np.random.default_rng(11)
+        n = 30_000
+        pdf = pd.DataFrame({"k": np.arange(n), "v": rng.integers(0, 20, n).astype(float)})
+        pdf.loc[rng.choice(n, 100, replace=False), "v"] = np.nan
+        df = spark.createDataFrame(pdf)
+        order = [F.col("v").asc_nulls_first(), F.col("k").asc()]
+        got = S.global_row_number(df, order, "rn").toPandas()
+        exp = pdf.sort_values(["v", "k"], na_position="first").reset_index(drop=True)
+        exp["rn_e"] = np.arange(1, n + 1)
+        m = got.merge(exp[["k", "rn_e"]], on="k")
+        assert len(m) == n and (m.rn == m.rn_e).all()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

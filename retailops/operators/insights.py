@@ -238,10 +238,6 @@ def _kv_sections(one_row: DataFrame, parts: list[tuple[int, str, list[str], list
     return out
 
 
-def _kv(k: str, v: Column) -> Column:
-    return F.struct(F.lit(k).alias("k"), v.cast("string").alias("v"))
-
-
 def _ts(d: Column) -> Column:
     return F.date_format(d.cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
 

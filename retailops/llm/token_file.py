@@ -25,6 +25,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -39,7 +40,7 @@ MAGIC = b"VLR1"
 #: Ids in a block before it is written; a longer document is a block of its own.
 BLOCK = 262_144
 #: Entries of a worker's cache of pieces before it starts anew.
-CACHE = 300_000
+CACHE = 400_000
 
 _HEAD = struct.Struct("<4sII")
 #: The lengths of four ids for each control byte, and the bits that a length keeps.
@@ -168,16 +169,21 @@ class Ids:
         return [self.whole([texts[k]])[0] if k in odd else b"".join(map(get, w)) for k, w in enumerate(words)]
 
 
+@lru_cache(maxsize=1)
+def _ids(file: str) -> Ids:
+    """One tokenizer with its caches for all tasks of a worker."""
+    return Ids(file)
+
+
 def _tokenise(tokenizer: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        ids = Ids(tokenizer)
+        ids = _ids(tokenizer)
         end = np.asarray([end_id], ids.kind).tobytes()
         for b in slices(batches):
             raw = [x + end for x in ids([t or "" for t in b.column("text").to_pylist()])]
-            wide = [np.frombuffer(x, ids.kind).astype("<u4") for x in raw]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(x) for x in wide], pa.int64()),
-                 pa.array([zlib.crc32(x.tobytes()) for x in wide], pa.int64()), pa.array(raw, pa.binary())],
+                [b.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()),
+                 pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw, pa.binary())],
                 names=["doc_id", "n", "crc", "ids"])
     return run
 

@@ -31,7 +31,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_path, slices, stored
@@ -250,10 +250,10 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1) -> No
         .write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
 
 
-def _read_blocks(id_of: np.ndarray, doc_type: pa.DataType, digest: bool):
+def _read_blocks(id_of: np.ndarray, base: dict[int, int], doc_type: pa.DataType, digest: bool):
     def run(batches):
         for b in slices(batches, 8):
-            for base, first, ids, block in zip(*(b.column(c).to_pylist() for c in ("base", "first", "doc_ids", "block"))):
+            for shard, first, ids, block in zip(*(b.column(c).to_pylist() for c in ("shard", "first", "doc_ids", "block"))):
                 counts, ranks = unpack_block(block)
                 flat = id_of[ranks].astype("<u4")
                 ends = np.cumsum(counts, dtype=np.int64)
@@ -264,7 +264,7 @@ def _read_blocks(id_of: np.ndarray, doc_type: pa.DataType, digest: bool):
                     offsets = np.concatenate([[0], ends]).astype(np.int32)
                     last = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, doc_type), pa.array(base + first + starts), pa.array(counts.astype(np.int64)), last],
+                    [pa.array(ids, doc_type), pa.array(base[shard] + first + starts), pa.array(counts.astype(np.int64)), last],
                     names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
     return run
 
@@ -276,12 +276,13 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     blocks = spark.read.parquet(f"{path}/blocks")
     doc = blocks.schema["doc_ids"].dataType.elementType
     id_of = np.array([r.id for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()] or [0], np.int64)
-    # one row a shard
-    base = blocks.groupBy("shard").agg(F.sum("n").alias("n")).select(
-        "shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
+    # one number for each shard, which is one for each task that wrote the files
+    base, total = {}, 0
+    for r in blocks.groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect():
+        base[r.shard], total = total, total + r.n
     kind = doc.simpleString()
-    return blocks.join(base, "shard").select("base", "first", "doc_ids", "block").mapInArrow(
-        _read_blocks(id_of, to_arrow_type(doc), digest),
+    return blocks.select("shard", "first", "doc_ids", "block").mapInArrow(
+        _read_blocks(id_of, base, to_arrow_type(doc), digest),
         f"doc_id {kind}, start bigint, n_tokens bigint, " + ("ids_crc32 bigint" if digest else "ids array<int>"))
 
 

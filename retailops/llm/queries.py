@@ -5,8 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, simhash_dedup, token_counts, token_file
-from .common import table
+from . import bpe_tree, language_id, quality_rules, simhash_dedup, token_counts, token_file
+from .common import fold, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", fold("doc_id", 5) == 0)
+    model = language_id.fit(docs.where("not held_out"))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +38,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op6_token_file, op8_bpe_tree, op9_simhash_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_quality_rules, op6_token_file, op8_bpe_tree, op9_simhash_dedup,
+                                   op10_token_counts)}
 #: DuckDB SQL of the queries that it can express.
 ORACLE: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, language_id, quality_rules, simhash_dedup, token_counts, token_file
+from . import bpe_tree, decontaminate, language_id, quality_rules, simhash_dedup, token_counts, token_file
 from .common import fold, table
 
 
@@ -24,6 +24,11 @@ def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                      table(spark, sf_dir, "benchmark", "item_id", "text"), similarity=0.8, radius=20)
+
+
 def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.bpe_round_trip(table(spark, sf_dir, "documents", "doc_id", "text"),
                                    public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -38,7 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_quality_rules, op6_token_file, op8_bpe_tree, op9_simhash_dedup,
-                                   op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_quality_rules, op6_token_file, op7_decontaminate, op8_bpe_tree,
+                                   op9_simhash_dedup, op10_token_counts)}
 #: DuckDB SQL of the queries that it can express.
 ORACLE: dict[str, str] = {}

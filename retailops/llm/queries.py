@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, decontaminate, language_id, quality_rules, simhash_dedup, token_counts, token_file
+from . import bpe_tree, decontaminate, language_id, quality_rules, simhash_dedup, token_counts, token_file, url_filter
 from .common import fold, table
 
 
@@ -15,6 +15,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model)
 
 
+#: The contract's rules.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+             ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -43,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_quality_rules, op6_token_file, op7_decontaminate, op8_bpe_tree,
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_url_filter, op4_quality_rules, op6_token_file, op7_decontaminate, op8_bpe_tree,
                                    op9_simhash_dedup, op10_token_counts)}
 #: DuckDB SQL of the queries that it can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_url_filter": url_filter.oracle_sql(URL_RULES)}

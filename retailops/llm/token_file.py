@@ -39,10 +39,14 @@ from .common import scratch_path, slices, stored
 MAGIC = b"VLR1"
 #: Ids in a block before it is written; a longer document is a block of its own.
 BLOCK = 262_144
-#: Entries of a worker's cache of pieces before it starts anew.
-CACHE = 400_000
+#: Entries of a worker's cache of pre-tokens before it becomes the older one.
+CACHE = 300_000
 
 _HEAD = struct.Struct("<4sII")
+#: Byte-level vocabularies show a byte as its Latin-1 character if that is printable
+#: and not a space, else as the next free character from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: The lengths of four ids for each control byte, and the bits that a length keeps.
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -87,13 +91,19 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 class Ids:
     """Ids of texts by a tokenizers file, as little-endian bytes of type ``kind``.
 
-    For a tokenizer that lower-cases, drops white space and marks word ends, a
-    text may be cut at ASCII white space, and a piece of plain letters followed
-    by ASCII punctuation between the two; ids of pieces are remembered. Any other
-    tokenizer gets whole texts. All ids come from the library.
+    For a tokenizer that composes, lower-cases, drops white space, splits by the
+    pattern below and marks word ends, texts of ASCII and Latin-1 letters are
+    split here by that pattern's equal for these characters, and each pre-token's
+    ids, which the library's model gives, are remembered. A word (between ASCII
+    white space) with any other character goes to the library as it is, a text
+    with a special string as a whole. Any other tokenizer gets whole texts.
     """
 
-    _parts = re.compile(r"([a-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+    #: Fixed value: the split pattern that the cut below is made for.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    _cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+").findall
+    _plain = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
+    _gaps = re.compile(r"[\t-\r ]+").split
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -102,71 +112,53 @@ class Ids:
         self.t = Tokenizer.from_file(file)
         self.t.no_truncation()
         self.t.no_padding()
+        self.model = self.t.model
         self.kind = "<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4"
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
         norm = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.cuts = (spec["model"].get("end_of_word_suffix") == "</w>" and norm == ["NFC", "Replace", "Lowercase"]
-                     and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert")
-                     and split["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.special = [x["content"].encode() for x in spec.get("added_tokens", [])]
-        if self.cuts:
-            self.ends = np.zeros(self.t.get_vocab_size(), bool)
-            for w, i in self.t.get_vocab().items():
-                self.ends[i] = w.endswith("</w>")
-        self.pieces: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+                     and split.get("type") == "Split" and split.get("behavior") == "Removed"
+                     and bool(split.get("invert")) and split["pattern"].get("Regex") == self.SPLIT)
+        self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before the cache began anew
 
     def _raw(self, ids: list[int]) -> bytes:
         return np.asarray(ids, self.kind).tobytes()
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [self._raw(self.t.encode(x, add_special_tokens=False).ids) for x in texts]
+    def whole(self, text: str) -> bytes:
+        return self._raw(self.t.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.pieces) + len(new) > CACHE:
-            self.pieces.clear()
-        if len(self.parts) > CACHE:
-            self.parts = {"": b""}
-        plain, rest, want = [], [], set()
-        for w in new:
-            s = w.decode()
-            m = self._parts.fullmatch(s)
-            if m:
-                plain.append((w, m[1], m[2]))
-                want.update((m[1], m[2]))
+    def _split(self, text: str) -> list[str]:
+        if self._plain(text):
+            return self._cut(text.lower())
+        out: list[str] = []
+        for word in self._gaps(text):
+            if self._plain(word):
+                out += self._cut(word.lower())
             else:
-                rest.append((w, s))
-        want -= self.parts.keys()
-        if want:
-            # each part is one pre-token: its last id, and only that, ends a word
-            want = list(want)
-            ids = np.asarray(self.t.encode(" ".join(want), add_special_tokens=False).ids, self.kind)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != len(want):
-                raise AssertionError("a part is not one pre-token")
-            lo = 0
-            for w, hi in zip(want, cut.tolist()):
-                self.parts[w] = ids[lo:hi].tobytes()
-                lo = hi
-        for w, a, b in plain:
-            self.pieces[w] = self.parts[a] + self.parts[b]
-        for (w, _), ids in zip(rest, self.whole([s for _, s in rest])):
-            self.pieces[w] = ids
+                out.append("\n" + word)  # no pre-token has a line feed
+        return out
+
+    def _part(self, part: str) -> bytes:
+        if part[0] == "\n":
+            return self.whole(part)
+        shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_SHOWN)
+        return self._raw([x.id for x in self.model.tokenize(shown)])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
-            return self.whole(texts)
-        raw = [t.encode() for t in texts]
-        odd = {k for k, t in enumerate(raw) if any(s in t for s in self.special) or b"<|" in t}
-        words = [[] if k in odd else t.lower().split() for k, t in enumerate(raw)]
-        new = set(chain.from_iterable(words)) - self.pieces.keys()
-        if new:
-            had = len(self.pieces)
-            self._learn(list(new))
-            if len(self.pieces) < had + len(new):  # started anew: words of before are missing too
-                self._learn(list(set(chain.from_iterable(words)) - self.pieces.keys()))
-        get = self.pieces.__getitem__
-        return [self.whole([texts[k]])[0] if k in odd else b"".join(map(get, w)) for k, w in enumerate(words)]
+            return [self.whole(t) for t in texts]
+        odd = {k for k, t in enumerate(texts) if "<|" in t or any(s in t for s in self.special)}
+        split = [[] if k in odd else self._split(t) for k, t in enumerate(texts)]
+        if len(self.parts) > CACHE:
+            self.older, self.parts = self.parts, {}
+        parts, older = self.parts, self.older
+        for p in set(chain.from_iterable(split)):
+            if p not in parts:
+                parts[p] = older.get(p) or self._part(p)
+        get = parts.__getitem__
+        return [self.whole(texts[k]) if k in odd else b"".join(map(get, x)) for k, x in enumerate(split)]
 
 
 @lru_cache(maxsize=1)

@@ -10,7 +10,8 @@ The cut between allow and block is calibrated on labelled urls that the models
 have not seen (page_id divisible by 5): the hundredth of the score with the
 best balanced accuracy, and of equals the one nearest to zero, then the smaller.
 
-All steps are DataFrame functions; the models are tables of n-gram counts.
+All steps are DataFrame functions; the models are tables of n-gram counts that
+grow with the urls, so they are joined by shuffles and never broadcast.
 
 Defined results: a null url or one without ``://`` has empty host and path, no
 rule, and is judged by the model as an empty text; a url that occurs often
@@ -69,11 +70,11 @@ def markov_ratio(grams: DataFrame, order: int = ORDER, weight: float = WEIGHT) -
         counts = grams.groupBy(F.expr(f"right(gram, {k + 1})").alias("g")).agg(
             F.sum("accepted").alias("a"), F.sum("rejected").alias("r"))
         context = counts.groupBy(F.expr(f"left(g, {k})").alias("c")).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"))
-        now = counts.join(context, F.expr(f"left(g, {k})") == F.col("c"))
+        now = counts.hint("merge").join(context, F.expr(f"left(g, {k})") == F.col("c"))
         if lower is None:
             now = now.withColumns({"la": F.lit(1.0 / ALPHABET), "lr": F.lit(1.0 / ALPHABET)})
         else:
-            now = now.join(lower.select(F.col("g").alias("s"), F.col("pa").alias("la"), F.col("pr").alias("lr")),
+            now = now.hint("merge").join(lower.select(F.col("g").alias("s"), F.col("pa").alias("la"), F.col("pr").alias("lr")),
                            F.expr(f"right(g, {k})") == F.col("s"))
         lower = now.select("g", ((F.col("a") + weight * F.col("la")) / (F.col("ca") + weight)).alias("pa"),
                            ((F.col("r") + weight * F.col("lr")) / (F.col("cr") + weight)).alias("pr"))
@@ -104,11 +105,11 @@ def judge(pages: DataFrame, rules: list[Rule], order: int = ORDER, weight: float
     spread = texts.select("text", "accepted", "rejected", F.explode(_grams("text", order)).alias("gram"))
     model = markov_ratio(spread.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")),
                          order, weight)
-    scores = stored(spread.select("text", "gram").join(stored(model, "url-model"), "gram").groupBy("text")
+    scores = stored(spread.select("text", "gram").hint("merge").join(stored(model, "url-model"), "gram").groupBy("text")
                     .agg((F.sum("ratio") / F.count("*")).alias("score"))
                     .select("text", F.least(F.greatest(F.floor(F.round("score", 9) * 100), F.lit(LEAST)), F.lit(MOST))
                             .cast("int").alias("bin")), "url-scores")
-    rated = urls.join(scores, F.concat("host", "path") == F.col("text"))
+    rated = urls.hint("merge").join(scores, F.concat("host", "path") == F.col("text"))
     cut = _calibrated(rated.where("held AND label IS NOT NULL").select("label", "bin")).first()["cut"]  # one number
     return rated.select("page_id", "host", "path", "rule", F.coalesce(
         "label", F.when(F.col("bin") >= cut, F.lit("allow")).otherwise(F.lit("block"))).alias("verdict"))

@@ -7,11 +7,13 @@ with the item (sum of the smaller multiplicities over sum of the larger ones).
 
 1. *Anchors.* Such a window shares at least t = ceil(similarity * n) of the
    item's n shingles, so it holds one of any n - t + 1 of them; each item is
-   indexed by its rarest n - t + 1. This loses no window. All shingles of all
-   documents meet the index in a join that Spark broadcasts only below its size
-   threshold and otherwise sorts and splits.
-2. *Windows.* Every window of the item's size around an anchor gets a 64-bit
-   SimHash of its shingles.
+   indexed by its rarest n - t + 1. This loses no window. The index is broadcast
+   in parts of about ``part`` entries, one pass over the texts for each part, so
+   the texts are never shuffled however large the benchmark is. A hit carries
+   the words around it, as far as a window of its item's size can reach.
+2. *Windows.* Every window of the item's size that holds an anchor gets a 64-bit
+   SimHash of its shingles, once: it belongs to its first anchor. Bits are
+   counted in 16 sums of four 16-bit lanes.
 3. *Multi-index.* Fingerprints are cut into radius + 1 blocks: two within the
    radius agree on a whole block, so an equality join on (item, block, value)
    finds all of them; the Hamming distance is then checked.
@@ -28,7 +30,9 @@ give one row for each doc_id; empty tables give no rows; null doc_ids are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -37,7 +41,7 @@ WIDTH = 5
 
 
 def _words(text: str) -> Column:
-    return F.expr(f"filter(split(lower({text}), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> '')")
+    return F.expr(f"array_remove(split(lower({text}), '[^\\\\p{{L}}\\\\p{{N}}]+'), '')")
 
 
 def _shingles(words: str) -> Column:
@@ -47,11 +51,20 @@ def _shingles(words: str) -> Column:
         ELSE array() END""")
 
 
-def _simhash(shingles: str) -> Column:
-    """Bit b is set if more than half of the shingle hashes have it."""
-    return F.expr(f"""aggregate(sequence(0, 63), 0L, (f, b) -> f | if(
-        2 * aggregate({shingles}, 0, (n, h) -> n + cast(shiftright(h, b) & 1L AS int)) > size({shingles}),
-        shiftleft(1L, b), 0L))""")
+#: One bit in each of four lanes; lanes count to 65,535 shingles.
+_LANES = 0x0001000100010001
+
+
+def _lane_sums(h: str) -> list[Column]:
+    """Sixteen aggregates that count the 64 bits of ``h`` over a group's rows."""
+    return [F.sum(F.expr(f"shiftright({h}, {k}) & {_LANES}L")).alias(f"s{k}") for k in range(16)]
+
+
+def _majority(n: str) -> Column:
+    """The SimHash: bit 16 j + k is set if lane j of sum k is above half of ``n``."""
+    bits = [f"if(2 * (shiftright(s{k}, {16 * j}) & 65535L) > {n}, shiftleft(1L, {16 * j + k}), 0L)"
+            for j in range(4) for k in range(16)]
+    return F.expr(" | ".join(bits))
 
 
 def _blocks(fp: str, radius: int) -> Column:
@@ -63,12 +76,16 @@ def _blocks(fp: str, radius: int) -> Column:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """One row for each class of items with equal words: item_id, words, shingles, m, n, item_fp."""
+    """One row for each class of items with equal words: item_id, words, shingles, m, n."""
     return (benchmark.select("item_id", _words("text").alias("words")).where(F.size("words") >= WIDTH)
             .groupBy("words").agg(F.min("item_id").alias("item_id"))
             .withColumn("shingles", _shingles("words"))
-            .withColumn("m", F.size("words")).withColumn("n", F.size("shingles"))
-            .withColumn("item_fp", _simhash("shingles")))
+            .withColumn("m", F.size("words")).withColumn("n", F.size("shingles")))
+
+
+def _item_fingerprints(items: DataFrame) -> DataFrame:
+    return (items.select("item_id", F.explode("shingles").alias("h")).groupBy("item_id")
+            .agg(*_lane_sums("h"), F.count("*").alias("n")).select("item_id", _majority("n").alias("item_fp")))
 
 
 def _anchors(items: DataFrame, similarity: float) -> DataFrame:
@@ -82,52 +99,57 @@ def _anchors(items: DataFrame, similarity: float) -> DataFrame:
             .select("item_id", "m", F.col("s.h").alias("h")).distinct())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20) -> DataFrame:
+def _hits(docs: DataFrame, anchors: DataFrame, part: int) -> DataFrame:
+    """doc_id, text_hash, item_id, m, at (word of the anchor), base and ctx: the words
+    from ``base`` on that windows of m words around the anchor can hold."""
+    parts = max(1, -(-anchors.count() // part))
+    spread = (docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _words("text").alias("words"))
+              .select("doc_id", "text_hash", "words", F.posexplode(_shingles("words")).alias("at", "h")))
+    found = [spread.join(F.broadcast(anchors.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == k)), "h") for k in range(parts)]
+    return (reduce(DataFrame.unionByName, found)
+            .withColumn("base", F.expr(f"greatest(0, at - m + {WIDTH})"))
+            .select("doc_id", "text_hash", "item_id", "m", "at", "base", F.expr("slice(words, base + 1, at - base + m)").alias("ctx")))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20,
+                 part: int = 500_000) -> DataFrame:
     """doc_id, item_id, similarity and start (first word of the most similar window)
     of every document and item class that match."""
     items = stored(_items(benchmark), "items")
-    anchors = stored(_anchors(items, similarity), "anchors")
-    docs = docs.select("doc_id", "text")
-    read = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _words("text").alias("words"))
-    spread = read.select("doc_id", "text_hash", F.posexplode(_shingles("words")).alias("at", "h"))
-    hits = stored(spread.join(anchors.select("h").distinct(), "h", "left_semi"), "hits")
-
-    # the starts of all windows around an anchor, gathered for each document and item
-    starts = (hits.join(anchors, "h")
-              .select("doc_id", "text_hash", "item_id", "m",
-                      F.explode(F.expr(f"sequence(greatest(0, at - m + {WIDTH}), at)")).alias("start"))
-              .groupBy("doc_id", "text_hash", "item_id", "m").agg(F.collect_set("start").alias("starts")))
-    found = hits.select("doc_id", "text_hash").distinct()
-    texts = docs.withColumn("text_hash", F.xxhash64("text")).alias("t").join(
-        found.alias("f"), F.expr("t.text_hash = f.text_hash AND t.doc_id <=> f.doc_id"), "left_semi")
-    texts = texts.select("doc_id", "text_hash", _words("text").alias("words")).dropDuplicates(["doc_id", "text_hash"])
-    windows = (texts.alias("t").join(starts.alias("s"), F.expr("t.text_hash = s.text_hash AND t.doc_id <=> s.doc_id"))
-               .select("t.doc_id", "item_id", "m", "words", F.explode("starts").alias("start"))
-               .where("start + m <= size(words)")
-               .select("doc_id", "item_id", "start", F.expr("slice(words, start + 1, m)").alias("window"))
-               .withColumn("fp", _simhash_of_window("window")))
+    hits = stored(_hits(docs, stored(_anchors(items, similarity), "anchors"), part), "hits")
+    # windows are numbered from base; the ones that hold the anchor before are that one's
+    ours = Window.partitionBy("doc_id", "text_hash", "item_id").orderBy("at")
+    spans = (hits.dropDuplicates(["doc_id", "text_hash", "item_id", "at"])
+             .withColumn("lo", F.greatest(F.lit(0), F.coalesce(F.lag("at").over(ours) + 1 - F.col("base"), F.lit(0))))
+             .withColumn("hi", F.expr("least(at - base, size(ctx) - m)")).where("lo <= hi"))
+    windows = (spans.select("doc_id", "text_hash", "item_id", "m", "base", "lo", "hi", F.posexplode(_shingles("ctx")).alias("j", "h"))
+               .withColumn("first", F.expr(f"greatest(lo, j - m + {WIDTH})")).withColumn("last", F.expr("least(hi, j)"))
+               .where("first <= last")
+               .select("doc_id", "text_hash", "item_id", "h", F.explode(F.expr("sequence(base + first, base + last)")).alias("start"))
+               .groupBy("doc_id", "text_hash", "item_id", "start").agg(*_lane_sums("h"), F.count("*").alias("n"))
+               .select("doc_id", "text_hash", "item_id", "start", _majority("n").alias("fp")))
+    index = (_item_fingerprints(items).withColumn("b", F.explode(_blocks("item_fp", radius)))
+             .select("item_id", "item_fp", F.col("b.k").alias("k"), F.col("b.v").alias("v")))
     near = (windows.withColumn("b", F.explode(_blocks("fp", radius)))
-            .select("doc_id", "item_id", "start", "window", "fp", F.col("b.k").alias("k"), F.col("b.v").alias("v"))
-            .join(items.select("item_id", "item_fp", F.col("words").alias("item"), F.explode(_blocks("item_fp", radius)).alias("b"))
-                  .select("item_id", "item_fp", "item", F.col("b.k").alias("k"), F.col("b.v").alias("v")),
-                  ["item_id", "k", "v"])
+            .select("doc_id", "text_hash", "item_id", "start", "fp", F.col("b.k").alias("k"), F.col("b.v").alias("v"))
+            .join(index, ["item_id", "k", "v"])
             .where(f"bit_count(fp ^ item_fp) <= {radius}")
             # a window that agrees on several blocks is taken at the first of them
-            .where(f"k = {_first_block(radius)}"))
-    return (near.withColumn("similarity", _similarity("window", "item")).where(F.col("similarity") >= similarity)
+            .where(f"k = {_first_block(radius)}").select("doc_id", "text_hash", "item_id", "start"))
+    # one hit whose words hold the whole window gives its words back
+    words = (near.alias("w").join(hits.alias("h"), F.expr(
+        "w.text_hash = h.text_hash AND w.item_id = h.item_id AND w.doc_id <=> h.doc_id "
+        "AND w.start BETWEEN h.base AND h.at"))
+        .select("w.doc_id", "w.text_hash", "w.item_id", "w.start", F.expr("slice(h.ctx, greatest(1, w.start - h.base + 1), h.m)").alias("window"))
+        .dropDuplicates(["doc_id", "text_hash", "item_id", "start"]))
+    return (words.join(items.select("item_id", F.col("words").alias("item")), "item_id")
+            .withColumn("similarity", _similarity("window", "item")).where(F.col("similarity") >= similarity)
             .groupBy("doc_id", "item_id")
             .agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"))).alias("best"))
             .select("doc_id", "item_id", F.col("best.similarity").alias("similarity"),
                     (-F.col("best.before")).cast("bigint").alias("start")))
 
 
-def _simhash_of_window(words: str) -> Column:
-    return F.expr(f"""aggregate(array(transform(sequence(1, size({words}) - {WIDTH - 1}),
-            i -> xxhash64(slice({words}, i, {WIDTH})))), 0L, (none, s) ->
-        aggregate(sequence(0, 63), 0L, (f, b) -> f | if(
-            2 * aggregate(s, 0, (n, h) -> n + cast(shiftright(h, b) & 1L AS int)) > size(s), shiftleft(1L, b), 0L)))""")
-
-
 def _first_block(radius: int) -> str:
     """SQL for the number of the first block on which fp and item_fp agree."""
     edges = [64 * k // (radius + 1) for k in range(radius + 2)]

@@ -26,7 +26,6 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +87,18 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(block, "<u4", docs, _HEAD.size), unpack(block[at:end], block[end:], n)
 
 
+class Parts(dict):
+    """Ids by pre-token; a new one is encoded, unless the cache before this one has it."""
+
+    def __init__(self, encode: Callable[[str], bytes], older: dict[str, bytes]):
+        super().__init__()
+        self.encode, self.older = encode, older
+
+    def __missing__(self, part: str) -> bytes:
+        got = self[part] = self.older.get(part) or self.encode(part)
+        return got
+
+
 class Ids:
     """Ids of texts by a tokenizers file, as little-endian bytes of type ``kind``.
 
@@ -101,7 +112,8 @@ class Ids:
 
     #: Fixed value: the split pattern that the cut below is made for.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    _cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+").findall
+    # the alternatives begin with different characters but for the apostrophe's, so letters may stand first
+    _cut = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^a-zß-öø-ÿ0-9\t-\r ]+").findall
     _plain = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*").fullmatch
     _gaps = re.compile(r"[\t-\r ]+").split
 
@@ -120,8 +132,7 @@ class Ids:
                      and split.get("type") == "Split" and split.get("behavior") == "Removed"
                      and bool(split.get("invert")) and split["pattern"].get("Regex") == self.SPLIT)
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.parts: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # what was known before the cache began anew
+        self.parts = Parts(self._part, {})
 
     def _raw(self, ids: list[int]) -> bytes:
         return np.asarray(ids, self.kind).tobytes()
@@ -149,16 +160,11 @@ class Ids:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [self.whole(t) for t in texts]
-        odd = {k for k, t in enumerate(texts) if "<|" in t or any(s in t for s in self.special)}
-        split = [[] if k in odd else self._split(t) for k, t in enumerate(texts)]
         if len(self.parts) > CACHE:
-            self.older, self.parts = self.parts, {}
-        parts, older = self.parts, self.older
-        for p in set(chain.from_iterable(split)):
-            if p not in parts:
-                parts[p] = older.get(p) or self._part(p)
-        get = parts.__getitem__
-        return [self.whole(texts[k]) if k in odd else b"".join(map(get, x)) for k, x in enumerate(split)]
+            self.parts = Parts(self._part, dict(self.parts))
+        get = self.parts.__getitem__
+        return [self.whole(t) if "<|" in t or any(s in t for s in self.special) else b"".join(map(get, self._split(t)))
+                for t in texts]
 
 
 @lru_cache(maxsize=1)

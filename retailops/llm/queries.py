@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, decontaminate, language_id, quality_rules, simhash_dedup, token_counts, token_file, url_filter
+from . import bpe_tree, decontaminate, html_extract, language_id, quality_rules, simhash_dedup, token_counts, token_file, url_filter
 from .common import fold, table
 
 
@@ -28,6 +28,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.id_file_digests(table(spark, sf_dir, "documents", "doc_id", "text"),
                                       public_tokenizers.path("word_bpe_49k.json"))
@@ -52,7 +56,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_url_filter, op4_quality_rules, op6_token_file, op7_decontaminate, op8_bpe_tree,
-                                   op9_simhash_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op3_url_filter, op4_quality_rules, op5_html_extract, op6_token_file, op7_decontaminate, op8_bpe_tree,
+    op9_simhash_dedup, op10_token_counts)}
 #: DuckDB SQL of the queries that it can express.
 ORACLE: dict[str, str] = {"op3_url_filter": url_filter.oracle_sql(URL_RULES)}

@@ -35,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 
 WIDTH = 5
 
@@ -172,5 +172,6 @@ def _similarity(a: str, b: str) -> Column:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20) -> DataFrame:
     """The documents that no benchmark item contaminates, with all their columns."""
-    bad = stored(contaminated(docs, benchmark, similarity, radius).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    (name,) = fresh(docs, "_contaminated")
+    bad = stored(contaminated(docs, benchmark, similarity, radius).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[name]), "left_anti")

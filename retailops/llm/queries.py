@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, decontaminate, html_extract, language_id, quality_rules, simhash_dedup, token_counts, token_file, url_filter
+from . import bpe_tree, context_mixing, decontaminate, html_extract, language_id, quality_rules, simhash_dedup, token_counts, token_file, url_filter
 from .common import fold, table
 
 
@@ -15,6 +15,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "held_out", "text"), model)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return context_mixing.score(docs.withColumn("held_out", fold("doc_id", 7) == 2))
+
+
 #: The contract's rules.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
              ("block", "net/es/"), ("block", "net/fr/")]
@@ -57,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op3_url_filter, op4_quality_rules, op5_html_extract, op6_token_file, op7_decontaminate, op8_bpe_tree,
+    op1_language_id, op2_lm_score, op3_url_filter, op4_quality_rules, op5_html_extract, op6_token_file, op7_decontaminate, op8_bpe_tree,
     op9_simhash_dedup, op10_token_counts)}
 #: DuckDB SQL of the queries that it can express.
 ORACLE: dict[str, str] = {"op3_url_filter": url_filter.oracle_sql(URL_RULES)}

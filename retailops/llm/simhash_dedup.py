@@ -38,8 +38,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import per_text, stored
+from .common import fresh, per_text, slices, stored
 
 #: Fingerprints of a key that one unit compares; larger keys are dealt out.
 TILE = 4_096
@@ -252,3 +253,34 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, tile: i
     by_fp = named.join(names, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """One document of each component, with all its columns: the one with the
+    smallest doc_id; of rows that repeat that id one, and of a component without
+    any doc_id one."""
+    bad_id, fp_name, root = fresh(docs, "_id", "_fp", "_root")
+    found = stored(simhash_components(docs, width, radius), "components")
+    # rows that a doc_id alone does not tell apart are few: they are settled by fingerprint
+    repeated = stored(found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(bad_id)), "repeated")
+    dropped = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(bad_id)).distinct(), "dropped")
+    plain = (docs.join(repeated, docs["doc_id"].eqNullSafe(repeated[bad_id]), "left_anti")
+             .join(dropped, docs["doc_id"] == dropped[bad_id], "left_anti"))
+    odd = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated[bad_id]), "left_semi")
+    odd = _with_fingerprint(odd, fp_name, width)
+    names = found.select(F.col("fingerprint").alias(root), "component_id").distinct()
+    # of equal ids in a component, and of rows without an id, one stays: combined map-side
+    best = (odd.join(names, odd[fp_name] == names[root])
+            .where(odd["doc_id"].eqNullSafe(names["component_id"])))
+    best = best.withColumn(root, F.when(F.col("component_id").isNull(), F.col(fp_name)).otherwise(F.col("component_id").cast("string")))
+    return plain.unionByName(best.dropDuplicates([root]).select(*docs.columns))
+
+
+def _with_fingerprint(docs: DataFrame, name: str, width: int) -> DataFrame:
+    """All columns and the fingerprint in hexadecimal."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            fps = [f"{fingerprint(t or '', width):016x}" for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.string())], names=[*b.schema.names, name])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())])
+    return docs.mapInArrow(run, schema)

@@ -43,25 +43,27 @@ def has_letter(text: str) -> bool:
 
 def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """For windows of all texts: the text's number at each position, and for each
-    order the bucket of the n-gram that begins there. Texts are parted by three
-    zero characters, so an n-gram never reaches into the next one."""
+    order the bucket of the n-gram that begins there. Three zero characters end a
+    text, so an n-gram never reaches into the next one; none begins at them."""
     codes = np.frombuffer(("\0\0\0".join(t.lower() for t in texts) + "\0\0\0").encode("utf-32-le", "surrogatepass"), "<u4")
     sizes = np.array([len(t.lower()) + 3 for t in texts], np.int64)
     owner_ends = np.cumsum(sizes)
     n = len(codes) - 3
     for lo in range(0, n, _WINDOW):
         hi = min(n, lo + _WINDOW)
-        owner = np.searchsorted(owner_ends, np.arange(lo, hi), side="right")
+        at = np.arange(lo, hi)
+        owner = np.searchsorted(owner_ends, at, side="right")
+        real = at < owner_ends[owner] - 3
         h, out = np.zeros(hi - lo, np.uint32), []
         for k in range(_ORDERS):
             h = (h ^ codes[lo + k:hi + k]) * _MULT[k] + np.uint32(k + 1)
-            out.append(((h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.int64))
-        yield owner, out
+            out.append(((h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.int64)[real])
+        yield owner[real], out
 
 
 def _grams_in(texts: list[str]) -> np.ndarray:
-    """Positions counted for each text (its characters and three zeros)."""
-    return np.array([len(t.lower()) + 3 for t in texts], float)
+    """N-grams of one order in each text (its characters; at least one, to divide by)."""
+    return np.array([max(1, len(t.lower())) for t in texts], float)
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:

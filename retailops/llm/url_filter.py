@@ -86,10 +86,10 @@ def _calibrated(scored: DataFrame) -> DataFrame:
     bins = scored.groupBy("bin").agg(F.sum(F.expr("int(label = 'allow')")).alias("a"),
                                      F.sum(F.expr("int(label = 'block')")).alias("r"))
     every = bins.agg(F.sort_array(F.collect_list(F.struct("bin", "a", "r"))).alias("b"))
-    return every.select(F.expr("""coalesce(sort_array(transform(b, x -> struct(
+    return every.select(F.expr("""coalesce(get(sort_array(transform(b, x -> struct(
         -(aggregate(b, 0L, (n, y) -> n + if(y.bin >= x.bin, y.a, 0L)) / greatest(1L, aggregate(b, 0L, (n, y) -> n + y.a))
           + aggregate(b, 0L, (n, y) -> n + if(y.bin < x.bin, y.r, 0L)) / greatest(1L, aggregate(b, 0L, (n, y) -> n + y.r))) AS loss,
-        abs(x.bin) AS far, x.bin AS bin)))[0].bin, 0)""").alias("cut"))
+        abs(x.bin) AS far, x.bin AS bin))), 0).bin, 0)""").alias("cut"))
 
 
 def judge(pages: DataFrame, rules: list[Rule], order: int = ORDER, weight: float = WEIGHT) -> DataFrame:

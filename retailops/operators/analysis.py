@@ -321,6 +321,16 @@ def category_region(df: DataFrame) -> DataFrame:
                                                                   F.col("Total_Sales").desc())
 
 
+def category_month_sales(df: DataFrame) -> DataFrame:
+    """(Category, Year_Month, Sales) for every category and every month with a
+    sale, 0 where a category has none; the wide form is ``category_month_pivot``."""
+    cells = _keyed(df, ["Category", "Year_Month"]).groupBy("Category", "Year_Month").agg(F.sum(S).alias("_s"))
+    grid = cells.select("Category").distinct().crossJoin(cells.select("Year_Month").distinct())  # categories x months
+    return (grid.join(cells, ["Category", "Year_Month"], "left")
+                .select("Category", "Year_Month", F.coalesce(F.col("_s").cast("double"), F.lit(0.0)).alias("Sales"))
+                .orderBy("Category", "Year_Month"))
+
+
 def category_month_pivot(df: DataFrame, months: list[str] | None = None) -> DataFrame:
     """Category x Year_Month sales, missing cells 0.
 

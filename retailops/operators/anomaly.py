@@ -102,10 +102,8 @@ def accuracy(df: DataFrame, actual: str = "Actual", forecast: str = "Forecast",
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.avg(F.abs(err)).alias("mae"),
         (F.avg(2 * F.abs(err) / (F.abs(a) + F.abs(f) + F.lit(1e-10))) * 100).alias("smape"),
-        F.sum(err * err).alias("_sse"), F.avg(a).alias("_mean"), F.count(a).alias("_n"),
-        F.sum(a * a).alias("_saa"))
-    sst = F.col("_saa") - F.col("_n") * F.col("_mean") * F.col("_mean")
-    return m.withColumn("r2", F.lit(1.0) - F.try_divide(F.col("_sse"), sst)).drop("_sse", "_mean", "_n", "_saa")
+        F.sum(err * err).alias("_sse"), (F.var_pop(a) * F.count(a)).alias("_sst"))
+    return m.withColumn("r2", F.lit(1.0) - F.try_divide(F.col("_sse"), F.col("_sst"))).drop("_sse", "_sst")
 
 
 def label_anomalies(col: Column, lo: Column, hi: Column) -> Column:

@@ -46,9 +46,14 @@ def fill_categorical_mode(df: DataFrame, cols: list[str], threshold: float = 0.1
     if not cols:
         return df
     stats = df.agg(F.count(F.lit(1)).alias("_rows"),
-                   *[F.sum(F.col(c).isNull().cast("long")).alias(f"_nulls_{c}") for c in cols],
-                   *[F.mode(c, True).alias(f"_mode_{c}") for c in cols])
-    out = attach_row(df, stats)
+                   *[F.sum(F.col(c).isNull().cast("long")).alias(f"_nulls_{c}") for c in cols])
+    # values are counted by a shuffle on (column, value); each column's best is a partial aggregate
+    values = F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("string").alias("_value")) for c in cols])
+    best = (df.select(F.inline(values)).filter(F.col("_value").isNotNull())
+              .groupBy("_col", "_value").agg(F.count(F.lit(1)).alias("_n"))
+              .groupBy("_col").agg(F.min_by("_value", F.struct((-F.col("_n")).alias("_n"), F.col("_value"))).alias("_value")))
+    modes = best.agg(*[F.max(F.when(F.col("_col") == c, F.col("_value"))).alias(f"_mode_{c}") for c in cols])
+    out = attach_row(attach_row(df, stats), modes)
     fills = {}
     for c in cols:
         use_mode = F.col(f"_nulls_{c}") < F.col("_rows") * F.lit(threshold)
@@ -79,9 +84,9 @@ def dedupe(df: DataFrame, keys: list[str] | None = ("Order_ID",), order_cols: li
 
 
 def duplicate_count(df: DataFrame, keys: list[str] = ("Order_ID",)) -> DataFrame:
-    """Rows beyond the first per key (one row)."""
-    keys = list(keys)
-    return df.agg((F.count(F.lit(1)) - F.count_distinct(*[F.col(k) for k in keys])).alias("Duplicate_Count"))
+    """Rows beyond the first per key (one row); null keys are one key, as in ``dedupe``."""
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("Duplicate_Count"))
 
 
 def outlier_bounds(df: DataFrame, cols: list[str], lo: float = 0.05, hi: float = 0.95,
@@ -101,7 +106,7 @@ def outlier_bounds(df: DataFrame, cols: list[str], lo: float = 0.05, hi: float =
 
 def cap_outliers(df: DataFrame, cols: list[str] | None = None, lo: float = 0.05, hi: float = 0.95,
                  k: float = 1.5, floor: float | None = 0.0) -> DataFrame:
-    """Clip each column to its quantile bounds (capped columns become DOUBLE).
+    """Clip each column to its quantile bounds (capped columns become DOUBLE, nulls stay null).
 
     ``floor=0`` reproduces the defined behaviour (every loss is clipped to 0);
     ``floor=None`` keeps losses.
@@ -111,7 +116,8 @@ def cap_outliers(df: DataFrame, cols: list[str] | None = None, lo: float = 0.05,
         return df
     b = outlier_bounds(df, cols, lo, hi, k, floor)
     out = attach_row(df, b).withColumns({
-        c: F.least(F.greatest(F.col(c).cast("double"), F.col(f"_lo_{c}")), F.col(f"_hi_{c}")) for c in cols})
+        c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c).cast("double"), F.col(f"_lo_{c}")), F.col(f"_hi_{c}")))
+        for c in cols})
     return out.drop(*[f"_lo_{c}" for c in cols], *[f"_hi_{c}" for c in cols])
 
 
@@ -155,7 +161,7 @@ def parse_currency(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def parse_currency_col(c: Column) -> Column:
-    return F.regexp_replace(c, "[$€£,]", "").try_cast("double")
+    return F.nullif(F.regexp_replace(c, "[$€£,]", "").try_cast("double"), F.lit(float("nan")))
 
 
 def drop_nonpositive_sales(df: DataFrame, col: str = "Sales") -> DataFrame:
@@ -169,8 +175,8 @@ def missing_recommended(df: DataFrame) -> list[str]:
 
 
 def clip_lower(df: DataFrame, col: str, lower: float = 0.0) -> DataFrame:
-    """Negatives -> lower bound."""
-    return df.withColumn(col, F.greatest(F.col(col), F.lit(lower)))
+    """Negatives -> lower bound; nulls stay null."""
+    return df.withColumn(col, F.when(F.col(col).isNotNull(), F.greatest(F.col(col), F.lit(lower))))
 
 
 def having(df: DataFrame, cond: Column) -> DataFrame:
@@ -186,14 +192,16 @@ def clean(df: DataFrame, order_cols: list[str] | None = None, floor: float | Non
     """Type coercion -> null filling -> dedupe -> outlier capping -> Sales > 0.
 
     Parsing runs first (so parsed nulls are filled and capping sees numbers).
-    One small job reads the null count of every column so fill steps are
-    planned only for columns that need them. The deduplicated rows are read
-    three times by outlier capping (distinct-count sketch, quantile bounds,
-    the capped rows), so they are materialised once in the shared
-    checkpoint folder instead of re-running the key shuffle per reader.
+    Types follow the schema alone: every numeric column is DOUBLE afterwards.
+    One small job reads the null count of every column; a column without nulls
+    skips its fill, which would change nothing. Dates are filled forward in
+    ``order_cols`` order (the dates themselves left out). The deduplicated rows
+    are read twice by outlier capping (quantile bounds, the capped rows), so they
+    are materialised once in the shared checkpoint folder.
     """
     order_cols = [c for c in (order_cols or DEFAULT_ORDER) if c in df.columns]
     df = parse_currency(coerce_dates(df))
+    df = df.withColumns({c: F.col(c).cast("double") for c in df.columns if isinstance(_type(df, c), _NUMERIC)})
     nulls = null_counts(df).collect()[0].asDict()
     with_nulls = [c for c in df.columns if nulls.get(c)]
     numeric = [c for c in with_nulls if isinstance(_type(df, c), _NUMERIC)]
@@ -202,8 +210,8 @@ def clean(df: DataFrame, order_cols: list[str] | None = None, floor: float | Non
     df = fill_numeric_median(df, numeric)
     df = fill_categorical_mode(df, strings, threshold)
     if dates:
-        tie = ["Order_ID"] if "Order_ID" in df.columns else []
-        df = ffill_dates(df, dates, tie + [c for c in df.columns if c not in dates and c not in tie])
+        lead = [c for c in order_cols if c not in dates]
+        df = ffill_dates(df, dates, lead + [c for c in df.columns if c not in dates and c not in lead])
     df = reliable_checkpoint(dedupe(df, ["Order_ID"], order_cols))
     df = cap_outliers(df, OUTLIER_COLUMNS, floor=floor)
     return drop_nonpositive_sales(df)

@@ -69,11 +69,15 @@ def forecast_naive(ts: DataFrame, periods: int, freq: str, series_cols: list[str
 # --- K04 features -------------------------------------------------------------------
 
 def boost_features(ts: DataFrame, series_cols: list[str] | None = None, date_col: str = "Order_Date",
-                   drop_warmup: bool = True) -> DataFrame:
-    """Calendar inputs, lags 1/2/3/7 and trailing means 7/14/30 per series."""
+                   drop_warmup: bool = True, exclude_current: bool = False) -> DataFrame:
+    """Calendar inputs, lags 1/2/3/7 and trailing means 7/14/30 per series.
+
+    A model must be trained with ``exclude_current=True``: its trailing means then
+    hold only what is known before the period, as they do when it forecasts.
+    """
     keys = _keys(series_cols)
     df = ts.withColumns(ml_calendar_columns(date_col))
-    df = TS.lag_features(df, "Sales", series_cols=keys, date_col=date_col)
+    df = TS.lag_features(df, "Sales", series_cols=keys, date_col=date_col, exclude_current=exclude_current)
     if drop_warmup:
         df = TS.drop_warmup(df, ["Sales_Lag_7", "Sales_Rolling_30"])
     return df
@@ -81,20 +85,34 @@ def boost_features(ts: DataFrame, series_cols: list[str] | None = None, date_col
 
 # --- K05-K07 boosted trees -------------------------------------------------------------
 
+#: Series with fewer usable rows (periods beyond the longest trailing mean) are forecast naively (fixed value).
+MIN_USABLE = 10
+#: The longest trailing mean among the features.
+HISTORY = max(int(f.rsplit("_", 1)[1]) for f in FEATURES if f.startswith("Sales_Rolling_"))
+
+
+def _with_length(ts: DataFrame, keys: list[str]) -> DataFrame:
+    """``ts`` with ``_long``: the series has enough rows for the boosted model."""
+    return ts.withColumn("_long", F.count(F.lit(1)).over(Window.partitionBy(*keys)) >= HISTORY + MIN_USABLE)
+
+
 def train_boosted(ts: DataFrame, series_cols: list[str] | None = None, max_iter: int = 100, max_depth: int = 6,
                   step_size: float = 0.1, subsample: float = 0.8, feature_subset: str = "0.8", seed: int = 42,
                   train_frac: float = 0.8, date_col: str = "Order_Date"):
     """One gradient-boosted tree model over the pooled panel.
 
     Chronological split per series (first ``train_frac`` of each series'
-    usable rows train). Returns (model, scored holdout DataFrame).
+    usable rows train); features hold only what is known before a period.
+    Series too short for the features are left to the naive forecast. Returns
+    (model, scored holdout DataFrame); the model is None if all are too short.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     keys = _keys(series_cols)
-    feats = TS.chrono_split(boost_features(ts, keys, date_col), train_frac, keys, date_col)
+    ts = _with_length(ts, keys).filter("_long").drop("_long")
+    feats = TS.chrono_split(boost_features(ts, keys, date_col, exclude_current=True), train_frac, keys, date_col)
     feats = feats.withColumns({c: F.col(c).cast("double") for c in FEATURES + ["Sales"]})
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=FEATURES, outputCol="_raw"),
@@ -103,6 +121,8 @@ def train_boosted(ts: DataFrame, series_cols: list[str] | None = None, max_iter:
                      maxDepth=max_depth, stepSize=step_size, subsamplingRate=subsample,
                      featureSubsetStrategy=feature_subset, seed=seed)])
     train = feats.filter(F.col("Is_Train") == 1)
+    if train.isEmpty():
+        return None, feats.select(*keys, date_col, F.col("Sales").alias("Actual"), F.lit(None).cast("double").alias("Forecast"))
     model = pipe.fit(train)
     test = model.transform(feats.filter(F.col("Is_Train") == 0)).select(
         *keys, date_col, F.col("Sales").alias("Actual"), F.col("prediction").alias("Forecast"))
@@ -111,22 +131,33 @@ def train_boosted(ts: DataFrame, series_cols: list[str] | None = None, max_iter:
 
 def feature_importance(model, spark) -> DataFrame:
     """(Feature, Importance) from the fitted trees (a model-sized table)."""
+    if model is None:
+        return spark.createDataFrame([], "Feature string, Importance double")
     imp = model.stages[-1].featureImportances.toArray().tolist()
     rows = sorted(zip(FEATURES, [float(x) for x in imp]), key=lambda r: -r[1])
     return spark.createDataFrame(rows, "Feature string, Importance double")
 
 
 def forecast_recursive(model, ts: DataFrame, periods: int, freq: str, series_cols: list[str] | None = None,
-                       date_col: str = "Order_Date", history: int = 30) -> DataFrame:
+                       date_col: str = "Order_Date") -> DataFrame:
     """Multi-step forecast feeding predictions back as history.
 
-    Each series carries its last ``history`` values as an array; every step
+    Series too short for the model get the naive forecast (``Method`` tells).
+    Each other series carries its last values, as many as the longest trailing
+    mean needs, as an array; every step
     derives lags and trailing means from that array (JVM-side array
     functions), scores one row per series and appends the prediction.
     The trailing means use the known values before the forecast date.
     Each step is checkpointed so the plan does not grow with the horizon.
     """
     keys = _keys(series_cols)
+    history, every = HISTORY, _with_length(ts, keys)
+    naive = forecast_naive(every.filter(F.lit(model is None) | ~F.col("_long")).drop("_long"), periods, freq, keys, date_col)
+    naive = naive.select(*keys, date_col, *[F.col(c).cast("double").alias(c) for c in ("Sales_Forecast", "Lower_Bound", "Upper_Bound")],
+                         F.lit("naive").alias("Method"))
+    if model is None:
+        return naive
+    ts = every.filter("_long").drop("_long")
     w = Window.partitionBy(*keys).orderBy(F.col(date_col).desc())
     last = (ts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= history)
               .groupBy(*keys).agg(F.max(date_col).alias("_last"),
@@ -148,12 +179,12 @@ def forecast_recursive(model, ts: DataFrame, periods: int, freq: str, series_col
         scored = reliable_checkpoint(scored)
         outs.append(scored.select(*keys, date_col, F.greatest(F.col("_pred"), F.lit(0.0)).alias("Sales_Forecast"),
                                   F.greatest(F.col("_pred") * 0.8, F.lit(0.0)).alias("Lower_Bound"),
-                                  (F.col("_pred") * 1.2).alias("Upper_Bound")))
+                                  (F.col("_pred") * 1.2).alias("Upper_Bound"), F.lit("boosted").alias("Method")))
         state = scored.select(*keys, F.col(date_col).alias("_last"),
                               F.slice(F.concat(F.col("_vals"), F.array(F.col("_pred"))), -history, history)
                               .alias("_vals"))
-    out = outs[0]
-    for o in outs[1:]:
+    out = naive
+    for o in outs:
         out = out.unionByName(o)
     return out
 
@@ -335,7 +366,7 @@ def holdout_forecasts(ts: DataFrame, freq: str, model: str = "seasonal", train_f
     train, test = holdout_split(ts, train_frac, keys, date_col)
     horizon = test.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
     if horizon == 0:
-        return test.select(*keys, date_col, F.col("Sales").alias("Actual")).withColumn("Forecast", F.lit(None))
+        return test.select(*keys, date_col, F.col("Sales").alias("Actual")).withColumn("Forecast", F.lit(None).cast("double"))
     if model == "seasonal":
         fc = forecast_seasonal(train, horizon, freq, keys).filter("Is_Future = 1")
     elif model == "naive":

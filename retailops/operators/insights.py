@@ -15,6 +15,13 @@ from .analysis import top_decile_concentration
 from ..session import reliable_checkpoint
 from .stats import attach_row, quantile_row
 
+# --- fixed values: sentences of the executive summary ({} are filled in order) ---
+OVERVIEW = "Total revenue of ${} with ${} in profit ({}% margin) from {} orders across {} customers."
+TOP_CATEGORY = "• Top Category: '{}' with ${} in sales"
+TOP_REGION = "• Top Region: '{}' with ${} in sales"
+TOP_DECILE = "• Top 10% of customers contribute {}% of revenue"
+AVERAGE_ORDER = "• Average order value: ${} ({} items per order)"
+
 # --- fixed values: message templates ({} are filled in order) -------------------
 MSG_GROWTH_STRONG = ("📈 Strong monthly sales growth of {}%. "
                      "Consider increasing inventory to meet rising demand.")
@@ -173,16 +180,15 @@ def executive_summary(df: DataFrame) -> DataFrame:
                .alias("_q"))
     margin = F.when(F.col("_s") > 0, A.pct(F.col("_p"), F.col("_s"), 2, 1)).otherwise(F.lit(0.0))
     lines = [
-        (1, "EXECUTIVE SUMMARY", g, fmt("Total revenue of ${} with ${} in profit ({}% margin) from {} orders across "
-                                        "{} customers.", money(F.col("_s")), money(F.col("_p")), f1(margin),
+        (1, "EXECUTIVE SUMMARY", g, fmt(OVERVIEW, money(F.col("_s")), money(F.col("_p")), f1(margin),
                                         F.format_number(F.col("_n"), 0), F.format_number(F.col("_c"), 0))),
         (2, "KEY FINDINGS", _argmax(df, "Category"),
-         fmt("• Top Category: '{}' with ${} in sales", F.col("Category"), money(F.col("_s")))),
+         fmt(TOP_CATEGORY, F.col("Category"), money(F.col("_s")))),
         (3, "KEY FINDINGS", _argmax(df, "Region"),
-         fmt("• Top Region: '{}' with ${} in sales", F.col("Region"), money(F.col("_s")))),
+         fmt(TOP_REGION, F.col("Region"), money(F.col("_s")))),
         (4, "KEY FINDINGS", top_decile_concentration(df),
-         fmt("• Top 10% of customers contribute {}% of revenue", f1(F.col("Top_Share_Pct")))),
-        (5, "KEY FINDINGS", g, fmt("• Average order value: ${} ({} items per order)", money(F.col("_aov")),
+         fmt(TOP_DECILE, f1(F.col("Top_Share_Pct")))),
+        (5, "KEY FINDINGS", g, fmt(AVERAGE_ORDER, money(F.col("_aov")),
                                    f1(F.col("_q")))),
     ]
     parts = [frame.select(F.lit(no).alias("Line_No"), F.lit(sec).alias("Section"), text.alias("Text"))

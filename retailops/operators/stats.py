@@ -24,83 +24,64 @@ def _c(col: str | Column) -> Column:
 
 # --- quantiles ---------------------------------------------------------------
 
-MAP_QUANTILE_MAX_DISTINCT = 2_000_000
-
-
 def quantile_row(df: DataFrame, specs: dict[str, tuple[str | Column, list[float]]],
-                 strategy: str = "auto", max_distinct: int = MAP_QUANTILE_MAX_DISTINCT) -> DataFrame:
+                 strategy: str = "rank") -> DataFrame:
     """One row: for each name, the array of exact quantiles (linear interpolation) of a column.
 
     ``specs = {"edges": ("Customer_Total_Spent", [.25, .5, .75])}``; nulls are ignored.
 
-    * ``map``: Spark's exact ``percentile``. Partial buffers are value->count
-      maps (a hot value is one entry) but the final merge is one task holding
-      one entry per *distinct* value.
-    * ``rank``: distributed exact quantiles (``quantiles_by_rank``); no task
-      holds more than its range partition of distinct values.
-    * ``auto``: one cheap sketch job (``approx_count_distinct``) per call;
-      columns under ``max_distinct`` distinct values use ``map``, the rest
-      ``rank``.
+    * ``rank`` (default): distributed exact quantiles (``quantiles_by_rank``); no
+      task holds more than its range partition of distinct values.
+    * ``map``: Spark's exact ``percentile``, whose final merge is one task with an
+      entry for each distinct value. Only for callers whose rows are bounded by
+      the calendar (one row a day), which choose it themselves.
     """
-    names = list(specs)
-    if strategy == "auto":
-        est = df.agg(*[F.approx_count_distinct(_c(col)).alias(n) for n, (col, _) in specs.items()]).collect()[0]
-        use_rank = {n for n in names if est[n] > max_distinct}
-    elif strategy == "rank":
-        use_rank = set(names)
-    else:
-        use_rank = set()
-    parts = []
-    mapped = [n for n in names if n not in use_rank]
-    if mapped:
-        parts.append(df.agg(*[F.percentile(_c(specs[n][0]).cast("double"),
-                                           F.array(*[F.lit(float(p)) for p in specs[n][1]])).alias(n)
-                              for n in mapped]))
-    for n in names:
-        if n in use_rank:
-            parts.append(quantiles_by_rank(df, specs[n][0], specs[n][1], n))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)  # one row x one row
-    return out.select(*names)
-
-
-def quantiles_by_rank(df: DataFrame, col: str | Column, probs: list[float], name: str = "q",
+    if strategy == "map":
+        return df.agg(*[F.percentile(_c(col).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(n)
+                        for n, (col, probs) in specs.items()])
+    return quantiles_by_rank(df, specs)
+
+
+def quantiles_by_rank(df: DataFrame, specs: dict[str, tuple[str | Column, list[float]]],
                       num_partitions: int | None = None) -> DataFrame:
-    """Exact quantiles without a single-task merge.
+    """Exact quantiles of several columns in one pass, without a single-task merge.
 
-    Rows collapse to (value, count) first (map-side, so a value held by a
-    third of the rows is one row); the distinct values are range
-    partitioned and checkpointed; per-partition totals (one row each) give
+    Rows collapse to (name, value, count) first (map-side, so a value held by a
+    third of the rows is one row); the distinct values are range partitioned and
+    checkpointed; per-partition totals (one row per partition and name) give
     offsets, so every distinct value knows the 0-based ranks it covers;
     the values at ranks floor(h) and ceil(h), h = (n-1)p, are picked with a
     partial max aggregate and interpolated as (ceil-h)*lo + (h-floor)*hi.
     """
-    vc = (df.select(_c(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-            .groupBy("_v").agg(F.count(F.lit(1)).alias("_c")))
-    ranged = reliable_checkpoint(_by_range(vc, ["_v"], num_partitions)).withColumn("_pid", F.spark_partition_id())
-    tot = ranged.groupBy("_pid").agg(F.sum("_c").alias("_pc"))
-    offs = tot.select("_pid",
-                      F.coalesce(F.sum("_pc").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                                 F.lit(0)).alias("_off"),
-                      F.sum("_pc").over(Window.partitionBy()).alias("_n"))
-    inside = Window.partitionBy("_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    cum = (ranged.join(F.broadcast(offs), "_pid")
+    values = F.array(*[F.struct(F.lit(n).alias("_name"), _c(col).cast("double").alias("_v"))
+                       for n, (col, _) in specs.items()])
+    vc = (df.select(F.inline(values)).filter(F.col("_v").isNotNull())
+            .groupBy("_name", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    ranged = reliable_checkpoint(_by_range(vc, ["_name", "_v"], num_partitions)).withColumn("_pid", F.spark_partition_id())
+    tot = ranged.groupBy("_name", "_pid").agg(F.sum("_c").alias("_pc"))
+    before = Window.partitionBy("_name").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_name", "_pid", F.coalesce(F.sum("_pc").over(before), F.lit(0)).alias("_off"),
+                      F.sum("_pc").over(Window.partitionBy("_name")).alias("_n"))
+    inside = Window.partitionBy("_pid", "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    cum = (ranged.join(F.broadcast(offs), ["_name", "_pid"])  # one row per partition and name
                  .withColumn("_start", F.col("_off") + F.coalesce(F.sum("_c").over(inside), F.lit(0))))
-    aggs = [F.max("_n").alias("_n")]
-    for j, q in enumerate(probs):
-        h = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-        for tag, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            hit = (r >= F.col("_start")) & (r < F.col("_start") + F.col("_c"))
-            aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{j}"))
-    picked = cum.agg(*aggs)
-    vals = []
-    for j, q in enumerate(probs):
-        h = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-        lo, hi = F.floor(h), F.ceil(h)
-        vals.append(F.when(lo == hi, F.col(f"_lo{j}"))
-                     .otherwise((hi.cast("double") - h) * F.col(f"_lo{j}") + (h - lo.cast("double")) * F.col(f"_hi{j}")))
-    return picked.select(F.when(F.col("_n") > 0, F.array(*vals)).alias(name))
+    aggs, out = [], []
+    for i, (name, (_, probs)) in enumerate(specs.items()):
+        own = F.col("_name") == name
+        aggs.append(F.max(F.when(own, F.col("_n"))).alias(f"_n{i}"))
+        vals = []
+        for j, q in enumerate(probs):
+            h = (F.col("_n") - 1).cast("double") * F.lit(float(q))
+            for tag, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+                hit = own & (r >= F.col("_start")) & (r < F.col("_start") + F.col("_c"))
+                aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}_{j}"))
+            h = (F.col(f"_n{i}") - 1).cast("double") * F.lit(float(q))
+            lo, hi = F.floor(h), F.ceil(h)
+            vals.append(F.when(lo == hi, F.col(f"_lo{i}_{j}"))
+                         .otherwise((hi.cast("double") - h) * F.col(f"_lo{i}_{j}")
+                                    + (h - lo.cast("double")) * F.col(f"_hi{i}_{j}")))
+        out.append(F.when(F.col(f"_n{i}") > 0, F.array(*vals)).alias(name))
+    return cum.agg(*aggs).select(*out)
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ _ROWS = {  # need only row-level features
     "e45_clv": AN.clv,
     "e46_region_rollup": AN.region_rollup,
     "e49_payment_analysis": AN.payment_analysis,
-    "e50_category_month_pivot": AN.category_month_pivot,
+    "e50_category_month_pivot": AN.category_month_sales,
     "e51_top_customers_by_name": AN.top_customers_by_name,
     "e52_report_category_performance": AN.report_category_performance,
     "e53_report_regional_performance": AN.report_regional_performance,
@@ -261,39 +261,28 @@ register("j06_accuracy_seasonal_holdout")(lambda s, d: AM.accuracy(FC.holdout_fo
                                                                                         "seasonal")))
 
 
-_BOOSTED: dict = {}
-
-
-def _boosted(s, d):
-    """Fitted boosted model + holdout for this session and input (fit once, reused)."""
-    key = (s.sparkContext.applicationId, d)
-    if key not in _BOOSTED:
-        _BOOSTED[key] = FC.train_boosted(_monthly(s, d))
-    return _BOOSTED[key]
-
-
 @register("k05_k06_boosted_holdout")
 def _k05(s, d):
-    _, test = _boosted(s, d)
+    _, test = FC.train_boosted(_monthly(s, d))
     return AM.accuracy(test).select("mae", "rmse", "r2", "mape")
 
 
 @register("k07_feature_importance")
 def _k07(s, d):
-    model, _ = _boosted(s, d)
+    model, _ = FC.train_boosted(_monthly(s, d))
     return FC.feature_importance(model, s)
 
 
 @register("k08_recursive_forecast")
 def _k08(s, d):
-    model, _ = _boosted(s, d)
+    model, _ = FC.train_boosted(_monthly(s, d))
     return FC.forecast_recursive(model, _monthly(s, d), 6, "M")
 
 
 @register("k10_forecast_compare")
 def _k10(s, d):
     ts = _monthly(s, d)
-    _, test = _boosted(s, d)
+    _, test = FC.train_boosted(_monthly(s, d))
     return FC.compare_models({
         "seasonal": AM.accuracy(FC.holdout_forecasts(ts, "M", "seasonal")),
         "boosted": AM.accuracy(test),
@@ -330,9 +319,9 @@ register("j04_anomalies_isolation_forest")(lambda s, d: AM.detect_anomalies(P.sa
 
 @register("k09_forecast_table")
 def _k09(s, d):
-    """Future rows of both models (the forecast step of the full run; model fitted once per session)."""
+    """Future rows of both models (the forecast step of the full run)."""
     ts = _monthly(s, d)
-    model, _ = _boosted(s, d)
+    model, _ = FC.train_boosted(_monthly(s, d))
     cols = ["Order_Date", "Sales_Forecast", "Lower_Bound", "Upper_Bound"]
     seasonal = FC.forecast_seasonal(ts, 6, "M").filter("Is_Future = 1")
     return (seasonal.select(_F.lit("seasonal").alias("Model"), *cols)

@@ -333,10 +333,11 @@ FROM (SELECT Customer_Segment, {NC}, sum(Sales) AS s, {mean('Sales', 2, 2)} AS a
 ORACLE["e49_payment_analysis"] = _R(f"""SELECT Payment_Mode, count(DISTINCT Order_ID) AS Orders, {dsum('Sales')} AS Revenue,
 {mean('Sales')} AS Avg_Value FROM rowf WHERE {_nn('Payment_Mode')} GROUP BY ALL""")
 ORACLE["e50_category_month_pivot"] = f"""
-SELECT Category, CAST(COALESCE(COLUMNS(* EXCLUDE (Category)), 0) AS DOUBLE) FROM (
-  PIVOT (SELECT Category, 'm_' || strftime(Order_Date, '%Y_%m') AS ym, Sales FROM ({ADAPTER})
-         WHERE Category IS NOT NULL AND Order_Date IS NOT NULL)
-  ON ym USING sum(Sales) GROUP BY Category) ORDER BY Category"""
+WITH c AS (SELECT Category, strftime(Order_Date, '%Y-%m') AS Year_Month, sum(Sales) AS s FROM ({ADAPTER})
+           WHERE Category IS NOT NULL AND Order_Date IS NOT NULL GROUP BY ALL)
+SELECT a.Category, m.Year_Month, CAST(COALESCE(c.s, 0) AS DOUBLE) AS Sales
+FROM (SELECT DISTINCT Category FROM c) a CROSS JOIN (SELECT DISTINCT Year_Month FROM c) m
+LEFT JOIN c ON c.Category = a.Category AND c.Year_Month = m.Year_Month ORDER BY 1, 2"""
 ORACLE["e51_top_customers_by_name"] = _R(f"""SELECT Customer_Name, {dsum('Sales')} AS Total_Spent, count(DISTINCT Order_ID) AS Orders,
 {mean('Sales')} AS Avg_Value FROM rowf WHERE {_nn('Customer_Name')} GROUP BY ALL ORDER BY Total_Spent DESC, Customer_Name LIMIT 10""")
 ORACLE["e52_report_category_performance"] = _R(f"""SELECT Category, {dsum('Sales')} AS Sales, {dsum('Profit')} AS Profit,
@@ -428,7 +429,7 @@ def _capped_select(src: str, floor: bool) -> str:
 
 
 ORACLE["b04_dedupe"] = f"WITH sales AS ({ADAPTER})\n{_DEDUPED}"
-ORACLE["b05_duplicate_count"] = f"WITH sales AS ({ADAPTER})\nSELECT count(*) - count(DISTINCT Order_ID) AS Duplicate_Count FROM sales"
+ORACLE["b05_duplicate_count"] = f"WITH sales AS ({ADAPTER})\nSELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS Duplicate_Count FROM (SELECT count(*) AS n FROM sales GROUP BY Order_ID)"
 ORACLE["b06_cap_outliers"] = f"WITH sales AS ({ADAPTER})\n{_capped_select('sales', True)}"
 ORACLE["b06_cap_outliers_keep_losses"] = f"WITH sales AS ({ADAPTER})\n{_capped_select('sales', False)}"
 ORACLE["b07_outlier_counts"] = f"WITH sales AS ({ADAPTER}), b AS (SELECT * FROM {_bounds('sales', True)})\n" + \
@@ -680,19 +681,19 @@ def _summary_sql() -> str:
     from ..operators import insights as I
     margin = f"CASE WHEN s > 0 THEN {pct('p', 's', 2, 1)} ELSE 0.0 END"
     l1 = ("SELECT 1 AS Line_No, 'EXECUTIVE SUMMARY' AS Section, " +
-          _tmpl("Total revenue of ${} with ${} in profit ({}% margin) from {} orders across {} customers.",
+          _tmpl(I.OVERVIEW,
                 _money('s'), _money('p'), _f1(margin), "format('{:,}', n)", "format('{:,}', c)") +
           " AS Text FROM (SELECT sum(Sales) AS s, sum(Profit) AS p, count(DISTINCT Order_ID) AS n, "
           "count(DISTINCT Customer_ID) AS c FROM rowf)")
-    l2 = (f"SELECT 2, 'KEY FINDINGS', {_tmpl(chr(8226) + ' Top Category: ' + chr(39) + '{}' + chr(39) + ' with ${} in sales', 'Category', _money('s'))} "
+    l2 = (f"SELECT 2, 'KEY FINDINGS', {_tmpl(I.TOP_CATEGORY, 'Category', _money('s'))} "
           f"FROM {_argmax_sql('Category', 'rowf')}")
-    l3 = (f"SELECT 3, 'KEY FINDINGS', {_tmpl(chr(8226) + ' Top Region: ' + chr(39) + '{}' + chr(39) + ' with ${} in sales', 'Region', _money('s'))} "
+    l3 = (f"SELECT 3, 'KEY FINDINGS', {_tmpl(I.TOP_REGION, 'Region', _money('s'))} "
           f"FROM {_argmax_sql('Region', 'rowf')}")
-    l4 = (f"SELECT 4, 'KEY FINDINGS', {_tmpl(chr(8226) + ' Top 10% of customers contribute {}% of revenue', _f1(pct('coalesce(t, 0)', 'total', 2, 1)))} "
+    l4 = (f"SELECT 4, 'KEY FINDINGS', {_tmpl(I.TOP_DECILE, _f1(pct('coalesce(t, 0)', 'total', 2, 1)))} "
           "FROM (SELECT count(*) AS nc, sum(sp) AS total FROM spend) tot, "
           "(SELECT sum(sp) AS t FROM (SELECT sp, row_number() OVER (ORDER BY sp DESC, Customer_ID) AS rk FROM spend), "
           "(SELECT count(*) AS nc FROM spend) x WHERE rk <= floor(nc * 0.1)) top")
-    l5 = (f"SELECT 5, 'KEY FINDINGS', {_tmpl(chr(8226) + ' Average order value: ${} ({} items per order)', _money('a'), _f1('q'))} "
+    l5 = (f"SELECT 5, 'KEY FINDINGS', {_tmpl(I.AVERAGE_ORDER, _money('a'), _f1('q'))} "
           f"FROM (SELECT {mean('Sales', 2, 2)} AS a, {mean('Quantity', 0, 1)} AS q FROM rowf)")
     recs = " UNION ALL ".join(f"SELECT {6 + i}, 'ACTIONABLE RECOMMENDATIONS', '{_q(r)}'"
                               for i, r in enumerate(I.SUMMARY_RECOMMENDATIONS))

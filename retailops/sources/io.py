@@ -52,7 +52,7 @@ def apply_raw_types(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, (T.DecimalType, T.IntegerType)):
             num = F.regexp_replace(c.cast("string"), "[$€£,]", "")
             casts[f.name] = num.try_cast(f.dataType) if isinstance(f.dataType, T.DecimalType) else \
-                num.try_cast("double").cast("int")
+                num.try_cast("double").try_cast("int")
         else:
             casts[f.name] = c.cast(f.dataType)
     return df.withColumns(casts) if casts else df

@@ -87,8 +87,11 @@ def test_quantiles_by_rank_equals_map(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
     probs = [0.05, 0.25, 0.5, 0.75, 0.95]
     a = S.quantile_row(df, {"q": ("v", probs)}, strategy="map").collect()[0].q
-    b = S.quantile_row(df, {"q": ("v", probs)}, strategy="rank").collect()[0].q
+    b = S.quantile_row(df, {"q": ("v", probs)}).collect()[0].q
     assert a == b
+    two = S.quantile_row(df.withColumn("w", -df.v).withColumn("e", F.lit(None).cast("double")), {"q": ("v", probs), "w": ("w", [0.5]), "e": ("e", [0.5])})
+    r = two.collect()[0]
+    assert r.q == b and r.w == [-b[2]] and r.e is None
     assert np.allclose(b, np.quantile(vals, probs))
 
 

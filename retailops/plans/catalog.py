@@ -27,13 +27,13 @@ def register(name: str):
 
 
 # --- E01-E11: SQL-origin BI queries ----------------------------------------
-register("e01_top_customers")(lambda s, d: bi.top_customers(P.full(s, d), 10))
-register("e02_best_products")(lambda s, d: bi.best_products(P.full(s, d), 10))
+register("e01_top_customers")(lambda s, d: bi.top_customers(P.with_customers(s, d), 10))
+register("e02_best_products")(lambda s, d: bi.best_products(P.with_products(s, d), 10))
 register("e03_profit_trends")(lambda s, d: bi.profit_trends(P.rows(s, d)))
 register("e04_regional_analysis")(lambda s, d: bi.regional_analysis(P.rows(s, d)))
 register("e05_monthly_analysis")(lambda s, d: bi.monthly_analysis(P.rows(s, d)))
 register("e06_category_performance")(lambda s, d: bi.category_performance(P.rows(s, d)))
-register("e07_customer_segment_analysis")(lambda s, d: bi.customer_segment_analysis(P.full(s, d)))
+register("e07_customer_segment_analysis")(lambda s, d: bi.customer_segment_analysis(P.with_customers(s, d)))
 register("e08_payment_mode_analysis")(lambda s, d: bi.payment_mode_analysis(P.rows(s, d)))
 register("e09_seasonal_analysis")(lambda s, d: bi.seasonal_analysis(P.rows(s, d)))
 register("e10_year_over_year_growth")(lambda s, d: bi.year_over_year_growth(P.rows(s, d)))
@@ -86,20 +86,22 @@ _ROWS = {  # need only row-level features
     "e62_best_category_region": AN.best_category_region,
     "e64_insight_kpis": AN.insight_kpis,
 }
-_FULL = {  # need customer / product stats
+_WITH_CUSTOMERS = {
     "e18_customer_profiles": AN.customer_profiles,
     "e19_segment_distribution": AN.segment_distribution,
-    "e24_product_performance": AN.product_performance,
-    "e26_performance_distribution": AN.performance_distribution,
     "e38_revenue_by_segment": AN.revenue_by_segment,
     "e44_rfm_table": AN.rfm_table,
     "e47_segment_revenue_ordered": AN.segment_revenue_ordered,
     "e48_segment_analysis_table": AN.segment_analysis_table,
     "e59_segment_counts_ordered": AN.segment_counts_ordered,
-    "h01_top_products": AN.top_products,
     "h01_top_customer_profiles": AN.top_customer_profiles,
     "b14_filter_options": AN.filter_options,
 }
+_WITH_PRODUCTS = {
+    "e24_product_performance": AN.product_performance,
+    "e26_performance_distribution": AN.performance_distribution,
+    "h01_top_products": AN.top_products,
+}
 
 
 def _bind(fn, prep):
@@ -108,8 +110,10 @@ def _bind(fn, prep):
 
 for _k, _f in _ROWS.items():
     register(_k)(_bind(_f, P.rows))
-for _k, _f in _FULL.items():
-    register(_k)(_bind(_f, P.full))
+for _k, _f in _WITH_CUSTOMERS.items():
+    register(_k)(_bind(_f, P.with_customers))
+for _k, _f in _WITH_PRODUCTS.items():
+    register(_k)(_bind(_f, P.with_products))
 
 # --- B01-B16: cleaning -------------------------------------------------------
 from pyspark.sql import functions as _F  # noqa: E402
@@ -165,7 +169,7 @@ register("b12_clean_audit")(lambda s, d: CL.clean_audit(P.sales(s, d)))
 @register("b13_filter_sales")
 def _b13(s, d):
     from ..operators.filters import filter_sales
-    f = filter_sales(P.full(s, d), years=[1996, 1998], category="All", region="ASIA", segment="Gold")
+    f = filter_sales(P.with_customers(s, d), years=[1996, 1998], category="All", region="ASIA", segment="Gold")
     return f.select("Order_ID", "Customer_ID", "Product_Name", "Year", "Region", "Customer_Segment", "Sales")
 
 
@@ -306,7 +310,7 @@ register("a09_orders_table")(lambda s, d: IO.orders_table(P.full(s, d)))
 
 @register("a10_run_sql")
 def _a10(s, d):
-    IO.save_orders_table(P.full(s, d), view="orders_sql")
+    IO.save_orders_table(P.with_customers(s, d), view="orders_sql")
     return IO.run_sql(s, """SELECT Region, Year, CAST(SUM(Sales) AS DOUBLE) AS Total_Sales,
                                    COUNT(DISTINCT Order_ID) AS Order_Count
                             FROM orders_sql WHERE Year >= ? AND Customer_Segment = ?

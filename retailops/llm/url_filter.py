@@ -22,8 +22,6 @@ than printable ASCII count as one.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,8 +101,9 @@ def judge(pages: DataFrame, rules: list[Rule], order: int = ORDER, weight: float
         *[F.count(F.when((F.col("label") == kind) & ~F.col("held"), 1)).alias(name)
           for kind, name in (("allow", "accepted"), ("block", "rejected"))])
     spread = texts.select("text", "accepted", "rejected", F.explode(_grams("text", order)).alias("gram"))
-    model = markov_ratio(spread.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")),
-                         order, weight)
+    # counted once and read by every order of the models
+    grams = stored(spread.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "url-grams")
+    model = markov_ratio(grams, order, weight)
     scores = stored(spread.select("text", "gram").hint("merge").join(stored(model, "url-model"), "gram").groupBy("text")
                     .agg((F.sum("ratio") / F.count("*")).alias("score"))
                     .select("text", F.least(F.greatest(F.floor(F.round("score", 9) * 100), F.lit(LEAST)), F.lit(MOST))

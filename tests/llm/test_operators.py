@@ -66,6 +66,15 @@ def test_token_counts_are_the_librarys(odd, empty):
     assert token_counts.token_counts(empty, PIECES).count() == 0
 
 
+def test_frequent_lengths_of_copies_and_derived_rows(spark):
+    # 40,000 copies of one text are sampled row by row; a derived frame needs no file of its own
+    docs = spark.range(40_000).selectExpr("id AS doc_id", f"'{PROSE}' AS text").where("doc_id % 2 = 0")
+    rows = docs.select("text").sample(200 / 20_000, seed=10).count()
+    assert 100 < rows < 300
+    table = token_counts.frequent_lengths(docs, PIECES, entries=12, sample=200)
+    assert len(table) == 12 and set(table) <= set(token_counts.segments(PROSE))
+
+
 def test_length_cache_starts_anew():
     cache = token_counts.Lengths({"a": 1}, len, limit=2)
     assert [cache[x] for x in ("a", "bb", "ccc", "dddd", "bb")] == [1, 2, 3, 4, 2] and len(cache) <= 3 and cache["a"] == 1

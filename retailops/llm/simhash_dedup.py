@@ -44,6 +44,8 @@ from .common import fresh, per_text, slices, stored
 
 #: Fingerprints of a key that one unit compares; larger keys are dealt out.
 TILE = 4_096
+#: Keys under which a group's fingerprints meet the group's name.
+SALTS = 16
 _GROUP = 512   # small keys are gathered into units of about this many
 _ROWS = 256    # fingerprints compared with a unit at a time
 _STEP = 8      # planes between two looks at whether a block can be abandoned
@@ -249,8 +251,14 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, tile: i
     roots = components(links(distinct.select("fp"), radius, tile))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(names, "root").select("fp", "component_id")
+    # a group can be large, so its fingerprints meet its name under SALTS keys; the
+    # root itself, and with it every fingerprint without a link, has key 0 alone
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    names = names.select("root", "component_id", F.explode(
+        F.sequence(F.lit(0), F.when(F.col("n") > 1, F.lit(SALTS - 1)).otherwise(F.lit(0)))).alias("salt"))
+    by_fp = (named.withColumn("salt", F.when(F.col("fp") == F.col("root"), F.lit(0))
+                              .otherwise(F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")))
+             .join(names, ["root", "salt"]).select("fp", "component_id"))
     return fps.join(by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

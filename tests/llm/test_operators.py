@@ -197,6 +197,17 @@ def test_links_connect_what_the_radius_connects(spark, tile):
     assert len(set(zip(mine, theirs))) == len(set(mine)) == len(set(theirs))
 
 
+def test_large_group_has_one_name(spark, monkeypatch):
+    # a chain of fingerprints, each one bit from the next, beside some without a link
+    chain = [(1 << k) - 1 for k in range(64)]
+    alone = [0x5555555555555555, 0x3333333333333333]
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda docs, width: docs.selectExpr("doc_id", "cast(text AS bigint) AS fp"))
+    rows = [(900 - k, str(f if f < 1 << 63 else f - (1 << 64))) for k, f in enumerate(chain + alone)]
+    got = {r.doc_id: r.component_id for r in simhash_dedup.simhash_components(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {d: (837 if d >= 837 else d) for d, _ in rows}
+
+
 def test_bit_sliced_distances():
     rnd = np.random.default_rng(2)
     for radius in (0, 1, 3, 4, 7, 9):

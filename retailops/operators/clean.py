@@ -9,6 +9,9 @@ pile its rows into one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -187,6 +190,32 @@ def having(df: DataFrame, cond: Column) -> DataFrame:
 DEFAULT_ORDER = ["Order_Date", "Product_Name", "Sales", "Profit", "Quantity"]
 
 
+def _fill(df: DataFrame, order_cols: list[str], threshold: float) -> DataFrame:
+    """Null filling: medians, modes, and dates from above in ``order_cols`` order (the dates left out)."""
+    nulls = null_counts(df).collect()[0].asDict()
+    with_nulls = [c for c in df.columns if nulls.get(c)]
+    dates = [c for c in with_nulls if isinstance(_type(df, c), (T.DateType, T.TimestampType))]
+    df = fill_numeric_median(df, [c for c in with_nulls if isinstance(_type(df, c), _NUMERIC)])
+    df = fill_categorical_mode(df, [c for c in with_nulls if isinstance(_type(df, c), T.StringType)], threshold)
+    if not dates:
+        return df
+    lead = [c for c in order_cols if c not in dates]
+    return ffill_dates(df, dates, lead + [c for c in df.columns if c not in dates and c not in lead])
+
+
+def _to_double(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") for c in df.columns if isinstance(_type(df, c), _NUMERIC)})
+
+
+def clean_steps(order_cols: list[str], floor: float | None, threshold: float) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
+    """The steps of ``clean`` in order, as (name, function)."""
+    return [("coerce_types", lambda d: _to_double(parse_currency(coerce_dates(d)))),
+            ("fill_missing", lambda d: _fill(d, order_cols, threshold)),
+            ("dedupe", lambda d: reliable_checkpoint(dedupe(d, ["Order_ID"], order_cols))),
+            ("cap_outliers", lambda d: cap_outliers(d, OUTLIER_COLUMNS, floor=floor)),
+            ("sales_positive", drop_nonpositive_sales)]
+
+
 def clean(df: DataFrame, order_cols: list[str] | None = None, floor: float | None = 0.0,
           threshold: float = 0.1) -> DataFrame:
     """Type coercion -> null filling -> dedupe -> outlier capping -> Sales > 0.
@@ -194,39 +223,25 @@ def clean(df: DataFrame, order_cols: list[str] | None = None, floor: float | Non
     Parsing runs first (so parsed nulls are filled and capping sees numbers).
     Types follow the schema alone: every numeric column is DOUBLE afterwards.
     One small job reads the null count of every column; a column without nulls
-    skips its fill, which would change nothing. Dates are filled forward in
-    ``order_cols`` order (the dates themselves left out). The deduplicated rows
-    are read twice by outlier capping (quantile bounds, the capped rows), so they
-    are materialised once in the shared checkpoint folder.
+    skips its fill, which would change nothing. The deduplicated rows are read
+    twice by outlier capping (quantile bounds, the capped rows), so they are
+    materialised once in the shared checkpoint folder.
     """
     order_cols = [c for c in (order_cols or DEFAULT_ORDER) if c in df.columns]
-    df = parse_currency(coerce_dates(df))
-    df = df.withColumns({c: F.col(c).cast("double") for c in df.columns if isinstance(_type(df, c), _NUMERIC)})
-    nulls = null_counts(df).collect()[0].asDict()
-    with_nulls = [c for c in df.columns if nulls.get(c)]
-    numeric = [c for c in with_nulls if isinstance(_type(df, c), _NUMERIC)]
-    strings = [c for c in with_nulls if isinstance(_type(df, c), T.StringType)]
-    dates = [c for c in with_nulls if isinstance(_type(df, c), (T.DateType, T.TimestampType))]
-    df = fill_numeric_median(df, numeric)
-    df = fill_categorical_mode(df, strings, threshold)
-    if dates:
-        lead = [c for c in order_cols if c not in dates]
-        df = ffill_dates(df, dates, lead + [c for c in df.columns if c not in dates and c not in lead])
-    df = reliable_checkpoint(dedupe(df, ["Order_ID"], order_cols))
-    df = cap_outliers(df, OUTLIER_COLUMNS, floor=floor)
-    return drop_nonpositive_sales(df)
-
-
-def clean_audit(df: DataFrame, order_cols: list[str] | None = None, floor: float | None = 0.0) -> DataFrame:
-    """Row counts before/after each cleaning step as (Step, Rows) - all lazy aggregates."""
+    for _, step in clean_steps(order_cols, floor, threshold):
+        df = step(df)
+    return df
+
+
+def clean_audit(df: DataFrame, order_cols: list[str] | None = None, floor: float | None = 0.0,
+                threshold: float = 0.1) -> DataFrame:
+    """Rows before and after each step of ``clean`` as (Step_No, Step, Rows_Before, Rows_After)."""
     order_cols = [c for c in (order_cols or DEFAULT_ORDER) if c in df.columns]
-    d = reliable_checkpoint(dedupe(df, ["Order_ID"], order_cols))  # read by four counts and the bounds
-    c = cap_outliers(d, OUTLIER_COLUMNS, floor=floor)
-    f = drop_nonpositive_sales(c)
-    steps = [("input", df), ("dedupe", d), ("cap_outliers", c), ("sales_positive", f)]
-    parts = [x.agg(F.count(F.lit(1)).alias("Rows")).select(F.lit(i).alias("Step_No"), F.lit(name).alias("Step"),
-                                                            "Rows") for i, (name, x) in enumerate(steps)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy("Step_No")
+    parts, before = [], df.agg(F.count(F.lit(1)).alias("Rows_Before"))
+    for no, (name, step) in enumerate(clean_steps(order_cols, floor, threshold), 1):
+        df = step(df)
+        after = df.agg(F.count(F.lit(1)).alias("Rows_After"))
+        parts.append(attach_row(before, after).select(F.lit(no).alias("Step_No"), F.lit(name).alias("Step"),
+                                                      "Rows_Before", "Rows_After"))
+        before = after.withColumnRenamed("Rows_After", "Rows_Before")
+    return reduce(DataFrame.unionByName, parts).orderBy("Step_No")

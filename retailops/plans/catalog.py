@@ -119,7 +119,7 @@ for _k, _f in _WITH_PRODUCTS.items():
 from pyspark.sql import functions as _F  # noqa: E402
 
 from ..operators import clean as CL  # noqa: E402
-from ..sources.messy import orders_with_gaps  # noqa: E402
+from ..sources.messy import orders_with_gaps, orders_with_text_dates  # noqa: E402
 
 
 @register("b01_fill_numeric_median")
@@ -151,6 +151,11 @@ register("b06_cap_outliers_keep_losses")(lambda s, d: CL.cap_outliers(P.sales(s,
 register("b07_outlier_counts")(lambda s, d: CL.outlier_counts(P.sales(s, d)))
 
 
+@register("b08_coerce_dates")
+def _b08(s, d):
+    return CL.coerce_dates(orders_with_text_dates(s, d))
+
+
 @register("b09_parse_currency")
 def _b09(s, d):
     return CL.parse_currency(orders_with_gaps(s, d).select("o_orderkey", _F.col("price_text").alias("Sales")),

@@ -444,10 +444,14 @@ ORACLE["b10_drop_nonpositive_sales"] = ORACLE["b09_parse_currency"] + \
 ORACLE["b12_clean"] = f"""WITH sales AS ({ADAPTER}), d AS ({_DEDUPED}), c AS ({_capped_select('d', True)})
 SELECT * FROM c WHERE Sales > 0"""
 ORACLE["b12_clean_audit"] = f"""WITH sales AS ({ADAPTER}), d AS ({_DEDUPED}), c AS ({_capped_select('d', True)})
-SELECT 0 AS Step_No, 'input' AS Step, count(*) AS Rows FROM sales
-UNION ALL SELECT 1, 'dedupe', count(*) FROM d
-UNION ALL SELECT 2, 'cap_outliers', count(*) FROM c
-UNION ALL SELECT 3, 'sales_positive', count(*) FROM c WHERE Sales > 0"""
+SELECT n AS Step_No, step AS Step, CAST(b AS BIGINT) AS Rows_Before, CAST(a AS BIGINT) AS Rows_After FROM (
+    SELECT 1 AS n, 'coerce_types' AS step, (SELECT count(*) FROM sales) AS b, (SELECT count(*) FROM sales) AS a
+    UNION ALL SELECT 2, 'fill_missing', (SELECT count(*) FROM sales), (SELECT count(*) FROM sales)
+    UNION ALL SELECT 3, 'dedupe', (SELECT count(*) FROM sales), (SELECT count(*) FROM d)
+    UNION ALL SELECT 4, 'cap_outliers', (SELECT count(*) FROM d), (SELECT count(*) FROM d)
+    UNION ALL SELECT 5, 'sales_positive', (SELECT count(*) FROM d), (SELECT count(*) FROM c WHERE Sales > 0))"""
+ORACLE["b08_coerce_dates"] = """
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS Ship_Date FROM orders"""
 ORACLE["b13_filter_sales"] = _F("""
 SELECT Order_ID, Customer_ID, Product_Name, Year, Region, Customer_Segment, Sales FROM features
 WHERE Year IN (1996, 1998) AND Region = 'ASIA' AND Customer_Segment = 'Gold'""")

@@ -75,21 +75,26 @@ def read_sales_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_first_valid(spark: SparkSession, paths: list[str], fmt: str = "csv") -> DataFrame:
-    """First source that maps to at least 10 canonical columns and validates.
+    """The first source that has all 15 canonical columns.
 
-    A source with >= 10 but < 15 columns is accepted with its columns as
-    they are (later steps are guarded by column presence).
+    Only if no source is complete, the first one with at least 10 is accepted
+    with its columns as they are (later steps are guarded by column presence).
     """
-    errors = []
+    errors, partial = [], None
     for p in paths:
         try:
             df = read_sales_csv(spark, p) if fmt == "csv" else read_sales_parquet(spark, p)
         except Exception as e:  # noqa: BLE001 - unreadable source: try the next one
             errors.append(f"{p}: {type(e).__name__}")
             continue
-        if schema_coverage(df) >= MIN_SCHEMA_COVERAGE:
+        complete, missing = validate_schema(df)
+        if complete:
             return df
-        errors.append(f"{p}: {schema_coverage(df)} of {len(REQUIRED_COLUMNS)} columns")
+        if partial is None and schema_coverage(df) >= MIN_SCHEMA_COVERAGE:
+            partial = df
+        errors.append(f"{p}: without {', '.join(missing)}")
+    if partial is not None:
+        return partial
     raise ValueError("no usable sales source: " + "; ".join(errors))
 
 

@@ -39,3 +39,13 @@ def orders_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(_every(BAD_CURRENCY_EVERY), F.lit("n/a"))
          .otherwise(F.concat(F.lit("$"), F.format_number(F.col("o_totalprice"), 2))).alias("price_text"),
     )
+
+
+def orders_with_text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders with their date as text in four formats by key, and one in five garbled."""
+    o = read_table(spark, sf_dir, "orders")
+    day, rest = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 5
+    text = (F.when(rest == 0, F.date_format(day, "yyyy-MM-dd")).when(rest == 1, F.date_format(day, "MM/dd/yyyy"))
+            .when(rest == 2, F.date_format(day, "dd-MM-yyyy")).when(rest == 3, F.date_format(day, "yyyy/MM/dd"))
+            .otherwise(F.lit("soon")))
+    return o.select("o_orderkey", text.alias("Ship_Date"))

@@ -41,6 +41,21 @@ def test_types_after_cleaning_follow_the_schema(spark, price):
     assert out.filter(F.col("Price").isNull() | F.col("Order_Date").isNull()).count() == 0
 
 
+def test_audit_counts_the_steps_of_clean(spark):
+    df = spark.createDataFrame([("1", 5.0), ("1", 6.0), ("2", None), ("3", -4.0), ("4", 7.0)], "Order_ID string, Sales double")
+    rows = [(r.Step, r.Rows_Before, r.Rows_After) for r in CL.clean_audit(df).collect()]
+    assert [r[0] for r in rows] == ["coerce_types", "fill_missing", "dedupe", "cap_outliers", "sales_positive"]
+    assert rows[2][1:] == (5, 4) and rows[-1][2] == CL.clean(df).count() == 3
+
+
+def test_complete_source_goes_before_an_earlier_partial_one(spark, tmp_path):
+    partial, full = str(tmp_path / "partial"), str(tmp_path / "full")
+    for path, n in ((partial, 12), (full, 15)):
+        spark.createDataFrame([tuple("1" * n)], IO.REQUIRED_COLUMNS[:n]).write.option("header", True).csv(path)
+    assert IO.load_first_valid(spark, [partial, full]).columns == IO.REQUIRED_COLUMNS
+    assert IO.load_first_valid(spark, [partial]).columns == IO.REQUIRED_COLUMNS[:12]
+
+
 def test_mode_ties_go_to_the_smallest(spark):
     df = spark.createDataFrame([("b", None), ("a", None), ("b", "x"), ("a", "x"), (None, "x")] * 3, "c string, d string")
     got = CL.fill_categorical_mode(df, ["c", "d"], threshold=0.3)

@@ -3,7 +3,8 @@
 Words are runs of letters and digits of the lower-cased text. A document is
 contaminated by a benchmark item of m words when some window of m words of the
 document has a weighted five-word-shingle similarity of at least ``similarity``
-with the item (sum of the smaller multiplicities over sum of the larger ones).
+with the item (sum of the smaller multiplicities over sum of the larger ones). A
+document of fewer than m words is itself the one window.
 
 1. *Anchors.* Such a window shares at least t = ceil(similarity * n) of the
    item's n shingles, so it holds one of any n - t + 1 of them; each item is
@@ -121,7 +122,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     ours = Window.partitionBy("doc_id", "text_hash", "item_id").orderBy("at")
     spans = (hits.dropDuplicates(["doc_id", "text_hash", "item_id", "at"])
              .withColumn("lo", F.greatest(F.lit(0), F.coalesce(F.lag("at").over(ours) + 1 - F.col("base"), F.lit(0))))
-             .withColumn("hi", F.expr("least(at - base, size(ctx) - m)")).where("lo <= hi"))
+             # words around an anchor are fewer than m only if the document is: one window, all of it
+             .withColumn("hi", F.expr("least(at - base, greatest(size(ctx) - m, 0))")).where("lo <= hi"))
     windows = (spans.select("doc_id", "text_hash", "item_id", "m", "base", "lo", "hi", F.posexplode(_shingles("ctx")).alias("j", "h"))
                .withColumn("first", F.expr(f"greatest(lo, j - m + {WIDTH})")).withColumn("last", F.expr("least(hi, j)"))
                .where("first <= last")

@@ -275,6 +275,25 @@ def test_contaminated_against_all_windows(spark, odd, empty):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_documents_shorter_than_the_item(spark):
+    """A cut item is one window, the whole document."""
+    grams = lambda w: Counter(" ".join(w[i:i + 5]) for i in range(len(w) - 4))
+    w = PROSE.split()
+    item = w[:38]
+    docs = [(0, item[:-1]), (1, item[:34]), (2, item[3:]), (3, item[:30]), (4, item[:15] + ["new"] + item[16:36]), (5, item[:4]),
+            (6, []), (7, item[:20] + item[21:]), (8, item), (None, item[1:-1])]
+    want = set()
+    for d, x in docs:
+        a, b = grams(x), grams(item)
+        v = sum((a & b).values()) / sum((a | b).values())
+        if v >= 0.8:
+            want.add((d, 1, round(v, 9), 0))
+    assert {d for d, *_ in want} >= {0, 1, 2, 8, None} and not {d for d, *_ in want} & {3, 5, 6}
+    frame = spark.createDataFrame([(d, " ".join(x)) for d, x in docs], "doc_id bigint, text string")
+    got = decontaminate.contaminated(frame, spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id, round(r.similarity, 9), r.start) for r in got.collect()} == want
+
+
 # ---- 4: quality rules
 
 def slow_counts(text):

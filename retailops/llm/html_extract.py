@@ -8,6 +8,7 @@ on at least half of the host's pages (three at least) and has two tokens or is
 nested in a slot of a valid class; the valid classes nest by their paths into
 the host's template. Vectors are compared as sums of hashes of (page, count),
 so they are combined before the shuffle and no host's pages ever meet in a task.
+Pages of a host with the same html are one page to all this.
 
 What the template leaves open are slots. Text in an ``article`` or ``main``
 slot is the main text. Pages without one give the slots that are not the
@@ -30,6 +31,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,6 +41,8 @@ from .common import slices, stored
 
 #: Pages of one host are spread over this many keys when they meet the template.
 SALTS = 32
+#: Slots for the keys of contents that a host has more than once.
+COPY_SLOTS = 1 << 22
 
 # What HTML says of its elements, and names that sites use.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -210,49 +214,72 @@ def main_text(page: Page, template: set[int]) -> str:
     return "\n".join(b.text for b in inside)
 
 
-_TOKENS = "host string, token bigint, parent bigint, pages bigint, times bigint, vector decimal(38,0)"
+_TOKENS = "host string, token bigint, copied bigint, parent bigint, pages bigint, times bigint, vector decimal(38,0)"
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, parent, pages, times, vector) summed over some pages of a task; token 0 counts pages."""
-    def out():
+def _tokens(copied):
+    """(host, token, copied, parent, pages, times, vector) summed over some pages of a task;
+    token 0 counts pages. A content that may have copies has rows of its own, under its key."""
+    def out(seen):
         from decimal import Decimal
         keys = list(seen)
         rows = [seen[k] for k in keys]
         return pa.RecordBatch.from_arrays(
-            [pa.array([h for h, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.int64()),
-             *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)),
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()),
+             pa.array([k[2] for k in keys], pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)),
              pa.array([Decimal(r[3]) for r in rows], pa.decimal128(38, 0))],
-            names=["host", "token", "parent", "pages", "times", "vector"])
-
-    seen: dict[tuple[str, int], list[int]] = {}
-    for b in slices(batches):
-        for host, key, source in zip(*(b.column(c).to_pylist() for c in ("host", "key", "html"))):
-            page = read(source or "")
-            counts = Counter(page.paths)
-            parents = dict(page.parents)
-            for block in page.blocks:
-                if not block.main:  # text of an article is never a template's
-                    t = _text_token(block)
-                    counts[t] += 1
-                    parents[t] = block.path
-            counts[0] = 1
-            for t, n in counts.items():
-                row = seen.setdefault((host, t), [parents.get(t, 0), 0, 0, 0])
-                row[1] += 1
-                row[2] += n
-                row[3] += xxhash.xxh64_intdigest(f"{key},{n}", 9)
-        if len(seen) > 100_000:
-            yield out()
-            seen = {}
-    if seen:
-        yield out()
+            names=["host", "token", "copied", "parent", "pages", "times", "vector"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = copied.value
+        seen: dict[tuple[str, int, int | None], list[int]] = {}
+        for b in slices(batches):
+            for host, key, source in zip(*(b.column(c).to_pylist() for c in ("host", "content", "html"))):
+                own = key if may[key % COPY_SLOTS] else None
+                if own is not None and (host, 0, own) in seen:
+                    continue  # a copy
+                page = read(source or "")
+                counts = Counter(page.paths)
+                parents = dict(page.parents)
+                for block in page.blocks:
+                    if not block.main:  # text of an article is never a template's
+                        t = _text_token(block)
+                        counts[t] += 1
+                        parents[t] = block.path
+                counts[0] = 1
+                for t, n in counts.items():
+                    row = seen.setdefault((host, t, own), [parents.get(t, 0), 0, 0, 0])
+                    row[1] += 1
+                    row[2] += n
+                    row[3] += xxhash.xxh64_intdigest(f"{key},{n}", 9)
+            if len(seen) > 100_000:
+                yield out(seen)
+                seen = {}
+        if seen:
+            yield out(seen)
+    return run
+
+
+def _may_be_copied(pages: DataFrame) -> np.ndarray:
+    """Which slots hold the key of a content that a host has more than once. A slot may
+    also hold others: they only take the longer way."""
+    slots = (pages.groupBy("host", "content").count().where("count > 1")
+             .select(F.pmod("content", F.lit(COPY_SLOTS)).cast("int").alias("slot")).distinct().toArrow())  # a row for each slot at most
+    may = np.zeros(COPY_SLOTS, bool)
+    may[slots["slot"].to_numpy()] = True
+    return may
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """host and the tokens of its template (each is on half of the host's pages at
-    least, so there are at most twice as many as on a page) from host, key, html."""
-    found = (pages.select("host", "key", "html").mapInArrow(_tokens, _TOKENS).groupBy("host", "token")
+    least, so there are at most twice as many as on a page) from host, html. Pages
+    of a host with equal html count as one."""
+    pages = pages.select("host", "html", F.xxhash64(F.coalesce("html", F.lit(""))).alias("content"))
+    copied = pages.sparkSession.sparkContext.broadcast(_may_be_copied(pages))
+    found = pages.mapInArrow(_tokens(copied), _TOKENS)
+    once = [F.when(F.col("copied").isNull(), F.sum(c)).otherwise(F.max(c)).cast(found.schema[c].dataType).alias(c)
+            for c in ("pages", "times", "vector")]
+    found = (found.groupBy("host", "token", "copied").agg(F.min("parent").alias("parent"), *once).groupBy("host", "token")
              .agg(F.min("parent").alias("parent"), F.sum("pages").alias("pages"), F.sum("times").alias("times"),
                   F.sum("vector").alias("vector")))
     found = stored(found, "tokens")

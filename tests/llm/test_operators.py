@@ -436,6 +436,20 @@ def test_template_of_a_host(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_copies_are_one_page_of_a_host(spark):
+    """Copies alone, and copies that are half of a host's pages, keep their text."""
+    def body(text):
+        return page(f"<div class=top>Our site greets you</div><div class=x><p>{text}</p><p>{text} again</p></div>")
+    rows = [(k, "http://a.org/1", body("only this")) for k in range(4)]
+    rows += [(k, "http://b.org/1", body("copied")) for k in range(10, 18)] + [(k, "http://b.org/1", body(f"other {k}")) for k in range(20, 24)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    greeting = "Our site greets you\n"
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert {got[k] for k in range(4)} == {greeting + "only this\nonly this again"}
+    assert {got[k] for k in range(10, 18)} == {"copied\ncopied again"}
+    assert all(got[k] == f"other {k}\nother {k} again" for k in range(20, 24))
+
+
 # ---- 2: LM scoring
 
 def test_lm_counts_base_and_score(odd, empty):

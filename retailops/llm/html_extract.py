@@ -15,7 +15,8 @@ slot is the main text. Pages without one give the slots that are not the
 template's own fixed text and not mostly links. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments, told by
 tag, role, class or id, are left out everywhere (a header inside an article
-stays). Character references are decoded, white space inside a block becomes
+stays). Class and id do not count on ``html``, ``body``, an ``article`` or ``main``
+and what holds it; an article inside another is a comment if its names say so. Character references are decoded, white space inside a block becomes
 one space, blocks are joined by one line feed; nothing else is cut.
 
 Defined results: null html gives empty text; a null or odd url is a host of its
@@ -79,8 +80,13 @@ class Element:
     tag: str
     path: int           # hash of the path of tags and classes
     main: bool          # inside an article or main element
-    aside: bool         # inside something that is not main text
+    aside: bool         # inside something that is not main text, by tag, role or hiding
     link: bool = False
+    begins: bool = False    # is an article or main element itself
+    named: bool = False     # its class or id has a name of what is not main text
+    holds: bool = False     # has the article or main element in it: names do not count
+    parent: "Element | None" = None
+    off: bool = False       # inside something that is not main text, names included
 
 
 @dataclass
@@ -115,15 +121,34 @@ def _opened(tag: str, attrs: str, top: Element) -> Element:
             elif kind == "hidden" or kind == "aria-hidden" and value.lower() == "true" or kind == "style" and _HIDDEN.search(value):
                 hidden = True
     words = {w.lower() for w in _WORD.findall(names)}
-    main = top.main or tag in MAIN or role == "main"
-    aside = (top.aside or hidden or tag in ASIDE or role in ASIDE_ROLES or bool(words & ASIDE_NAMES)
-             or not main and (tag == "header" or role == "banner" or bool(words & HEAD_NAMES)))
-    return Element(tag, _hash(top.path, tag, " ".join(names.split())), main, aside, top.link or tag == "a")
+    begins = tag in MAIN or role == "main"
+    main = top.main or begins
+    aside = top.aside or hidden or tag in ASIDE or role in ASIDE_ROLES or not main and (tag == "header" or role == "banner")
+    named = tag not in ("html", "body") and (bool(words & ASIDE_NAMES) or not main and bool(words & HEAD_NAMES))
+    return Element(tag, _hash(top.path, tag, " ".join(names.split())), main, aside, top.link or tag == "a", begins, named, parent=top)
+
+
+def _begun(stack: list[Element], new: Element, led: set[int]):
+    """Names do not count on an article or main element, nor on what holds it. An article
+    in an article is a comment, as HTML has it; of the articles in a main element only
+    the first speaks for what holds it (``led``: the main elements that had theirs)."""
+    outer = next((k for k, e in enumerate(stack) if e.begins), len(stack))
+    if any(e.tag == "article" for e in stack[outer:]):
+        return
+    new.holds = True
+    if outer == len(stack) or id(stack[outer]) not in led:
+        for e in stack:
+            e.holds = True
+        if outer < len(stack):
+            led.add(id(stack[outer]))
 
 
 def read(source: str) -> Page:
     """The blocks and the tokens of a page, in one pass."""
     page, stack = Page(), [Element("", 0, False, False)]
+    opened: list[Element] = []
+    inside: list[Element] = []  # of each block
+    led: set[int] = set()
     parts: list[str] = []
     link_chars, at = 0, 0
 
@@ -133,7 +158,8 @@ def read(source: str) -> Page:
             text = " ".join("".join(parts).split())
             if text:
                 top = next((e for e in reversed(stack) if e.tag in BLOCK), stack[0])
-                page.blocks.append(Block(text, top.path, stack[-1].main, stack[-1].aside, link_chars))
+                page.blocks.append(Block(text, top.path, stack[-1].main, False, link_chars))
+                inside.append(stack[-1])
             parts.clear()
         link_chars = 0
 
@@ -193,11 +219,18 @@ def read(source: str) -> Page:
                 elif stack[k].tag in BOUNDARY:
                     break
         top = _opened(tag, attrs, stack[-1])
+        if top.begins:
+            _begun(stack, top, led)
+        opened.append(top)
         page.paths[top.path] += 1
         page.parents.setdefault(top.path, stack[-1].path)
         if not attrs.endswith("/") or tag in BLOCK:
             stack.append(top)
     flush()
+    for e in opened:  # parents first
+        e.off = e.aside or e.named and not e.holds or e.parent.off
+    for block, e in zip(page.blocks, inside):
+        block.aside = e.off
     return page
 
 

@@ -418,6 +418,19 @@ def test_main_text_of_a_page(body, text):
     assert html_extract.main_text(html_extract.read(page(body)), set()) == text
 
 
+@pytest.mark.parametrize("source, text", [
+    ("<body class='has-sidebar'><article><p>a</p></article></body>", "a"),
+    ("<body class='has-sidebar'><p>a</p></body>", "a"),
+    ("<html class=search><main id=search><p>a</p></main></html>", "a"),
+    ("<article class='post comments-open'><p>a</p><div class=comments><article class=comment>no</article></div></article>", "a"),
+    ("<div id=content class='with-sidebar'><article><p>a</p></article><div class=sidebar>no</div></div>", "a"),
+    ("<div class='page-header-menu'><main><div class='with-sidebar'><article>a</article><div class=share>no</div></div></main></div>", "a"),
+    ("<main><article>a</article><article class='share'>b</article><section class=comments><article>no</article></section></main>", "a\nb"),
+])
+def test_names_do_not_count_on_what_holds_the_text(source, text):
+    assert html_extract.main_text(html_extract.read(source), set()) == text
+
+
 def test_template_of_a_host(spark):
     """Pages without an article: what all pages share is the template, the slots remain."""
     rnd = random.Random(7)

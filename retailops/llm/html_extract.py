@@ -10,9 +10,9 @@ the host's template. Vectors are compared as sums of hashes of (page, count),
 so they are combined before the shuffle and no host's pages ever meet in a task.
 Pages of a host with the same html are one page to all this.
 
-What the template leaves open are slots. Text in an ``article`` or ``main``
-slot is the main text. Pages without one give the slots that are not the
-template's own fixed text and not mostly links. Menus, headers, footers,
+What the template leaves open are slots; its own fixed text is in none, on no page.
+Text in an ``article`` or ``main`` slot is the main text. Pages without one give
+the slots that are not mostly links. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments, told by
 tag, role, class or id, are left out everywhere (a header inside an article
 stays). Class and id do not count on ``html``, ``body``, an ``article`` or ``main``
@@ -239,12 +239,12 @@ def _text_token(block: Block) -> int:
 
 
 def main_text(page: Page, template: set[int]) -> str:
-    """The blocks of the main slots, joined by line feeds."""
+    """The blocks of the main slots, joined by line feeds. The template's own text is in
+    no slot; the tags say which slots are main, on pages where any is."""
     inside = [b for b in page.blocks if b.main and not b.aside]
     if not inside:
-        inside = [b for b in page.blocks if not b.aside and _text_token(b) not in template
-                  and 2 * b.link_chars <= len(b.text)]
-    return "\n".join(b.text for b in inside)
+        inside = [b for b in page.blocks if not b.aside and 2 * b.link_chars <= len(b.text)]
+    return "\n".join(b.text for b in inside if _text_token(b) not in template)
 
 
 _TOKENS = "host string, token bigint, copied bigint, parent bigint, pages bigint, times bigint, vector decimal(38,0)"
@@ -275,10 +275,9 @@ def _tokens(copied):
                 counts = Counter(page.paths)
                 parents = dict(page.parents)
                 for block in page.blocks:
-                    if not block.main:  # text of an article is never a template's
-                        t = _text_token(block)
-                        counts[t] += 1
-                        parents[t] = block.path
+                    t = _text_token(block)
+                    counts[t] += 1
+                    parents[t] = block.path
                 counts[0] = 1
                 for t, n in counts.items():
                     row = seen.setdefault((host, t, own), [parents.get(t, 0), 0, 0, 0])
@@ -309,22 +308,35 @@ def templates(pages: DataFrame) -> DataFrame:
     of a host with equal html count as one."""
     pages = pages.select("host", "html", F.xxhash64(F.coalesce("html", F.lit(""))).alias("content"))
     copied = pages.sparkSession.sparkContext.broadcast(_may_be_copied(pages))
-    found = pages.mapInArrow(_tokens(copied), _TOKENS)
+    found = pages.mapInArrow(_tokens(copied), _TOKENS).repartition("host", "token")  # for both groupings
     once = [F.when(F.col("copied").isNull(), F.sum(c)).otherwise(F.max(c)).cast(found.schema[c].dataType).alias(c)
             for c in ("pages", "times", "vector")]
     found = (found.groupBy("host", "token", "copied").agg(F.min("parent").alias("parent"), *once).groupBy("host", "token")
              .agg(F.min("parent").alias("parent"), F.sum("pages").alias("pages"), F.sum("times").alias("times"),
                   F.sum("vector").alias("vector")))
-    found = stored(found, "tokens")
+    found = stored(found.where("token = 0 OR pages >= 3"), "tokens")
     size = found.where("token = 0").select("host", F.col("pages").alias("host_pages"))
-    frequent = found.where("token <> 0").hint("merge").join(size, "host").where("pages >= 3 AND 2 * pages >= host_pages")
+    frequent = found.where("token <> 0").hint("merge").join(size, "host").where("2 * pages >= host_pages")
     classes = frequent.groupBy("host", "vector", "pages", "times").agg(
         F.collect_list(F.struct("token", "parent")).alias("members"))
-    # a class of one token is valid if its parent's class is
     large = classes.groupBy("host").agg(F.collect_list("members").alias("classes"))
-    return large.select("host", F.expr("""aggregate(classes,
-        flatten(transform(filter(classes, c -> size(c) > 1), c -> transform(c, x -> x.token))),
-        (ok, c) -> if(size(c) = 1 AND array_contains(ok, c[0].parent), concat(ok, array(c[0].token)), ok))""").alias("template"))
+    return large.mapInArrow(_nested, "host string, template array<bigint>")
+
+
+def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tokens of each host's valid classes; one of a single token is valid if its parent's is."""
+    for b in slices(batches, 64):
+        out = []
+        for classes in b.column("classes").to_pylist():
+            ok = [x["token"] for c in classes if len(c) > 1 for x in c]
+            under: dict[int, list[int]] = {}
+            for c in classes:
+                if len(c) == 1:
+                    under.setdefault(c[0]["parent"], []).append(c[0]["token"])
+            for t in ok:  # grows until nothing is nested in it any more
+                ok += under.pop(t, ())
+            out.append(ok)
+        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(out, pa.list_(pa.int64()))], names=["host", "template"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

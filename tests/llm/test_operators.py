@@ -449,6 +449,25 @@ def test_template_of_a_host(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_template_text_inside_articles(spark):
+    """An unclassed line in every article of a host is the template's; what half of the pages lack is not."""
+    rows = [(k, "http://a.org/1", page(f"<nav>x</nav><article><h1>title {k}</h1><p>text {k}</p><p>Read our newsletter</p></article>")) for k in range(8)]
+    rows += [(k, "http://b.org/1", page(f"<article><p>text {k}</p><p>{'same' if k < 13 else k}</p></article>")) for k in range(10, 18)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    want = {k: f"title {k}\ntext {k}" for k in range(8)}
+    assert got == want | {k: f"text {k}\n{'same' if k < 13 else k}" for k in range(10, 18)}
+
+
+def test_nesting_does_not_depend_on_the_order():
+    import pyarrow as pa
+    chain = [[{"token": t, "parent": t - 1}] for t in range(3, 9)]
+    pair = [{"token": 1, "parent": 0}, {"token": 2, "parent": 1}]
+    other = [[{"token": 21, "parent": 20}]]
+    for classes in (chain + [pair] + other, other + [pair] + chain[::-1]):
+        (b,) = html_extract._nested([pa.RecordBatch.from_pydict({"host": ["a"], "classes": [classes]})])
+        assert sorted(b.column("template").to_pylist()[0]) == list(range(1, 9))
+
+
 def test_copies_are_one_page_of_a_host(spark):
     """Copies alone, and copies that are half of a host's pages, keep their text."""
     def body(text):

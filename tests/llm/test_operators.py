@@ -518,6 +518,22 @@ def test_prefix_counts_are_exact():
                 assert (found[t][0][k], found[t][1][k]) == (shares(t), shares(t + 1))
 
 
+def test_prefix_counts_reach_the_end_of_long_tokens():
+    long = b"http://" + b"a" * 90
+    words = sorted([long, long, long + b"/b", long[:60] + b"/c", b"httq", "\u4e2d".encode() * 40])
+    counts, classes = np.array([3, 1, 20, 6, 7, 9]), np.array([0, 0, 1, 2, 0, 0])
+    classes[[w == long for w in words].index(True)] = 1
+    x = context_mixing.Spelled(words, classes, counts)
+    for by_class in (False, True):
+        found = x.prefixes(by_class)
+        for k in np.flatnonzero(x.at >= context_mixing.SHARED):
+            i, j = x.owner[k], x.at[k]
+            same = [len(w) > j and (not by_class or c == classes[i]) and w[:j] == x.words[i][:j] for w, c in zip(x.words, classes)]
+            for t in (0, 3, 8):
+                want = sum(c for ok, w, c in zip(same, x.words, counts) if ok and w[j] >> 8 - t == x.words[i][j] >> 8 - t)
+                assert (found[t][0][k] if t < 8 else found[7][1][k]) == want
+
+
 def test_mixing_beats_the_base_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(
         "doc_id", "text", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2).alias("held_out"))

@@ -534,6 +534,45 @@ def test_prefix_counts_reach_the_end_of_long_tokens():
                 assert (found[t][0][k] if t < 8 else found[7][1][k]) == want
 
 
+def test_split_groups_have_the_counts_of_the_whole(spark):
+    """Hot prefixes are told apart by more bytes; all counts are those of one group."""
+    rnd = random.Random(8)
+    words = {b"http" + bytes(rnd.choices(b"ab:/", k=rnd.randint(0, 6))) for _ in range(150)} | {b"htt", b"other", b"http\x01"}
+    rows = sorted((context_mixing._spelled(w), w, c, rnd.randint(0, 9)) for w in words for c in (0, 3, 5) if rnd.random() < 0.7)
+    types = spark.createDataFrame([(bytearray(w), c, n) for _, w, c, n in rows], "word binary, cls int, train bigint")
+    groups = context_mixing._groups(types, 12)
+    assert {b"http", b"httpa"} <= set(groups.hot) and context_mixing._groups(types, 10_000).hot == {}
+    keyed = {(bytes(r.word), bytes(r.k)) for r in types.select("word", context_mixing._group_key(groups).alias("k")).collect()}
+    assert keyed == {(w, groups.key(s)) for s, w, *_ in rows}
+
+    def counts(part, of):
+        x = of.whole([r[1] for r in part], np.array([r[2] for r in part]), np.array([r[3] for r in part]))
+        found = [x.prefixes(by_class) for by_class in (False, True)]
+        return {(x.words[i], x.cls[i], x.at[k]): [f[t][b][k] for f in found for t in range(8) for b in (0, 1)]
+                for k in range(len(x.flat)) for i in [x.owner[k]] if x.real[i] and x.at[k] >= context_mixing.SHARED}
+    want, got = counts(rows, context_mixing.Groups({})), {}
+    keys = sorted({groups.key(r[0]) for r in rows})
+    assert max(sum(groups.key(r[0]) == k for r in rows) for k in keys) <= 12
+    for some in (keys[i:i + 3] for i in range(0, len(keys), 3)):  # a chunk has some of the groups
+        got |= counts([r for r in rows if groups.key(r[0]) in some], groups)
+    assert got == want
+
+
+def test_split_groups_score_every_text(spark, odd):
+    docs = odd.withColumn("held_out", F.coalesce(F.pmod(F.col("doc_id"), F.lit(7)) == 2, F.lit(False)))
+    whole, split = ({(r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in context_mixing.score(docs, group=g).collect()}
+                    for g in (120_000, 20))
+    assert whole == split
+
+
+def test_mixer_learns_with_true_counts():
+    words, table = [b"apple", b"grape"], np.zeros((context_mixing._BASES[-1], 2), np.float32)
+    x = context_mixing.Spelled(words, np.zeros(2, int), np.array([1000, 1]))
+    mixer = context_mixing.Mixer.new()
+    assert context_mixing.learn(x, table, mixer, x.count > 0) == 6 * 1001
+    assert mixer.seen.sum() == 8 * 6 * 1001
+
+
 def test_mixing_beats_the_base_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(
         "doc_id", "text", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2).alias("held_out"))

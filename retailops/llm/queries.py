@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_tree, context_mixing, decontaminate, html_extract, language_id, quality_rules, simhash_dedup, token_counts, token_file, url_filter
+from . import (bpe_tree, context_mixing, decontaminate, filter_audit, hard_negatives, html_extract, language_id, pii_tagger, quality_rules,
+               simhash_dedup, token_counts, token_file, url_filter)
 from .common import fold, table
 
 
@@ -61,8 +63,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", "embedding", label.alias("label"), (F.col("vec_id") % 50 == 0).alias("anchor")),
+                               scale=256, positives=5, negatives=3, low=50, high=95)
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pii_tagger.find(docs, pii_tagger.fit(docs))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_orders(filter_audit.document_masks(table(spark, sf_dir, "documents", "doc_id", "text", "lang"),
+                                                                 table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_lm_score, op3_url_filter, op4_quality_rules, op5_html_extract, op6_token_file, op7_decontaminate, op8_bpe_tree,
-    op9_simhash_dedup, op10_token_counts)}
+    op9_simhash_dedup, op10_token_counts, op11_hard_negatives, op12_pii, op13_filter_audit)}
 #: DuckDB SQL of the queries that it can express.
-ORACLE: dict[str, str] = {"op3_url_filter": url_filter.oracle_sql(URL_RULES)}
+ORACLE: dict[str, str] = {"op3_url_filter": url_filter.oracle_sql(URL_RULES), "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+                          "op13_filter_audit": filter_audit.ORACLE_SQL}

@@ -395,6 +395,7 @@ def regions(numbers: np.ndarray, p: np.ndarray, length: int) -> Iterator[tuple[i
         yield start, (total / weight)[:length - start]
 
 
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[^0-9][0-9]{1,2}[^0-9][0-9]{1,2}|[0-9]{1,2}[^0-9][0-9]{1,2}[^0-9](?:19|20)[0-9]{2}")
 _PLAUSIBLE_AT = re.compile(r"[^\s@]\s?(?:\(at\))?@\s?[^\s@]")
 
 
@@ -408,7 +409,7 @@ def plausible(kind: int, span: str) -> bool:
         return len(numbers) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers)
     if kind == 2:
         return 13 <= len(digits) <= 19 and len(span) <= 2 * len(digits) and luhn(digits)
-    return 8 <= len(digits) <= 15 and len(span) <= 2 * len(digits)
+    return 8 <= len(digits) <= 15 and len(span) <= 2 * len(digits) and not _DATE.fullmatch(span)
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], numbers: np.ndarray, p: np.ndarray) -> list[tuple[int, int, int]]:

@@ -75,42 +75,61 @@ class Distinct:
 
 
 def group_agg(df, keys: list[str], *aggs):
-    """GROUP BY ``keys`` with plain aggregates and any number of distinct counts.
-
-    One distinct count stays in the main aggregate. Two or more would make
-    Spark expand every input row once per distinct column and carry all
-    other aggregates through that expansion; instead each distinct count
-    becomes its own single-distinct aggregate (partial aggregation on
-    (keys, column), so hot keys collapse map-side) and the per-group
-    results - one row per group - are joined null-safely on the keys.
+    """GROUP BY ``keys`` with plain aggregates and any number of distinct counts, in one pass.
+
+    One distinct count is left to Spark. For two or more, each row becomes one
+    narrow copy for each id column, tagged with its kind; the first kind also
+    carries the columns of the plain aggregates (nulls in the others). Grouping
+    by (keys, kind) then needs a single distinct count: its partial aggregate has
+    the grain (keys, kind, id), so a hot key or id collapses map-side, and the
+    input is scanned once. The result, one row for each key and kind, is put
+    side by side by a second small aggregate.
     """
-    from pyspark.sql import functions as F  # noqa: F811
-
     keys = list(keys)
     plain = [a for a in aggs if not isinstance(a, Distinct)]
     ds = [a for a in aggs if isinstance(a, Distinct)]
-    names = [a.name if isinstance(a, Distinct) else None for a in aggs]
     if len(ds) <= 1:
         cols = [F.countDistinct(a.col).alias(a.name) if isinstance(a, Distinct) else a for a in aggs]
         return df.groupBy(*keys).agg(*cols) if keys else df.agg(*cols)
-    # the first distinct count rides along with the plain aggregates (no expansion for one)
-    main = plain + [F.countDistinct(ds[0].col).alias(ds[0].name)]
-    parts = [df.groupBy(*keys).agg(*main) if keys else df.agg(*main)]
-    for d in ds[1:]:
-        g = df.groupBy(*keys).agg(F.countDistinct(d.col).alias(d.name)) if keys else \
-            df.agg(F.countDistinct(d.col).alias(d.name))
-        parts.append(g)
-    out = parts[0]
-    for p in parts[1:]:
-        if keys:
-            cond = [out[k].eqNullSafe(p[k]) for k in keys]
-            out = out.join(p, cond, "inner").select(*[out[k] for k in keys],
-                                                    *[out[c] for c in out.columns if c not in keys],
-                                                    *[p[c] for c in p.columns if c not in keys])
-        else:
-            out = out.crossJoin(F.broadcast(p))
-    plain_names = [c for c in out.columns if c not in keys and c not in [d.name for d in ds]]
-    plain_names = plain_names[:len(plain)]
-    it = iter(plain_names)
-    order = [n if n is not None else next(it) for n in names]
-    return out.select(*keys, *order)
+    copies = F.array(*[F.struct(F.lit(i).alias("_kind"), F.col(d.col).cast("string").alias("_id")) for i, d in enumerate(ds)])
+    first = F.col("_kind") == 0
+    wide = df.select("*", F.inline(copies)).select(
+        *keys, "_kind", "_id", *[F.when(first, F.col(c)).alias(c) for c in df.columns if c not in keys])
+    g = wide.groupBy(*keys, "_kind").agg(*plain, F.countDistinct("_id").alias("_distinct"))
+    names = g.columns[len(keys) + 1:-1]
+    side = [F.max(F.when(first, F.col(c))).alias(c) for c in names]
+    side += [F.coalesce(F.max(F.when(F.col("_kind") == i, F.col("_distinct"))), F.lit(0)).alias(d.name) for i, d in enumerate(ds)]
+    if keys:
+        out = g.groupBy(*keys).agg(*side)
+    else:  # without a row there is no kind either: the plain aggregates of nothing (0 or null) fill in
+        none = df.limit(0).agg(*plain).toDF(*[f"_none_{c}" for c in names])
+        out = g.agg(*side).crossJoin(F.broadcast(none)).withColumns({c: F.coalesce(c, f"_none_{c}") for c in names})
+    it = iter(names)
+    return out.select(*keys, *[a.name if isinstance(a, Distinct) else next(it) for a in aggs])
+
+
+class Part:
+    """One grouping of ``one_pass``: rows grouped by ``key`` (null: all rows), the
+    distinct values of ``distinct`` counted, the named ``inputs`` aggregated."""
+
+    def __init__(self, name: str, key: Column | None = None, distinct: Column | None = None, inputs: tuple[str, ...] = ()):
+        self.name, self.key, self.distinct, self.inputs = name, key, distinct, inputs
+
+
+def one_pass(df, parts: list[Part], inputs: dict[str, Column], aggs: list[Column]):
+    """Several groupings of the same rows from one scan: ``_part``, ``_key`` (text), the
+    aggregates over the named ``inputs``, ``_distinct``.
+
+    Each row becomes one narrow copy for each part, holding that part's key, id
+    and inputs only; one aggregate over (part, key) follows. Where a part counts
+    no distinct value its copies collapse to one row a key map-side.
+    """
+    types = dict(df.limit(0).select(*[c.alias(n) for n, c in inputs.items()]).dtypes)
+    none = F.lit(None).cast("string")
+    copies = [F.struct(F.lit(p.name).alias("_part"),
+                       (none if p.key is None else p.key.cast("string")).alias("_key"),
+                       (none if p.distinct is None else p.distinct.cast("string")).alias("_id"),
+                       *[(c if n in p.inputs else F.lit(None).cast(types[n])).alias(n) for n, c in inputs.items()])
+              for p in parts]
+    return (df.select(F.inline(F.array(*copies))).groupBy("_part", "_key")
+              .agg(*aggs, F.countDistinct("_id").alias("_distinct")))

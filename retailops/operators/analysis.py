@@ -19,6 +19,7 @@ from ..functions.formatting import format_fixed, format_money, format_percent
 from ..sources.schema import (DAY_ORDER, DISCOUNT_ANALYSIS_EDGES, DISCOUNT_REPORT_EDGES,
                               PERFORMANCE_LABELS, SALES_BUCKET_LABELS, SEGMENT_LABELS)
 from ..session import reliable_checkpoint
+from .grain import PERFORMANCE, SEGMENT, label_totals, labelled_groups, product_groups, segment_totals
 from .stats import attach_row, global_row_number
 
 S, P, N, C = "Sales", "Profit", "Order_ID", "Customer_ID"
@@ -66,10 +67,15 @@ def _labels_frame(df: DataFrame, labels: list[str], name: str) -> DataFrame:
             .select(F.posexplode(F.array(*[F.lit(x) for x in labels])).alias("_pos", name)))
 
 
-def _counts_with_labels(df: DataFrame, col: str, labels: list[str], out_key: str,
+def _row_counts(df: DataFrame, col: str) -> DataFrame:
+    return df.groupBy(col).agg(F.count(F.lit(1)).alias("Count"))
+
+
+def _counts_with_labels(counts: DataFrame, col: str, labels: list[str], out_key: str,
                         order: str = "count") -> DataFrame:
-    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("Count"))
-    lab = _labels_frame(df, labels, out_key)
+    """(label, Count) for every label of the list, from the ``Count`` of each value of ``col``."""
+    counts = counts.filter(F.col(col).isNotNull()).select(col, "Count")
+    lab = _labels_frame(counts, labels, out_key)
     out = (lab.join(F.broadcast(counts.withColumnRenamed(col, out_key)), out_key, "left")
               .select(out_key, F.coalesce("Count", F.lit(0)).cast("long").alias("Count"), "_pos"))
     if order == "count":
@@ -132,14 +138,19 @@ def customer_profiles(df: DataFrame, with_rfm: bool = True) -> DataFrame:
     'first'-rank quantile score computed without a single-partition window.
     """
     from .stats import qcut_index, quantile_row, rank_score
-    keys = ["Customer_ID", "Customer_Name", "Customer_Segment"]
-    g = _g(df, keys,
-           A.dsum(S).alias("Total_Spent"), psum(), orders(), avg(S, "Avg_Order_Value"),
-           A.isum("Quantity").alias("Total_Quantity"), avg("Discount", "Avg_Discount"),
-           F.min("Order_Date").alias("First_Purchase"), F.max("Order_Date").alias("Last_Purchase"),
-           F.coalesce(F.mode("Category", True), F.lit("N/A")).alias("Preferred_Category"),
-           F.coalesce(F.mode("Region", True), F.lit("N/A")).alias("Preferred_Region"))
-    g = attach_row(g, df.agg(F.max("Order_Date").alias("_max_date")))
+    keys = ["Customer_ID", "Customer_Name", SEGMENT]
+    aggs = [A.dsum(S).alias("Total_Spent"), psum(), orders(), avg(S, "Avg_Order_Value"),
+            A.isum("Quantity").alias("Total_Quantity"), avg("Discount", "Avg_Discount"),
+            F.min("Order_Date").alias("First_Purchase"), F.max("Order_Date").alias("Last_Purchase"),
+            F.coalesce(F.mode("Category", True), F.lit("N/A")).alias("Preferred_Category"),
+            F.coalesce(F.mode("Region", True), F.lit("N/A")).alias("Preferred_Region")]
+    if SEGMENT in df.columns:
+        g, latest = _g(df, keys, *aggs), df.agg(F.max("Order_Date").alias("_max_date"))
+    else:  # one pass over the rows; the segment is found at the customers' grain
+        g = labelled_groups(df, keys[0], SEGMENT_LABELS, SEGMENT, keys[1:2], *aggs)
+        latest = g.agg(F.max("Last_Purchase").alias("_max_date"))
+        g = _keyed(g, keys).select(*keys, *[c for c in g.columns if c not in (*keys, "_s")])
+    g = attach_row(g, latest)
     if with_rfm:
         # customer grain, reused by the quantile and both rank passes: materialise once
         g = reliable_checkpoint(g)
@@ -182,7 +193,11 @@ def clv(df: DataFrame) -> DataFrame:
 
 def segment_distribution(df: DataFrame) -> DataFrame:
     """Rows per segment (zero-count labels kept)."""
-    return _counts_with_labels(df, "Customer_Segment", SEGMENT_LABELS, "Segment")
+    return _counts_with_labels(_segment_rows(df), SEGMENT, SEGMENT_LABELS, "Segment")
+
+
+def _segment_rows(df: DataFrame) -> DataFrame:
+    return segment_totals(df).select(SEGMENT, F.col("_rows").alias("Count"))
 
 
 # --- regions -----------------------------------------------------------------
@@ -226,10 +241,11 @@ def region_rollup(df: DataFrame) -> DataFrame:
 
 def product_performance(df: DataFrame) -> DataFrame:
     """E24."""
-    return _g(df, ["Product_Name", "Category", "Sub_Category", "Product_Performance"],
-              ssum(), psum(), orders(), avg(S, "Avg_Price"), margin("Avg_Profit_Margin"),
-              A.isum("Quantity").alias("Total_Quantity"), avg("Discount", "Avg_Discount")
-              ).orderBy(F.col("Total_Sales").desc(), "Product_Name")
+    keys = ["Product_Name", "Category", "Sub_Category", PERFORMANCE]
+    g = product_groups(df, ssum(), psum(), orders(), avg(S, "Avg_Price"), margin("Avg_Profit_Margin"),
+                       A.isum("Quantity").alias("Total_Quantity"), avg("Discount", "Avg_Discount"))
+    return _keyed(g, keys).select(*keys, *[c for c in g.columns if c not in (*keys, "_s")]
+                                  ).orderBy(F.col("Total_Sales").desc(), "Product_Name")
 
 
 def top_products(df: DataFrame, k: int = 15) -> DataFrame:
@@ -246,7 +262,9 @@ def category_summary(df: DataFrame) -> DataFrame:
 
 def performance_distribution(df: DataFrame) -> DataFrame:
     """E26."""
-    return _counts_with_labels(df, "Product_Performance", PERFORMANCE_LABELS, "Performance")
+    g = product_groups(df, F.count(F.lit(1)).alias("_rows"))
+    counts = g.groupBy(PERFORMANCE).agg(F.sum("_rows").alias("Count"))
+    return _counts_with_labels(counts, PERFORMANCE, PERFORMANCE_LABELS, "Performance")
 
 
 # --- profit -------------------------------------------------------------------
@@ -358,15 +376,19 @@ def revenue_by_payment(df: DataFrame) -> DataFrame:
     return _g(df, ["Payment_Mode"], ssum("Revenue"), orders("Orders")).orderBy(F.col("Revenue").desc())
 
 
+def _segments(df: DataFrame) -> DataFrame:
+    return segment_totals(df).filter(F.col(SEGMENT).isNotNull())
+
+
 def revenue_by_segment(df: DataFrame) -> DataFrame:
     """E38."""
-    return _g(df, ["Customer_Segment"], ssum("Revenue"), customers("Customers"),
-              avg(S, "Avg_Revenue")).orderBy(F.col("Revenue").desc())
+    return _segments(df).select(SEGMENT, F.col("_s").cast("double").alias("Revenue"), F.col("_customers").alias("Customers"),
+                                A.ratio(F.col("_s"), F.col("_ns"), 2, 6).alias("Avg_Revenue")).orderBy(F.col("Revenue").desc())
 
 
 def revenue_distribution(df: DataFrame) -> DataFrame:
     """Rows per Sales_Bucket, zero-count buckets kept."""
-    return _counts_with_labels(df, "Sales_Bucket", SALES_BUCKET_LABELS, "Bucket")
+    return _counts_with_labels(_row_counts(df, "Sales_Bucket"), "Sales_Bucket", SALES_BUCKET_LABELS, "Bucket")
 
 
 def daily_revenue_trend(df: DataFrame, window: int = 7) -> DataFrame:
@@ -392,19 +414,38 @@ def _zero_if_null(c: Column) -> Column:
 
 
 def generate_kpis(df: DataFrame) -> DataFrame:
-    """22 KPIs in one row from three small aggregates (global, per order, per day)."""
-    g = A.group_agg(df, [], F.sum(S).alias("_s"), F.sum(P).alias("_p"), A.Distinct(N, "_n"),
-               A.Distinct(C, "_c"), A.Distinct("Product_Name", "_k"),
-               A.mean(S, 2, 2).alias("Average_Order_Value"), A.mean("Discount", 2, 3).alias("Average_Discount"),
-               F.sum(F.col(S) * F.col("Discount")).alias("_sd"), F.sum("Quantity").alias("_q"),
-               F.min("Order_Date").alias("Date_Start"), F.max("Order_Date").alias("Date_End"))
-    per_order = (_keyed(df, [N]).groupBy(N).agg(F.countDistinct("Product_Name").alias("_kp"))
-                 .agg(A.half_up_ratio(F.sum(F.col("_kp").cast("decimal(38,0)")), F.count("_kp"), 0, 1)
-                      .alias("Products_per_Order")))
-    per_day = (_keyed(df, ["Order_Date"]).groupBy("Order_Date").agg(F.sum(S).alias("_ds"))
-               .agg(A.half_up_ratio(A.units(F.sum("_ds"), 2), F.count("_ds"), 2, 2).alias("Avg_Daily_Sales"),
-                    F.max("_ds").cast("double").alias("Peak_Sales_Day")))
-    k = attach_row(attach_row(g, per_order), per_day)
+    """22 KPIs in one row, from one pass over the rows.
+
+    One copy of each row feeds the daily sums (all other sums are read from
+    those), one each the distinct orders, customers, products and (order,
+    product) pairs; products per order is pairs / orders.
+    """
+    pair = F.when(F.col(N).isNotNull() & F.col("Product_Name").isNotNull(), F.concat_ws("\u0001", N, "Product_Name"))
+    sales_inputs = {"s": F.col(S), "p": F.col(P), "d": F.col("Discount"), "sd": F.col(S) * F.col("Discount"), "q": F.col("Quantity")}
+    g = A.one_pass(
+        df, [A.Part("day", F.col("Order_Date"), inputs=tuple(sales_inputs)), A.Part("order", distinct=F.col(N)),
+             A.Part("customer", distinct=F.col(C)), A.Part("product", distinct=F.col("Product_Name")), A.Part("pair", distinct=pair)],
+        sales_inputs, [F.sum("s").alias("s"), F.count("s").alias("ns"), F.sum("p").alias("p"), F.sum("d").alias("d"),
+                       F.count("d").alias("nd"), F.sum("sd").alias("sd"), F.sum("q").alias("q")])
+    day = F.col("_part") == "day"
+    dated = day & F.col("_key").isNotNull()
+
+    def total(name: str) -> Column:
+        return F.sum(F.when(day, F.col(name))).cast(dict(g.dtypes)[name])
+
+    def ids(part: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("_part") == part, F.col("_distinct"))), F.lit(0))
+
+    k = g.agg(total("s").alias("_s"), total("p").alias("_p"), total("sd").alias("_sd"), total("q").alias("_q"),
+              ids("order").alias("_n"), ids("customer").alias("_c"), ids("product").alias("_k"),
+              A.ratio(total("s"), total("ns")).alias("Average_Order_Value"),
+              A.ratio(total("d"), total("nd"), 2, 3).alias("Average_Discount"),
+              A.half_up_ratio(ids("pair").cast("decimal(38,0)"), ids("order"), 0, 1).alias("Products_per_Order"),
+              A.half_up_ratio(A.units(F.sum(F.when(dated, F.col("s"))), 2), F.count(F.when(dated, F.col("s"))), 2, 2)
+              .alias("Avg_Daily_Sales"),
+              F.max(F.when(dated, F.col("s"))).cast("double").alias("Peak_Sales_Day"),
+              F.min(F.when(dated, F.col("_key"))).cast("date").alias("Date_Start"),
+              F.max(F.when(dated, F.col("_key"))).cast("date").alias("Date_End"))
     s, p, n, c, kk = (F.col(x) for x in ("_s", "_p", "_n", "_c", "_k"))
     return k.select(
         s.cast("double").alias("Total_Revenue"), "Average_Order_Value",
@@ -444,22 +485,19 @@ def insight_kpis(df: DataFrame, margin_target: float = 20.0) -> DataFrame:
 
 def segment_revenue_ordered(df: DataFrame) -> DataFrame:
     """Segment revenue and customers, Bronze -> Platinum."""
-    g = _g(df, ["Customer_Segment"], ssum("Revenue"), customers("Customers"))
-    return g.withColumn("Order", label_rank("Customer_Segment", SEGMENT_LABELS) - 1).orderBy("Order")
+    g = _segments(df).select(SEGMENT, F.col("_s").cast("double").alias("Revenue"), F.col("_customers").alias("Customers"))
+    return g.withColumn("Order", label_rank(SEGMENT, SEGMENT_LABELS) - 1).orderBy("Order")
 
 
 def segment_analysis_table(df: DataFrame) -> DataFrame:
     """Segment table with display strings (formatted JVM-side)."""
-    g = _g(df, ["Customer_Segment"], customers(), F.sum(S).alias("_s"), A.mean(S, 2, 2).alias("_aov"),
-           F.sum(P).alias("_p"), A.mean("Profit_Margin_Pct", 2, 1).alias("_m"),
-           A.half_up_ratio(F.sum(F.col("Customer_Total_Orders").cast("decimal(38,0)")),
-                           F.count("Customer_Total_Orders"), 0, 1).alias("_o"))
-    return g.select("Customer_Segment", "Customer_Count",
-                    format_money(F.col("_s")).alias("Total_Revenue"),
-                    format_money(F.col("_aov")).alias("Avg_Order_Value"),
-                    format_money(F.col("_p")).alias("Total_Profit"),
-                    format_percent(F.col("_m"), 1).alias("Avg_Profit_Margin"),
-                    format_fixed(F.col("_o"), 1).alias("Avg_Orders")).orderBy("Customer_Segment")
+    return _segments(df).select(
+        SEGMENT, F.col("_customers").alias("Customer_Count"),
+        format_money(F.col("_s")).alias("Total_Revenue"),
+        format_money(A.ratio(F.col("_s"), F.col("_ns"))).alias("Avg_Order_Value"),
+        format_money(F.col("_p")).alias("Total_Profit"),
+        format_percent(A.ratio(F.col("_m"), F.col("_nm"), 2, 1), 1).alias("Avg_Profit_Margin"),
+        format_fixed(A.half_up_ratio(F.col("_o"), F.col("_no"), 0, 1), 1).alias("Avg_Orders")).orderBy(SEGMENT)
 
 
 def payment_analysis(df: DataFrame) -> DataFrame:
@@ -529,7 +567,7 @@ def sales_by_region(df: DataFrame) -> DataFrame:
 
 def segment_counts_ordered(df: DataFrame) -> DataFrame:
     """Rows per segment, Bronze -> Platinum (zero counts kept)."""
-    return _counts_with_labels(df, "Customer_Segment", SEGMENT_LABELS, "Segment", order="label")
+    return _counts_with_labels(_segment_rows(df), SEGMENT, SEGMENT_LABELS, "Segment", order="label")
 
 
 def top_products_by_sales(df: DataFrame, k: int = 10) -> DataFrame:
@@ -538,14 +576,19 @@ def top_products_by_sales(df: DataFrame, k: int = 10) -> DataFrame:
 
 
 def top_decile_concentration(df: DataFrame, share: float = 0.1) -> DataFrame:
-    """Revenue share of the top floor(share * customers) spenders.
+    """Revenue share of the top floor(share * customers) spenders."""
+    return concentration(_g(df, [C], F.sum(S).alias("_spent")), share)
+
+
+def concentration(spend: DataFrame, share: float = 0.1) -> DataFrame:
+    """E61 from the spend of each customer (Customer_ID, _spent).
 
     Customers are numbered in (spend desc, id) order across partitions
-    (no single-partition window), then the top k are summed.
+    (no single-partition window), then the top k are summed; the totals read
+    the numbered rows, so the facts are aggregated once.
     """
-    spend = _g(df, [C], F.sum(S).alias("_spent"))
     ranked = global_row_number(spend, [F.col("_spent").desc(), F.col(C).asc()], "_rank")
-    totals = spend.agg(F.count(F.lit(1)).alias("_nc"), F.sum("_spent").alias("_total"))
+    totals = ranked.agg(F.count(F.lit(1)).alias("_nc"), F.sum("_spent").alias("_total"))
     k = F.floor(F.col("_nc") * F.lit(share)).cast("long")
     top = attach_row(ranked, totals).filter(F.col("_rank") <= k).agg(F.sum("_spent").alias("_top"))
     out = attach_row(totals, top)
@@ -563,17 +606,21 @@ def best_category_region(df: DataFrame) -> DataFrame:
         F.col("Region").alias("Best_Region"), F.col("_r").cast("double").alias("Best_Region_Sales"))
 
 
-def filter_options(df: DataFrame, cols: tuple[str, ...] = ("Year", "Category", "Region",
-                                                         "Customer_Segment")) -> DataFrame:
+def filter_options(df: DataFrame, cols: tuple[str, ...] = ("Year", "Category", "Region", SEGMENT)) -> DataFrame:
     """Sorted distinct values of the dashboard filters as (Filter, Value) rows.
 
-    Long format: each column is a distributed ``distinct``; nothing is
-    gathered into a single row or list.
+    One pass: each column is a part of it, and where the rows have no segment yet,
+    so is the spend of each customer, from which the segments in use are read.
     """
-    parts = [df.filter(F.col(c).isNotNull()).select(F.lit(c).alias("Filter"), F.col(c).cast("string").alias("Value"),
-                                                    F.col(c).cast("string").alias("_v")).distinct()
-             for c in cols]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.drop("_v").orderBy("Filter", "Value")
+    found = SEGMENT in cols and SEGMENT not in df.columns
+    parts = [A.Part(c, F.col(c)) for c in cols if not (found and c == SEGMENT)]
+    if found:
+        parts.append(A.Part(SEGMENT, F.col(C), inputs=("s",)))
+    rows = reliable_checkpoint(A.one_pass(df, parts, {"s": F.col(S)}, [F.sum("s").alias("_s")]).filter(F.col("_key").isNotNull()))
+    out = rows.filter(F.col("_part") != SEGMENT) if found else rows
+    out = out.select(F.col("_part").alias("Filter"), F.col("_key").alias("Value"))
+    if found:
+        spend = rows.filter(F.col("_part") == SEGMENT).select(F.col("_key").alias(C), "_s")
+        segments = label_totals(spend, C, "_s", SEGMENT_LABELS, SEGMENT).filter(F.col(SEGMENT).isNotNull())
+        out = out.unionByName(segments.select(F.lit(SEGMENT).alias("Filter"), F.col(SEGMENT).alias("Value")).distinct())
+    return out.orderBy("Filter", "Value")

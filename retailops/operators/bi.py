@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aggs as A
+from .grain import SEGMENT, customer_grain, segment_totals
 
 S, P, N, C = "Sales", "Profit", "Order_ID", "Customer_ID"
 
@@ -32,17 +33,23 @@ def _share(total_col: str, partition: list[str] | None = None):
 
 
 def top_customers(df: DataFrame, limit: int = 10) -> DataFrame:
-    """Customers by revenue."""
-    g = A.group_agg(df, [C], 
+    """Customers by revenue (one row per customer; its segment is found at that grain
+    where the rows do not have it)."""
+    aggs = [
         F.max("Customer_Name").alias("Customer_Name"),
-        F.max("Customer_Segment").alias("Customer_Segment"),
         _r2sum(S).alias("Total_Revenue"),
         _r2sum(P).alias("Total_Profit"),
         A.Distinct(N, "Order_Count"),
         A.mean(S, 2, 2).alias("Avg_Order_Value"),
         A.mean("Profit_Margin_Pct", 2, 2).alias("Avg_Profit_Margin"),
         A.isum("Quantity").alias("Total_Items"),
-    )
+    ]
+    if SEGMENT in df.columns:
+        g = A.group_agg(df, [C], F.max(SEGMENT).alias(SEGMENT), *aggs)
+    else:
+        g = customer_grain(df, *aggs).drop("_s")
+    names = [C, "Customer_Name", SEGMENT]
+    g = g.select(*names, *[c for c in g.columns if c not in names])
     return g.orderBy(F.col("Total_Revenue").desc(), F.col(C).asc_nulls_last()).limit(limit)
 
 
@@ -112,15 +119,13 @@ def category_performance(df: DataFrame) -> DataFrame:
 
 def customer_segment_analysis(df: DataFrame) -> DataFrame:
     """Segments; orders-per-customer is a row-weighted mean (as defined)."""
-    g = A.group_agg(df, ["Customer_Segment"], 
-        A.Distinct(C, "Customer_Count"), F.sum(S).alias("_s"), _r2sum(P).alias("Total_Profit"),
-        A.mean(S, 2, 2).alias("Avg_Order_Value"), A.mean("Profit_Margin_Pct", 2, 2).alias("Avg_Profit_Margin"),
-        A.half_up_ratio(F.sum(F.col("Customer_Total_Orders").cast("decimal(38,0)")),
-                        F.count("Customer_Total_Orders"), 0, 1).alias("Avg_Orders_Per_Customer"))
-    g = g.withColumn("Revenue_Share_Pct", _share("_s")).withColumn("Total_Revenue", F.col("_s").cast("double"))
-    return g.select("Customer_Segment", "Customer_Count", "Total_Revenue", "Total_Profit", "Avg_Order_Value",
-                    "Avg_Profit_Margin", "Avg_Orders_Per_Customer",
-                    "Revenue_Share_Pct").orderBy(F.col("Total_Revenue").desc())
+    g = segment_totals(df)
+    g = g.select(SEGMENT, F.col("_customers").alias("Customer_Count"), F.col("_s").cast("double").alias("Total_Revenue"),
+                 F.col("_p").cast("double").alias("Total_Profit"), A.ratio(F.col("_s"), F.col("_ns")).alias("Avg_Order_Value"),
+                 A.ratio(F.col("_m"), F.col("_nm")).alias("Avg_Profit_Margin"),
+                 A.half_up_ratio(F.col("_o"), F.col("_no"), 0, 1).alias("Avg_Orders_Per_Customer"),
+                 _share("_s").alias("Revenue_Share_Pct"))
+    return g.orderBy(F.col("Total_Revenue").desc())
 
 
 def payment_mode_analysis(df: DataFrame) -> DataFrame:

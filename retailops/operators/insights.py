@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import aggs as A
-from .analysis import top_decile_concentration
+from .analysis import concentration
 from ..session import reliable_checkpoint
 from .stats import attach_row, quantile_row
 
@@ -85,39 +85,38 @@ def _line(df: DataFrame, no: int, text: Column, cond: Column | None = None) -> D
     return out.filter(cond) if cond is not None else out
 
 
-def _argmax(df: DataFrame, key: str) -> DataFrame:
-    """(key, sales) of the largest Sales sum; ties -> smallest key. One row."""
-    return (df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum("Sales").alias("_s"))
-              .orderBy(F.col("_s").desc(), F.col(key)).limit(1))
+_CELL = ["Category", "Season", "Region", "Payment_Mode", "Year_Month", "Discount"]
 
 
-_SETS = ["Category", "Season", "Region", "Payment_Mode", "Year_Month"]
+def insight_cells(df: DataFrame) -> DataFrame:
+    """The rows as one small cube: sums and counts by category, season, region, payment
+    mode, month and discount. Its size is bounded by the products of those, not by
+    the rows; every rule reads it, so it is written once."""
+    return reliable_checkpoint(df.groupBy(*_CELL).agg(
+        F.sum("Sales").alias("_s"), F.sum("Profit_Margin_Pct").alias("_m"), F.count("Profit_Margin_Pct").alias("_nm"),
+        F.count(F.lit(1)).alias("_n")))
 
 
-def insight_aggregates(df: DataFrame) -> DataFrame:
-    """One pass over the rows: sales per Category / Season / Region / Payment_Mode /
-    Year_Month plus the global row (GROUPING SETS), with the global means and
-    discount quartiles the rules need. Materialised once (it is small: one row
-    per group) because every rule reads it."""
-    sets = [[c] for c in _SETS] + [[]]
-    g = df.groupingSets(sets, *_SETS).agg(
-        F.grouping_id().alias("_gid"), F.sum("Sales").alias("_s"),
-        A.mean("Profit_Margin_Pct", 2, 6).alias("_m6"), A.mean("Profit_Margin_Pct", 2, 1).alias("_m1"),
-        A.half_up_ratio(F.sum(F.col("Customer_Total_Orders").cast("decimal(38,0)")),
-                        F.count("Customer_Total_Orders"), 0, 1).alias("_o"),
-        A.mean(F.col("Customer_Total_Spent").cast("decimal(28,2)"), 2, 2).alias("_sp"),
-        F.percentile(F.col("Discount").cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias("_dq"))
-    return reliable_checkpoint(g)
+def _rows_of(cells: DataFrame, key: str) -> DataFrame:
+    """Sales by one key of the cube (not null, as pandas drops null keys)."""
+    return cells.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum("_s").alias("_s"))
 
 
-def _set_rows(agg: DataFrame, key: str) -> DataFrame:
-    """Rows of one grouping set (its key not null, as pandas drops null keys)."""
-    gid = (1 << len(_SETS)) - 1 - (1 << (len(_SETS) - 1 - _SETS.index(key)))
-    return agg.filter((F.col("_gid") == gid) & F.col(key).isNotNull()).select(key, "_s")
+def _mean_of(cells: DataFrame, name: str, cond: Column | None, scale: int) -> Column:
+    """Mean of the rows behind the cells, from the exact sum and count."""
+    pick = (lambda c: F.col(c)) if cond is None else (lambda c: F.when(cond, F.col(c)))
+    return A.ratio(F.sum(pick(f"_{name}")).cast(dict(cells.dtypes)[f"_{name}"]), F.sum(pick(f"_n{name}")), 2, scale)
 
 
-def _global_row(agg: DataFrame) -> DataFrame:
-    return agg.filter(F.col("_gid") == (1 << len(_SETS)) - 1)
+def customer_means(df: DataFrame) -> DataFrame:
+    """One row: mean orders (_o) and mean spend (_sp) of a row's customer, from one
+    group per customer; a customer counts once for each of its rows."""
+    c = df.filter(F.col("Customer_ID").isNotNull()).groupBy("Customer_ID").agg(
+        F.countDistinct("Order_ID").alias("o"), F.sum("Sales").alias("s"), F.count(F.lit(1)).alias("n"))
+    weight = F.col("n").cast("decimal(20,0)")
+    return c.agg(
+        A.half_up_ratio(F.sum((F.col("o").cast("decimal(18,0)") * weight).cast("decimal(38,0)")), F.sum("n"), 0, 1).alias("_o"),
+        A.ratio(F.sum((F.col("s") * weight).cast("decimal(38,2)")), F.sum(F.when(F.col("s").isNotNull(), F.col("n"))), 2, 2).alias("_sp"))
 
 
 def _top(rows: DataFrame, key: str) -> DataFrame:
@@ -126,13 +125,15 @@ def _top(rows: DataFrame, key: str) -> DataFrame:
 
 
 def business_insights(df: DataFrame) -> DataFrame:
-    """L01-L06 as (Insight_No, Insight) rows, from two passes over the input."""
+    """L01-L06 as (Insight_No, Insight) rows, from two passes over the input: the cube
+    (``insight_cells``) and one group per customer."""
     spark = df.sparkSession
-    agg = insight_aggregates(df)
-    glob = _global_row(agg)
+    cells = insight_cells(df)
+    glob = cells.agg(F.sum("_s").alias("_s"), _mean_of(cells, "m", None, 6).alias("_m6"), _mean_of(cells, "m", None, 1).alias("_m1"),
+                     F.percentile(F.col("Discount").cast("double"), F.array(F.lit(0.25), F.lit(0.75)), F.col("_n")).alias("_dq"))
     parts = []
     # L01 month-over-month
-    last2 = _set_rows(agg, "Year_Month").orderBy(F.col("Year_Month").desc()).limit(2).agg(
+    last2 = _rows_of(cells, "Year_Month").orderBy(F.col("Year_Month").desc()).limit(2).agg(
         F.count(F.lit(1)).alias("_n"), F.max_by("_s", "Year_Month").alias("_last"),
         F.min_by("_s", "Year_Month").alias("_prev"))
     g6 = A.pct(F.col("_last") - F.col("_prev"), F.col("_prev"), 2, 6)
@@ -146,19 +147,18 @@ def business_insights(df: DataFrame) -> DataFrame:
                                    .when(F.col("_m6") < MARGIN_LOW, fmt(MSG_MARGIN_LOW, f1(F.col("_m1"))))
                                    .otherwise(fmt(MSG_MARGIN_HEALTHY, f1(F.col("_m1"))))))
     # L03 customers (row-weighted means)
-    parts.append(_line(glob, 3, fmt(MSG_CUSTOMER, f1(F.col("_o")), money(F.col("_sp")))))
+    parts.append(_line(customer_means(df), 3, fmt(MSG_CUSTOMER, f1(F.col("_o")), money(F.col("_sp")))))
     # L04 top category with share, peak season, top region, top payment mode
-    cat = attach_row(_top(_set_rows(agg, "Category"), "Category"), glob.select(F.col("_s").alias("_t")))
+    cat = attach_row(_top(_rows_of(cells, "Category"), "Category"), glob.select(F.col("_s").alias("_t")))
     parts.append(_line(cat, 4, fmt(MSG_TOP_CATEGORY, F.col("Category"), f1(A.pct(F.col("_s"), F.col("_t"), 2, 1)))))
-    parts.append(_line(_top(_set_rows(agg, "Season"), "Season"), 5, fmt(MSG_PEAK_SEASON, F.col("Season"))))
-    parts.append(_line(_top(_set_rows(agg, "Region"), "Region"), 6, fmt(MSG_TOP_REGION, F.col("Region"))))
-    parts.append(_line(_top(_set_rows(agg, "Payment_Mode"), "Payment_Mode"), 7,
+    parts.append(_line(_top(_rows_of(cells, "Season"), "Season"), 5, fmt(MSG_PEAK_SEASON, F.col("Season"))))
+    parts.append(_line(_top(_rows_of(cells, "Region"), "Region"), 6, fmt(MSG_TOP_REGION, F.col("Region"))))
+    parts.append(_line(_top(_rows_of(cells, "Payment_Mode"), "Payment_Mode"), 7,
                        fmt(MSG_TOP_PAYMENT, F.col("Payment_Mode"))))
-    # L05 discount impact (second pass: needs the quartiles first)
-    j = attach_row(df.select("Discount", "Profit_Margin_Pct"), glob.select("_dq"))
-    hi = F.when(F.col("Discount") > F.col("_dq")[1], F.col("Profit_Margin_Pct"))
-    lo = F.when(F.col("Discount") <= F.col("_dq")[0], F.col("Profit_Margin_Pct"))
-    dd = j.agg(A.mean(hi, 2, 6).alias("_h"), A.mean(lo, 2, 6).alias("_l"))
+    # L05 discount impact
+    j = attach_row(cells, glob.select("_dq"))
+    dd = j.agg(_mean_of(cells, "m", F.col("Discount") > F.col("_dq")[1], 6).alias("_h"),
+               _mean_of(cells, "m", F.col("Discount") <= F.col("_dq")[0], 6).alias("_l"))
     diff = F.round(F.abs(F.col("_h").cast("decimal(24,6)") - F.col("_l").cast("decimal(24,6)")), 1)
     parts.append(_line(dd, 8, fmt(MSG_DISCOUNT, f1(diff)), F.col("_h") < F.col("_l")))
     # L06 fixed recommendations
@@ -172,21 +172,36 @@ def business_insights(df: DataFrame) -> DataFrame:
 
 
 def executive_summary(df: DataFrame) -> DataFrame:
-    """Executive summary and key findings as (Line_No, Section, Text)."""
+    """Executive summary and key findings as (Line_No, Section, Text), from one pass
+    over the rows (one row for each category, region and customer is kept)."""
     spark = df.sparkSession
-    g = A.group_agg(df, [], F.sum("Sales").alias("_s"), F.sum("Profit").alias("_p"), A.Distinct("Order_ID", "_n"),
-               A.Distinct("Customer_ID", "_c"), A.mean("Sales", 2, 2).alias("_aov"),
-               A.half_up_ratio(F.sum(F.col("Quantity").cast("decimal(38,0)")), F.count("Quantity"), 0, 1)
-               .alias("_q"))
+    rows = reliable_checkpoint(A.one_pass(
+        df, [A.Part("category", F.col("Category"), inputs=("s",)), A.Part("region", F.col("Region"), inputs=("s", "p", "q")),
+             A.Part("order", distinct=F.col("Order_ID")), A.Part("customer", F.col("Customer_ID"), inputs=("s",))],
+        {"s": F.col("Sales"), "p": F.col("Profit"), "q": F.col("Quantity")},
+        [F.sum("s").alias("_s"), F.count("s").alias("_ns"), F.sum("p").alias("_p"), F.sum("q").alias("_q"), F.count("q").alias("_nq")]))
+
+    def of(part: str) -> DataFrame:
+        return rows.filter((F.col("_part") == part) & F.col("_key").isNotNull())
+
+    def total(name: str) -> Column:
+        return F.sum(F.when(F.col("_part") == "region", F.col(name))).cast(dict(rows.dtypes)[name])
+
+    g = rows.agg(total("_s").alias("_s"), total("_p").alias("_p"),
+                 F.coalesce(F.max(F.when(F.col("_part") == "order", F.col("_distinct"))), F.lit(0)).alias("_n"),
+                 F.count(F.when((F.col("_part") == "customer") & F.col("_key").isNotNull(), 1)).alias("_c"),
+                 A.ratio(total("_s"), total("_ns")).alias("_aov"),
+                 A.half_up_ratio(total("_q").cast("decimal(38,0)"), total("_nq"), 0, 1).alias("_q"))
     margin = F.when(F.col("_s") > 0, A.pct(F.col("_p"), F.col("_s"), 2, 1)).otherwise(F.lit(0.0))
+    spend = of("customer").select(F.col("_key").alias("Customer_ID"), F.col("_s").alias("_spent"))
     lines = [
         (1, "EXECUTIVE SUMMARY", g, fmt(OVERVIEW, money(F.col("_s")), money(F.col("_p")), f1(margin),
                                         F.format_number(F.col("_n"), 0), F.format_number(F.col("_c"), 0))),
-        (2, "KEY FINDINGS", _argmax(df, "Category"),
-         fmt(TOP_CATEGORY, F.col("Category"), money(F.col("_s")))),
-        (3, "KEY FINDINGS", _argmax(df, "Region"),
-         fmt(TOP_REGION, F.col("Region"), money(F.col("_s")))),
-        (4, "KEY FINDINGS", top_decile_concentration(df),
+        (2, "KEY FINDINGS", _top(of("category"), "_key"),
+         fmt(TOP_CATEGORY, F.col("_key"), money(F.col("_s")))),
+        (3, "KEY FINDINGS", _top(of("region"), "_key"),
+         fmt(TOP_REGION, F.col("_key"), money(F.col("_s")))),
+        (4, "KEY FINDINGS", concentration(spend),
          fmt(TOP_DECILE, f1(F.col("Top_Share_Pct")))),
         (5, "KEY FINDINGS", g, fmt(AVERAGE_ORDER, money(F.col("_aov")),
                                    f1(F.col("_q")))),
@@ -249,13 +264,34 @@ def _ts(d: Column) -> Column:
 
 
 def summary_report(df: DataFrame, top: int = 10) -> DataFrame:
-    """The CSV summary report as titled sections of up to five text cells."""
-    from .analysis import top_customers_by_name
-    ov = A.group_agg(df, [], F.count(F.lit(1)).alias("_rows"), A.Distinct("Customer_ID", "_c"),
-                A.Distinct("Product_Name", "_k"), A.Distinct("Order_ID", "_n"),
-                F.min("Order_Date").alias("_d0"), F.max("Order_Date").alias("_d1"),
-                F.sum("Sales").alias("_s"), F.sum("Profit").alias("_p"), A.mean("Sales", 2, 2).alias("_aov"),
-                F.sum("Quantity").alias("_q"))
+    """The CSV summary report as titled sections of up to five text cells.
+
+    One pass over the rows: each section's groups and distinct counts are parts of
+    it, and the overview is read from the months. What is kept has one row for each
+    month, category, region and customer name.
+    """
+    rows = reliable_checkpoint(A.one_pass(
+        df, [A.Part("month", F.col("Year_Month"), F.col("Order_ID"), ("s", "p", "q", "day")), A.Part("category", F.col("Category"), inputs=("s", "p", "q", "m")),
+             A.Part("region", F.col("Region"), F.col("Order_ID"), ("s", "p")), A.Part("region customers", F.col("Region"), F.col("Customer_ID")),
+             A.Part("name", F.col("Customer_Name"), F.col("Order_ID"), ("s",)), A.Part("order", distinct=F.col("Order_ID")),
+             A.Part("customer", distinct=F.col("Customer_ID")), A.Part("product", distinct=F.col("Product_Name"))],
+        {"s": F.col("Sales"), "p": F.col("Profit"), "q": F.col("Quantity"), "m": F.col("Profit_Margin_Pct"), "day": F.col("Order_Date")},
+        [F.count(F.lit(1)).alias("_rows"), F.sum("s").alias("_s"), F.count("s").alias("_ns"), F.sum("p").alias("_p"),
+         F.sum("q").alias("_q"), F.sum("m").alias("_m"), F.count("m").alias("_nm"), F.min("day").alias("_d0"), F.max("day").alias("_d1")]))
+
+    def of(part: str) -> DataFrame:
+        return rows.filter((F.col("_part") == part) & F.col("_key").isNotNull())
+
+    def total(name: str) -> Column:
+        return F.sum(F.when(F.col("_part") == "month", F.col(name))).cast(dict(rows.dtypes)[name])
+
+    def ids(part: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("_part") == part, F.col("_distinct"))), F.lit(0))
+
+    month = F.col("_part") == "month"
+    ov = rows.agg(F.coalesce(total("_rows"), F.lit(0)).alias("_rows"), ids("customer").alias("_c"), ids("product").alias("_k"),
+                  ids("order").alias("_n"), F.min(F.when(month, F.col("_d0"))).alias("_d0"), F.max(F.when(month, F.col("_d1"))).alias("_d1"),
+                  total("_s").alias("_s"), total("_p").alias("_p"), A.ratio(total("_s"), total("_ns")).alias("_aov"), total("_q").alias("_q"))
     # overview and KPIs both read the one-row overall aggregate: one pass, not two
     money_ = lambda c: F.concat(F.lit("$"), money(c))
     overview_kpis = _kv_sections(ov, [
@@ -269,15 +305,13 @@ def summary_report(df: DataFrame, top: int = 10) -> DataFrame:
             ("Average Order Value", money_(F.col("_aov"))),
             ("Total Units Sold", F.col("_q").cast("bigint"))]),
     ])
-    cust = top_customers_by_name(df, top)
-    cats = df.filter(F.col("Category").isNotNull()).groupBy("Category").agg(
-        F.sum("Sales").alias("_s"), F.sum("Profit").alias("_p"), A.mean("Profit_Margin_Pct", 2, 2).alias("_m"),
-        F.sum("Quantity").alias("_u"))
-    regs = A.group_agg(df.filter(F.col("Region").isNotNull()), ["Region"],
-                       F.sum("Sales").alias("_s"), F.sum("Profit").alias("_p"), A.Distinct("Order_ID", "_n"),
-                       A.Distinct("Customer_ID", "_c"))
-    mons = df.filter(F.col("Year_Month").isNotNull()).groupBy("Year_Month").agg(
-        F.sum("Sales").alias("_s"), F.sum("Profit").alias("_p"), F.countDistinct("Order_ID").alias("_n"))
+    cust = of("name").select(F.col("_key").alias("Customer_Name"), F.col("_s").cast("double").alias("Total_Spent"), F.col("_distinct").alias("Orders"),
+                             A.ratio(F.col("_s"), F.col("_ns"), 2, 6).alias("Avg_Value"))
+    cust = cust.orderBy(F.col("Total_Spent").desc(), "Customer_Name").limit(top)
+    cats = of("category").withColumns({"Category": F.col("_key"), "_m": A.ratio(F.col("_m"), F.col("_nm")), "_u": F.col("_q")})
+    regs = (of("region").drop("_c").withColumnRenamed("_key", "Region").withColumnRenamed("_distinct", "_n")
+            .join(F.broadcast(of("region customers").select(F.col("_key").alias("Region"), F.col("_distinct").alias("_c"))), "Region"))
+    mons = of("month").withColumns({"Year_Month": F.col("_key"), "_n": F.col("_distinct")})
     d = lambda c: F.concat(F.lit("$"), money(c))
     sections = [
         overview_kpis,

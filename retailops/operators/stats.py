@@ -2,16 +2,20 @@
 
 * exact quantiles (linear interpolation, as pandas/DuckDB ``quantile_cont``)
   as a one-row DataFrame that is broadcast (its size is one row) to the rows
-  that need it - nothing is collected to the driver;
+  that need it, selected by histograms of the values' bits - no value is
+  shuffled or collected to the driver;
 * quantile binning (``qcut``) from those edges;
-* global row numbers without a single-partition window: range partitioning,
-  per-partition counts (one row per partition), prefix offsets, local
-  row numbers;
+* global row numbers without a window over the rows: range partitioning, sorted
+  partitions, per-partition counts (one row per partition), prefix offsets;
 * forward fill in a global order with the same partition-offset carry.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +29,13 @@ def _c(col: str | Column) -> Column:
 # --- quantiles ---------------------------------------------------------------
 
 def quantile_row(df: DataFrame, specs: dict[str, tuple[str | Column, list[float]]],
-                 strategy: str = "rank") -> DataFrame:
+                 strategy: str = "select") -> DataFrame:
     """One row: for each name, the array of exact quantiles (linear interpolation) of a column.
 
     ``specs = {"edges": ("Customer_Total_Spent", [.25, .5, .75])}``; nulls are ignored.
 
-    * ``rank`` (default): distributed exact quantiles (``quantiles_by_rank``); no
-      task holds more than its range partition of distinct values.
+    * ``select`` (default): distributed exact quantiles (``quantiles_by_selection``);
+      no value is shuffled.
     * ``map``: Spark's exact ``percentile``, whose final merge is one task with an
       entry for each distinct value. Only for callers whose rows are bounded by
       the calendar (one row a day), which choose it themselves.
@@ -39,49 +43,88 @@ def quantile_row(df: DataFrame, specs: dict[str, tuple[str | Column, list[float]
     if strategy == "map":
         return df.agg(*[F.percentile(_c(col).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(n)
                         for n, (col, probs) in specs.items()])
-    return quantiles_by_rank(df, specs)
+    return quantiles_by_selection(df, specs)
 
 
-def quantiles_by_rank(df: DataFrame, specs: dict[str, tuple[str | Column, list[float]]],
-                      num_partitions: int | None = None) -> DataFrame:
-    """Exact quantiles of several columns in one pass, without a single-task merge.
-
-    Rows collapse to (name, value, count) first (map-side, so a value held by a
-    third of the rows is one row); the distinct values are range partitioned and
-    checkpointed; per-partition totals (one row per partition and name) give
-    offsets, so every distinct value knows the 0-based ranks it covers;
-    the values at ranks floor(h) and ceil(h), h = (n-1)p, are picked with a
-    partial max aggregate and interpolated as (ceil-h)*lo + (h-floor)*hi.
+#: Bits of a value's key that one selection pass resolves.
+_STEP = 21
+
+
+def ordered_bits(v: str | Column) -> Column:
+    """The bits of a DOUBLE as a BIGINT that sorts like the value (-0.0 and 0.0 are one key).
+
+    Spark has no cast from a double to its bits, so exponent and mantissa are
+    taken apart by exact arithmetic: a division by a power of two loses nothing.
     """
-    values = F.array(*[F.struct(F.lit(n).alias("_name"), _c(col).cast("double").alias("_v"))
-                       for n, (col, _) in specs.items()])
-    vc = (df.select(F.inline(values)).filter(F.col("_v").isNotNull())
-            .groupBy("_name", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    ranged = reliable_checkpoint(_by_range(vc, ["_name", "_v"], num_partitions)).withColumn("_pid", F.spark_partition_id())
-    tot = ranged.groupBy("_name", "_pid").agg(F.sum("_c").alias("_pc"))
-    before = Window.partitionBy("_name").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_name", "_pid", F.coalesce(F.sum("_pc").over(before), F.lit(0)).alias("_off"),
-                      F.sum("_pc").over(Window.partitionBy("_name")).alias("_n"))
-    inside = Window.partitionBy("_pid", "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    cum = (ranged.join(F.broadcast(offs), ["_name", "_pid"])  # one row per partition and name
-                 .withColumn("_start", F.col("_off") + F.coalesce(F.sum("_c").over(inside), F.lit(0))))
+    v = _c(v)
+    size = F.abs(v)
+    guess = F.greatest(F.least(F.floor(F.log2(size)).cast("double"), F.lit(1023.0)), F.lit(-1022.0))
+    power = F.pow(F.lit(2.0), guess)
+    # log2 is rounded: its floor may be one off next to a power of two
+    exact = guess + F.when(size < power, -1.0).when(size / power >= 2.0, 1.0).otherwise(0.0)
+    exact = F.greatest(exact, F.lit(-1022.0))
+    mantissa = (size / F.pow(F.lit(2.0), exact)) * F.lit(float(1 << 52))
+    key = (exact + 1022.0).cast("bigint") * F.lit(1 << 52) + mantissa.cast("bigint")
+    key = F.when(size == 0, F.lit(0).cast("bigint")).when(size == F.lit(float("inf")), F.lit(2047 << 52)).otherwise(key)
+    return F.when(F.isnan(v), F.lit((1 << 63) - 1)).when(v < 0, -key).otherwise(key)
+
+
+def quantiles_by_selection(df: DataFrame, specs: dict[str, tuple[str | Column, list[float]]]) -> DataFrame:
+    """Exact quantiles of several columns by iterated histogram selection.
+
+    Values are never shuffled or sorted. A value's key (``ordered_bits``) is
+    resolved 21 to 22 bits at a time: pass one counts all values by the key's
+    leading bits (a partial aggregate, at most 2^22 counts a column and in
+    practice some thousands) and finds the bucket of each target rank; passes two
+    and three count only the values inside those buckets by the next bits. After
+    pass three a bucket is one value. The targets of a pass (two for each
+    quantile) are written to the shared checkpoint folder; the ranks floor(h) and
+    ceil(h), h = (n-1)p, are interpolated as (ceil-h)*lo + (h-floor)*hi.
+    """
+    spark = df.sparkSession
+    values = F.array(*[F.struct(F.lit(i).alias("_name"), _c(col).cast("double").alias("_v"))
+                       for i, (col, _) in enumerate(specs.values())])
+    base = df.select(F.inline(values)).filter(F.col("_v").isNotNull()).withColumn("_k", ordered_bits("_v"))
+    wanted = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_name"), F.lit(j).alias("_j"), F.lit(float(q)).alias("_q"))
+        for i, (_, probs) in enumerate(specs.values()) for j, q in enumerate(probs)])))
+
+    def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Counts by bucket with the number of values in front, inside each group of ``keys``."""
+        hist = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_v"))
+        group = Window.partitionBy(*keys)
+        before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        return hist.withColumns({"_start": F.coalesce(F.sum("_c").over(before), F.lit(0)), "_n": F.sum("_c").over(group)})
+
+    hit = (F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_c"))
+    h = (F.col("_n") - 1).cast("double") * F.col("_q")
+    ranks = F.array(F.struct(F.lit(0).alias("_tag"), F.floor(h).alias("_r")), F.struct(F.lit(1).alias("_tag"), F.ceil(h).alias("_r")))
+    cum = counted(base.withColumn("_b", F.shiftright("_k", 2 * _STEP)), ["_name"])
+    targets = (cum.join(F.broadcast(wanted), "_name").select("*", F.inline(ranks)).filter(hit)
+                  .select("_name", "_j", "_tag", "_n", "_b", (F.col("_r") - F.col("_start")).alias("_r")))
+    for shift in (_STEP, 0):
+        targets = reliable_checkpoint(targets.drop("_v")).withColumnRenamed("_b", "_p")  # at most two rows for each quantile
+        inside = base.withColumns({"_p": F.shiftright("_k", shift + _STEP), "_b": F.shiftright("_k", shift)})
+        inside = inside.join(F.broadcast(targets.select("_name", "_p").distinct()), ["_name", "_p"])
+        cum = counted(inside, ["_name", "_p"]).drop("_n")
+        targets = (cum.join(F.broadcast(targets), ["_name", "_p"]).filter(hit)
+                      .select("_name", "_j", "_tag", "_n", "_b", "_v", (F.col("_r") - F.col("_start")).alias("_r")))
     aggs, out = [], []
     for i, (name, (_, probs)) in enumerate(specs.items()):
-        own = F.col("_name") == name
+        own = F.col("_name") == i
         aggs.append(F.max(F.when(own, F.col("_n"))).alias(f"_n{i}"))
         vals = []
         for j, q in enumerate(probs):
-            h = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-            for tag, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-                hit = own & (r >= F.col("_start")) & (r < F.col("_start") + F.col("_c"))
-                aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}_{j}"))
+            for tag, end in enumerate(("lo", "hi")):
+                at = own & (F.col("_j") == j) & (F.col("_tag") == tag)
+                aggs.append(F.max(F.when(at, F.col("_v"))).alias(f"_{end}{i}_{j}"))
             h = (F.col(f"_n{i}") - 1).cast("double") * F.lit(float(q))
             lo, hi = F.floor(h), F.ceil(h)
             vals.append(F.when(lo == hi, F.col(f"_lo{i}_{j}"))
                          .otherwise((hi.cast("double") - h) * F.col(f"_lo{i}_{j}")
                                     + (h - lo.cast("double")) * F.col(f"_hi{i}_{j}")))
         out.append(F.when(F.col(f"_n{i}") > 0, F.array(*vals)).alias(name))
-    return cum.agg(*aggs).select(*out)
+    return targets.agg(*aggs).select(*out)
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -129,27 +172,40 @@ def _by_range(df: DataFrame, order: list, n: int | None) -> DataFrame:
     return df.repartitionByRange(n, *order) if n else df.repartitionByRange(*order)
 
 
+#: monotonically_increasing_id: partition number above, position in the partition below.
+_POSITION_BITS = 33
+
+
+def _sorted_parts(df: DataFrame, order: list, num_partitions: int | None) -> DataFrame:
+    """Rows range partitioned and sorted on ``order``, with ``_pid`` and the 0-based
+    ``_at`` inside the partition, written to the shared checkpoint folder so that
+    the partition contents are stable. One shuffle of the rows; nothing downstream
+    has to group them by partition again."""
+    rows = _by_range(df, order, num_partitions).sortWithinPartitions(*order)
+    rows = reliable_checkpoint(rows.withColumn("_mid", F.monotonically_increasing_id()))
+    return rows.withColumns({"_pid": F.shiftright("_mid", _POSITION_BITS),
+                             "_at": F.col("_mid").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))}).drop("_mid")
+
+
 def global_row_number(df: DataFrame, order: list[Column], out_col: str = "row_number",
                       num_partitions: int | None = None) -> DataFrame:
     """1-based row number in a total order, computed across partitions.
 
     ``order`` must be a total order (end it with a unique key). The rows are
     range partitioned on it (ties of the leading columns are split by the
-    unique key, so a hot value spreads over partitions), checkpointed so the
-    partition contents are stable, counted per partition (one row each),
-    turned into prefix offsets, and numbered locally.
+    unique key, so a hot value spreads over partitions) and sorted inside each
+    partition; a row's number is its position there plus the sizes of the
+    partitions before, which are one row each and broadcast.
     """
-    ranged = reliable_checkpoint(_by_range(df, order, num_partitions))
-    with_pid = ranged.withColumn("_pid", F.spark_partition_id())
-    counts = with_pid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    rows = _sorted_parts(df, order, num_partitions)
+    counts = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
         F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
-    return (with_pid.join(F.broadcast(offsets), "_pid")
-                    .withColumn(out_col, (F.col("_off") + local).cast("long"))
-                    .drop("_pid", "_off"))
+    return (rows.join(F.broadcast(offsets), "_pid")
+                .withColumn(out_col, (F.col("_off") + F.col("_at") + 1).cast("long"))
+                .drop("_pid", "_off", "_at"))
 
 
 def rank_score(df: DataFrame, value_col: str, tie_col: str, q: int, out_col: str,
@@ -182,22 +238,31 @@ def ffill(df: DataFrame, cols: list[str], order_cols: list[str],
           num_partitions: int | None = None) -> DataFrame:
     """Replace nulls by the last non-null value above in an ascending total order.
 
-    Leading nulls stay null. No single-partition window: rows are range
-    partitioned on ``order_cols`` and checkpointed; each partition reports
-    its last non-null value per column (one row per partition); a prefix
-    over those rows gives the carry-in, and a window inside each partition
-    fills the rest.
+    Leading nulls stay null. No window over the rows: they are range partitioned
+    and sorted on ``order_cols`` once; each partition reports its last non-null
+    value per column (one row per partition), a prefix over those rows gives the
+    carry-in, and each partition is filled batch by batch as it streams.
     """
-    order = [F.col(c) for c in order_cols]
-    ranged = reliable_checkpoint(_by_range(df, order, num_partitions)).withColumn("_pid", F.spark_partition_id())
-    pos = F.struct(*order)
-    tails = ranged.groupBy("_pid").agg(*[
-        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), pos)).alias(f"_tail_{c}") for c in cols])
+    rows = _sorted_parts(df, [F.col(c) for c in order_cols], num_partitions)
+    tails = rows.groupBy("_pid").agg(*[
+        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_at"))).alias(f"_tail_{c}") for c in cols])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     carry = tails.select("_pid", *[F.last(f"_tail_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}")
                                    for c in cols])
-    inside = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(carry), "_pid")
-    out = out.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_carry_{c}"))
-                           for c in cols})
-    return out.drop("_pid", *[f"_carry_{c}" for c in cols])
+    out = rows.join(F.broadcast(carry), "_pid").drop("_pid", "_at")  # map-side: rows keep their order
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[str, pa.Scalar] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            filled = {}
+            for c in cols:
+                value = pc.fill_null_forward(b.column(c))
+                carried = last.get(c, b.column(f"_carry_{c}")[0])
+                filled[c] = value.fill_null(carried) if carried.is_valid else value
+                last[c] = filled[c][-1]
+            yield pa.RecordBatch.from_arrays([filled.get(c, b.column(c)) for c in names], names=names)
+
+    names = df.columns
+    return out.mapInArrow(fill, df.schema)

@@ -27,13 +27,13 @@ def register(name: str):
 
 
 # --- E01-E11: SQL-origin BI queries ----------------------------------------
-register("e01_top_customers")(lambda s, d: bi.top_customers(P.with_customers(s, d), 10))
-register("e02_best_products")(lambda s, d: bi.best_products(P.with_products(s, d), 10))
+register("e01_top_customers")(lambda s, d: bi.top_customers(P.rows(s, d), 10))
+register("e02_best_products")(lambda s, d: bi.best_products(P.rows(s, d), 10))
 register("e03_profit_trends")(lambda s, d: bi.profit_trends(P.rows(s, d)))
 register("e04_regional_analysis")(lambda s, d: bi.regional_analysis(P.rows(s, d)))
 register("e05_monthly_analysis")(lambda s, d: bi.monthly_analysis(P.rows(s, d)))
 register("e06_category_performance")(lambda s, d: bi.category_performance(P.rows(s, d)))
-register("e07_customer_segment_analysis")(lambda s, d: bi.customer_segment_analysis(P.with_customers(s, d)))
+register("e07_customer_segment_analysis")(lambda s, d: bi.customer_segment_analysis(P.rows(s, d)))
 register("e08_payment_mode_analysis")(lambda s, d: bi.payment_mode_analysis(P.rows(s, d)))
 register("e09_seasonal_analysis")(lambda s, d: bi.seasonal_analysis(P.rows(s, d)))
 register("e10_year_over_year_growth")(lambda s, d: bi.year_over_year_growth(P.rows(s, d)))
@@ -86,7 +86,7 @@ _ROWS = {  # need only row-level features
     "e62_best_category_region": AN.best_category_region,
     "e64_insight_kpis": AN.insight_kpis,
 }
-_WITH_CUSTOMERS = {
+_LABELLED = {  # group by a customer or product label, found at that grain
     "e18_customer_profiles": AN.customer_profiles,
     "e19_segment_distribution": AN.segment_distribution,
     "e38_revenue_by_segment": AN.revenue_by_segment,
@@ -96,8 +96,6 @@ _WITH_CUSTOMERS = {
     "e59_segment_counts_ordered": AN.segment_counts_ordered,
     "h01_top_customer_profiles": AN.top_customer_profiles,
     "b14_filter_options": AN.filter_options,
-}
-_WITH_PRODUCTS = {
     "e24_product_performance": AN.product_performance,
     "e26_performance_distribution": AN.performance_distribution,
     "h01_top_products": AN.top_products,
@@ -108,12 +106,8 @@ def _bind(fn, prep):
     return lambda s, d: fn(prep(s, d))
 
 
-for _k, _f in _ROWS.items():
+for _k, _f in {**_ROWS, **_LABELLED}.items():
     register(_k)(_bind(_f, P.rows))
-for _k, _f in _WITH_CUSTOMERS.items():
-    register(_k)(_bind(_f, P.with_customers))
-for _k, _f in _WITH_PRODUCTS.items():
-    register(_k)(_bind(_f, P.with_products))
 
 # --- B01-B16: cleaning -------------------------------------------------------
 from pyspark.sql import functions as _F  # noqa: E402
@@ -300,7 +294,7 @@ def _k10(s, d):
 # --- L insights and reports -------------------------------------------------------
 from ..operators import insights as IN  # noqa: E402
 
-register("l01_l06_business_insights")(lambda s, d: IN.business_insights(P.full(s, d)))
+register("l01_l06_business_insights")(lambda s, d: IN.business_insights(P.rows(s, d)))
 register("l07_executive_summary")(lambda s, d: IN.executive_summary(P.rows(s, d)))
 register("l08_i02_summary_report")(lambda s, d: IN.summary_report(P.rows(s, d)))
 register("l09_anomaly_report")(lambda s, d: IN.anomaly_report(AM.anomalies_iqr(P.sales(s, d))))

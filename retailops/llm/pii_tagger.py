@@ -170,9 +170,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_windows(docs: DataFrame, per_kind: int) -> list[tuple[str, str]]:
     """At most ``per_kind`` windows of each kind, twice as many without a span."""
     all_ = docs.select("text").mapInArrow(_windows, "text string, label string, kind int").dropDuplicates(["text"])
-    nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("text"), "text"))
-    some = all_.withColumn("nth", nth).where(F.col("nth") <= F.when(F.col("kind") == len(KINDS), 2 * per_kind).otherwise(per_kind))
-    return sorted((r.text, r.label) for r in some.where(F.col("nth") <= 2 * per_kind).select("text", "label").collect())
+    most = F.when(F.col("kind") == len(KINDS), 2 * per_kind).otherwise(per_kind)
+    # the smallest hashes of a kind are among the smallest of each of its sixty-four shares
+    some = all_.withColumns({"hash": F.xxhash64("text"), "share": F.pmod(F.crc32("text"), F.lit(64))})
+    for keys in (["kind", "share"], ["kind"]):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "text"))
+        some = some.withColumn("nth", nth).where((F.col("nth") <= 2 * per_kind) & (F.col("nth") <= most))
+    return sorted((r.text, r.label) for r in some.select("text", "label").collect())
 
 
 _NOISE = ("{0}-0{1}-1{2}", "{1}{0}:{3}{2}", "{0}{1}{2}.{3}{4}", "{0},{1}{2}{3}.{4}{5}", "v{0}.{1}.{2}", "{0}{1}{2}{3}{4}", "#{0}{1}{2}",

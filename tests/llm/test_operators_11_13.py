@@ -18,7 +18,7 @@ VECTORS = "vec_id bigint, embedding array<float>, label int, anchor boolean, sou
 
 def test_residue_products_are_exact():
     rnd = np.random.default_rng(1)
-    for bound, dim in ((1 << 8, 64), (1 << 13, 700), (1 << 26, 2500)):
+    for bound, dim in ((1 << 8, 64), (1 << 13, 700), (1 << 22, 2500)):
         a, b = rnd.integers(-bound, bound + 1, (7, dim)), rnd.integers(-bound, bound + 1, (9, dim))
         a[0], b[0], b[1] = bound, bound, -bound  # the extremes of the range
         primes = hard_negatives.primes_for(max((a * a).sum(1).max(), (b * b).sum(1).max()))

@@ -414,15 +414,15 @@ def _zero_if_null(c: Column) -> Column:
 
 
 def generate_kpis(df: DataFrame) -> DataFrame:
-    """22 KPIs in one row, from one pass over the rows.
+    """22 KPIs in one row, from two passes over the rows.
 
-    One copy of each row feeds the daily sums (all other sums are read from
-    those), one each the distinct orders, customers, products and (order,
-    product) pairs; products per order is pairs / orders.
+    One feeds the daily sums (all other sums are read from those), the other the
+    distinct orders, customers, products and (order, product) pairs; products per
+    order is pairs / orders.
     """
     pair = F.when(F.col(N).isNotNull() & F.col("Product_Name").isNotNull(), F.concat_ws("\u0001", N, "Product_Name"))
     sales_inputs = {"s": F.col(S), "p": F.col(P), "d": F.col("Discount"), "sd": F.col(S) * F.col("Discount"), "q": F.col("Quantity")}
-    g = A.one_pass(
+    g = A.group_parts(
         df, [A.Part("day", F.col("Order_Date"), inputs=tuple(sales_inputs)), A.Part("order", distinct=F.col(N)),
              A.Part("customer", distinct=F.col(C)), A.Part("product", distinct=F.col("Product_Name")), A.Part("pair", distinct=pair)],
         sales_inputs, [F.sum("s").alias("s"), F.count("s").alias("ns"), F.sum("p").alias("p"), F.sum("d").alias("d"),
@@ -609,14 +609,15 @@ def best_category_region(df: DataFrame) -> DataFrame:
 def filter_options(df: DataFrame, cols: tuple[str, ...] = ("Year", "Category", "Region", SEGMENT)) -> DataFrame:
     """Sorted distinct values of the dashboard filters as (Filter, Value) rows.
 
-    One pass: each column is a part of it, and where the rows have no segment yet,
-    so is the spend of each customer, from which the segments in use are read.
+    One grouping of the rows by all columns at once; where the rows have no segment
+    yet, the spend of each customer is one more part, from which the segments in use
+    are read.
     """
     found = SEGMENT in cols and SEGMENT not in df.columns
-    parts = [A.Part(c, F.col(c)) for c in cols if not (found and c == SEGMENT)]
+    parts = [A.Part(c, F.col(c), inputs=("s",)) for c in cols if not (found and c == SEGMENT)]
     if found:
         parts.append(A.Part(SEGMENT, F.col(C), inputs=("s",)))
-    rows = reliable_checkpoint(A.one_pass(df, parts, {"s": F.col(S)}, [F.sum("s").alias("_s")]).filter(F.col("_key").isNotNull()))
+    rows = reliable_checkpoint(A.group_parts(df, parts, {"s": F.col(S)}, [F.sum("s").alias("_s")]).filter(F.col("_key").isNotNull()))
     out = rows.filter(F.col("_part") != SEGMENT) if found else rows
     out = out.select(F.col("_part").alias("Filter"), F.col("_key").alias("Value"))
     if found:

@@ -92,9 +92,9 @@ def regional_analysis(df: DataFrame) -> DataFrame:
 
 
 def monthly_analysis(df: DataFrame) -> DataFrame:
-    """Year x month KPIs."""
-    return (A.group_agg(df, ["Year", "Month"], 
-        F.max("Month_Name").alias("Month_Name"), F.max("Quarter").alias("Quarter"),
+    """Year x month KPIs (name and quarter follow from the month; as group keys they
+    keep text out of the aggregate's buffers, which would make it a sorted one)."""
+    return (A.group_agg(df, ["Year", "Month", "Month_Name", "Quarter"],
         _r2sum(S).alias("Monthly_Revenue"), _r2sum(P).alias("Monthly_Profit"),
         A.mean("Profit_Margin_Pct", 2, 2).alias("Avg_Profit_Margin"),
         A.Distinct(N, "Order_Count"), A.Distinct(C, "Unique_Customers"),

@@ -85,38 +85,37 @@ def _line(df: DataFrame, no: int, text: Column, cond: Column | None = None) -> D
     return out.filter(cond) if cond is not None else out
 
 
-_CELL = ["Category", "Season", "Region", "Payment_Mode", "Year_Month", "Discount"]
+def insight_groups(df: DataFrame) -> DataFrame:
+    """The rows grouped by category, season, region, payment mode, month, discount and
+    customer at once. All but the customers are a few hundred rows; every rule
+    reads them, so they are written once."""
+    return reliable_checkpoint(A.group_parts(
+        df, [A.Part("category", F.col("Category"), inputs=("s",)), A.Part("season", F.col("Season"), inputs=("s",)),
+             A.Part("region", F.col("Region"), inputs=("s",)), A.Part("payment", F.col("Payment_Mode"), inputs=("s",)),
+             A.Part("month", F.col("Year_Month"), inputs=("s",)), A.Part("discount", F.col("Discount"), inputs=("s", "m")),
+             A.Part("customer", F.col("Customer_ID"), F.col("Order_ID"), ("s",))],
+        {"s": F.col("Sales"), "m": F.col("Profit_Margin_Pct")},
+        [F.sum("s").alias("_s"), F.sum("m").alias("_m"), F.count("m").alias("_nm"), F.count(F.lit(1)).alias("_n")]))
 
 
-def insight_cells(df: DataFrame) -> DataFrame:
-    """The rows as one small cube: sums and counts by category, season, region, payment
-    mode, month and discount. Its size is bounded by the products of those, not by
-    the rows; every rule reads it, so it is written once."""
-    return reliable_checkpoint(df.groupBy(*_CELL).agg(
-        F.sum("Sales").alias("_s"), F.sum("Profit_Margin_Pct").alias("_m"), F.count("Profit_Margin_Pct").alias("_nm"),
-        F.count(F.lit(1)).alias("_n")))
+def _groups_of(groups: DataFrame, part: str) -> DataFrame:
+    """The groups of one key (not null, as pandas drops null keys)."""
+    return groups.filter((F.col("_part") == part) & F.col("_key").isNotNull())
 
 
-def _rows_of(cells: DataFrame, key: str) -> DataFrame:
-    """Sales by one key of the cube (not null, as pandas drops null keys)."""
-    return cells.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum("_s").alias("_s"))
+def _mean_margin(groups: DataFrame, cond: Column | None, scale: int) -> Column:
+    """Mean margin of the rows behind the discount groups, from the exact sum and count."""
+    cond = F.lit(True) if cond is None else cond
+    return A.ratio(F.sum(F.when(cond, F.col("_m"))).cast(dict(groups.dtypes)["_m"]), F.sum(F.when(cond, F.col("_nm"))), 2, scale)
 
 
-def _mean_of(cells: DataFrame, name: str, cond: Column | None, scale: int) -> Column:
-    """Mean of the rows behind the cells, from the exact sum and count."""
-    pick = (lambda c: F.col(c)) if cond is None else (lambda c: F.when(cond, F.col(c)))
-    return A.ratio(F.sum(pick(f"_{name}")).cast(dict(cells.dtypes)[f"_{name}"]), F.sum(pick(f"_n{name}")), 2, scale)
-
-
-def customer_means(df: DataFrame) -> DataFrame:
-    """One row: mean orders (_o) and mean spend (_sp) of a row's customer, from one
-    group per customer; a customer counts once for each of its rows."""
-    c = df.filter(F.col("Customer_ID").isNotNull()).groupBy("Customer_ID").agg(
-        F.countDistinct("Order_ID").alias("o"), F.sum("Sales").alias("s"), F.count(F.lit(1)).alias("n"))
-    weight = F.col("n").cast("decimal(20,0)")
-    return c.agg(
-        A.half_up_ratio(F.sum((F.col("o").cast("decimal(18,0)") * weight).cast("decimal(38,0)")), F.sum("n"), 0, 1).alias("_o"),
-        A.ratio(F.sum((F.col("s") * weight).cast("decimal(38,2)")), F.sum(F.when(F.col("s").isNotNull(), F.col("n"))), 2, 2).alias("_sp"))
+def customer_means(customers: DataFrame) -> DataFrame:
+    """One row: mean orders (_o) and mean spend (_sp) of a row's customer; a customer
+    (``_distinct`` orders, ``_s`` spend) counts once for each of its ``_n`` rows."""
+    weight = F.col("_n").cast("decimal(20,0)")
+    return customers.agg(
+        A.half_up_ratio(F.sum((F.col("_distinct").cast("decimal(18,0)") * weight).cast("decimal(38,0)")), F.sum("_n"), 0, 1).alias("_o"),
+        A.ratio(F.sum((F.col("_s") * weight).cast("decimal(38,2)")), F.sum(F.when(F.col("_s").isNotNull(), F.col("_n"))), 2, 2).alias("_sp"))
 
 
 def _top(rows: DataFrame, key: str) -> DataFrame:
@@ -125,17 +124,19 @@ def _top(rows: DataFrame, key: str) -> DataFrame:
 
 
 def business_insights(df: DataFrame) -> DataFrame:
-    """L01-L06 as (Insight_No, Insight) rows, from two passes over the input: the cube
-    (``insight_cells``) and one group per customer."""
+    """L01-L06 as (Insight_No, Insight) rows, from one grouping of the input
+    (``insight_groups``)."""
     spark = df.sparkSession
-    cells = insight_cells(df)
-    glob = cells.agg(F.sum("_s").alias("_s"), _mean_of(cells, "m", None, 6).alias("_m6"), _mean_of(cells, "m", None, 1).alias("_m1"),
-                     F.percentile(F.col("Discount").cast("double"), F.array(F.lit(0.25), F.lit(0.75)), F.col("_n")).alias("_dq"))
+    groups = insight_groups(df)
+    by_discount = groups.filter(F.col("_part") == "discount").withColumn("Discount", F.col("_key").cast("double"))
+    glob = by_discount.agg(
+        F.sum("_s").alias("_s"), _mean_margin(groups, None, 6).alias("_m6"), _mean_margin(groups, None, 1).alias("_m1"),
+        F.percentile("Discount", F.array(F.lit(0.25), F.lit(0.75)), F.col("_n")).alias("_dq"))
     parts = []
     # L01 month-over-month
-    last2 = _rows_of(cells, "Year_Month").orderBy(F.col("Year_Month").desc()).limit(2).agg(
-        F.count(F.lit(1)).alias("_n"), F.max_by("_s", "Year_Month").alias("_last"),
-        F.min_by("_s", "Year_Month").alias("_prev"))
+    last2 = _groups_of(groups, "month").orderBy(F.col("_key").desc()).limit(2).agg(
+        F.count(F.lit(1)).alias("_n"), F.max_by("_s", "_key").alias("_last"),
+        F.min_by("_s", "_key").alias("_prev"))
     g6 = A.pct(F.col("_last") - F.col("_prev"), F.col("_prev"), 2, 6)
     g1 = A.pct(F.col("_last") - F.col("_prev"), F.col("_prev"), 2, 1)
     msg = (F.when(g6 > GROWTH_HIGH, fmt(MSG_GROWTH_STRONG, f1(g1)))
@@ -147,18 +148,18 @@ def business_insights(df: DataFrame) -> DataFrame:
                                    .when(F.col("_m6") < MARGIN_LOW, fmt(MSG_MARGIN_LOW, f1(F.col("_m1"))))
                                    .otherwise(fmt(MSG_MARGIN_HEALTHY, f1(F.col("_m1"))))))
     # L03 customers (row-weighted means)
-    parts.append(_line(customer_means(df), 3, fmt(MSG_CUSTOMER, f1(F.col("_o")), money(F.col("_sp")))))
+    parts.append(_line(customer_means(_groups_of(groups, "customer")), 3, fmt(MSG_CUSTOMER, f1(F.col("_o")), money(F.col("_sp")))))
     # L04 top category with share, peak season, top region, top payment mode
-    cat = attach_row(_top(_rows_of(cells, "Category"), "Category"), glob.select(F.col("_s").alias("_t")))
-    parts.append(_line(cat, 4, fmt(MSG_TOP_CATEGORY, F.col("Category"), f1(A.pct(F.col("_s"), F.col("_t"), 2, 1)))))
-    parts.append(_line(_top(_rows_of(cells, "Season"), "Season"), 5, fmt(MSG_PEAK_SEASON, F.col("Season"))))
-    parts.append(_line(_top(_rows_of(cells, "Region"), "Region"), 6, fmt(MSG_TOP_REGION, F.col("Region"))))
-    parts.append(_line(_top(_rows_of(cells, "Payment_Mode"), "Payment_Mode"), 7,
-                       fmt(MSG_TOP_PAYMENT, F.col("Payment_Mode"))))
+    cat = attach_row(_top(_groups_of(groups, "category").select("_key", "_s"), "_key"), glob.select(F.col("_s").alias("_t")))
+    parts.append(_line(cat, 4, fmt(MSG_TOP_CATEGORY, F.col("_key"), f1(A.pct(F.col("_s"), F.col("_t"), 2, 1)))))
+    parts.append(_line(_top(_groups_of(groups, "season"), "_key"), 5, fmt(MSG_PEAK_SEASON, F.col("_key"))))
+    parts.append(_line(_top(_groups_of(groups, "region"), "_key"), 6, fmt(MSG_TOP_REGION, F.col("_key"))))
+    parts.append(_line(_top(_groups_of(groups, "payment"), "_key"), 7,
+                       fmt(MSG_TOP_PAYMENT, F.col("_key"))))
     # L05 discount impact
-    j = attach_row(cells, glob.select("_dq"))
-    dd = j.agg(_mean_of(cells, "m", F.col("Discount") > F.col("_dq")[1], 6).alias("_h"),
-               _mean_of(cells, "m", F.col("Discount") <= F.col("_dq")[0], 6).alias("_l"))
+    j = attach_row(by_discount, glob.select("_dq"))
+    dd = j.agg(_mean_margin(groups, F.col("Discount") > F.col("_dq")[1], 6).alias("_h"),
+               _mean_margin(groups, F.col("Discount") <= F.col("_dq")[0], 6).alias("_l"))
     diff = F.round(F.abs(F.col("_h").cast("decimal(24,6)") - F.col("_l").cast("decimal(24,6)")), 1)
     parts.append(_line(dd, 8, fmt(MSG_DISCOUNT, f1(diff)), F.col("_h") < F.col("_l")))
     # L06 fixed recommendations
@@ -172,10 +173,10 @@ def business_insights(df: DataFrame) -> DataFrame:
 
 
 def executive_summary(df: DataFrame) -> DataFrame:
-    """Executive summary and key findings as (Line_No, Section, Text), from one pass
-    over the rows (one row for each category, region and customer is kept)."""
+    """Executive summary and key findings as (Line_No, Section, Text), from one
+    grouping of the rows (one row for each category, region and customer is kept)."""
     spark = df.sparkSession
-    rows = reliable_checkpoint(A.one_pass(
+    rows = reliable_checkpoint(A.group_parts(
         df, [A.Part("category", F.col("Category"), inputs=("s",)), A.Part("region", F.col("Region"), inputs=("s", "p", "q")),
              A.Part("order", distinct=F.col("Order_ID")), A.Part("customer", F.col("Customer_ID"), inputs=("s",))],
         {"s": F.col("Sales"), "p": F.col("Profit"), "q": F.col("Quantity")},
@@ -266,11 +267,11 @@ def _ts(d: Column) -> Column:
 def summary_report(df: DataFrame, top: int = 10) -> DataFrame:
     """The CSV summary report as titled sections of up to five text cells.
 
-    One pass over the rows: each section's groups and distinct counts are parts of
-    it, and the overview is read from the months. What is kept has one row for each
-    month, category, region and customer name.
+    Two passes over the rows (``group_parts``): one for the sums of all sections, one
+    for their distinct counts; the overview is read from the months. What is kept has
+    one row for each month, category, region and customer name.
     """
-    rows = reliable_checkpoint(A.one_pass(
+    rows = reliable_checkpoint(A.group_parts(
         df, [A.Part("month", F.col("Year_Month"), F.col("Order_ID"), ("s", "p", "q", "day")), A.Part("category", F.col("Category"), inputs=("s", "p", "q", "m")),
              A.Part("region", F.col("Region"), F.col("Order_ID"), ("s", "p")), A.Part("region customers", F.col("Region"), F.col("Customer_ID")),
              A.Part("name", F.col("Customer_Name"), F.col("Order_ID"), ("s",)), A.Part("order", distinct=F.col("Order_ID")),

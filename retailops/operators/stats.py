@@ -3,7 +3,7 @@
 * exact quantiles (linear interpolation, as pandas/DuckDB ``quantile_cont``)
   as a one-row DataFrame that is broadcast (its size is one row) to the rows
   that need it, selected by histograms of the values' bits - no value is
-  shuffled or collected to the driver;
+  shuffled, and only the quantiles themselves come to the driver;
 * quantile binning (``qcut``) from those edges;
 * global row numbers without a window over the rows: range partitioning, sorted
   partitions, per-partition counts (one row per partition), prefix offsets;
@@ -12,8 +12,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -48,25 +50,74 @@ def quantile_row(df: DataFrame, specs: dict[str, tuple[str | Column, list[float]
 
 #: Bits of a value's key that one selection pass resolves.
 _STEP = 21
+#: Histogram entries a task holds before it combines them.
+_ENTRIES = 1 << 20
 
 
-def ordered_bits(v: str | Column) -> Column:
-    """The bits of a DOUBLE as a BIGINT that sorts like the value (-0.0 and 0.0 are one key).
+def ordered_bits(v: np.ndarray) -> np.ndarray:
+    """The bits of doubles as int64 that sort like the values (nan last, -0.0 as 0.0).
 
-    Spark has no cast from a double to its bits, so exponent and mantissa are
-    taken apart by exact arithmetic: a division by a power of two loses nothing.
+    Spark has no cast from a double to its bits; numpy views them for free.
     """
-    v = _c(v)
-    size = F.abs(v)
-    guess = F.greatest(F.least(F.floor(F.log2(size)).cast("double"), F.lit(1023.0)), F.lit(-1022.0))
-    power = F.pow(F.lit(2.0), guess)
-    # log2 is rounded: its floor may be one off next to a power of two
-    exact = guess + F.when(size < power, -1.0).when(size / power >= 2.0, 1.0).otherwise(0.0)
-    exact = F.greatest(exact, F.lit(-1022.0))
-    mantissa = (size / F.pow(F.lit(2.0), exact)) * F.lit(float(1 << 52))
-    key = (exact + 1022.0).cast("bigint") * F.lit(1 << 52) + mantissa.cast("bigint")
-    key = F.when(size == 0, F.lit(0).cast("bigint")).when(size == F.lit(float("inf")), F.lit(2047 << 52)).otherwise(key)
-    return F.when(F.isnan(v), F.lit((1 << 63) - 1)).when(v < 0, -key).otherwise(key)
+    bits = (v + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
+
+
+def _combine(entries: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    bucket, count, least, most = (np.concatenate(x) for x in zip(*entries))
+    keys, at = np.unique(bucket, return_inverse=True)
+    total, low, high = np.zeros(len(keys), np.int64), np.full(len(keys), np.inf), np.full(len(keys), -np.inf)
+    np.add.at(total, at, count)
+    np.fmin.at(low, at, least)
+    np.fmax.at(high, at, most)
+    nan = np.zeros(len(keys), bool)
+    nan[at[np.isnan(most)]] = True
+    return keys, total, np.where(nan & np.isinf(low), np.nan, low), np.where(nan, np.nan, high)
+
+
+def _histogram(df: DataFrame, columns: list[Column], shift: int, within: dict[int, list[int]] | None = None) -> DataFrame:
+    """Counts (``_name``: column number, ``_b``: key bits above ``shift``, ``_c``, the least and
+    most value) of the non-null values, each task's own first. ``within`` keeps, of
+    each column, the values whose bits one step higher are listed."""
+    names = [f"v{i}" for i in range(len(columns))]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries: dict[int, list] = {i: [] for i in range(len(names))}
+        held = 0
+        for batch in batches:
+            for i, name in enumerate(names):
+                v = batch.column(name).drop_null().to_numpy(zero_copy_only=False)
+                bucket = ordered_bits(v) >> shift
+                if within is not None:
+                    keep = np.isin(bucket >> _STEP, np.array(within.get(i, []), np.int64))
+                    v, bucket = v[keep], bucket[keep]
+                if len(v):
+                    entries[i].append(_combine([(bucket, np.ones(len(v), np.int64), v, v)]))
+                    held += len(entries[i][-1][0])
+            if held > _ENTRIES:
+                entries = {i: [_combine(e)] if e else [] for i, e in entries.items()}
+                held = sum(len(x[0]) for e in entries.values() for x in e)
+                if held > _ENTRIES // 2:  # many buckets: hand them to the shuffle
+                    yield from emit(entries)
+                    entries, held = {i: [] for i in entries}, 0
+        yield from emit(entries)
+
+    def emit(entries: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for i, e in entries.items():
+            if e:
+                keys, total, low, high = _combine(e)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i), pa.int32()), pa.array(keys), pa.array(total), pa.array(low),
+                                                  pa.array(high)], names=["_name", "_b", "_c", "_least", "_most"])
+
+    rows = df.select(*[c.cast("double").alias(n) for c, n in zip(columns, names)])
+    parts = rows.mapInArrow(count, "_name int, _b bigint, _c bigint, _least double, _most double")
+    return parts.groupBy("_name", "_b").agg(F.sum("_c").alias("_c"), F.min("_least").alias("_least"), F.max("_most").alias("_most"))
+
+
+def _literal_rows(spark, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A small frame of constants, planned without a scan."""
+    return spark.range(1).select(F.inline(F.array(*[
+        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])))
 
 
 def quantiles_by_selection(df: DataFrame, specs: dict[str, tuple[str | Column, list[float]]]) -> DataFrame:
@@ -74,57 +125,54 @@ def quantiles_by_selection(df: DataFrame, specs: dict[str, tuple[str | Column, l
 
     Values are never shuffled or sorted. A value's key (``ordered_bits``) is
     resolved 21 to 22 bits at a time: pass one counts all values by the key's
-    leading bits (a partial aggregate, at most 2^22 counts a column and in
-    practice some thousands) and finds the bucket of each target rank; passes two
-    and three count only the values inside those buckets by the next bits. After
-    pass three a bucket is one value. The targets of a pass (two for each
-    quantile) are written to the shared checkpoint folder; the ranks floor(h) and
-    ceil(h), h = (n-1)p, are interpolated as (ceil-h)*lo + (h-floor)*hi.
+    leading bits (each task its own first; at most 2^22 counts a column and in
+    practice some thousands) and finds the bucket of each target rank; the next
+    passes count only the values inside those buckets by the next bits. It ends as
+    soon as each target's bucket holds one value, at the latest after pass three
+    (two for money of usual size). Only the targets of a pass, two for each
+    quantile, come to the driver. The ranks floor(h) and ceil(h), h = (n-1)p, are
+    interpolated as (ceil-h)*lo + (h-floor)*hi.
     """
     spark = df.sparkSession
-    values = F.array(*[F.struct(F.lit(i).alias("_name"), _c(col).cast("double").alias("_v"))
-                       for i, (col, _) in enumerate(specs.values())])
-    base = df.select(F.inline(values)).filter(F.col("_v").isNotNull()).withColumn("_k", ordered_bits("_v"))
-    wanted = spark.range(1).select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_name"), F.lit(j).alias("_j"), F.lit(float(q)).alias("_q"))
-        for i, (_, probs) in enumerate(specs.values()) for j, q in enumerate(probs)])))
-
-    def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
-        """Counts by bucket with the number of values in front, inside each group of ``keys``."""
-        hist = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_v"))
+    columns = [_c(col) for col, _ in specs.values()]
+
+    def counted(hist: DataFrame, keys: list[str]) -> DataFrame:
+        """The histogram with the number of values in front, inside each group of ``keys``."""
         group = Window.partitionBy(*keys)
         before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         return hist.withColumns({"_start": F.coalesce(F.sum("_c").over(before), F.lit(0)), "_n": F.sum("_c").over(group)})
 
     hit = (F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_c"))
+    found = ["_name", "_j", "_tag", "_b", (F.col("_r") - F.col("_start")).alias("_r"), "_least", "_most"]
+    wanted = _literal_rows(spark, ["_name", "_j", "_q"],
+                           [(i, j, float(q)) for i, (_, probs) in enumerate(specs.values()) for j, q in enumerate(probs)])
     h = (F.col("_n") - 1).cast("double") * F.col("_q")
     ranks = F.array(F.struct(F.lit(0).alias("_tag"), F.floor(h).alias("_r")), F.struct(F.lit(1).alias("_tag"), F.ceil(h).alias("_r")))
-    cum = counted(base.withColumn("_b", F.shiftright("_k", 2 * _STEP)), ["_name"])
-    targets = (cum.join(F.broadcast(wanted), "_name").select("*", F.inline(ranks)).filter(hit)
-                  .select("_name", "_j", "_tag", "_n", "_b", (F.col("_r") - F.col("_start")).alias("_r")))
-    for shift in (_STEP, 0):
-        targets = reliable_checkpoint(targets.drop("_v")).withColumnRenamed("_b", "_p")  # at most two rows for each quantile
-        inside = base.withColumns({"_p": F.shiftright("_k", shift + _STEP), "_b": F.shiftright("_k", shift)})
-        inside = inside.join(F.broadcast(targets.select("_name", "_p").distinct()), ["_name", "_p"])
-        cum = counted(inside, ["_name", "_p"]).drop("_n")
-        targets = (cum.join(F.broadcast(targets), ["_name", "_p"]).filter(hit)
-                      .select("_name", "_j", "_tag", "_n", "_b", "_v", (F.col("_r") - F.col("_start")).alias("_r")))
-    aggs, out = [], []
-    for i, (name, (_, probs)) in enumerate(specs.items()):
-        own = F.col("_name") == i
-        aggs.append(F.max(F.when(own, F.col("_n"))).alias(f"_n{i}"))
-        vals = []
-        for j, q in enumerate(probs):
-            for tag, end in enumerate(("lo", "hi")):
-                at = own & (F.col("_j") == j) & (F.col("_tag") == tag)
-                aggs.append(F.max(F.when(at, F.col("_v"))).alias(f"_{end}{i}_{j}"))
-            h = (F.col(f"_n{i}") - 1).cast("double") * F.lit(float(q))
-            lo, hi = F.floor(h), F.ceil(h)
-            vals.append(F.when(lo == hi, F.col(f"_lo{i}_{j}"))
-                         .otherwise((hi.cast("double") - h) * F.col(f"_lo{i}_{j}")
-                                    + (h - lo.cast("double")) * F.col(f"_hi{i}_{j}")))
-        out.append(F.when(F.col(f"_n{i}") > 0, F.array(*vals)).alias(name))
-    return targets.agg(*aggs).select(*out)
+    cum = counted(_histogram(df, columns, 2 * _STEP), ["_name"])
+    targets = cum.join(F.broadcast(wanted), "_name").select("*", F.inline(ranks)).filter(hit).select(*found, "_n").collect()
+    sizes = {t["_name"]: t["_n"] for t in targets}
+    done = {}
+    for shift in (_STEP, 0, None):
+        done.update({(t["_name"], t["_j"], t["_tag"]): t["_most"] for t in targets if t["_least"] == t["_most"] or shift is None})
+        open_ = [t for t in targets if (t["_name"], t["_j"], t["_tag"]) not in done]
+        if not open_:
+            break
+        within: dict[int, list[int]] = {}
+        for t in open_:
+            within.setdefault(t["_name"], []).append(t["_b"])
+        seek = _literal_rows(spark, ["_name", "_p", "_j", "_tag", "_r"], [(t["_name"], t["_b"], t["_j"], t["_tag"], t["_r"]) for t in open_])
+        hist = _histogram(df, columns, shift, within).withColumn("_p", F.shiftright("_b", _STEP))
+        cum = counted(hist, ["_name", "_p"])
+        targets = cum.join(F.broadcast(seek), ["_name", "_p"]).filter(hit).select(*found).collect()
+
+    def value(i: int, j: int, q: float) -> float:
+        h = (sizes[i] - 1) * float(q)
+        lo, hi = math.floor(h), math.ceil(h)
+        return done[i, j, 0] if lo == hi else (hi - h) * done[i, j, 0] + (h - lo) * done[i, j, 1]
+
+    return spark.range(1).select(*[
+        (F.array(*[F.lit(value(i, j, q)) for j, q in enumerate(probs)]) if i in sizes else F.lit(None).cast("array<double>")).alias(name)
+        for i, (name, (_, probs)) in enumerate(specs.items())])
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Every statistic a cleaning step needs (median, mode, null share, quantile
 bounds) is a one-row aggregate that is broadcast back to the rows - no value
-is collected to the driver. Per-key "keep first" uses an aggregate
-(``min_by`` over a struct), which combines map-side, so a hot key cannot
-pile its rows into one task.
+is collected to the driver. Per-key "keep first" is a row number of one: Spark
+limits each group to one row in every task before the shuffle, so a hot key
+cannot pile its rows into one task.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,9 +81,11 @@ def dedupe(df: DataFrame, keys: list[str] | None = ("Order_ID",), order_cols: li
         return df.dropDuplicates()
     rest = [c for c in df.columns if c not in keys]
     order_cols = [c for c in (order_cols or []) if c in df.columns]
-    pos = F.struct(*[F.col(c) for c in order_cols + [c for c in rest if c not in order_cols]])
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in rest]), pos).alias("_first"))
-    return first.select(*keys, *[F.col("_first")[c].alias(c) for c in rest]).select(*df.columns)
+    order = order_cols + [c for c in rest if c not in order_cols]
+    if not order:
+        return df.dropDuplicates(keys)
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_nth", first).filter(F.col("_nth") == 1).drop("_nth")
 
 
 def duplicate_count(df: DataFrame, keys: list[str] = ("Order_ID",)) -> DataFrame:

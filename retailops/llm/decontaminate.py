@@ -13,10 +13,12 @@ document of fewer than m words is itself the one window.
    the texts are never shuffled however large the benchmark is. A hit carries
    the words around it, as far as a window of its item's size can reach.
 2. *Windows.* Every window of the item's size that holds an anchor gets a 64-bit
-   SimHash of its shingles, once: it belongs to its first anchor. Bits are
-   counted in 16 sums of four 16-bit lanes.
+   SimHash of its shingles, once: it belongs to its first anchor. Bits are counted
+   in packed lanes, four to a number (two where an item has over 32,767 shingles).
+   The counts slide: a shingle enters at the first window that holds it and leaves
+   after the last, so a hit costs rows in proportion to the item, not its square.
 3. *Multi-index.* Fingerprints are cut into radius + 1 blocks: two within the
-   radius agree on a whole block, so an equality join on (item, block, value)
+   radius agree on a whole block, so an equality join on (class, block, value)
    finds all of them; the Hamming distance is then checked.
 4. *Verification* compares the shingles of the window and the item exactly.
 
@@ -25,7 +27,9 @@ deviation 3); radius 20 lies more than three deviations above that.
 
 All steps are DataFrame functions. Defined results: null texts have no words;
 items of fewer than five words have no shingle and match nothing; items with
-equal words are one class, named by the smallest item_id; repeated documents
+equal words are one class, named by their smallest non-null item_id (null if none
+has one); items of different words are classes of their own even under one
+item_id, and a document has a row for each class it matches; repeated documents
 give one row for each doc_id; empty tables give no rows; null doc_ids are kept.
 """
 
@@ -52,20 +56,23 @@ def _shingles(words: str) -> Column:
         ELSE array() END""")
 
 
-#: One bit in each of four lanes; lanes count to 65,535 shingles.
-_LANES = 0x0001000100010001
+def _lanes(h: str, width: int) -> list[Column]:
+    """The 64 bits of ``h`` spread over ``width`` columns, 64 / width bits in lanes of ``width`` bits each."""
+    ones = sum(1 << (width * j) for j in range(64 // width))
+    return [F.expr(f"shiftright({h}, {k}) & {ones}L").alias(f"s{k}") for k in range(width)]
 
 
-def _lane_sums(h: str) -> list[Column]:
-    """Sixteen aggregates that count the 64 bits of ``h`` over a group's rows."""
-    return [F.sum(F.expr(f"shiftright({h}, {k}) & {_LANES}L")).alias(f"s{k}") for k in range(16)]
+def _majority(n: str, width: int) -> Column:
+    """The SimHash: bit width * j + k is set if lane j of sum k is above half of ``n``."""
+    bits = [f"if(2 * (shiftrightunsigned(s{k}, {width * j}) & {(1 << width) - 1}L) > {n}, shiftleft(1L, {width * j + k}), 0L)"
+            for j in range(64 // width) for k in range(width)]
+    return F.expr(" | ".join(bits))
 
 
-def _majority(n: str) -> Column:
-    """The SimHash: bit 16 j + k is set if lane j of sum k is above half of ``n``."""
-    bits = [f"if(2 * (shiftright(s{k}, {16 * j}) & 65535L) > {n}, shiftleft(1L, {16 * j + k}), 0L)"
-            for j in range(4) for k in range(16)]
-    return F.expr(" | ".join(bits))
+def _lane_width(items: DataFrame) -> int:
+    """Lanes of 16 bits count to 32,767 shingles in a signed number, lanes of 32 bits past any text."""
+    longest = items.agg(F.max("n")).first()[0]  # one number
+    return 16 if (longest or 0) < 1 << 15 else 32
 
 
 def _blocks(fp: str, radius: int) -> Column:
@@ -77,31 +84,33 @@ def _blocks(fp: str, radius: int) -> Column:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """One row for each class of items with equal words: item_id, words, shingles, m, n."""
+    """One row for each class of items with equal words: cls, item_id, words, shingles, m, n."""
     return (benchmark.select("item_id", _words("text").alias("words")).where(F.size("words") >= WIDTH)
             .groupBy("words").agg(F.min("item_id").alias("item_id"))
             .withColumn("shingles", _shingles("words"))
-            .withColumn("m", F.size("words")).withColumn("n", F.size("shingles")))
+            .withColumn("m", F.size("words")).withColumn("n", F.size("shingles"))
+            .withColumn("cls", F.monotonically_increasing_id()))  # written before it is used
 
 
-def _item_fingerprints(items: DataFrame) -> DataFrame:
-    return (items.select("item_id", F.explode("shingles").alias("h")).groupBy("item_id")
-            .agg(*_lane_sums("h"), F.count("*").alias("n")).select("item_id", _majority("n").alias("item_fp")))
+def _item_fingerprints(items: DataFrame, width: int) -> DataFrame:
+    return (items.select("cls", F.explode("shingles").alias("h")).select("cls", *_lanes("h", width)).groupBy("cls")
+            .agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(width)], F.count("*").alias("n"))
+            .select("cls", _majority("n", width).alias("item_fp")))
 
 
 def _anchors(items: DataFrame, similarity: float) -> DataFrame:
-    """(h, item_id, m) of the rarest n - t + 1 shingles of each item."""
-    spread = items.select("item_id", "m", "n", F.posexplode("shingles").alias("at", "h"))
-    rare = spread.groupBy("h").agg(F.countDistinct("item_id").alias("df"))
+    """(h, cls, m) of the rarest n - t + 1 shingles of each item."""
+    spread = items.select("cls", "m", "n", F.posexplode("shingles").alias("at", "h"))
+    rare = spread.groupBy("h").agg(F.countDistinct("cls").alias("df"))
     # ranks inside one item: a bounded sort of its own shingles
-    ranked = (spread.join(rare, "h").groupBy("item_id", "m", "n")
+    ranked = (spread.join(rare, "h").groupBy("cls", "m", "n")
               .agg(F.sort_array(F.collect_list(F.struct("df", "h", "at"))).alias("order")))
-    return (ranked.select("item_id", "m", F.expr(f"explode(slice(order, 1, n - cast(ceil({similarity} * n) AS int) + 1))").alias("s"))
-            .select("item_id", "m", F.col("s.h").alias("h")).distinct())
+    return (ranked.select("cls", "m", F.expr(f"explode(slice(order, 1, n - cast(ceil({similarity} * n) AS int) + 1))").alias("s"))
+            .select("cls", "m", F.col("s.h").alias("h")).distinct())
 
 
 def _hits(docs: DataFrame, anchors: DataFrame, part: int) -> DataFrame:
-    """doc_id, text_hash, item_id, m, at (word of the anchor), base and ctx: the words
+    """doc_id, text_hash, cls, m, at (word of the anchor), base and ctx: the words
     from ``base`` on that windows of m words around the anchor can hold."""
     parts = max(1, -(-anchors.count() // part))
     spread = (docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _words("text").alias("words"))
@@ -109,7 +118,30 @@ def _hits(docs: DataFrame, anchors: DataFrame, part: int) -> DataFrame:
     found = [spread.join(F.broadcast(anchors.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == k)), "h") for k in range(parts)]
     return (reduce(DataFrame.unionByName, found)
             .withColumn("base", F.expr(f"greatest(0, at - m + {WIDTH})"))
-            .select("doc_id", "text_hash", "item_id", "m", "at", "base", F.expr("slice(words, base + 1, at - base + m)").alias("ctx")))
+            .select("doc_id", "text_hash", "cls", "m", "at", "base", F.expr("slice(words, base + 1, at - base + m)").alias("ctx")))
+
+
+def _windows(hits: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_hash, cls, start and fingerprint of every window that holds an anchor."""
+    # windows are numbered from base; the ones that hold the anchor before are that one's
+    text = ["doc_id", "text_hash", "cls"]
+    ours = Window.partitionBy(*text).orderBy("at")
+    spans = (hits.dropDuplicates([*text, "at"])
+             .withColumn("lo", F.greatest(F.lit(0), F.coalesce(F.lag("at").over(ours) + 1 - F.col("base"), F.lit(0))))
+             # words around an anchor are fewer than m only if the document is: one window, all of it
+             .withColumn("hi", F.expr("least(at - base, greatest(size(ctx) - m, 0))")).where("lo <= hi"))
+    # the shingle j is in the windows first .. last: it enters at one and leaves after the other
+    held = (spans.select(*text, "at", "m", "base", "lo", "hi", F.posexplode(_shingles("ctx")).alias("j", "h"))
+            .withColumn("first", F.expr(f"greatest(lo, j - m + {WIDTH})")).withColumn("last", F.expr("least(hi, j)"))
+            .where("first <= last").select(*text, "at", "base", "hi", "first", "last", *_lanes("h", width)))
+    events = held.select(*text, "at", "base", "hi", F.expr("inline(array(struct(first AS s, 1 AS one), struct(last + 1 AS s, -1 AS one)))"),
+                         *[f"s{k}" for k in range(width)])
+    steps = events.where("s <= hi").groupBy(*text, "at", "base", "s").agg(
+        *[F.sum(F.col("one") * F.col(f"s{k}")).alias(f"s{k}") for k in range(width)], F.sum("one").alias("n"))
+    run = Window.partitionBy(*text, "at").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    sums = steps.select(*text, (F.col("base") + F.col("s")).alias("start"), *[F.sum(f"s{k}").over(run).alias(f"s{k}") for k in range(width)],
+                        F.sum("n").over(run).alias("n"))
+    return sums.select(*text, "start", _majority("n", width).alias("fp"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 20,
@@ -117,36 +149,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     """doc_id, item_id, similarity and start (first word of the most similar window)
     of every document and item class that match."""
     items = stored(_items(benchmark), "items")
+    width = _lane_width(items)
     hits = stored(_hits(docs, stored(_anchors(items, similarity), "anchors"), part), "hits")
-    # windows are numbered from base; the ones that hold the anchor before are that one's
-    ours = Window.partitionBy("doc_id", "text_hash", "item_id").orderBy("at")
-    spans = (hits.dropDuplicates(["doc_id", "text_hash", "item_id", "at"])
-             .withColumn("lo", F.greatest(F.lit(0), F.coalesce(F.lag("at").over(ours) + 1 - F.col("base"), F.lit(0))))
-             # words around an anchor are fewer than m only if the document is: one window, all of it
-             .withColumn("hi", F.expr("least(at - base, greatest(size(ctx) - m, 0))")).where("lo <= hi"))
-    windows = (spans.select("doc_id", "text_hash", "item_id", "m", "base", "lo", "hi", F.posexplode(_shingles("ctx")).alias("j", "h"))
-               .withColumn("first", F.expr(f"greatest(lo, j - m + {WIDTH})")).withColumn("last", F.expr("least(hi, j)"))
-               .where("first <= last")
-               .select("doc_id", "text_hash", "item_id", "h", F.explode(F.expr("sequence(base + first, base + last)")).alias("start"))
-               .groupBy("doc_id", "text_hash", "item_id", "start").agg(*_lane_sums("h"), F.count("*").alias("n"))
-               .select("doc_id", "text_hash", "item_id", "start", _majority("n").alias("fp")))
-    index = (_item_fingerprints(items).withColumn("b", F.explode(_blocks("item_fp", radius)))
-             .select("item_id", "item_fp", F.col("b.k").alias("k"), F.col("b.v").alias("v")))
-    near = (windows.withColumn("b", F.explode(_blocks("fp", radius)))
-            .select("doc_id", "text_hash", "item_id", "start", "fp", F.col("b.k").alias("k"), F.col("b.v").alias("v"))
-            .join(index, ["item_id", "k", "v"])
+    index = (_item_fingerprints(items, width).withColumn("b", F.explode(_blocks("item_fp", radius)))
+             .select("cls", "item_fp", F.col("b.k").alias("k"), F.col("b.v").alias("v")))
+    near = (_windows(hits, width).withColumn("b", F.explode(_blocks("fp", radius)))
+            .select("doc_id", "text_hash", "cls", "start", "fp", F.col("b.k").alias("k"), F.col("b.v").alias("v"))
+            .join(index, ["cls", "k", "v"])
             .where(f"bit_count(fp ^ item_fp) <= {radius}")
             # a window that agrees on several blocks is taken at the first of them
-            .where(f"k = {_first_block(radius)}").select("doc_id", "text_hash", "item_id", "start"))
+            .where(f"k = {_first_block(radius)}").select("doc_id", "text_hash", "cls", "start"))
     # one hit whose words hold the whole window gives its words back
     words = (near.alias("w").join(hits.alias("h"), F.expr(
-        "w.text_hash = h.text_hash AND w.item_id = h.item_id AND w.doc_id <=> h.doc_id "
+        "w.text_hash = h.text_hash AND w.cls = h.cls AND w.doc_id <=> h.doc_id "
         "AND w.start BETWEEN h.base AND h.at"))
-        .select("w.doc_id", "w.text_hash", "w.item_id", "w.start", F.expr("slice(h.ctx, greatest(1, w.start - h.base + 1), h.m)").alias("window"))
-        .dropDuplicates(["doc_id", "text_hash", "item_id", "start"]))
-    return (words.join(items.select("item_id", F.col("words").alias("item")), "item_id")
+        .select("w.doc_id", "w.text_hash", "w.cls", "w.start", F.expr("slice(h.ctx, greatest(1, w.start - h.base + 1), h.m)").alias("window"))
+        .dropDuplicates(["doc_id", "text_hash", "cls", "start"]))
+    return (words.join(items.select("cls", "item_id", F.col("words").alias("item")), "cls")
             .withColumn("similarity", _similarity("window", "item")).where(F.col("similarity") >= similarity)
-            .groupBy("doc_id", "item_id")
+            .groupBy("doc_id", "cls", "item_id")
             .agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"))).alias("best"))
             .select("doc_id", "item_id", F.col("best.similarity").alias("similarity"),
                     (-F.col("best.before")).cast("bigint").alias("start")))
@@ -165,9 +186,11 @@ def _similarity(a: str, b: str) -> Column:
     two word arrays, on the words themselves."""
     def strings(x):
         return f"transform(sequence(1, size({x}) - {WIDTH - 1}), i -> concat_ws(' ', slice({x}, i, {WIDTH})))"
+    # shingles that repeat in both are counted again, the others once
     shared = f"""aggregate(array(struct({strings(a)} AS x, {strings(b)} AS y)), 0, (none, s) ->
-        aggregate(array_intersect(s.x, s.y), 0, (n, g) -> n + least(
-            size(filter(s.x, z -> z = g)), size(filter(s.y, z -> z = g)))))"""
+        IF(size(array_distinct(s.x)) = size(s.x) OR size(array_distinct(s.y)) = size(s.y), size(array_intersect(s.x, s.y)),
+           aggregate(array_intersect(s.x, s.y), 0, (n, g) -> n + least(
+            size(filter(s.x, z -> z = g)), size(filter(s.y, z -> z = g))))))"""
     both = f"(size({a}) + size({b}) - {2 * (WIDTH - 1)})"
     return F.expr(f"transform(array({shared}), c -> c / ({both} - c))[0]")
 

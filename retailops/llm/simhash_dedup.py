@@ -243,8 +243,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
+def _rooted(docs: DataFrame, width: int, radius: int, tile: int) -> DataFrame:
+    """doc_id, fp, root (one fingerprint of the component, its real name) and
+    component_id (its smallest doc_id) of every document."""
     fps = stored(fingerprints(docs, width), "fingerprints")
     # equal fingerprints meet in one node; its name is the smallest doc_id
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -258,17 +259,26 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, tile: i
         F.sequence(F.lit(0), F.when(F.col("n") > 1, F.lit(SALTS - 1)).otherwise(F.lit(0)))).alias("salt"))
     by_fp = (named.withColumn("salt", F.when(F.col("fp") == F.col("root"), F.lit(0))
                               .otherwise(F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")))
-             .join(names, ["root", "salt"]).select("fp", "component_id"))
-    return fps.join(by_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+             .join(names, ["root", "salt"]).select("fp", "component_id", "root"))
+    return fps.join(by_fp, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def _hex(fp: str):
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4, tile: int = TILE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
+    return _rooted(docs, width, radius, tile).select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """One document of each component, with all its columns: the one with the
     smallest doc_id; of rows that repeat that id one, and of a component without
-    any doc_id one."""
-    bad_id, fp_name, root = fresh(docs, "_id", "_fp", "_root")
-    found = stored(simhash_components(docs, width, radius), "components")
+    any doc_id one. Components are told apart by their fingerprints, so unrelated
+    texts under one doc_id each keep a row."""
+    bad_id, fp_name, hex_, root, name = fresh(docs, "_id", "_fp", "_hex", "_root", "_name")
+    found = stored(_rooted(docs, width, radius, TILE), "components")
     # rows that a doc_id alone does not tell apart are few: they are settled by fingerprint
     repeated = stored(found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(bad_id)), "repeated")
     dropped = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(bad_id)).distinct(), "dropped")
@@ -276,11 +286,9 @@ def keep_first(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
              .join(dropped, docs["doc_id"] == dropped[bad_id], "left_anti"))
     odd = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated[bad_id]), "left_semi")
     odd = _with_fingerprint(odd, fp_name, width)
-    names = found.select(F.col("fingerprint").alias(root), "component_id").distinct()
+    names = found.select(_hex("fp").alias(hex_), F.col("root").alias(root), F.col("component_id").alias(name)).distinct()
     # of equal ids in a component, and of rows without an id, one stays: combined map-side
-    best = (odd.join(names, odd[fp_name] == names[root])
-            .where(odd["doc_id"].eqNullSafe(names["component_id"])))
-    best = best.withColumn(root, F.when(F.col("component_id").isNull(), F.col(fp_name)).otherwise(F.col("component_id").cast("string")))
+    best = odd.join(names, odd[fp_name] == names[hex_]).where(odd["doc_id"].eqNullSafe(names[name]))
     return plain.unionByName(best.dropDuplicates([root]).select(*docs.columns))
 
 

@@ -229,6 +229,25 @@ def test_keep_first_leaves_one_of_each_group(spark, odd):
     assert simhash_dedup.keep_first(none).count() == 1
 
 
+def test_keep_first_tells_components_apart_by_text(spark):
+    a, b = PROSE, " ".join(f"other{k}" for k in range(60))
+    rows = [(5, a), (7, a), (5, b), (9, b), (None, "lone words of a null id"), (None, "lone words of a null id")]
+    for shuffled in (rows, rows[::-1]):
+        kept = simhash_dedup.keep_first(spark.createDataFrame(shuffled, "doc_id bigint, text string")).collect()
+        assert Counter((r.doc_id, r.text) for r in kept) == Counter([(5, a), (5, b), (None, rows[4][1])])
+
+
+def test_linked_rows_without_an_id_leave_one(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "fingerprint", lambda t, width: {"p": 0, "q": 3, "r": 2**40 - 1}[t])
+    docs = spark.createDataFrame([(None, "p"), (None, "q"), (None, "r")], "doc_id bigint, text string")
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda docs, width: docs.selectExpr(
+        "doc_id", "CASE text WHEN 'p' THEN 0L WHEN 'q' THEN 3L ELSE 1099511627775L END AS fp"))
+    monkeypatch.setattr(simhash_dedup, "_with_fingerprint", lambda docs, name, width: docs.selectExpr(
+        "*", f"CASE text WHEN 'p' THEN '{0:016x}' WHEN 'q' THEN '{3:016x}' ELSE '{2**40 - 1:016x}' END AS {name}"))
+    kept = [r.text for r in simhash_dedup.keep_first(docs).collect()]
+    assert len(kept) == 2 and "r" in kept
+
+
 # ---- 7: decontamination
 
 def slow_contaminated(docs, items, similarity=0.8):
@@ -294,6 +313,40 @@ def test_documents_shorter_than_the_item(spark):
     assert {(r.doc_id, r.item_id, round(r.similarity, 9), r.start) for r in got.collect()} == want
 
 
+def test_items_without_an_id_and_with_a_shared_one(spark, monkeypatch):
+    w = PROSE.split()
+    items = [(None, w[:12]), (None, w[12:24]), (3, w[12:24]), (5, w[20:32]), (5, w[:8] + w[30:36])]
+    docs = [(0, w[:13]), (1, w[11:25]), (2, w[19:33]), (3, w[:8] + w[30:36]), (4, w[24:30])]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id bigint, text string")
+    frame = spark.createDataFrame([(d, " ".join(x)) for d, x in docs], "doc_id bigint, text string")
+    for width in (16, 32):  # the lanes of ordinary and of very long items
+        monkeypatch.setattr(decontaminate, "_lane_width", lambda items, width=width: width)
+        got = decontaminate.contaminated(frame, bench).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(0, None), (1, 3), (2, 5), (3, 5)}
+    assert [r.doc_id for r in decontaminate.keep_clean(frame, bench).collect()] == [4]
+
+
+def test_long_items_and_repeated_shingles(spark):
+    rnd = random.Random(12)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(3000)]
+    item = words[200:1700]
+    near = list(item)
+    for k in range(0, 1500, 90):
+        near[k] = "new"
+    again = "a b c d e f ".split() * 40
+    docs = [(0, words), (1, ["x"] * 700 + near + ["y"] * 300), (2, words[:900]), (3, again[3:] + ["end"]), (4, again[:100])]
+    items = [(1, item), (2, again)]
+    frame = spark.createDataFrame([(d, " ".join(x)) for d, x in docs], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start) for r in decontaminate.contaminated(frame, bench).collect()}
+    grams = lambda w: Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+    a, b = grams(near), grams(item)
+    assert got.pop((0, 1)) == (1.0, 200)
+    assert got.pop((1, 1)) == (round(sum((a & b).values()) / sum((a | b).values()), 9), 700)
+    a, b = grams(again[3:] + ["end"]), grams(again)
+    assert got == {(3, 2): (round(sum((a & b).values()) / sum((a | b).values()), 9), 0)}
+
+
 # ---- 4: quality rules
 
 def slow_counts(text):

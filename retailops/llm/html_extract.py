@@ -10,14 +10,27 @@ the host's template. Vectors are compared as sums of hashes of (page, count),
 so they are combined before the shuffle and no host's pages ever meet in a task.
 Pages of a host with the same html are one page to all this.
 
-What the template leaves open are slots; its own fixed text is in none, on no page.
-Text in an ``article`` or ``main`` slot is the main text. Pages without one give
-the slots that are not mostly links. Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments, told by
-tag, role, class or id, are left out everywhere (a header inside an article
-stays). Class and id do not count on ``html``, ``body``, an ``article`` or ``main``
-and what holds it; an article inside another is a comment if its names say so. Character references are decoded, white space inside a block becomes
-one space, blocks are joined by one line feed; nothing else is cut.
+What the template leaves open are slots. Text in an ``article`` or ``main`` slot
+is the main text, fixed text in it included: a heading that all pages have, or a
+line before varying text, belongs to the article. Only a slot of its own that holds
+nothing but fixed text on any page, and that no varying text follows in the
+article, is the template's there (headings and captions never are). Fixed text in a
+slot that also holds varying text cannot be told from the article's and stays.
+Pages without article or main give the slots that are not mostly links, without
+the template's own text.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments, told by tag, role, class or id, are left out everywhere (a header
+inside an article stays). Class and id count only on elements that can hold
+blocks, never on a paragraph, heading or inline element; a name that begins with
+has, with, no or without does not count; nor do those of ``html``, ``body``, an
+``article`` or ``main``, of what holds it, or, on a page without one, of an element
+that holds over half of the page's other text. An article inside another is a
+comment if its names say so. Character references are decoded, white space inside
+a block becomes one space, blocks are joined by one line feed; nothing else is cut.
+
+Reading takes linear time: a tag whose quotes do not close ends at the next ``>``
+(and from then on quotes count no more on that page), elements nest 512 deep at most.
 
 Defined results: null html gives empty text; a null or odd url is a host of its
 own (the empty one); broken markup closes what it must (a block opens: an open
@@ -67,9 +80,16 @@ ASIDE_NAMES = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs
                "reply", "replies", "respond", "social", "share", "sharing", "related", "recommended", "recommendations",
                "widget", "toolbar", "pagination", "pager", "copyright", "skip", "search", "aside", "disclaimer"}
 HEAD_NAMES = {"header", "masthead", "banner", "topbar"}
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-                    re.S)
+#: Names count on these only.
+HOLDERS = {"div", "section", "ul", "ol", "dl", "table", "center", "details", "header", "article", "figure", "address", "blockquote"}
+#: Fixed text in these is the article's own.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "caption", "figcaption", "th", "dt", "legend", "summary"}
+#: A name that begins with one of these speaks of something else.
+NEGATIONS = ("has", "with", "no", "without")
+DEPTH = 512
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_MARK = re.compile(r"[>\"']")
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -87,6 +107,8 @@ class Element:
     holds: bool = False     # has the article or main element in it: names do not count
     parent: "Element | None" = None
     off: bool = False       # inside something that is not main text, names included
+    block: "Element | None" = None  # itself or the nearest element around it that breaks blocks
+    chars: int = 0          # of the text inside that no tag, role or other name leaves out
 
 
 @dataclass
@@ -96,6 +118,7 @@ class Block:
     main: bool
     aside: bool
     link_chars: int     # characters of the text that stand in links
+    heading: bool = False
 
 
 @dataclass
@@ -120,12 +143,17 @@ def _opened(tag: str, attrs: str, top: Element) -> Element:
                 role = value.lower()
             elif kind == "hidden" or kind == "aria-hidden" and value.lower() == "true" or kind == "style" and _HIDDEN.search(value):
                 hidden = True
-    words = {w.lower() for w in _WORD.findall(names)}
+    words = set()
+    if tag in HOLDERS:
+        for name in names.split():
+            parts = [w.lower() for w in _WORD.findall(name)]
+            if parts and parts[0] not in NEGATIONS:
+                words.update(parts)
     begins = tag in MAIN or role == "main"
     main = top.main or begins
     aside = top.aside or hidden or tag in ASIDE or role in ASIDE_ROLES or not main and (tag == "header" or role == "banner")
-    named = tag not in ("html", "body") and (bool(words & ASIDE_NAMES) or not main and bool(words & HEAD_NAMES))
-    return Element(tag, _hash(top.path, tag, " ".join(names.split())), main, aside, top.link or tag == "a", begins, named, parent=top)
+    named = bool(words & ASIDE_NAMES) or not main and bool(words & HEAD_NAMES)
+    return Element(tag, _hash(top.path, tag, " ".join(names.split())) & ~1, main, aside, top.link or tag == "a", begins, named, parent=top)
 
 
 def _begun(stack: list[Element], new: Element, led: set[int]):
@@ -143,13 +171,69 @@ def _begun(stack: list[Element], new: Element, led: set[int]):
             led.add(id(stack[outer]))
 
 
+class _Scanner:
+    """The tags of a source, in linear time: (start, end, closing, name, attributes)."""
+
+    def __init__(self, source: str):
+        self.source, self.quoted = source, True
+        self.missing: set[str] = set()  # raw elements without an end tag further on
+
+    def tag(self, at: int) -> tuple[int, int, str, str, str] | None:
+        source = self.source
+        while True:
+            start = source.find("<", at)
+            if start < 0:
+                return None
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                return start, len(source) if end < 0 else end + 3, "", "", ""
+            shut = source.find(">", start)
+            if shut < 0:
+                return None  # nothing closes any more
+            m = _TAG.match(source, start)
+            if m:
+                end = self._end(m.end(), shut)
+                return start, end + 1, m[1], m[2].lower(), source[m.end():end]
+            if source[start + 1:start + 2] in ("!", "?", "/"):
+                return start, shut + 1, "", "", ""
+            at = start + 1
+
+    def _end(self, at: int, shut: int) -> int:
+        """The ``>`` of a tag, quoted ones left aside."""
+        first = shut
+        while self.quoted:
+            m = _MARK.search(self.source, at)
+            if not m:
+                self.quoted = False
+                break
+            if m[0] == ">":
+                return m.start()
+            at = self.source.find(m[0], m.end()) + 1
+            if not at:
+                self.quoted = False
+        return first
+
+    def raw_end(self, tag: str, at: int) -> int | None:
+        """The end of a raw element that begins before ``at``; None if it has no end tag."""
+        if tag in self.missing:
+            return None
+        m = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(self.source, at)
+        if not m:
+            self.missing.add(tag)
+        return m.end() if m else None
+
+
 def read(source: str) -> Page:
     """The blocks and the tokens of a page, in one pass."""
-    page, stack = Page(), [Element("", 0, False, False)]
+    root = Element("", 0, False, False)
+    root.block = root
+    page, stack = Page(), [root]
+    open_tags: Counter = Counter()
     opened: list[Element] = []
     inside: list[Element] = []  # of each block
     led: set[int] = set()
     parts: list[str] = []
+    scan = _Scanner(source)
     link_chars, at = 0, 0
 
     def flush():
@@ -157,8 +241,8 @@ def read(source: str) -> Page:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                top = next((e for e in reversed(stack) if e.tag in BLOCK), stack[0])
-                page.blocks.append(Block(text, top.path, stack[-1].main, False, link_chars))
+                top = stack[-1].block
+                page.blocks.append(Block(text, top.path, stack[-1].main, False, link_chars, top.tag in HEADINGS))
                 inside.append(stack[-1])
             parts.clear()
         link_chars = 0
@@ -174,22 +258,22 @@ def read(source: str) -> Page:
         """End all elements from stack position ``to`` on."""
         if any(e.tag in BLOCK for e in stack[to:]):
             flush()
+        open_tags.subtract(e.tag for e in stack[to:])
         del stack[to:]
 
     while True:
-        m = _TOKEN.search(source, at)
-        if not m:
+        found = scan.tag(at)
+        if found is None:
             add(source[at:])
             break
-        if m.start() > at:
-            add(source[at:m.start()])
-        at = m.end()
-        end, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        start, after, end, tag, attrs = found
+        if start > at:
+            add(source[at:start])
+        at = after
         if not tag:
             continue
-        tag = tag.lower()
         if end:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_tags[tag] > 0 else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
@@ -198,9 +282,9 @@ def read(source: str) -> Page:
             continue
         if tag in RAW:
             if not attrs.endswith("/"):
-                shut = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(source, at)
+                shut = scan.raw_end(tag, at)
                 if shut or tag not in ("head", "object", "canvas", "noscript", "template"):
-                    at = shut.end() if shut else len(source)
+                    at = shut or len(source)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -211,7 +295,7 @@ def read(source: str) -> Page:
         if tag in BLOCK:
             flush()
             ends = CLOSES.get(tag, set()) | {"p"}
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(open_tags[t] > 0 for t in ends) else ():
                 if stack[k].tag in ends:
                     close(k)
                     if tag not in ("tr", "dt", "dd"):
@@ -219,14 +303,18 @@ def read(source: str) -> Page:
                 elif stack[k].tag in BOUNDARY:
                     break
         top = _opened(tag, attrs, stack[-1])
+        top.block = top if tag in BLOCK else stack[-1].block
         if top.begins:
             _begun(stack, top, led)
         opened.append(top)
         page.paths[top.path] += 1
         page.parents.setdefault(top.path, stack[-1].path)
-        if not attrs.endswith("/") or tag in BLOCK:
+        if (not attrs.endswith("/") or tag in BLOCK) and len(stack) < DEPTH:
             stack.append(top)
+            open_tags[tag] += 1
     flush()
+    if not any(e.begins for e in opened):
+        _spread(root, opened, page.blocks, inside)
     for e in opened:  # parents first
         e.off = e.aside or e.named and not e.holds or e.parent.off
     for block, e in zip(page.blocks, inside):
@@ -234,16 +322,37 @@ def read(source: str) -> Page:
     return page
 
 
+def _spread(root: Element, opened: list[Element], blocks: list[Block], inside: list[Element]) -> None:
+    """On a page without article or main, names do not count on what holds over half of
+    the text that tags and roles leave."""
+    for block, e in zip(blocks, inside):
+        if not e.aside:
+            e.chars += len(block.text) - block.link_chars
+    for e in reversed(opened):  # children first
+        e.parent.chars += e.chars
+    for e in opened:
+        e.holds = e.holds or 2 * e.chars > root.chars
+
+
 def _text_token(block: Block) -> int:
-    return _hash(block.path, "text", block.text)
+    """Odd; those of elements are even."""
+    return _hash(block.path, "text", block.text) | 1
+
+
+def _slot_token(path: int) -> int:
+    """Counts the blocks of text in a slot."""
+    return _hash(path, "texts") & ~1
 
 
 def main_text(page: Page, template: set[int]) -> str:
-    """The blocks of the main slots, joined by line feeds. The template's own text is in
-    no slot; the tags say which slots are main, on pages where any is."""
+    """The blocks of the main slots, joined by line feeds. ``template`` holds the tokens
+    of the host's template and the slot tokens of slots that hold nothing else."""
     inside = [b for b in page.blocks if b.main and not b.aside]
-    if not inside:
-        inside = [b for b in page.blocks if not b.aside and 2 * b.link_chars <= len(b.text)]
+    if inside:
+        while inside and not inside[-1].heading and {_text_token(inside[-1]), _slot_token(inside[-1].path)} <= template:
+            inside.pop()
+        return "\n".join(b.text for b in inside)
+    inside = [b for b in page.blocks if not b.aside and 2 * b.link_chars <= len(b.text)]
     return "\n".join(b.text for b in inside if _text_token(b) not in template)
 
 
@@ -276,8 +385,10 @@ def _tokens(copied):
                 parents = dict(page.parents)
                 for block in page.blocks:
                     t = _text_token(block)
+                    slot = _slot_token(block.path)
                     counts[t] += 1
-                    parents[t] = block.path
+                    counts[slot] += 1
+                    parents[t] = parents[slot] = block.path
                 counts[0] = 1
                 for t, n in counts.items():
                     row = seen.setdefault((host, t, own), [parents.get(t, 0), 0, 0, 0])
@@ -318,23 +429,34 @@ def templates(pages: DataFrame) -> DataFrame:
     size = found.where("token = 0").select("host", F.col("pages").alias("host_pages"))
     frequent = found.where("token <> 0").hint("merge").join(size, "host").where("2 * pages >= host_pages")
     classes = frequent.groupBy("host", "vector", "pages", "times").agg(
-        F.collect_list(F.struct("token", "parent")).alias("members"))
+        F.collect_list(F.struct("token", "parent", "times")).alias("members"))
     large = classes.groupBy("host").agg(F.collect_list("members").alias("classes"))
     return large.mapInArrow(_nested, "host string, template array<bigint>")
 
 
 def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tokens of each host's valid classes; one of a single token is valid if its parent's is."""
+    """The tokens of each host's valid classes; one of a single token is valid if its parent's is.
+    A slot token is among them only if the slot's blocks are all of valid classes."""
     for b in slices(batches, 64):
         out = []
         for classes in b.column("classes").to_pylist():
-            ok = [x["token"] for c in classes if len(c) > 1 for x in c]
+            times = {x["token"]: x.get("times", 0) for c in classes for x in c}
+            # slot tokens are no part of the page: they neither make a class nor nest
+            slots = {x["parent"]: x["token"] for c in classes for x in c if x["token"] == _slot_token(x["parent"])}
+            ours = [[x for x in c if x["token"] != slots.get(x["parent"])] for c in classes]
+            ok = [x["token"] for c in ours if len(c) > 1 for x in c]
             under: dict[int, list[int]] = {}
-            for c in classes:
+            for c in ours:
                 if len(c) == 1:
                     under.setdefault(c[0]["parent"], []).append(c[0]["token"])
             for t in ok:  # grows until nothing is nested in it any more
                 ok += under.pop(t, ())
+            valid, fixed = set(ok), Counter()
+            for c in ours:
+                for x in c:
+                    if x["token"] & 1 and x["token"] in valid:  # a block of text
+                        fixed[x["parent"]] += times[x["token"]]
+            ok += [t for path, t in slots.items() if fixed[path] == times[t]]
             out.append(ok)
         yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(out, pa.list_(pa.int64()))], names=["host", "template"])
 

@@ -503,12 +503,77 @@ def test_template_of_a_host(spark):
 
 
 def test_template_text_inside_articles(spark):
-    """An unclassed line in every article of a host is the template's; what half of the pages lack is not."""
-    rows = [(k, "http://a.org/1", page(f"<nav>x</nav><article><h1>title {k}</h1><p>text {k}</p><p>Read our newsletter</p></article>")) for k in range(8)]
-    rows += [(k, "http://b.org/1", page(f"<article><p>text {k}</p><p>{'same' if k < 13 else k}</p></article>")) for k in range(10, 18)]
+    """Fixed text in an article is the article's, but for a slot of its own at the end that holds nothing else."""
+    bodies = {
+        "a": lambda k: f"<nav>x</nav><article><h1>title {k}</h1><p>text {k}</p><div class='box'><p>Read our newsletter</p></div></article>",
+        "b": lambda k: f"<article><p>text {k}</p><div><p>{'same' if k % 8 < 3 else k}</p></div></article>",
+        "c": lambda k: f"<article><h2>Summary</h2><p>text {k}</p><h2>References</h2><p>more {k}</p></article>",
+        "d": lambda k: f"<article><p class='lead'>Abstract</p><p>text {k}</p><h2>The end</h2></article>",
+        "e": lambda k: f"<article><p>text {k}</p><p>A closing line</p></article>",
+        "f": lambda k: f"<article><p class='share-price'>Shares at 4</p><p class='search-results'>found {k}</p></article>",
+        "g": lambda k: f"<div class='with-sidebar'><p>text {k} of a page</p><div class='sidebar'>menu</div></div>",
+        "h": lambda k: f"<div class='sidebar-layout'><p>text {k} of a page that is long</p><div class='sidebar'>menu</div></div>"}
+    keep = {"a": lambda k: f"title {k}\ntext {k}", "b": lambda k: f"text {k}\n{'same' if k % 8 < 3 else k}",
+            "c": lambda k: f"Summary\ntext {k}\nReferences\nmore {k}", "d": lambda k: f"Abstract\ntext {k}\nThe end",
+            "e": lambda k: f"text {k}\nA closing line", "f": lambda k: f"Shares at 4\nfound {k}", "g": lambda k: f"text {k} of a page",
+            "h": lambda k: f"text {k} of a page that is long"}
+    rows, want = [], {}
+    for j, (host, body) in enumerate(bodies.items()):
+        for k in range(10 * j, 10 * j + 8):
+            rows.append((k, f"http://{host}.org/1", page(body(k))))
+            want[k] = keep[host](k)
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
-    want = {k: f"title {k}\ntext {k}" for k in range(8)}
-    assert got == want | {k: f"text {k}\n{'same' if k < 13 else k}" for k in range(10, 18)}
+    assert got == want
+
+
+def slow_template(pages):
+    """Equivalence classes of one host from whole occurrence vectors, nested by brute force."""
+    reads = [html_extract.read(x) for x in dict.fromkeys(pages)]
+    vectors, parents, texts = {}, {}, {}
+    for k, p in enumerate(reads):
+        for path, n in p.paths.items():
+            vectors.setdefault(path, [0] * len(reads))[k] += n
+            parents.setdefault(path, set()).add(p.parents[path])
+        for b in p.blocks:
+            t = html_extract._text_token(b)
+            vectors.setdefault(t, [0] * len(reads))[k] += 1
+            parents.setdefault(t, set()).add(b.path)
+            texts.setdefault(b.path, []).append(t)
+    often = {t: tuple(v) for t, v in vectors.items() if sum(map(bool, v)) >= 3 and 2 * sum(map(bool, v)) >= len(reads)}
+    valid = {t for t in often if sum(v == often[t] for v in often.values()) > 1}
+    while True:
+        more = {t for t in often if t not in valid and min(parents[t]) in valid}
+        if not more:
+            break
+        valid |= more
+    seen = {path: sum(any(b.path == path for b in p.blocks) for p in reads) for path in texts}
+    slots = {html_extract._slot_token(path) for path, t in texts.items()
+             if set(t) <= valid and seen[path] >= 3 and 2 * seen[path] >= len(reads)}
+    return valid | slots
+
+
+def test_template_is_that_of_whole_vectors(spark):
+    rnd = random.Random(21)
+    hosts = {}
+    for h in range(5):
+        fixed = [f"<div class=c{rnd.randrange(4)}><p>{rnd.choice('xyz')} fixed {j}</p></div>" for j in range(3)]
+        hosts[f"h{h}.org"] = [page("".join([*fixed[:rnd.randint(1, 3)], "<ul>" + "".join(f"<li>{rnd.choice('abc')}" for _ in range(rnd.randint(0, 3))) + "</ul>",
+                                            f"<article><h1>{k}</h1>" + "<p>same</p>" * rnd.randint(0, 2) + "</article>"])) for k in range(rnd.randint(2, 9))]
+    rows = [(k, h, x) for h, pages in hosts.items() for k, x in enumerate([*pages, pages[0]])]
+    frame = spark.createDataFrame(rows, "page_id bigint, host string, html string").repartition(4)
+    got = {r.host: set(r.template) for r in html_extract.templates(frame).collect()}
+    assert {h: got.get(h, set()) for h in hosts} == {h: slow_template(pages) for h, pages in hosts.items()}
+
+
+def test_reading_takes_linear_time():
+    import time
+    for unit in ('<a "', "<a '>", "<b><hr>", "<noscript>", "<!x", "<li><b>", "</i><b>", '<a b="', "<p><b>", "<div>", "&amp", "<td><i></p>"):
+        start = time.time()
+        html_extract.read(unit * (1_000_000 // len(unit)))
+        assert time.time() - start < 12, unit
+    start = time.time()
+    html_extract.read('<a "' * 250_000)
+    assert time.time() - start < 2
 
 
 def test_nesting_does_not_depend_on_the_order():

@@ -10,21 +10,26 @@ Spark ML model over all series.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import ml_calendar_columns
-from ..session import reliable_checkpoint
+from ..session import ensure_checkpoint_dir
 from . import timeseries as TS
 
+# Names and order of the model's inputs.
 FEATURES = ["Year", "Month", "Day", "DayOfWeek", "Quarter", "DayOfYear", "WeekOfYear", "IsMonthStart",
             "IsMonthEnd", "IsWeekend", "Sales_Lag_1", "Sales_Lag_2", "Sales_Lag_3", "Sales_Lag_7",
             "Sales_Rolling_7", "Sales_Rolling_14", "Sales_Rolling_30"]
 
+#: The features that follow from the date alone.
+CALENDAR = [f for f in FEATURES if not f.startswith("Sales_")]
+
 
 def _keys(series_cols):
     return list(series_cols or [])
@@ -143,12 +148,11 @@ def forecast_recursive(model, ts: DataFrame, periods: int, freq: str, series_col
     """Multi-step forecast feeding predictions back as history.
 
     Series too short for the model get the naive forecast (``Method`` tells).
-    Each other series carries its last values, as many as the longest trailing
-    mean needs, as an array; every step
-    derives lags and trailing means from that array (JVM-side array
-    functions), scores one row per series and appends the prediction.
-    The trailing means use the known values before the forecast date.
-    Each step is checkpointed so the plan does not grow with the horizon.
+    Each other series is one row: its last values, as many as the longest trailing
+    mean needs, and the calendar inputs of the dates ahead. A task steps through
+    the horizon for a batch of series at a time: lags and trailing means from the
+    known values, the prediction from the trees as arrays (``Forest``), appended to
+    the values. No job, join or checkpoint depends on the horizon.
     """
     keys = _keys(series_cols)
     history, every = HISTORY, _with_length(ts, keys)
@@ -163,30 +167,80 @@ def forecast_recursive(model, ts: DataFrame, periods: int, freq: str, series_col
               .groupBy(*keys).agg(F.max(date_col).alias("_last"),
                                   F.sort_array(F.collect_list(F.struct(F.col(date_col), F.col("Sales").cast("double").alias("Sales"))))
                                   .alias("_hist")))
-    state = last.select(*keys, "_last", F.transform("_hist", lambda s: s["Sales"]).alias("_vals"))
-    outs = []
-    for h in range(1, periods + 1):
-        nxt = TS.future_dates(state.select(*keys, F.col("_last").alias(date_col)), 1, freq, keys, date_col)
-        step = state.join(nxt.drop("h"), keys) if keys else state.crossJoin(nxt.drop("h"))
-        v = F.col("_vals")
-        feats = {"Sales_Lag_1": F.element_at(v, -1), "Sales_Lag_2": F.element_at(v, -2),
-                 "Sales_Lag_3": F.element_at(v, -3), "Sales_Lag_7": F.element_at(v, -7)}
-        for k in (7, 14, 30):
-            feats[f"Sales_Rolling_{k}"] = F.aggregate(F.slice(v, -k, k), F.lit(0.0), lambda a, x: a + x) / k
-        step = step.withColumns(ml_calendar_columns(date_col)).withColumns(feats)
-        step = step.withColumns({c: F.col(c).cast("double") for c in FEATURES})
-        scored = model.transform(step).select(*keys, date_col, "_vals", F.col("prediction").alias("_pred"))
-        scored = reliable_checkpoint(scored)
-        outs.append(scored.select(*keys, date_col, F.greatest(F.col("_pred"), F.lit(0.0)).alias("Sales_Forecast"),
-                                  F.greatest(F.col("_pred") * 0.8, F.lit(0.0)).alias("Lower_Bound"),
-                                  (F.col("_pred") * 1.2).alias("Upper_Bound"), F.lit("boosted").alias("Method")))
-        state = scored.select(*keys, F.col(date_col).alias("_last"),
-                              F.slice(F.concat(F.col("_vals"), F.array(F.col("_pred"))), -history, history)
-                              .alias("_vals"))
-    out = naive
-    for o in outs:
-        out = out.unionByName(o)
-    return out
+    known = last.select(*keys, F.col("_last").alias(date_col))
+    calendar = TS.future_dates(known, periods, freq, keys, date_col).withColumns(ml_calendar_columns(date_col))
+    ahead = calendar.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
+        "h", F.col(date_col).alias("date"), F.array(*[F.col(c).cast("double") for c in CALENDAR]).alias("cal")))).alias("_ahead"))
+    series = last.select(*keys, F.transform("_hist", lambda s: s["Sales"]).alias("_vals"))
+    series = (series.join(ahead, keys) if keys else series.crossJoin(ahead)).select(  # without keys one row by one row
+        *keys, "_vals", F.transform("_ahead", lambda x: x["date"]).alias("_dates"), F.transform("_ahead", lambda x: x["cal"]).alias("_cal"))
+    schema = T.StructType([series.schema[k] for k in keys] + [T.StructField(date_col, T.DateType()), T.StructField("_pred", T.DoubleType())])
+    forest = Forest.of(model)
+
+    def run(batches):
+        for pdf in batches:
+            values = np.array(pdf["_vals"].tolist(), float).reshape(len(pdf), history)
+            calendar = np.array([[list(c) for c in x] for x in pdf["_cal"]], float).reshape(len(pdf), periods, len(CALENDAR))
+            made = []
+            for h in range(periods):
+                lags = values[:, [-1, -2, -3, -7]]
+                means = np.stack([np.cumsum(values[:, -k:], axis=1)[:, -1] / k for k in (7, 14, 30)], axis=1)
+                made.append(forest.predict(np.concatenate([calendar[:, h], lags, means], axis=1)))
+                values = np.concatenate([values[:, 1:], made[-1][:, None]], axis=1)
+            out = pdf[keys].loc[pdf.index.repeat(periods)].reset_index(drop=True)
+            out[date_col] = [d for x in pdf["_dates"] for d in x]
+            out["_pred"] = np.stack(made, axis=1).ravel() if made else np.zeros(0)
+            yield out
+
+    scored = series.mapInPandas(run, schema)
+    return naive.unionByName(scored.select(
+        *keys, date_col, F.greatest(F.col("_pred"), F.lit(0.0)).alias("Sales_Forecast"),
+        F.greatest(F.col("_pred") * 0.8, F.lit(0.0)).alias("Lower_Bound"), (F.col("_pred") * 1.2).alias("Upper_Bound"), F.lit("boosted").alias("Method")))
+
+
+class Forest:
+    """A fitted boosted model as arrays, at most maxIter * (2^(maxDepth + 1) - 1) nodes, for
+    scoring inside tasks without a job for each step."""
+
+    def __init__(self, nodes: list[tuple], weights: list[float], mean: np.ndarray, scale: np.ndarray):
+        trees = len(weights)
+        size = 1 + max(n for _, n, *_ in nodes)
+        self.feature, self.left, self.right = (np.full((trees, size), -1) for _ in range(3))
+        self.threshold, self.value = np.zeros((trees, size)), np.zeros((trees, size))
+        for t, n, value, left, right, feature, threshold in nodes:
+            self.value[t, n] = value
+            if left >= 0:
+                self.left[t, n], self.right[t, n], self.feature[t, n], self.threshold[t, n] = left, right, feature, threshold
+        self.weights, self.mean, self.scale = np.array(weights), mean, scale
+
+    @staticmethod
+    def of(model) -> "Forest":
+        """Read from the model's own saved form, written to the shared checkpoint folder."""
+        boosted, scaler = model.stages[-1], model.stages[1]
+        spark = SparkSession.getActiveSession()
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/boosted-{uuid.uuid4().hex}"
+        boosted.write().save(path)
+        rows = spark.read.parquet(f"{path}/data").select(
+            "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
+            F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0))).collect()
+        std = np.array(scaler.std.toArray())
+        scale = np.divide(1.0, std, out=np.zeros_like(std), where=std != 0)
+        return Forest([tuple(r) for r in rows], list(boosted.treeWeights), np.array(scaler.mean.toArray()), scale)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """Predictions for rows of raw features."""
+        x, out, rows = (x - self.mean) * self.scale, np.zeros(len(x)), np.arange(len(x))
+        for t, weight in enumerate(self.weights):
+            at = np.zeros(len(x), int)
+            while True:
+                inner = np.flatnonzero(self.feature[t, at] >= 0)
+                if not len(inner):
+                    break
+                node = at[inner]
+                left = x[rows[inner], self.feature[t, node]] <= self.threshold[t, node]
+                at[inner] = np.where(left, self.left[t, node], self.right[t, node])
+            out += weight * self.value[t, at]
+        return out
 
 
 # --- K01/K02 seasonal additive model on log scale -------------------------------------

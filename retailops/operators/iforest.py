@@ -1,10 +1,11 @@
 """Isolation-forest anomalies on the daily frame.
 
 After Liu, Ting and Zhou, "Isolation Forest" (ICDM 2008):
-* each tree sees about psi = min(256, n) rows, chosen by a seeded hash of
-  (tree, row) - a per-row filter, not a join;
+* each tree sees exactly psi = min(256, n) rows, those with the smallest seeded
+  hashes of (tree, row): a bounded top-k for each tree, limited in every task
+  before the shuffle;
 * trees are grown in parallel, one ``applyInPandas`` group per tree (a
-  group holds only that tree's ~psi rows);
+  group holds only that tree's psi rows);
 * the forest is at most n_trees * (2 psi - 1) nodes - a size fixed by the
   parameters, not by the data - and is broadcast for scoring in
   ``mapInPandas``;
@@ -18,7 +19,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,15 +70,18 @@ def _grow(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=[f.name for f in NODE_SCHEMA.fields])
 
 
+def sample_rows(daily: DataFrame, n_trees: int, max_samples: int, seed: int) -> DataFrame:
+    """(tree_id, features) of each tree's sample."""
+    trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))  # int
+    drawn = (daily.select("Order_Date", *[F.col(c).cast("double").alias(c) for c in FEATURES], trees.alias("tree_id"))
+                  .withColumn("_h", F.xxhash64(F.lit(seed), "tree_id", "Order_Date")))
+    nth = F.row_number().over(Window.partitionBy("tree_id").orderBy("_h", "Order_Date"))
+    return drawn.withColumn("_nth", nth).filter(F.col("_nth") <= max_samples).select("tree_id", *FEATURES)
+
+
 def fit_forest(daily: DataFrame, n_trees: int = 100, max_samples: int = 256, seed: int = 42) -> DataFrame:
     """Grow the trees on the executors; returns the node table."""
-    n = daily.agg(F.count(F.lit(1)).alias("_n"))
-    x = attach_row(daily.select(*FEATURES, "Order_Date"), n)
-    p = F.least(F.lit(1.0), F.lit(float(max_samples)) / F.col("_n"))
-    u = lambda t: (F.pmod(F.xxhash64(F.lit(seed), t, F.col("Order_Date")), F.lit(1_000_003)) / F.lit(1_000_003.0))
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < p)
-    member = (x.select(F.explode(trees).alias("tree_id"), *[F.col(c).cast("double") for c in FEATURES])
-               .withColumn("tree_id", F.col("tree_id").cast("int")))
+    member = sample_rows(daily, n_trees, max_samples, seed)
     return member.groupBy("tree_id").applyInPandas(lambda pdf: _grow(pdf, seed), NODE_SCHEMA)
 
 

@@ -42,3 +42,64 @@ def test_isolation_forest_share(spark, small_dir):
     n = TS.resample(s, "D").count()
     a = iforest.anomalies_isolation_forest(s, n_trees=20).count()
     assert 0 < a <= max(1, int(0.05 * n) + 1)
+
+
+def recursive_slowly(model, ts, periods, freq, keys):
+    """One model.transform for each step, as the library's own scoring gives it."""
+    out, now = {}, ts.select(*keys, "Order_Date", F.col("Sales").cast("double").alias("Sales"))
+    rows = {}
+    for r in now.collect():
+        rows.setdefault(tuple(r[k] for k in keys), []).append((r.Order_Date, r.Sales))
+    hist = {k: [v for _, v in sorted(x)] for k, x in rows.items() if len(x) >= FC.HISTORY + FC.MIN_USABLE}
+    ahead = {}
+    for r in TS.future_dates(ts, periods, freq, keys).withColumns(FC.ml_calendar_columns("Order_Date")).collect():
+        ahead[tuple(r[k] for k in keys), r.h] = r
+    spark = ts.sparkSession
+    for h in range(1, periods + 1):
+        feats = []
+        for k, v in hist.items():
+            row = ahead[k, h]
+            f = {c: float(row[c]) for c in FC.CALENDAR}
+            f |= {f"Sales_Lag_{n}": v[-n] for n in (1, 2, 3, 7)}
+            f |= {f"Sales_Rolling_{n}": sum(v[-n:]) / n for n in (7, 14, 30)}
+            feats.append((list(hist).index(k), *[f[c] for c in FC.FEATURES]))
+        made = model.transform(spark.createDataFrame(feats, ["_i", *FC.FEATURES])).select("_i", "prediction").collect()
+        for r in made:
+            k = list(hist)[r._i]
+            hist[k].append(r.prediction)
+            out[(*k, ahead[k, h].Order_Date)] = max(r.prediction, 0.0)
+    return out
+
+
+def test_recursive_forecast_is_that_of_single_steps(spark, small_dir):
+    """A panel of regions, 60 weeks or more each: the same numbers as one scoring job for each step."""
+    ts = TS.resample(P.sales(spark, small_dir), "W", ["Region"])
+    model, _ = FC.train_boosted(ts, ["Region"], max_iter=12)
+    got = {(r.Region, r.Order_Date): r for r in FC.forecast_recursive(model, ts, 4, "W", ["Region"]).collect()}
+    want = recursive_slowly(model, ts, 4, "W", ["Region"])
+    assert len(want) == 20 and got.keys() == want.keys()
+    assert all(abs(got[k].Sales_Forecast - v) <= 1e-9 * max(1.0, abs(v)) and got[k].Method == "boosted" for k, v in want.items())
+
+
+def test_isolation_forest_against_single_paths(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows = [(__import__("datetime").date(2020, 1, 1) + __import__("datetime").timedelta(days=k), float(rng.normal(100, 20)), int(rng.integers(1, 9)),
+             float(rng.normal(10, 2))) for k in range(400)]
+    daily = spark.createDataFrame(rows, "Order_Date date, Sales double, Orders long, Avg_Value double").repartition(3)
+    for sub, psi in ((daily, 256), (daily.limit(0), 0), (daily.filter("Order_Date < '2020-03-01'"), 60)):
+        sizes = [r["count"] for r in iforest.sample_rows(sub, 7, 256, 42).groupBy("tree_id").count().collect()]
+        assert sizes == [psi] * (7 if psi else 0)
+    nodes = iforest.fit_forest(daily, n_trees=9)
+    table = {(r.tree_id, r.node_id): r for r in nodes.collect()}
+    assert all(table[t, 0].size == 256 for t in range(9))
+
+    def path(t, x):
+        node = table[t, 0]
+        while node.feature >= 0:
+            node = table[t, node.left if x[node.feature] < node.threshold else node.right]
+        return node.depth + iforest.c_factor(node.size)
+    scored = iforest.score_forest(daily, nodes, 256).collect()
+    for r in scored:
+        mean = sum(path(t, (r.Sales, r.Orders, r.Avg_Value)) for t in range(9)) / 9
+        assert abs(r.Anomaly_Score + 2 ** (-mean / iforest.c_factor(256))) < 1e-12

@@ -10,7 +10,6 @@ Spark ML model over all series.
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import ml_calendar_columns
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_folder
 from . import timeseries as TS
 
 # Names and order of the model's inputs.
@@ -218,7 +217,7 @@ class Forest:
         """Read from the model's own saved form, written to the shared checkpoint folder."""
         boosted, scaler = model.stages[-1], model.stages[1]
         spark = SparkSession.getActiveSession()
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/boosted-{uuid.uuid4().hex}"
+        path = f"{scratch_folder(spark, 'boosted')}/model"
         boosted.write().save(path)
         rows = spark.read.parquet(f"{path}/data").select(
             "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",

@@ -69,14 +69,35 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    """The path and its file system, whatever store it lies in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete an existing scratch path when the driver ends."""
+    p, fs = _hadoop_path(spark, path)
+    fs.deleteOnExit(p)
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under the shared checkpoint folder, deleted when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    p, fs = _hadoop_path(spark, path)
+    fs.mkdirs(p)
+    remove_at_exit(spark, path)
+    return path
+
+
 def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
 
     For rows that several readers of one query use: each reader then scans only
     its columns, with its filters pushed down, and lost executors cost no
-    recomputation from the source.
+    recomputation from the source. The table is deleted when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark, label)}/table"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -103,3 +103,28 @@ def test_no_holdout_keeps_the_types(spark):
 def test_summary_sentences():
     assert IN.TOP_CATEGORY.format("Toys", "1,000") == "• Top Category: 'Toys' with $1,000 in sales"
     assert IN.OVERVIEW.format(1, 2, 3, 4, 5) == "Total revenue of $1 with $2 in profit (3% margin) from 4 orders across 5 customers."
+
+
+def test_entry_works_without_the_optional_part():
+    """With a module that only the optional part needs missing, the library's queries are all there."""
+    import subprocess
+    import sys
+    code = ("import sys; sys.modules['public_tokenizers'] = None\n"
+            "import __spark_entry__ as E\n"
+            "q = E.queries(); assert 'e01_top_customers' in q and 'a07_a11_csv_round_trip' in q\n"
+            "assert 'pipeline' not in q and not any(k.startswith('op') for k in q)")
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=__import__("os").path.dirname(__import__("os").path.dirname(__file__)))
+
+
+def test_scratch_tables_go_with_the_driver(tmp_path):
+    """Shared tables lie in the checkpoint folder while the driver lives, and are gone after."""
+    import os
+    import subprocess
+    import sys
+    code = ("import sys, os; from pyspark.sql import SparkSession\n"
+            "from retailops.session import shared_table\n"
+            f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}').getOrCreate()\n"
+            "df = shared_table(s.range(10), 'kept'); assert df.count() == 10\n"
+            f"assert any(x.startswith('kept-') for x in os.listdir('{tmp_path}'))\n")
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(__file__)))
+    assert not [x for x in os.listdir(tmp_path) if x.startswith("kept-")]

@@ -81,7 +81,7 @@ def test_quantile_row_matches_numpy(spark):
     assert np.allclose(got, np.quantile(vals, [0.05, 0.25, 0.5, 0.95]))
 
 
-def test_quantiles_by_rank_equals_map(spark):
+def test_quantiles_by_selection_equal_map(spark):
     rng = np.random.default_rng(11)
     vals = np.concatenate([rng.normal(50, 10, 700).round(2), np.full(350, 42.0)])  # a third share one value
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
@@ -122,3 +122,74 @@ def test_global_row_number_with_adaptive_coalescing(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_ordered_bits_sort_like_the_values():
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(0, 1, 500) * 10.0 ** rng.integers(-300, 300, 500), [0.0, -0.0, 5e-324, -5e-324, np.inf, -np.inf, 1.0, -1.0]])
+    bits = S.ordered_bits(v)
+    assert (v[np.argsort(bits, kind="stable")] == np.sort(v)).all()
+    assert S.ordered_bits(np.array([0.0]))[0] == S.ordered_bits(np.array([-0.0]))[0]
+    assert S.ordered_bits(np.array([np.nan]))[0] > bits.max()
+
+
+def test_quantiles_need_as_many_passes_as_the_values_are_close(spark, monkeypatch):
+    """Values that agree in most bits, of all sizes, and more buckets than a task holds."""
+    rng = np.random.default_rng(6)
+    close = 1e9 + rng.integers(0, 50, 300) * 1e-6
+    wide = rng.normal(0, 1, 300) * 10.0 ** rng.integers(-200, 200, 300)
+    df = spark.createDataFrame([(float(a), float(b), k) for k, (a, b) in enumerate(zip(close, wide))], "a double, b double, c int").repartition(5)
+    probs = [0.0, 0.1, 0.5, 0.93, 1.0]
+    for entries in (1 << 20, 40):
+        monkeypatch.setattr(S, "_ENTRIES", entries)
+        r = S.quantile_row(df, {"a": ("a", probs), "b": ("b", probs), "c": (F.col("c") % 3, [0.5])}).first()
+        for got, v in ((r.a, close), (r.b, wide)):
+            v, h = np.sort(v), [(len(v) - 1) * q for q in probs]
+            lo, hi = np.floor(h).astype(int), np.ceil(h).astype(int)
+            assert got == [v[i] if i == j else (j - x) * v[i] + (x - i) * v[j] for i, j, x in zip(lo, hi, h)]
+        assert r.c == [1.0]
+
+
+def test_forward_fill_over_partitions_and_batches(spark):
+    rng = np.random.default_rng(8)
+    n = 25_000  # several Arrow batches
+    pdf = pd.DataFrame({"k": rng.permutation(n), "v": np.where(rng.random(n) < 0.6, np.nan, rng.integers(0, 99, n)),
+                        "w": np.where(rng.random(n) < 0.9995, None, "x")})
+    df = spark.createDataFrame(pdf.astype({"v": "float"}), "k long, v double, w string").withColumn("v", F.nanvl("v", F.lit(None)))
+    want = pdf.sort_values("k").ffill()
+    for parts in (None, 1, 7):
+        got = S.ffill(df, ["v", "w"], ["k"], parts).toPandas().sort_values("k")
+        assert np.array_equal(got["v"].to_numpy(float), want["v"].to_numpy(float), equal_nan=True)
+        assert [x if isinstance(x, str) else None for x in got["w"]] == [x if isinstance(x, str) else None for x in want["w"]]
+
+
+def test_several_distinct_counts(spark):
+    """Null keys and ids, ids of other types, no rows, no keys, no plain aggregate."""
+    from retailops.functions import aggs as A
+    rows = [("a", 1, "x", 2.0), ("a", 1, "y", 3.0), ("a", None, "y", None), (None, 2, None, 1.0), (None, 2, "z", 1.0), ("b", None, None, None)]
+    df = spark.createDataFrame(rows, "g string, i int, s string, v double").repartition(3)
+    aggs = (A.Distinct("i", "ni"), F.sum("v").alias("v"), A.Distinct("s", "ns"), F.count(F.lit(1)).alias("n"))
+    got = {r.g: (r.ni, r.v, r.ns, r.n) for r in A.group_agg(df, ["g"], *aggs).collect()}
+    assert got == {"a": (1, 5.0, 2, 3), None: (1, 2.0, 1, 2), "b": (0, None, 0, 1)}
+    out = A.group_agg(df, [], *aggs)
+    assert out.columns == ["ni", "v", "ns", "n"] and tuple(out.first()) == (2, 7.0, 3, 6)
+    assert tuple(A.group_agg(df.limit(0), [], *aggs).first()) == (0, None, 0, 0)
+    assert A.group_agg(df.limit(0), ["g"], *aggs).count() == 0
+    only = A.group_agg(df, ["g", "v"], A.Distinct("i", "ni"), A.Distinct("s", "ns"))
+    assert {tuple(r) for r in only.collect()} == {("a", 2.0, 1, 1), ("a", 3.0, 1, 1), ("a", None, 0, 1), (None, 1.0, 1, 1), ("b", None, 0, 0)}
+
+
+def test_labels_at_grain_equal_labels_on_rows(spark, small_dir):
+    """Plain rows, whose labels are found at the customers' grain, and labelled rows give the same tables."""
+    from retailops.operators import analysis as AN, bi, insights as IN
+    from retailops.plans import prepare as P
+    rows, full = P.rows(spark, small_dir), P.full(spark, small_dir)
+    rows = rows.withColumn("Customer_ID", F.when(F.col("Customer_ID") != "7", F.col("Customer_ID")))
+    from retailops.operators.features import attach_customer_stats, attach_product_stats, customer_stats, product_stats
+    full = attach_product_stats(attach_customer_stats(rows, customer_stats(rows, "max")), product_stats(rows))
+    for op in (bi.top_customers, bi.customer_segment_analysis, AN.segment_distribution, AN.revenue_by_segment, AN.segment_analysis_table,
+               AN.segment_counts_ordered, AN.product_performance, AN.performance_distribution, AN.filter_options, AN.rfm_table,
+               AN.top_customer_profiles, IN.business_insights):
+        a, b = op(rows), op(full)
+        assert a.columns == b.columns, op
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())), op

@@ -121,10 +121,16 @@ def test_scratch_tables_go_with_the_driver(tmp_path):
     import os
     import subprocess
     import sys
+    import time
     code = ("import sys, os; from pyspark.sql import SparkSession\n"
             "from retailops.session import shared_table\n"
             f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}').getOrCreate()\n"
             "df = shared_table(s.range(10), 'kept'); assert df.count() == 10\n"
-            f"assert any(x.startswith('kept-') for x in os.listdir('{tmp_path}'))\n")
+            f"assert any(x.startswith('kept-') for _, d, _ in os.walk('{tmp_path}') for x in d)\n")
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(__file__)))
-    assert not [x for x in os.listdir(tmp_path) if x.startswith("kept-")]
+    for _ in range(100):  # the JVM ends a little later than the Python driver
+        if not [x for _, d, _ in os.walk(tmp_path) for x in d if x.startswith("kept-")]:
+            break
+        time.sleep(0.2)
+    else:
+        raise AssertionError("scratch tables are still there")

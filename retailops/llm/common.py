@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailops.session import ensure_checkpoint_dir
+from retailops.session import scratch_folder
 
 #: Rows turned into Python objects at a time inside a task.
 SLICE = 512
@@ -41,8 +40,8 @@ def fresh(df: DataFrame, *stems: str) -> list[str]:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder for a written table, under the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A path for a written table, under the shared checkpoint folder; it goes when the driver ends."""
+    return f"{scratch_folder(spark, label)}/table"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -11,6 +11,9 @@ averaged. A second bounded sample, never used for the weights, sets one
 temperature by the least negative log-likelihood; a score is the calibrated
 probability of the predicted language.
 
+The model has ``BUCKETS`` weights a language, on the driver and in every worker: half
+a megabyte each, so some hundreds of languages are meant, not thousands.
+
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 with no labelled row every text is ``und`` with score 0; a tie goes to the
 language that sorts first; repeated rows get a row each; an empty table gives

@@ -418,6 +418,86 @@ def test_language_of_odd_texts(odd, empty):
     assert language_id.identify(empty.select("doc_id", "text"), model).count() == 0
 
 
+def slow_features(text, idf):
+    """Hashed 1- to 3-grams one by one: share among the text's characters times idf."""
+    codes = [ord(c) for c in text.lower()] + [0, 0, 0]
+    total = Counter()
+    for i in range(len(codes) - 3):
+        h = 0
+        for k in range(3):
+            h = ((h ^ codes[i + k]) * int(language_id._MULT[k]) + k + 1) % 2**32
+            total[((h ^ h >> 15) * 0x2C1B3C6D % 2**32) >> 16] += 1
+    return {b: n / max(1, len(codes) - 3) * idf[b] for b, n in total.items()}
+
+
+def test_features_and_frequencies_are_those_of_single_grams(spark):
+    texts = ["", "a", "Ab", "the quick brown fox", "été à Noël " * 3, "\U0001F600x" * 5, "aaaa" * 50, "İstanbul"]
+    idf = np.random.default_rng(3).random(language_id.BUCKETS) + 1
+    for t in texts:
+        at, value = language_id._features(t, idf)
+        want = slow_features(t, idf)
+        assert set(at.tolist()) == set(want) and all(abs(value[i] - want[b]) < 1e-12 for i, b in enumerate(at.tolist()))
+    df, n = language_id.document_frequencies(spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(3))
+    slow = Counter(b for t in texts for b in slow_features(t, idf))
+    assert n == len(texts) + 1 and {b: c for b, c in enumerate(df.tolist()) if c} == dict(slow)
+
+
+def test_ftrl_takes_the_papers_steps():
+    """Each coordinate by itself, in plain numbers, over the same order of rows."""
+    rnd = np.random.default_rng(4)
+    rows = []
+    for _ in range(12):
+        at = np.sort(rnd.choice(8, 3, replace=False))
+        rows.append((at, rnd.random(3), int(rnd.integers(0, 3))))
+    alpha, beta, l1, l2 = 2.0, 1.0, 0.002, 0.01
+    z, n = Counter(), Counter()
+
+    def weight(i, c):
+        v = z[i, c]
+        if abs(v) <= l1:
+            return 0.0
+        return -(v - math.copysign(l1, v)) / ((beta + math.sqrt(n[i, c])) / alpha + l2)
+    for epoch in range(2):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            at, x, y = rows[k]
+            dots = [sum(x[j] * weight(i, c) for j, i in enumerate(at)) for c in range(3)]
+            top = max(dots)
+            e = [math.exp(d - top) for d in dots]
+            p = [v / sum(e) for v in e]
+            new = {}
+            for j, i in enumerate(at):
+                for c in range(3):
+                    g = (p[c] - (c == y)) * x[j]
+                    sigma = (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / alpha
+                    new[i, c] = (z[i, c] + g - sigma * weight(i, c), n[i, c] + g * g)
+            for key, (zz, nn) in new.items():
+                z[key], n[key] = zz, nn
+    got = language_id.ftrl(rows, 3, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    assert all(abs(got[i, c] - weight(i, c)) < 1e-12 for i in range(8) for c in range(3))
+    assert not got[8:].any()
+
+
+def test_temperature_is_the_best_of_a_dense_grid():
+    rnd = np.random.default_rng(5)
+    for scale in (0.2, 1.0, 6.0):
+        y = rnd.integers(0, 3, 400)
+        z = rnd.normal(0, 1, (400, 3))
+        z[np.arange(400), y] += 1
+        z *= scale
+
+        def loss(t):
+            e = np.exp(z / t - (z / t).max(1, keepdims=True))
+            return -np.log(e[np.arange(400), y] / e.sum(1)).mean()
+        got = language_id._temperature(z, y)
+        assert loss(got) <= min(loss(t) for t in np.geomspace(0.02, 20, 4000)) + 1e-5
+    assert language_id._temperature(np.zeros((0, 3)), np.zeros(0, int)) == 1.0
+
+
+def test_a_tie_goes_to_the_first_language():
+    model = language_id.Model(["de", "en"], np.ones((language_id.BUCKETS, 2)), 1.0)
+    assert model.predict(["abc", "", "12"]) == (["de", "und", "und"], [0.5, 0.0, 0.0])
+
+
 def test_prediction_does_not_depend_on_the_batch():
     rnd = np.random.default_rng(0)
     model = language_id.Model(["a", "b"], rnd.normal(size=(language_id.BUCKETS, 2)), 1.0)

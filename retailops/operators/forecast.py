@@ -1,9 +1,8 @@
 """Forecasting over panels of period series.
 
 A panel is the output of ``timeseries.resample`` with optional series keys.
-Per-series work is either a window over period rows (bounded by the
-calendar span) or one ``applyInPandas`` group per series (again bounded by
-the calendar span, never by fact rows). The boosted model is one global
+Per-series work is a window over period rows (bounded by the calendar span,
+never by fact rows) or partial sums of them. The boosted model is one global
 Spark ML model over all series.
 """
 
@@ -249,23 +248,11 @@ SEASONAL_SCHEMA = T.StructType([
     T.StructField("Lower_Bound", T.DoubleType()), T.StructField("Upper_Bound", T.DoubleType()),
     T.StructField("Actual_Sales", T.DoubleType()), T.StructField("Trend", T.DoubleType()),
     T.StructField("Yearly_Seasonality", T.DoubleType()), T.StructField("Is_Future", T.IntegerType())])
-
-
-def _future_labels(last: pd.Timestamp, periods: int, freq: str) -> list:
-    out = []
-    d = last + pd.Timedelta(days=1)
-    for _ in range(periods):
-        if freq == "D":
-            lab = d
-        elif freq == "W":
-            lab = d + pd.Timedelta(days=(6 - d.weekday()))
-        elif freq == "M":
-            lab = d + pd.offsets.MonthEnd(0)
-        else:
-            lab = d + pd.offsets.QuarterEnd(0)
-        out.append(lab)
-        d = lab + pd.Timedelta(days=1)
-    return out
+#: Series with fewer periods are forecast by the K03 rule (fixed value).
+MIN_SEASONAL = 10
+#: Orders of the yearly waves by frequency; days also have waves of a week and of a month (period, order).
+YEARLY_ORDER = {"D": 10, "W": 10, "M": 5, "Q": 1}
+DAILY_WAVES = ((7.0, 3), (30.5, 5))
 
 
 def _fourier(days: np.ndarray, period: float, order: int) -> np.ndarray:
@@ -273,68 +260,41 @@ def _fourier(days: np.ndarray, period: float, order: int) -> np.ndarray:
     for k in range(1, order + 1):
         a = 2 * math.pi * k * days / period
         cols += [np.sin(a), np.cos(a)]
-    return np.column_stack(cols) if cols else np.zeros((len(days), 0))
-
-
-def _design(t: np.ndarray, days: np.ndarray, hinges: np.ndarray, freq: str):
-    yearly_order = {"D": 10, "W": 10, "M": 5, "Q": 1}[freq]
-    trend = np.column_stack([np.ones_like(t), t] + [np.maximum(0.0, t - s) for s in hinges]) \
-        if len(hinges) else np.column_stack([np.ones_like(t), t])
-    yearly = _fourier(days, 365.25, yearly_order)
-    extra = [_fourier(days, 7.0, 3), _fourier(days, 30.5, 5)] if freq == "D" else []
-    season = np.column_stack([yearly] + extra) if extra else yearly
-    return trend, yearly, season
-
-
-def _seasonal_one(pdf: pd.DataFrame, periods: int, freq: str, cp_scale: float, season_scale: float,
-                  n_changepoints: int, keys: list[str]) -> pd.DataFrame:
-    pdf = pdf.sort_values("Order_Date")
-    dates = pd.to_datetime(pdf["Order_Date"])
-    y = np.maximum(pdf["Sales"].to_numpy(dtype=float), 0.0)
-    fut = _future_labels(dates.iloc[-1], periods, freq)
-    all_dates = pd.DatetimeIndex(list(dates) + fut)
-    n = len(y)
-    key_vals = {k: pdf[k].iloc[0] for k in keys}
-    if n < 10:  # too short: seasonal-naive fallback for this series
-        pat = y[-7:] if n >= 7 else y
-        base = np.resize(pat, periods) if len(pat) else np.zeros(periods)
-        base = np.maximum(base, 0.0)
-        res = pd.DataFrame({"Order_Date": [d.date() for d in fut], "Sales_Forecast": base,
-                            "Lower_Bound": base * 0.7, "Upper_Bound": base * 1.3, "Actual_Sales": np.nan,
-                            "Trend": np.nan, "Yearly_Seasonality": np.nan, "Is_Future": 1})
-        return res.assign(**key_vals)[keys + list(res.columns)]
-    t0, t1 = all_dates[0], dates.iloc[-1]
-    span = max((t1 - t0).days, 1)
-    t_all = np.array([(d - t0).days / span for d in all_dates], dtype=float)
-    days_all = np.array([(d - pd.Timestamp("1970-01-01")).days for d in all_dates], dtype=float)
-    n_cp = min(n_changepoints, max(int(math.floor(0.8 * n)) - 1, 0))
-    hinges = np.linspace(0, t_all[int(math.floor(0.8 * (n - 1)))], n_cp + 2)[1:-1] if n_cp > 0 else np.array([])
-    trend, yearly, season = _design(t_all, days_all, hinges, freq)
-    X = np.column_stack([trend, season])
-    z = np.log1p(y)
-    Xh = X[:n]
-    n_trend = trend.shape[1]
+    return np.column_stack(cols)
+
+
+def _hinges(n: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
+    """[row, hinge]: changepoints spread evenly up to ``end``, fewer on short series
+    (those are never reached, and their columns stay zero)."""
+    count = np.minimum(most, np.maximum(np.floor(0.8 * n).astype(int) - 1, 0))[:, None]
+    k = np.arange(1, most + 1)[None, :]
+    return np.where(k <= count, end[:, None] * k / (count + 1), np.inf)
+
+
+def _design(pdf: pd.DataFrame, freq: str, most: int) -> tuple[np.ndarray, int, int]:
+    """Design rows of any series' periods, columns of the trend, and of trend and year."""
+    days = (pd.to_datetime(pdf["Order_Date"]) - pd.Timestamp(0)).dt.days.to_numpy(float)
+    t = (days - pdf["_first"].to_numpy(float)) / pdf["_span"].to_numpy(float)
+    hinges = np.maximum(0.0, t[:, None] - _hinges(pdf["_n"].to_numpy(), pdf["_end"].to_numpy(float), most))
+    yearly = _fourier(days, 365.25, YEARLY_ORDER[freq])
+    parts = [np.ones_like(t)[:, None], t[:, None], hinges, yearly]
+    parts += [_fourier(days, *w) for w in DAILY_WAVES] if freq == "D" else []
+    return np.concatenate(parts, axis=1), 2 + most, 2 + most + yearly.shape[1]
+
+
+def _solve(gram: np.ndarray, moment: np.ndarray, square: float, n: int, trend: int, cp_scale: float, season_scale: float):
+    """Coefficients and residual spread of one series from its normal equations."""
+    def spread(b: np.ndarray, at: np.ndarray) -> float:
+        return max(float(square - 2 * b @ moment[at] + b @ gram[np.ix_(at, at)] @ b) / n, 0.0)
+
     # sigma^2 from a first fit without hinges
-    X0 = np.column_stack([trend[:n, :2], season[:n]])
-    b0, *_ = np.linalg.lstsq(X0, z, rcond=None)
-    sigma2 = float(np.mean((z - X0 @ b0) ** 2)) + 1e-9
-    lam = np.zeros(X.shape[1])
-    lam[2:n_trend] = sigma2 / cp_scale ** 2
-    lam[n_trend:] = sigma2 / season_scale ** 2
-    beta = np.linalg.solve(Xh.T @ Xh + np.diag(lam) + 1e-9 * np.eye(X.shape[1]), Xh.T @ z)
-    fit = X @ beta
-    resid = z - fit[:n]
-    s = float(np.sqrt(np.mean(resid ** 2)))
-    yhat = np.maximum(np.expm1(fit), 0.0)
-    trend_part = np.expm1(trend @ beta[:n_trend])
-    ny = yearly.shape[1]
-    yearly_part = np.exp(yearly @ beta[n_trend:n_trend + ny]) - 1
-    res = pd.DataFrame({
-        "Order_Date": [d.date() for d in all_dates], "Sales_Forecast": yhat,
-        "Lower_Bound": np.maximum(np.expm1(fit - 1.96 * s), 0.0), "Upper_Bound": np.expm1(fit + 1.96 * s),
-        "Actual_Sales": np.concatenate([y, np.full(periods, np.nan)]), "Trend": trend_part,
-        "Yearly_Seasonality": yearly_part, "Is_Future": np.r_[np.zeros(n, int), np.ones(periods, int)]})
-    return res.assign(**key_vals)[keys + list(res.columns)]
+    plain = np.r_[0, 1, trend:len(moment)]
+    first, *_ = np.linalg.lstsq(gram[np.ix_(plain, plain)], moment[plain], rcond=None)
+    sigma2 = spread(first, plain) + 1e-9
+    penalty = np.full(len(moment), sigma2 / season_scale ** 2)
+    penalty[:2], penalty[2:trend] = 0.0, sigma2 / cp_scale ** 2
+    beta = np.linalg.solve(gram + np.diag(penalty + 1e-9), moment)
+    return beta, math.sqrt(spread(beta, np.arange(len(moment))))
 
 
 def forecast_seasonal(ts: DataFrame, periods: int, freq: str, series_cols: list[str] | None = None,
@@ -344,25 +304,87 @@ def forecast_seasonal(ts: DataFrame, periods: int, freq: str, series_cols: list[
 
     Multiplicative on the original scale (additive on the log scale), 95 %
     interval from the residual spread, fewer than 10 points -> K03 rule.
-    One ``applyInPandas`` group per series: a group holds that series'
-    period rows only. Output holds history and future rows (``Is_Future``).
+    No series is gathered into a group: each task adds the products of its period
+    rows' design (at most some 60 x 60) to the normal equations of their series,
+    those partial sums are added up and solved once for each series, and the
+    fitted rows, history and future (``Is_Future``), are computed where they lie.
     """
     keys = _keys(series_cols)
-    schema = T.StructType([ts.schema[k] for k in keys] + SEASONAL_SCHEMA.fields)
-    src = ts.select(*keys, "Order_Date", F.col("Sales").cast("double").alias("Sales"))
-    if not keys:
-        src = src.withColumn("_series", F.lit(0))
-        grp = ["_series"]
-        schema_in = schema
-    else:
-        grp = keys
-        schema_in = schema
+    src = ts.select(*keys, "Order_Date", F.greatest(F.col("Sales").cast("double"), F.lit(0.0)).alias("_y"))
+
+    def epoch_day(c: str):
+        return F.unix_date(F.col(c))
+
+    dates = F.array_sort(F.collect_list("Order_Date"))  # a period is a row: bounded by the calendar
+    info = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), dates.alias("_dates")).withColumns({
+        "_lo": F.col("_dates")[0], "_hi": F.element_at("_dates", -1),
+        "_mid": F.element_at("_dates", F.floor(F.lit(0.8) * (F.col("_n") - 1)).cast("int") + 1)})
+    info = info.select(*keys, "_n", epoch_day("_lo").cast("double").alias("_first"),
+                       F.greatest(F.datediff("_hi", "_lo"), F.lit(1)).cast("double").alias("_span"), F.datediff("_mid", "_lo").alias("_end"))
+    info = info.withColumn("_end", F.col("_end") / F.col("_span"))
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _seasonal_one(pdf.drop(columns=[c for c in ("_series",) if c in pdf.columns]), periods, freq,
-                             changepoint_scale, seasonality_scale, n_changepoints, keys)
+    def beside(df: DataFrame, other: DataFrame) -> DataFrame:
+        return df.join(other, keys) if keys else df.crossJoin(F.broadcast(other))  # without keys ``other`` is one row
 
-    return src.groupBy(*grp).applyInPandas(fn, schema_in)
+    long, short = info.filter(F.col("_n") >= MIN_SEASONAL), info.filter(F.col("_n") < MIN_SEASONAL).select(*keys, "_n")
+    rows = beside(src, long)
+    key_fields = [ts.schema[k] for k in keys]
+    doubles = T.ArrayType(T.DoubleType())
+    sums = T.StructType(key_fields + [T.StructField("gram", doubles), T.StructField("moment", doubles), T.StructField("square", T.DoubleType())])
+
+    def products(batches):
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, dropna=False) if keys else [((), pdf)]:
+                if not len(part):
+                    continue
+                x, _, _ = _design(part, freq, n_changepoints)
+                z = np.log1p(part["_y"].to_numpy(float))
+                yield pd.DataFrame([(*(key if isinstance(key, tuple) else (key,)), (x.T @ x).ravel().tolist(), (x.T @ z).tolist(), float(z @ z))],
+                                   columns=sums.fieldNames())
+
+    found = rows.mapInPandas(products, sums).groupBy(*keys).agg(
+        F.collect_list("gram").alias("gram"), F.collect_list("moment").alias("moment"), F.sum("square").alias("square"))
+    # a series' partial sums: one for each task's batch that has some of its rows
+    solved = T.StructType(key_fields + [T.StructField("_beta", doubles), T.StructField("_s", T.DoubleType())])
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for _, r in pdf.iterrows():
+                if not len(r["moment"]):
+                    continue
+                moment = np.sum([np.asarray(m, float) for m in r["moment"]], axis=0)
+                gram = np.sum([np.asarray(g, float) for g in r["gram"]], axis=0).reshape(len(moment), len(moment))
+                beta, s = _solve(gram, moment, r["square"], int(r["_n"]), 2 + n_changepoints, changepoint_scale, seasonality_scale)
+                out.append((*[r[k] for k in keys], beta.tolist(), s))
+            yield pd.DataFrame(out, columns=solved.fieldNames())
+
+    models = beside(found, long.select(*keys, "_n")).mapInPandas(solve, solved)
+    future = TS.future_dates(src, periods, freq, keys).select(*keys, "Order_Date", F.lit(None).cast("double").alias("_y"))
+    every = beside(beside(src.unionByName(future), long), models)
+    schema = T.StructType(key_fields + SEASONAL_SCHEMA.fields)
+
+    def fitted(batches):
+        for pdf in batches:
+            x, trend, year = _design(pdf, freq, n_changepoints)
+            beta = np.array(pdf["_beta"].tolist(), float).reshape(x.shape)
+            fit, s = (x * beta).sum(axis=1), pdf["_s"].to_numpy(float)
+            y = pdf["_y"].to_numpy(float)
+            out = pdf[["Order_Date", *keys]].copy()
+            out["Sales_Forecast"] = np.maximum(np.expm1(fit), 0.0)
+            out["Lower_Bound"] = np.maximum(np.expm1(fit - 1.96 * s), 0.0)
+            out["Upper_Bound"] = np.expm1(fit + 1.96 * s)
+            out["Actual_Sales"] = y
+            out["Trend"] = np.expm1((x[:, :trend] * beta[:, :trend]).sum(axis=1))
+            out["Yearly_Seasonality"] = np.exp((x[:, trend:year] * beta[:, trend:year]).sum(axis=1)) - 1
+            out["Is_Future"] = np.isnan(y).astype(np.int32)
+            yield out[schema.fieldNames()]
+
+    naive = forecast_naive(beside(ts, short).drop("_n"), periods, freq, keys)
+    none = F.lit(None).cast("double")
+    naive = naive.select(*keys, "Order_Date", *[F.col(c).cast("double").alias(c) for c in ("Sales_Forecast", "Lower_Bound", "Upper_Bound")],
+                         none.alias("Actual_Sales"), none.alias("Trend"), none.alias("Yearly_Seasonality"), F.lit(1).alias("Is_Future"))
+    return every.mapInPandas(fitted, schema).withColumn("Actual_Sales", F.when(~F.isnan("Actual_Sales"), F.col("Actual_Sales"))).unionByName(naive)
 
 
 # --- D03/D04/I01 -----------------------------------------------------------------

@@ -303,7 +303,7 @@ def forecast_seasonal(ts: DataFrame, periods: int, freq: str, series_cols: list[
     """Piecewise-linear trend + Fourier seasonality on log1p(y), ridge-penalised.
 
     Multiplicative on the original scale (additive on the log scale), 95 %
-    interval from the residual spread, fewer than 10 points -> K03 rule.
+    interval from the residual spread, fewer than 10 points -> K03 rule (``Method`` tells).
     No series is gathered into a group: each task adds the products of its period
     rows' design (at most some 60 x 60) to the normal equations of their series,
     those partial sums are added up and solved once for each series, and the
@@ -383,8 +383,11 @@ def forecast_seasonal(ts: DataFrame, periods: int, freq: str, series_cols: list[
     naive = forecast_naive(beside(ts, short).drop("_n"), periods, freq, keys)
     none = F.lit(None).cast("double")
     naive = naive.select(*keys, "Order_Date", *[F.col(c).cast("double").alias(c) for c in ("Sales_Forecast", "Lower_Bound", "Upper_Bound")],
-                         none.alias("Actual_Sales"), none.alias("Trend"), none.alias("Yearly_Seasonality"), F.lit(1).alias("Is_Future"))
-    return every.mapInPandas(fitted, schema).withColumn("Actual_Sales", F.when(~F.isnan("Actual_Sales"), F.col("Actual_Sales"))).unionByName(naive)
+                         none.alias("Actual_Sales"), none.alias("Trend"), none.alias("Yearly_Seasonality"), F.lit(1).alias("Is_Future"),
+                         F.lit("naive").alias("Method"))
+    fit = every.mapInPandas(fitted, schema).withColumns({
+        "Actual_Sales": F.when(~F.isnan("Actual_Sales"), F.col("Actual_Sales")), "Method": F.lit("seasonal")})
+    return fit.unionByName(naive)
 
 
 # --- D03/D04/I01 -----------------------------------------------------------------
@@ -430,6 +433,12 @@ def holdout_split(ts: DataFrame, train_frac: float = 0.8, series_cols: list[str]
     return s.filter("Is_Train = 1").drop("Is_Train"), s.filter("Is_Train = 0").drop("Is_Train")
 
 
+def insample_forecasts(ts: DataFrame, freq: str, series_cols: list[str] | None = None) -> DataFrame:
+    """Q6: the seasonal model's fitted values beside the actuals it was fitted on."""
+    fc = forecast_seasonal(ts, 1, freq, series_cols).filter("Is_Future = 0")
+    return fc.select(*_keys(series_cols), "Order_Date", F.col("Actual_Sales").alias("Actual"), F.col("Sales_Forecast").alias("Forecast"))
+
+
 def holdout_forecasts(ts: DataFrame, freq: str, model: str = "seasonal", train_frac: float = 0.8,
                       series_cols: list[str] | None = None, date_col: str = "Order_Date") -> DataFrame:
     """Q6: fit on the first part of each series, forecast the rest, pair with actuals.

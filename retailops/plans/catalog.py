@@ -262,6 +262,7 @@ register("i01_history_and_future")(lambda s, d: FC.history_and_future(
 register("j06_accuracy_naive_holdout")(lambda s, d: AM.accuracy(FC.holdout_forecasts(_monthly(s, d), "M", "naive")))
 register("j06_accuracy_seasonal_holdout")(lambda s, d: AM.accuracy(FC.holdout_forecasts(_monthly(s, d), "M",
                                                                                         "seasonal")))
+register("j06_accuracy_seasonal_insample")(lambda s, d: AM.accuracy(FC.insample_forecasts(_monthly(s, d), "M")))
 
 
 @register("k05_k06_boosted_holdout")

@@ -166,7 +166,7 @@ def test_seasonal_forecast_is_that_of_whole_series(spark, small_dir):
         for r in got:
             have = (r.Sales_Forecast, r.Lower_Bound, r.Upper_Bound, r.Trend, r.Yearly_Seasonality)
             assert all(abs(a - b) <= 1e-9 * max(1.0, abs(b)) for a, b in zip(have, want[tuple(r[k] for k in keys) + (r.Order_Date,)])), (freq, r)
-            assert (r.Actual_Sales is None) == (r.Is_Future == 1)
+            assert (r.Actual_Sales is None) == (r.Is_Future == 1) and r.Method == "seasonal"
 
 
 def test_seasonal_forecast_of_short_and_no_series(spark):
@@ -175,7 +175,7 @@ def test_seasonal_forecast_of_short_and_no_series(spark):
     rows += [("b", (pd.Timestamp(2020, 1, 31) + pd.offsets.MonthEnd(k)).date(), 10.0 + k) for k in range(24)]
     ts = spark.createDataFrame(rows, "g string, Order_Date date, Sales double")
     got = FC.forecast_seasonal(ts, 3, "M", ["g"]).collect()
-    assert sorted(r.Sales_Forecast for r in got if r.g == "a") == [5.0, 5.0, 7.0] and all(r.Is_Future == 1 for r in got if r.g == "a")
+    assert sorted(r.Sales_Forecast for r in got if r.g == "a") == [5.0, 5.0, 7.0] and all(r.Is_Future == 1 and r.Method == "naive" for r in got if r.g == "a")
     assert sum(r.g == "b" for r in got) == 27
     assert FC.forecast_seasonal(ts.limit(0), 3, "M", ["g"]).count() == 0
     assert FC.forecast_seasonal(ts.limit(0).drop("g"), 3, "M").count() == 0

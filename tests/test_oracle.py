@@ -12,7 +12,7 @@ from tools.check_oracle import TABLES, rows_of
 
 NON_SQL = {  # registered without an oracle: model fitting, iterative or Python-side numerics
     "k01_seasonal_forecast", "k01_seasonal_forecast_per_region", "d03_attach_actuals", "d04_future_only",
-    "j06_accuracy_naive_holdout", "j06_accuracy_seasonal_holdout",
+    "j06_accuracy_naive_holdout", "j06_accuracy_seasonal_holdout", "j06_accuracy_seasonal_insample",
     "k05_k06_boosted_holdout", "k07_feature_importance", "k08_recursive_forecast", "k10_forecast_compare",
     "j04_anomalies_isolation_forest", "k09_forecast_table",
 }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import aggs as A
 from .analysis import concentration
 from ..session import reliable_checkpoint
-from .stats import attach_row, quantile_row
+from .stats import attach_row
 
 # --- fixed values: sentences of the executive summary ({} are filled in order) ---
 OVERVIEW = "Total revenue of ${} with ${} in profit ({}% margin) from {} orders across {} customers."

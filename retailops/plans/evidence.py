@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formatting import format_currency
-from ..operators import analysis as AN
 from ..operators import anomaly as AM
 from ..operators import bi
 from ..operators import clean as CL

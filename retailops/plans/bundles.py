@@ -70,7 +70,7 @@ def run_all_analyses(feat: DataFrame) -> dict[str, dict[str, DataFrame]]:
 def run_forecasts(feat: DataFrame, periods: int = 6, freq: str = "M",
                   series_cols: list[str] | None = None, max_iter: int = 100) -> dict[str, DataFrame]:
     """Resample, seasonal model, boosted model with recursive horizon, IQR anomalies, insights."""
-    ts = TS.resample(feat, freq, series_cols)
+    ts = TS.period_table(feat, freq, series_cols)
     seasonal = FC.forecast_seasonal(ts, periods, freq, series_cols)
     model, holdout = FC.train_boosted(ts, series_cols, max_iter=max_iter)
     boosted = FC.forecast_recursive(model, ts, periods, freq, series_cols)

@@ -18,7 +18,7 @@ from ..operators import clean as CL
 from ..operators import forecast as FC
 from ..operators import insights as IN
 from ..operators import timeseries as TS
-from ..session import scratch_folder
+from ..session import scratch_folder, shared_table
 from ..sources import io as IO
 from ..sources.schema import REQUIRED_COLUMNS
 from ..sources.tables import read_table
@@ -145,7 +145,7 @@ _NAIVE = _NAIVE[:_NAIVE.rindex("\nSELECT ")] + ", nv AS (" + _NAIVE[_NAIVE.rinde
 
 
 def _monthly(spark, sf_dir):
-    return TS.resample(P.sales(spark, sf_dir), "M")
+    return TS.period_table(P.sales(spark, sf_dir), "M", columns=["Sales"])
 
 
 def _head_forecast(spark, sf_dir):
@@ -201,7 +201,7 @@ def k01_k02_seasonal_facts(spark, sf_dir):
     + "ts, range(1, 9) t(h) GROUP BY Region, h")
 def k01_seasonal_facts_per_region(spark, sf_dir):
     """The same for weeks and regions."""
-    return _seasonal_facts(FC.forecast_seasonal(TS.resample(P.sales(spark, sf_dir), "W", ["Region"]), 8, "W", ["Region"]), ["Region"])
+    return _seasonal_facts(FC.forecast_seasonal(TS.period_table(P.sales(spark, sf_dir), "W", ["Region"], columns=["Sales"]), 8, "W", ["Region"]), ["Region"])
 
 
 _MONTHS = "last_day(CAST(last_day(max(Order_Date) + 1) + to_months(CAST(h - 1 AS INTEGER)) AS DATE))"
@@ -248,7 +248,7 @@ def k05_k10_boosted_facts(spark, sf_dir):
 def j04_isolation_facts(spark, sf_dir):
     """At most a twentieth of the days are anomalies, each a known day with its own sums,
     and scores lie between -1 and 0."""
-    sales = P.sales(spark, sf_dir)
+    sales = shared_table(P.sales(spark, sf_dir).select("Order_Date", "Order_ID", "Sales"), "daily")
     daily = AM.daily_frame(sales).select("Order_Date", F.col("Sales").alias("_sales"))
     found = AM.detect_anomalies(sales, "isolation_forest").select("Order_Date", "Sales", "Anomaly_Score")
     return daily.join(found, "Order_Date", "full").agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from decimal import Decimal
 
 import pytest
@@ -13,6 +14,8 @@ from retailops.operators import features as FE
 from retailops.operators import forecast as FC
 from retailops.operators import iforest
 from retailops.operators import timeseries as TS
+from retailops.plans import catalog, evidence
+from retailops.plans import prepare as P
 from retailops.sources import io as IO
 
 SCHEMA = ("Order_ID string, Customer_ID string, Product_Name string, Order_Date date, Region string, Sales decimal(18,2), "
@@ -52,6 +55,16 @@ def test_facts_are_read_once(spark, work):
     assert read.value == 600
 
 
+@pytest.mark.parametrize("name", ["k05_k06_boosted_holdout", "k07_feature_importance", "k08_recursive_forecast", "k09_forecast_table",
+                                  "j06_accuracy_rounded", "j06_accuracy_seasonal_holdout"])
+def test_forecast_queries_read_the_facts_once(spark, monkeypatch, name):
+    df, read = counted(facts(spark))
+    monkeypatch.setattr(P, "sales", lambda s, d: df)
+    monkeypatch.setattr(FC, "train_boosted", functools.partial(FC.train_boosted, max_iter=2))
+    assert {**catalog.QUERIES, **evidence.QUERIES}[name](spark, "").collect()
+    assert read.value == 600
+
+
 def test_empty_periods_of_each_series(spark):
     d = dt.date
     rows = [("a", d(2020, 1, 31), "1.00", "0.10"), ("a", d(2020, 4, 1), None, None), ("a", d(2020, 4, 9), "2.00", "0.30"), ("b", d(2020, 3, 5), "5.00", None)]

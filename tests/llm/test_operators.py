@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -819,6 +820,99 @@ def test_guesses_are_those_of_one_pass():
             assert got.tolist() == want and abs(cost - slow) < 1e-9
 
 
+def slow_class(words):
+    """The pair of bytes that most words end in, of equals the smallest."""
+    pairs = Counter((b" " + w)[-2:] for w in words)
+    best = min(pairs, key=lambda p: (-pairs[p], p), default=None)
+    return 0 if best is None else int.from_bytes(best, "big") * 40503 % 65536 >> 12
+
+
+def test_texts_are_cut_into_tokens_many_at_a_time(monkeypatch):
+    """Words, ends, classes and guesses of many texts at once are those of each text alone, from any slice of a batch."""
+    rnd = random.Random(9)
+    texts = [None, "", " \t", "a", " A\x0bB\x0cC\rd ", "\x1c\x1d x\x85y\xa0z", "\u0130 \u212a K \u00c9", "ab cb db ca da", "x\0y", "\u4e2d\u6587 a " * 9]
+    texts += ["".join(rnd.choice("aB \u00e9\n\x1f") for _ in range(rnd.randrange(60))) for _ in range(400)] + [None] * 300
+    rnd.shuffle(texts)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["cut off", *texts])}).slice(1)
+    monkeypatch.setattr(context_mixing, "_BYTES", 700)
+    at = 0
+    for piece in context_mixing._pieces(iter([batch])):
+        x = context_mixing.Tokens.of(piece.column("text"))
+        words, ends = x.words.to_pylist(), [*x.start.tolist(), len(x.ids)]
+        assert context_mixing._bytes(x.words) == words and len(set(words)) == len(words)
+        guessed, cost = context_mixing.guesses(x.text * len(words) + x.ids, x.start)
+        for i in range(piece.num_rows):
+            want = (texts[at] or "").encode().lower().split()
+            mine = slice(ends[i], ends[i + 1])
+            assert [words[k] for k in x.ids[mine]] == [*want, b"\n"] and set(x.text[mine]) == {i}
+            assert x.cls[i] == slow_class(want)
+            slow, paid = slow_guesses([*want, b"\n"])
+            assert guessed[mine].tolist() == slow and abs(cost[i] - paid) < 1e-9
+            at += 1
+    assert at == len(texts)
+
+
+def some_types():
+    rnd = random.Random(4)
+    words = sorted({bytes(rnd.choices(b"ab\xc3", k=rnd.randint(1, 9))) for _ in range(400)} | {b"\n", b"a" * 300},
+                   key=context_mixing._spelled)
+    rows = [(w, c, rnd.randint(0, 9)) for w in words for c in (0, 3, 15) if rnd.random() < 0.6]
+    return [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+
+
+def test_a_shared_prefix_is_worked_out_once(monkeypatch):
+    """Inputs and probabilities come from one byte for each (prefix, class), and are those of every type alone."""
+    words, cls, train = some_types()
+    x = context_mixing.Spelled(words, cls, train)
+    prefixes = {(s[:j + 1], c) for s, c in zip(x.words, cls.tolist()) for j in range(len(s))}
+    first, node = x.tree(True)
+    assert len(first) == len(prefixes) < 0.7 * len(x.flat)
+    assert all((x.words[x.owner[k]][:x.at[k] + 1], cls[x.owner[k]]) == (x.words[x.owner[f]][:x.at[f] + 1], cls[x.owner[f]])
+               for k, f in enumerate(first[node].tolist()))
+    places, sizes = context_mixing.Places.of, []
+    monkeypatch.setattr(context_mixing.Places, "of", staticmethod(lambda x, of: sizes.append(len(of)) or places(x, of)))
+    table = np.random.default_rng(1).integers(0, 50, (context_mixing._BASES[-1], 2)).astype(np.float32)
+    mixer = context_mixing.Mixer.new()
+    context_mixing.learn(x, table, mixer, x.count > 0)
+    looked = context_mixing.Looked(table)
+    once = context_mixing.log10_probability(x, looked, mixer)
+    assert sizes == [len(prefixes)] * 2
+    monkeypatch.setattr(context_mixing.Spelled, "tree", lambda x, by_class, tree=context_mixing.Spelled.tree:
+                        tree(x, by_class) if not by_class else (np.arange(len(x.flat)), np.arange(len(x.flat))))
+    counts = x.prefixes(True, slice(None), (first, node))
+    monkeypatch.setattr(context_mixing.Spelled, "prefixes", lambda x, by_class, of=slice(None), tree=None,
+                        prefixes=context_mixing.Spelled.prefixes: counts if by_class else prefixes(x, by_class, of))
+    plain = context_mixing.Mixer.new()
+    context_mixing.learn(x, table, plain, x.count > 0)
+    assert (plain.weights == mixer.weights).all() and (plain.hits == mixer.hits).all()
+    assert np.allclose(context_mixing.log10_probability(x, looked, mixer), once, rtol=1e-12)
+
+
+def test_tables_count_every_bit_of_the_types(monkeypatch):
+    words, cls, train = some_types()
+    want = Counter()
+    for w, c, n in zip(words, cls.tolist(), train.tolist()):
+        s = context_mixing._spelled(w)
+        for j, byte in enumerate(s):
+            before = [s[j - k] if j >= k else 0 for k in (1, 2, 3)]
+            c3 = before[0] | before[1] << 8 | before[2] << 16
+            for k, context in enumerate((c3 & 0xFF, c3 & 0xFFFF, c3, c3 | c + 1 << 24)):
+                for t in range(8):
+                    key = context << 8 | 1 << t | byte >> 8 - t
+                    bits = context_mixing.SLOTS[k].bit_length() - 1
+                    slot = key if k == 0 else int(context_mixing._BASES[k]) + (key * 0x9E3779B97F4A7C15 % 2 ** 64 >> 64 - bits)
+                    want[slot, byte >> 7 - t & 1] += n
+    order = list(range(len(words)))
+    random.Random(5).shuffle(order)
+    for chunk in (20_000, 7):  # all at once, and added up in many steps
+        monkeypatch.setattr(context_mixing, "_CHUNK", chunk)
+        batches = [pa.RecordBatch.from_pydict({"word": pa.array([words[i] for i in part], pa.binary()), "cls": pa.array(cls[part]),
+                                               "train": pa.array(train[part])}) for part in (order[:100], order[100:])]
+        (got,) = context_mixing._count(iter(batches))
+        have = Counter({(r["slot"], b): r[f"n{b}"] for r in got.to_pylist() for b in (0, 1)})
+        assert +have == +want
+
+
 def test_mixer_learns_with_true_counts():
     words, table = [b"apple", b"grape"], np.zeros((context_mixing._BASES[-1], 2), np.float32)
     x = context_mixing.Spelled(words, np.zeros(2, int), np.array([1000, 1]))

@@ -908,8 +908,7 @@ def test_tables_count_every_bit_of_the_types(monkeypatch):
         monkeypatch.setattr(context_mixing, "_CHUNK", chunk)
         batches = [pa.RecordBatch.from_pydict({"word": pa.array([words[i] for i in part], pa.binary()), "cls": pa.array(cls[part]),
                                                "train": pa.array(train[part])}) for part in (order[:100], order[100:])]
-        (got,) = context_mixing._count(iter(batches))
-        have = Counter({(r["slot"], b): r[f"n{b}"] for r in got.to_pylist() for b in (0, 1)})
+        have = Counter({(r["slot"], b): r[f"n{b}"] for got in context_mixing._count(iter(batches)) for r in got.to_pylist() for b in (0, 1)})
         assert +have == +want
 
 

@@ -76,6 +76,17 @@ def test_frequent_lengths_of_copies_and_derived_rows(spark):
     assert len(table) == 12 and set(table) <= set(token_counts.segments(PROSE))
 
 
+def test_frequent_lengths_are_of_all_rows(spark, monkeypatch):
+    # word k occurs 40 + k times in 9,000 or more rows; a sample of them ranks near neighbours otherwise
+    docs = spark.createDataFrame([(f"w{k:03d}",) for k in range(120) for _ in range(40 + k)] + [(None,), ("",), ("x" * 65,)], "text string").repartition(5)
+    monkeypatch.setattr(token_counts, "HELD", 50)  # counts are handed on in parts
+    assert set(token_counts.frequent_lengths(docs, PIECES, entries=30)) == {f" w{k:03d}" for k in range(90, 120)}
+    tied = spark.createDataFrame([("b a\nc",), ("c b",), ("x" * 65,)], "text string")
+    assert set(token_counts.frequent_lengths(tied, PIECES)) == {" b", "\n", " a", " c", "c"}
+    some = token_counts.frequent_lengths(tied, PIECES, entries=3)
+    assert len(some) == 3 and " b" in some and not token_counts.frequent_lengths(tied.limit(0), PIECES)
+
+
 def test_length_cache_starts_anew():
     cache = token_counts.Lengths({"a": 1}, len, limit=2)
     assert [cache[x] for x in ("a", "bb", "ccc", "dddd", "bb")] == [1, 2, 3, 4, 2] and len(cache) <= 3 and cache["a"] == 1

@@ -92,6 +92,44 @@ def test_product_stats_against_plain_grouping(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
+def odd_facts(spark):
+    """Null keys, an order of two customers, a product's orders in every part, rows that come twice."""
+    none = [(None, None, None, None, "R", None, None, None, None), ("o1", "c9", "p1", None, "R", Decimal("7.00"), None, None, 1),
+            (None, "c1", None, dt.date(2021, 1, 1), "R", Decimal("5.00"), Decimal("1.00"), Decimal("0.10"), 2)]
+    return facts(spark).unionByName(spark.createDataFrame(none * 2, SCHEMA))
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    yield
+    spark.conf.set(key, old)
+
+
+def test_features_deal_no_whole_rows(spark, no_broadcast):
+    df = odd_facts(spark)
+    got = FE.features(df, as_of="max")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Region" not in plan[plan.index("Exchange hashpartitioning"):]
+    stats = FE.customer_stats(df, "max"), FE.product_stats(df)  # of rows that are not bucketed
+    want = FE.row_features(FE.attach_product_stats(FE.attach_customer_stats(df, stats[0]), stats[1])).select(*got.columns)
+    assert got.dtypes == want.dtypes and got.count() == df.count()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("by_")]
+
+
+def test_profile_counts_distinct_values_without_the_joins(spark, no_broadcast):
+    df = odd_facts(spark)
+    got = IO.profile(FE.features(df, as_of="max"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+    row = got.collect()[0]
+    assert (row.Rows, row.Unique_Customers, row.Unique_Products) == (606, 8, 5)
+    empty = IO.profile(df.limit(0)).collect()[0]
+    assert (empty.Rows, empty.Unique_Customers, empty.Unique_Products, empty.Total_Sales) == (0, 0, 0, None)
+
+
 def test_years_are_written_side_by_side(spark, tmp_path, monkeypatch):
     key = "spark.sql.maxConcurrentOutputFileWriters"
     before, seen = spark.conf.get(key, None), []
